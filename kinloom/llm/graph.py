@@ -22,23 +22,18 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     loops are ignored; repeated and reversed pairs count once.
     """
 
-    def state(frame):
-        return frame.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-
-    now = scratch.cut(
+    now, seen = scratch.cut_with_state(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
     )
-    seen = state(now)
     while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = scratch.cut(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = scratch.cut(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "small")
-        scratch.drop(large, now)
-        now, was, seen = after, seen, state(after)
+        after, was = scratch.cut_with_state(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "star")
+        scratch.drop(now)
+        now, was, seen = after, seen, was
         if seen == was:
             break
     star = now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -93,9 +93,46 @@ def _sketch(column: str, k: int):
     return run
 
 
-def _full(column: str, k: int):
+def _marks(keys: np.ndarray, size: int) -> np.ndarray:
+    """Three bit numbers below ``size`` (a power of two) for each key, one after another."""
+    keys = keys.astype(np.int64).view(np.uint64)
+    return np.concatenate([(K.mix(keys + np.uint64(s)) & np.uint64(size - 1)).astype(np.int64) for s in (1, 2, 3)])
+
+
+def bloom(keys: DataFrame, most: int = 1 << 26) -> np.ndarray:
+    """A Bloom filter of a column of longs, 16 bits a key and ``most`` bits (8 MB) at most.
+
+    The bits are gathered by word before they come to the driver, so what comes
+    is bounded; beyond the bound the filter lets more keys through, no fewer.
+    """
+    size = 1 << min(most.bit_length() - 1, max(10, (16 * keys.count()).bit_length()))
+
     def run(batches):
-        for block, sets in shingle_sets(batches, column, k):
+        for batch in batches:
+            bits = np.unique(_marks(batch.column(0).to_numpy(), size))
+            word, start = np.unique(bits >> 6, return_index=True)
+            value = np.bitwise_or.reduceat(np.uint64(1) << (bits & 63).astype(np.uint64), start) if len(start) else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(value.view(np.int64))], ["word", "bits"])
+
+    got = keys.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(size >> 6, np.uint64)
+    out[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    mark = _marks(keys, len(bits) << 6)
+    return ((bits[mark >> 6] >> (mark & 63).astype(np.uint64)) & np.uint64(1)).astype(bool).reshape(3, -1).all(0)
+
+
+def _full(column: str, k: int, sent):
+    def some(batches):
+        for batch in batches:
+            keys = batch.column(0)
+            yield batch.filter(pa.array(_passes(sent.value, keys.fill_null(0).to_numpy(zero_copy_only=False)) & keys.is_valid().to_numpy(zero_copy_only=False)))
+
+    def run(batches):
+        for block, sets in shingle_sets(some(batches), column, k):
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["cid", "set"])
 
     return run
@@ -321,10 +358,10 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, text: str = "text", key:
     pairs = scratch.cut(pairs, "pairs")
 
     def sets(of: DataFrame) -> DataFrame:
-        wanted = source.join(of, source.doc_id == of.cid, "left_semi")
-        return wanted.mapInArrow(_full("text", k), "cid long, set binary").distinct()
+        sent = docs.sparkSession.sparkContext.broadcast(bloom(of))  # 8 MB at most; so no text is shuffled
+        return source.mapInArrow(_full("text", k, sent), "cid long, set binary").join(of, "cid", "left_semi").distinct()
 
-    named = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    named = scratch.cut(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "named")
     held = scratch.cut(sets(named), "sets")
     both = pairs.join(held.select(F.col("cid").alias("a"), F.col("set").alias("set_a")), "a").join(
         held.select(F.col("cid").alias("b"), F.col("set").alias("set_b")), "b"
@@ -338,11 +375,11 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, text: str = "text", key:
     mixed = large.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
     open_ = scratch.cut(large.join(mixed, "key", "left_semi"), "open")
     if not open_.isEmpty():
-        wanted = open_.select("cid").distinct()
+        wanted = scratch.cut(open_.select("cid").distinct(), "wanted")
         held = scratch.cut(sets(wanted).join(reps.select("cid", "sig"), "cid"), "open-sets")
         more = _dealt(open_.join(held, "cid")).mapInArrow(_finish(threshold, miss, percent), "a long, b long").distinct()
         more = scratch.cut(more, "more")
-        first = scratch.cut(components(links.unionByName(more), scratch), "second")
+        first = scratch.cut(components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), scratch), "second")
         scratch.drop(held)
     scratch.drop(bucket, open_)
 

@@ -11,7 +11,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,8 +37,18 @@ class Scratch:
 
     def cut(self, frame: DataFrame, name: str) -> DataFrame:
         """Write the frame and read it back."""
+        return self._written(frame, frame, name)
+
+    def cut_with_state(self, frame: DataFrame, name: str) -> tuple[DataFrame, tuple[int, int]]:
+        """The cut, its number of rows and the sum of its rows' hashes, taken as it is written."""
+        seen = Observation()
+        watched = frame.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*frame.columns).cast("decimal(38,0)")).alias("h"))
+        out = self._written(watched, frame, name)
+        return out, (seen.get["n"], seen.get["h"])
+
+    def _written(self, watched: DataFrame, frame: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
-        frame.write.parquet(path)
+        watched.write.parquet(path)
         out = self.spark.read.schema(frame.schema).parquet(path)
         out._kinloom_path = path
         return out
