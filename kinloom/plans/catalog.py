@@ -1,7 +1,275 @@
-"""All queries over the driver's tables, with their SQL twins."""
+"""All queries over the driver's tables, with their SQL twins.
+
+The tables hold no trees or matches, so roles are mapped onto them: customers and
+suppliers are people (customer f and supplier f mod n are the parents of the
+customers 4f to 4f + 3), parts give names, and line items are DNA segments.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kinloom.functions import names as N
+from kinloom.functions.kinship import BANDS, UNKNOWN, relationships
+from kinloom.functions.similarity import indel_ratio, partial_indel_ratio, token_sort_ratio
+from kinloom.operators import affinity, climb, pedigree, render, resolve
+from kinloom.plans import flows
+from kinloom.session import cut
+from kinloom.sources.matches import Roles, aggregate_matches, id_shares
+
 FLAGSHIP = "dna_analysis_results"
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    customer, part = _t(spark, sf_dir, "customer").select("c_custkey", "c_name"), _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("c_custkey"), "p_name")
+    supplier = _t(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    n = supplier.count()
+    f = F.floor(F.col("c_custkey") / 4)
+    own = customer.where("c_custkey >= 4").groupBy(f.alias("f")).agg(F.count("*"))
+    wives = own.groupBy((F.col("f") % n).alias("s_suppkey")).agg(F.transform(F.array_sort(F.collect_list("f")), lambda x: F.concat(F.lit("F"), x.cast("string"))).alias("fams"))
+    men = customer.join(part, "c_custkey", "left").join(own.select(F.col("f").alias("c_custkey"), F.array(F.concat(F.lit("F"), F.col("f").cast("string"))).alias("fams")), "c_custkey", "left")
+    none = F.array().cast("array<string>")
+    men = men.select(
+        F.col("c_custkey").alias("ord"), F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("pid"), N.display_name(F.coalesce("p_name", "c_name")).alias("name"),
+        F.when(F.col("c_custkey") >= 4, F.concat(F.lit("F"), f.cast("string"))).alias("famc"), F.coalesce("fams", none).alias("fams"),
+    )
+    women = supplier.join(wives, "s_suppkey", "left").select(
+        (F.col("s_suppkey") + 1_000_000_000).alias("ord"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("pid"), N.display_name(F.col("s_name")).alias("name"),
+        F.lit(None).cast("string").alias("famc"), F.coalesce("fams", none).alias("fams"),
+    )
+    fid = F.concat(F.lit("F"), F.col("f").cast("string"))
+    couples = own.select(
+        F.col("f").alias("fam_ord"), fid.alias("fid"),
+        F.explode(F.array(F.struct(F.lit("HUSB").alias("tag"), F.lit(0).alias("pos"), F.concat(F.lit("C"), F.col("f").cast("string")).alias("pid")), F.struct(F.lit("WIFE").alias("tag"), F.lit(1).alias("pos"), F.concat(F.lit("S"), (F.col("f") % n).cast("string")).alias("pid")))).alias("m"),
+    ).select("fam_ord", "fid", "m.tag", "m.pos", "m.pid")
+    kids = customer.where("c_custkey >= 4").select(f.alias("f"), "c_custkey").select(
+        F.col("f").alias("fam_ord"), fid.alias("fid"), F.lit("CHIL").alias("tag"), (F.col("c_custkey") % 4 + 2).cast("int").alias("pos"), F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("pid")
+    )
+    return men.unionByName(women), couples.unionByName(kids)
+
+
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = _t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_orderkey", "l_linenumber", "l_quantity")
+    part = _t(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
+    return line.join(part, "p_partkey").select("p_name", "p_brand", "l_quantity", F.struct("l_orderkey", "l_linenumber").alias("row_ord"))
+
+
+_ROLES = Roles("p_name", "l_quantity", "p_brand", None)
+
+
+def _last_customer(spark: SparkSession, sf_dir: str) -> int:
+    return _t(spark, sf_dir, "customer").agg(F.max("c_custkey")).first()[0]
+
+
+def segment_sum_by_group_key(spark, sf_dir):
+    return aggregate_matches(_segments(spark, sf_dir), _ROLES)
+
+
+def kinship_bands(spark, sf_dir):
+    return _t(spark, sf_dir, "customer").select("c_custkey", F.array_join(relationships(F.col("c_acctbal")), ", ").alias("relationships"))
+
+
+def detect_id_columns(spark, sf_dir):
+    part = _t(spark, sf_dir, "part").select("p_name", "p_brand", F.concat(F.upper(F.left("p_name", F.lit(2))), F.lpad(F.col("p_partkey").cast("string"), 7, "0")).alias("kit"))
+    return id_shares(part)
+
+
+def norm_name_documents(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", N.norm_name(F.col("text")).alias("norm_name"))
+
+
+def name_tokens_split(spark, sf_dir):
+    key = N.norm_name(F.col("p_name"))
+    rows = _t(spark, sf_dir, "part").select("p_partkey", key.alias("k"))
+    k = F.col("k")
+    return rows.select("p_partkey", N.given(k).alias("given"), F.array_join(N.surnames(k), " ").alias("surnames"), F.array_join(N.top_given(k), " ").alias("top_given"), F.array_join(N.prefixes(N.surnames(k)), " ").alias("prefixes"))
+
+
+def sorted_names(spark, sf_dir):
+    return _tree(spark, sf_dir)[0].select("pid", "name").orderBy("name", "pid")
+
+
+def person_lookup(spark, sf_dir):
+    asked = spark.createDataFrame([("Red Gear",), ("gear",), ("supplier#00000000",), ("nobody",)], "query string")
+    return pedigree.find_people(_tree(spark, sf_dir)[0], asked).select("query", "pid")
+
+
+def pedigree_parents(spark, sf_dir):
+    return pedigree.parents(*_tree(spark, sf_dir))
+
+
+def pedigree_spouses(spark, sf_dir):
+    return pedigree.spouses(*_tree(spark, sf_dir))
+
+
+def graph_edges(spark, sf_dir):
+    return pedigree.edges(*_tree(spark, sf_dir))
+
+
+def ancestor_closure(spark, sf_dir):
+    person, member = _tree(spark, sf_dir)
+    parents = cut(pedigree.parents(person, member), "parents")
+    reach = climb.closure(person.where("famc is not null").select(F.col("pid").alias("src")), parents)
+    return reach.select("src", "node", "d", F.array_join("ids", ">").alias("path"))
+
+
+def _root_paths(spark, sf_dir):
+    person, member = _tree(spark, sf_dir)
+    root = f"C{_last_customer(spark, sf_dir)}"
+    return person, member, climb.common_ancestors(person.select(F.lit(root).alias("a"), F.col("pid").alias("b")), cut(pedigree.parents(person, member), "parents"))
+
+
+def mrca_direct_path(spark, sf_dir):
+    _, _, met = _root_paths(spark, sf_dir)
+    return met.select("a", "b", "ancestor", F.array_join("path", ">").alias("path"))
+
+
+def mermaid_direct(spark, sf_dir):
+    person, member, met = _root_paths(spark, sf_dir)
+    shown = render.with_people(cut(met, "paths"), person, pedigree.spouses(person, member))
+    chart = render.direct_chart(F.col("people"), F.col("ancestor"), F.col("partner"), F.col("partner_label"), F.col("a"), F.col("b"))
+    return shown.select("a", "b", render.text_path(F.col("people")).alias("text_path"), chart.alias("mermaid_data"))
+
+
+def affinity_path_length(spark, sf_dir):
+    person, member = _tree(spark, sf_dir)
+    pair = spark.createDataFrame([(f"C{_last_customer(spark, sf_dir)}", "S1")], "a string, b string")
+    return affinity.shortest_paths(pair, person, cut(pedigree.edges(person, member), "edges")).select("a", "b", F.size("path").cast("long").alias("n_persons"))
+
+
+def path_search(spark, sf_dir):
+    return flows.search_path(*_tree(spark, sf_dir), "Supplier#000000001", "Supplier#000000002")
+
+
+def _names(spark, sf_dir):
+    """Distinct names of parts, and the same names cut short by a letter."""
+    names = _t(spark, sf_dir, "part").select(N.norm_name(F.col("p_name")).alias("key")).distinct()
+    cut_ = names.select(F.expr("left(key, length(key) - 1)").alias("key"))
+    return cut_, names
+
+
+def _clipped(name):
+    """The name with its first word a letter short."""
+    return F.regexp_replace(name, r"^(\S+)\S ", "$1 ")
+
+
+def surname_blocking(spark, sf_dir):
+    _, people = _names(spark, sf_dir)
+    f = resolve.features(people)
+    return resolve.pools(f, f)
+
+
+def prefix_blocking(spark, sf_dir):
+    wanted, people = _names(spark, sf_dir)
+    return resolve.pools(resolve.features(wanted), resolve.features(people))
+
+
+def soft_prefix_jaccard(spark, sf_dir):
+    wanted, people = _names(spark, sf_dir)
+    pairs = wanted.select(F.col("key").alias("a")).join(people.select(F.col("key").alias("b")), F.left("a", F.lit(1)) == F.left("b", F.lit(1)))
+    return pairs.select("a", "b", N.soft_jaccard(N.tokens(F.col("a")), N.tokens(F.col("b"))).alias("jaccard"))
+
+
+def fuzzy_ratio_scores(spark, sf_dir):
+    wanted, people = _names(spark, sf_dir)
+    pairs = wanted.select(F.col("key").alias("a")).join(people.select(F.col("key").alias("b")), F.left("a", F.lit(1)) == F.left("b", F.lit(1)))
+    a, b = F.col("a"), F.col("b")
+    return pairs.select("a", "b", indel_ratio(a, b).alias("ratio"), token_sort_ratio(a, b).alias("token_sort"), partial_indel_ratio(a, b).alias("partial"))
+
+
+def accept_decision(spark, sf_dir):
+    _, people = _names(spark, sf_dir)
+    wanted = people.select(_clipped(F.col("key")).alias("key")).distinct()
+    w = resolve.features(wanted)
+    p = resolve.features(people).withColumn("ord", F.xxhash64("key"))
+    found = resolve.judged(resolve.best(resolve.scored(resolve.pools(w, p), w, p)), F.lit(100.0))
+    return found.select("key", "inter", "s_given", "score20", "accepted")
+
+
+def _analysis(spark, sf_dir):
+    """Segments whose brand ends in an odd digit have their first words clipped, so that they need the fuzzy tiers."""
+    person, member = _tree(spark, sf_dir)
+    rows = _segments(spark, sf_dir).withColumn("p_name", F.when(F.rlike("p_brand", F.lit("[13579]$")), _clipped(F.col("p_name"))).otherwise(F.col("p_name")))
+    root = person.where(F.col("pid") == f"C{_last_customer(spark, sf_dir)}").first()["name"]
+    return flows.analyse_matches(cut(person, "person"), cut(member, "member"), rows, _ROLES, root)
+
+
+def dna_analysis_results(spark, sf_dir):
+    return _analysis(spark, sf_dir)[0]
+
+
+def dna_analysis_skipped(spark, sf_dir):
+    return _analysis(spark, sf_dir)[1]
+
+
+def dna_analysis_summary(spark, sf_dir):
+    return flows.summary(*_analysis(spark, sf_dir))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        segment_sum_by_group_key, kinship_bands, detect_id_columns, norm_name_documents, name_tokens_split, sorted_names, person_lookup,
+        pedigree_parents, pedigree_spouses, graph_edges, ancestor_closure, mrca_direct_path, mermaid_direct, affinity_path_length, path_search,
+        surname_blocking, prefix_blocking, soft_prefix_jaccard, fuzzy_ratio_scores, accept_decision,
+        dna_analysis_results, dna_analysis_skipped, dna_analysis_summary,
+    )
+}
+
+_NORM = "trim(regexp_replace(lower(regexp_replace(strip_accents({0}), '[!-/:-@\\[-`{{-~]', ' ', 'g')), '\\s+', ' ', 'g'))"
+_REPAIRED = "regexp_replace(coalesce({0}, ''), '[^\\p{{L}}\\p{{N}}_\\s\\x1c-\\x1f\\x85\\p{{Z}}Á-ú''-]', ' ', 'g')"
+_PEOPLE = """people AS (
+    SELECT c_custkey AS ord, 'C' || c_custkey AS pid, coalesce(p_name, c_name) AS name FROM customer LEFT JOIN part ON p_partkey = c_custkey
+    UNION ALL SELECT 1000000000 + s_suppkey, 'S' || s_suppkey, s_name FROM supplier)"""
+_PARENTS = """parents AS (
+    SELECT 'C' || c_custkey AS child, unnest(['C' || (c_custkey // 4), 'S' || ((c_custkey // 4) % (SELECT count(*) FROM supplier))]) AS parent, unnest([0, 1]) AS pos
+    FROM customer WHERE c_custkey >= 4)"""
+_COUPLES = """couples AS (
+    SELECT DISTINCT c_custkey // 4 AS f, 'C' || (c_custkey // 4) AS h, 'S' || ((c_custkey // 4) % (SELECT count(*) FROM supplier)) AS w FROM customer WHERE c_custkey >= 4)"""
+_REACH = """reach AS (
+    SELECT pid AS src, pid AS node, 0 AS d, []::INTEGER[] AS o, [pid] AS ids FROM people
+    UNION ALL SELECT src, parent, d + 1, list_append(o, pos), list_append(ids, parent) FROM reach JOIN parents ON node = child WHERE d < 20),
+closed AS (SELECT DISTINCT ON (src, node) src, node, d, o, ids FROM reach ORDER BY src, node, d, o)"""
+_PAIRS = """k AS (SELECT DISTINCT lower(p_name) AS key FROM part), short AS (SELECT left(key, length(key) - 1) AS key FROM k)"""
+_CM = "CASE WHEN c_acctbal IS NULL OR c_acctbal <= 0 THEN '' ELSE coalesce(nullif(concat_ws(', ', " + ", ".join(f"CASE WHEN c_acctbal BETWEEN {lo} AND {hi} THEN '{n}' END" for lo, hi, n in BANDS) + f"), ''), '{UNKNOWN}') END"
+
+ORACLES = {
+    "segment_sum_by_group_key": "SELECT lower(p_name) || ' | ' || upper(p_brand) AS group_key, sum(l_quantity) AS cm, arg_min(p_name, (l_orderkey, l_linenumber)) AS name FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1",
+    "kinship_bands": f"SELECT c_custkey, {_CM} AS relationships FROM customer",
+    "detect_id_columns": "SELECT " + ", ".join(f"avg(CAST(regexp_full_match({c}, '[A-Z]{{2}}[0-9]{{7}}') AS INTEGER)) AS {n}" for c, n in (("p_name", "p_name"), ("p_brand", "p_brand"), ("upper(left(p_name, 2)) || lpad(CAST(p_partkey AS VARCHAR), 7, '0')", "kit"))) + " FROM part",
+    "norm_name_documents": f"SELECT doc_id, {_NORM.format(_REPAIRED.format('text'))} AS norm_name FROM documents",
+    "name_tokens_split": "SELECT p_partkey, split_part(lower(p_name), ' ', 1) AS given, split_part(lower(p_name), ' ', 2) AS surnames, lower(p_name) AS top_given, left(split_part(lower(p_name), ' ', 2), 3) AS prefixes FROM part",
+    "sorted_names": f"WITH {_PEOPLE} SELECT pid, name FROM people",
+    "person_lookup": f"""WITH {_PEOPLE}, q AS (SELECT unnest(['Red Gear', 'gear', 'supplier#00000000', 'nobody']) AS query),
+        hit AS (SELECT query, pid, lower(name) = lower(query) AS same FROM q JOIN people ON contains(lower(name), lower(query)))
+        SELECT query, pid FROM hit h WHERE same OR NOT EXISTS (SELECT 1 FROM hit x WHERE x.query = h.query AND x.same)""",
+    "pedigree_parents": f"WITH {_PARENTS} SELECT child, parent, pos FROM parents",
+    "pedigree_spouses": f"WITH {_COUPLES} SELECT h AS pid, w AS spouse, CAST(0 AS INTEGER) AS pos FROM couples UNION ALL SELECT w, h, CAST(row_number() OVER (PARTITION BY w ORDER BY 'F' || f, f) - 1 AS INTEGER) FROM (SELECT w, h, f FROM couples)".replace("ORDER BY 'F' || f, f", "ORDER BY f"),
+    "graph_edges": f"""WITH {_COUPLES}, e AS (SELECT h AS p, 'F' || f AS f FROM couples UNION SELECT w, 'F' || f FROM couples UNION SELECT 'C' || c_custkey, 'F' || (c_custkey // 4) FROM customer WHERE c_custkey >= 4)
+        SELECT p AS src, f AS dst FROM e UNION ALL SELECT f, p FROM e""",
+    "ancestor_closure": f"WITH RECURSIVE {_PEOPLE}, {_PARENTS}, {_REACH} SELECT src, node, CAST(d AS INTEGER) AS d, array_to_string(ids, '>') AS path FROM closed WHERE src IN (SELECT child FROM parents)",
+    "mrca_direct_path": f"""WITH RECURSIVE {_PEOPLE}, {_PARENTS}, {_REACH}, top AS (SELECT src, max(d) AS m FROM closed GROUP BY src),
+        one AS (SELECT x.src AS a, y.src AS b, x.node, x.d AS d1, y.d AS d2, x.o AS o1, y.o AS o2, x.ids AS i1, y.ids AS i2, s.m AS m1, t.m AS m2, (x.d = y.d OR x.d > y.d + 1) AS f
+            FROM closed x JOIN closed y ON x.node = y.node JOIN top s ON s.src = x.src JOIN top t ON t.src = y.src WHERE x.src = 'C' || (SELECT max(c_custkey) FROM customer) AND y.src <> x.src),
+        met AS (SELECT *, CASE WHEN f THEN d1 ELSE d2 END AS r, CASE WHEN f THEN o1 ELSE o2 END AS k FROM one WHERE CASE WHEN f THEN m2 >= d1 - 1 ELSE m1 >= d2 END),
+        best AS (SELECT DISTINCT ON (a, b) * FROM met WHERE r < 20 ORDER BY a, b, r, NOT f, k)
+        SELECT a, b, node AS ancestor, array_to_string(list_concat(i1, list_reverse(i2)[2:]), '>') AS path FROM best
+        UNION ALL SELECT pid, pid, pid, pid FROM people WHERE pid = 'C' || (SELECT max(c_custkey) FROM customer)""",
+    "affinity_path_length": f"""WITH RECURSIVE {_COUPLES}, h AS (SELECT h AS p, 'F' || f AS f FROM couples UNION SELECT w, 'F' || f FROM couples UNION SELECT 'C' || c_custkey, 'F' || (c_custkey // 4) FROM customer WHERE c_custkey >= 4),
+        e AS (SELECT p AS src, f AS dst FROM h UNION ALL SELECT f, p FROM h),
+        bfs AS (SELECT 'C' || (SELECT max(c_custkey) FROM customer) AS node, 0 AS d UNION SELECT dst, d + 1 FROM bfs JOIN e ON node = src WHERE d < 40)
+        SELECT 'C' || (SELECT max(c_custkey) FROM customer) AS a, 'S1' AS b, CAST(min(d) // 2 + 1 AS BIGINT) AS n_persons FROM bfs WHERE node = 'S1' HAVING min(d) IS NOT NULL""",
+    "surname_blocking": f"WITH {_PAIRS} SELECT x.key, y.key AS other FROM k x JOIN k y ON split_part(x.key, ' ', 2) = split_part(y.key, ' ', 2)",
+    "prefix_blocking": f"""WITH {_PAIRS}, s AS (SELECT key, split_part(key, ' ', 2) AS sn FROM short), p AS (SELECT key, split_part(key, ' ', 2) AS sn FROM k),
+        near AS (SELECT s.key, p.key AS other FROM s JOIN p USING (sn))
+        SELECT * FROM near UNION ALL SELECT s.key, p.key FROM s JOIN p ON left(s.sn, 3) = left(p.sn, 3) AND length(s.sn) >= 3 WHERE s.key NOT IN (SELECT key FROM near)""",
+    "soft_prefix_jaccard": f"""WITH {_PAIRS}, t AS (SELECT short.key AS a, k.key AS b, list_distinct(string_split(short.key, ' ')) AS x, list_distinct(string_split(k.key, ' ')) AS y FROM short JOIN k ON left(short.key, 1) = left(k.key, 1)),
+        u AS (SELECT a, b, CASE WHEN len(list_filter(list_concat(x, y), lambda s: length(s) <= 4)) > 0 THEN 4 ELSE 99 END AS n, x, y FROM t),
+        v AS (SELECT a, b, list_distinct(list_transform(x, lambda s: left(s, n))) AS x, list_distinct(list_transform(y, lambda s: left(s, n))) AS y FROM u)
+        SELECT a, b, len(list_intersect(x, y)) / greatest(len(list_distinct(list_concat(x, y))), 1) AS jaccard FROM v""",
+}
