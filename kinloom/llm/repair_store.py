@@ -78,6 +78,8 @@ def compress(ids: np.ndarray, first: int, barrier: int = END, rounds: int = ROUN
             if a in is_right or b in is_left or (a == b and (a in is_left or b in is_right)):
                 continue
             is_left.add(a), is_right.add(b), chosen.append(p)
+        if not chosen:
+            break
         chosen = np.sort(np.array(chosen, np.uint64))
         at = np.minimum(np.searchsorted(chosen, pair), len(chosen) - 1)
         hit = chosen[at] == pair
