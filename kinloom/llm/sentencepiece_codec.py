@@ -31,7 +31,8 @@ from kinloom.llm import textkernel as K
 BLANK = "\u2581"
 #: Characters of a chunk up to which chunks are relaxed side by side, and characters indexed at once.
 SHORT, INDEXED = 48, 250_000
-BLOCK = 4 << 20
+#: Bytes of text encoded and ids decoded at once.
+BLOCK, DECODED = 2 << 20, 250_000
 
 
 class Pieces:
@@ -258,15 +259,14 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
 
     def run(batches):
         model = pieces(path)
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text)).fill_null("")
-            column = pc.replace_substring(column, BLANK, " ")
-            column = pc.if_else(pc.equal(column, ""), "", pc.binary_join_element_wise(" ", column, ""))
-            own = pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, "\0"])
-            for block, data, ends in K.blocks([own], "\0", BLOCK):
-                flat, at = model.encode(data, ends)
-                arrays = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*block.columns[:-1], arrays], [*block.schema.names[:-1], ids])
+        at_text = None
+        for part, _, _ in K.blocks(batches, text, BLOCK):  # small slices, so that no copy of a whole batch is made
+            at_text = part.schema.get_field_index(text) if at_text is None else at_text
+            column = pc.replace_substring(part.column(at_text).fill_null(""), BLANK, " ")
+            data, ends = K.blob(pc.if_else(pc.equal(column, ""), "", pc.binary_join_element_wise(" ", column, "")))
+            flat, at = model.encode(data, ends)
+            arrays = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*part.columns, arrays], [*part.schema.names, ids])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
@@ -284,9 +284,13 @@ def decode(rows: DataFrame, path: str | None = None, ids: str = "ids", text: str
         model = pieces(path)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
-            sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            flat = column.flatten().fill_null(0).to_numpy(zero_copy_only=False)
-            got = model.decode(flat, np.concatenate(([0], np.cumsum(sizes))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([t.decode("utf-8", "replace") for t in got], pa.string())], [*batch.schema.names, text])
+            ends = np.concatenate(([0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
+            row = 0
+            while row < len(batch):  # rows of about DECODED ids at a time
+                last = max(row + 1, int(np.searchsorted(ends, ends[row] + DECODED, "right")) - 1)
+                part = column.slice(row, last - row)
+                got = model.decode(part.flatten().fill_null(0).to_numpy(zero_copy_only=False), ends[row : last + 1] - ends[row])
+                yield pa.RecordBatch.from_arrays([*batch.slice(row, last - row).columns, pa.array([t.decode("utf-8", "replace") for t in got], pa.string())], [*batch.schema.names, text])
+                row = last
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(text, T.StringType())]))
