@@ -34,7 +34,7 @@ def read_gedcom(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     own = every.withColumn("record", F.sum((F.col("level") == 0).cast("long")).over(inside))
     heads = own.where("level = 0 and tag in ('INDI', 'FAM') and xref is not null").select("path", "record", "xref", F.col("tag").alias("kind"))
     best = heads.groupBy("xref", "kind").agg(F.min("record").alias("ord"), F.max("record").alias("record"))
-    facts = own.where("level = 1").join(best, "record")
+    facts = own.where("level = 1").select("record", "pos", "tag", "value").join(best, "record")
     at = F.struct("pos", "value")
     named = facts.where("kind = 'INDI'").groupBy("xref").agg(
         F.min(F.when(F.col("tag") == "NAME", at))["value"].alias("name"),
