@@ -9,7 +9,10 @@ that stands twice in the item stands for one value in the document.  That
 catches a re-parameterised question and refuses a chance likeness of its frame.
 
 Items are indexed with their names as placeholders and as plain words, so that a
-document in upper or lower case, where names can't be told, matches as well.
+document in upper or lower case, where names can't be told, matches as well.  A
+third, literal form keeps numbers and names as words on both sides: it finds what
+is repeated word for word, whatever is capitalised and however many slots stand
+together, and needs no check of slots.
 """
 
 from __future__ import annotations
@@ -31,10 +34,12 @@ BROADCAST_BYTES = 64 << 20
 UNITS = "km|cm|mm|kg|mg|ml|km/h|mph|miles|mile|meters|metres|feet|ft|inches|pounds|lbs|grams|liters|litres|hours|hour|hrs|minutes|minute|min|seconds|days|weeks|months|years|dollars|euros|cents|percent|degrees"
 NUMBER = r"[0-9]+(?:[.,][0-9]+)*"
 UNIT = rf"(?:(?<=[0-9])|(?<=[0-9] ))(?:%|(?:{UNITS})(?![\p{{L}}\p{{N}}]))"
-NAME = r"(?<=[\p{Ll}0-9,;\ue001] )\p{Lu}\p{Ll}+"
+NAME = r"(?<=[\p{Ll}0-9,;%] |\ue001  )\p{Lu}\p{Ll}+(?![\p{L}\p{M}])"
 #: Private code points, which no text keeps.
 _NUM, _UNIT, _NAME = "\ue000", "\ue001", "\ue002"
 _SPLIT = "[^\\p{L}\\p{M}\ue000-\ue002]+"
+#: Forms of an item: with names as placeholders, with names as words, literal.
+NAMED, UNNAMED, LITERAL = 0, 1, 2
 
 
 def words(text: Column, names: bool = True) -> Column:
@@ -47,6 +52,11 @@ def words(text: Column, names: bool = True) -> Column:
     return F.array_remove(F.split(F.lower(out), _SPLIT), "")
 
 
+def literal(text: Column) -> Column:
+    """Words of a text with its numbers and names as they are, lower-cased."""
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"), "")
+
+
 def slots(text: Column, names: bool = True) -> Column:
     """The values behind the placeholders, in order, lower-cased."""
     pattern = "|".join([UNIT, *([NAME] if names else []), NUMBER])
@@ -71,17 +81,19 @@ def _is_slot(w: Column) -> Column:
 def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per leaked pair: ``doc_id, item_id, first_word, n_words, coverage``.
 
-    ``first_word`` is the canonical word of the document where the best diagonal
-    begins, ``n_words`` the words of the item that it covers, ``coverage`` their
-    share of the item.  Null keys, null and empty texts leak nothing.  Repeated
+    ``first_word`` is the word of the document where the best diagonal begins,
+    ``n_words`` the words of the item that it covers, ``coverage`` their share of
+    the item; words are those of the form that matched, canonical or literal.  Null keys, null and empty texts leak nothing.  Repeated
     rows of a document or an item give one pair; of equally good diagonals the
     first counts.  Other columns are ignored; an empty table on either side
     gives an empty result.
     """
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null and text is not null")
     items = benchmark.select(F.col(item).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("item_text")).where("item_id is not null and item_text is not null")
-    forms = items.withColumn("named", F.explode(F.array(F.lit(True), F.lit(False))))
-    forms = forms.withColumn("w", F.when(F.col("named"), words(F.col("item_text"))).otherwise(words(F.col("item_text"), False)))
+    forms = items.select("item_id", words(F.col("item_text")).alias("named"), words(F.col("item_text"), False).alias("unnamed"), literal(F.col("item_text")).alias("literal"))
+    each = F.array(*(F.struct(F.lit(form).alias("form"), F.col(w).alias("w")) for form, w in ((NAMED, "named"), (UNNAMED, "unnamed"), (LITERAL, "literal"))))
+    # Without names in an item its first two forms are one.
+    forms = forms.select("item_id", F.explode(F.filter(each, lambda f: (f["form"] != UNNAMED) | (F.col("named") != F.col("unnamed")))).alias("f")).select("item_id", "f.*")
     forms = forms.withColumn("length", F.size("w")).where(F.col("length") >= LEAST).withColumn("size", F.least("length", F.lit(WINDOW)))
     at = forms.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("length") - F.col("size"))))
     at = at.withColumn("part", F.slice("w", F.col("at") + 1, F.col("size"))).withColumn("slots", F.size(F.filter("part", _is_slot)))
@@ -89,19 +101,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, key: str = "d
     hashed = F.when(F.lit(False), F.lit(0).cast("long"))
     for size in range(LEAST, WINDOW + 1):
         hashed = F.when(F.col("size") == size, F.xxhash64(*(F.xxhash64(F.get("part", F.lit(j))) for j in range(size)))).otherwise(hashed)
-    keyed = at.select("size", hashed.alias("window"), "item_id", "named", "at", "length", "slots")
-    # Without names in an item its two forms are one.
-    template = scratch.cut(keyed.groupBy("size", "window", "item_id", "at", "length", "slots").agg(F.max("named").alias("named")), "template")
+    template = scratch.cut(at.select("size", hashed.alias("window"), "item_id", "form", "at", "length", "slots").distinct(), "template")
     held = template.groupBy("size").count().collect()  # at most four rows
     small = sum(r["count"] for r in held) * 64 <= BROADCAST_BYTES
 
-    hits = None
-    for size in sorted((r["size"] for r in held), reverse=True) or [WINDOW]:
-        own = template.where(F.col("size") == size).drop("size")
-        rows = source.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.posexplode(_windows(F.col("w"), size)).alias("pos", "window"))
-        some = rows.join(F.broadcast(own) if small else own, "window").select("doc_id", "item_id", "named", "at", "pos", "length", "slots", F.lit(size).alias("size"))
-        hits = some if hits is None else hits.unionByName(some)
-    lines = hits.groupBy("doc_id", "item_id", "named", "length", "size", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
+    sizes = sorted((r["size"] for r in held), reverse=True) or [WINDOW]
+    # One scan makes the windows of all sizes in use, canonical and literal.
+    rows = source.select("doc_id", words(F.col("text")).alias("w"), literal(F.col("text")).alias("l"))
+    runs = F.array(*(F.struct(F.lit(size).alias("size"), F.lit(same).alias("same"), _windows(F.col(w), size).alias("windows")) for size in sizes for same, w in ((False, "w"), (True, "l"))))
+    rows = rows.select("doc_id", F.explode(runs).alias("r")).select("doc_id", "r.size", "r.same", F.posexplode("r.windows").alias("pos", "window"))
+    own = template.withColumn("same", F.col("form") == LITERAL)
+    hits = rows.join(F.broadcast(own) if small else own, ["window", "size", "same"])
+    lines = hits.groupBy("doc_id", "item_id", "form", "length", "size", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
         F.sort_array(F.collect_set("at")).alias("ats"), F.max("slots").alias("slots")
     )
     covered = F.aggregate(
@@ -115,7 +126,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, key: str = "d
 
     plain, open_ = lines.where("slots = 0"), lines.where("slots > 0")
     if not open_.isEmpty():
-        plain = plain.unionByName(open_.join(_consistent(open_, source, items), ["doc_id", "item_id", "named", "diagonal"], "left_semi"))
+        plain = plain.unionByName(open_.join(_consistent(open_, source, items), ["doc_id", "item_id", "form", "diagonal"], "left_semi"))
     best = plain.groupBy("doc_id", "item_id").agg(
         F.min(F.struct((-F.col("n_words")).alias("n"), (F.col("diagonal") + F.col("low")).alias("first"), F.col("length").alias("length"))).alias("b")
     )
@@ -137,13 +148,13 @@ def _consistent(lines: DataFrame, source: DataFrame, items: DataFrame) -> DataFr
 
         return of(True) if named is None else F.when(named, of(True)).otherwise(of(False))
 
-    wanted = lines.select("doc_id", "item_id", "named", "diagonal", "low", "high")
+    wanted = lines.select("doc_id", "item_id", "form", "diagonal", "low", "high")
     left = wanted.join(items.dropDuplicates(["item_id", "item_text"]), "item_id")
-    left = left.withColumn("iv", placed("item_text", F.col("named"))).drop("item_text")
+    left = left.withColumn("iv", placed("item_text", F.col("form") == NAMED)).drop("item_text")
     both = left.join(source, "doc_id").withColumn("dv", placed("text", None)).drop("text")
     size = F.col("high") - F.col("low")
     pairs = F.zip_with(F.slice("iv", F.col("low") + 1, size), F.slice("dv", F.greatest(F.col("diagonal") + F.col("low"), F.lit(0)) + 1, size), lambda i, d: F.struct(i.alias("i"), d.alias("d")))
     both = both.withColumn("pairs", F.filter(pairs, lambda p: p["i"].isNotNull()))
     firsts = F.array_distinct(F.transform("pairs", lambda p: p["i"]))
     good = both.where(F.size(F.array_distinct("pairs")) == F.size(firsts))
-    return good.select("doc_id", "item_id", "named", "diagonal").distinct()
+    return good.select("doc_id", "item_id", "form", "diagonal").distinct()

@@ -130,6 +130,18 @@ def test_decontamination(spark):
     assert decontaminate.leaks(docs, items.limit(0), Scratch(spark, "t")).count() == 0
 
 
+def test_decontamination_of_literal_copies(spark):
+    """Copies whose capitals or crowded numbers hide the template, and values that stay beside their slots."""
+    digits = "the digits are " + " ".join(str(7 * i) for i in range(30))
+    items = spark.createDataFrame([(1, "every morning the old baker of the village sells fresh bread to his many neighbours", ""), (2, digits, ""),
+                                   (3, "so then McDonald saw Alice run 5 % Berlin while Alice went home with Bob and a very old grey dog", "")], "item_id long, text string, doc_id string")
+    docs = documents(spark, [(1, "every Morning the Old baker of The Village Sells fresh Bread to His many Neighbours"), (2, "Here: " + digits), (3, "the digits are " + " ".join(str(3 * i + 1) for i in range(30))),
+                             (4, "so then McDonald saw Carol run 9 % London while Carol went home with Dave and a very old grey dog"),
+                             (5, "so then McDonald saw Carol run 9 % London while Erin went home with Dave and a very old grey dog")])
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, items, Scratch(spark, "t")).collect()}
+    assert got == {(1, 1), (2, 2), (4, 3)}
+
+
 def test_chats(spark):
     said = ["plain", "", None, "</s>[INST] ok [/INST]", "a \\1 b", "<", "</s", "\\", "]\n", "é😀", "<s>[user]\nhi</s>"]
     rows = [(c, t, role, x, "k") for c in (1, None) for t, (x, role) in enumerate(zip(said, ["user", "assistant"] * 6, strict=False))] + [(2, None, None, "x", "k"), (2, 0, "a]\nb", "y", "k")]
