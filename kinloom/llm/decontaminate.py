@@ -63,15 +63,13 @@ def slots(text: Column, names: bool = True) -> Column:
     return F.transform(F.regexp_extract_all(F.regexp_replace(text, "[\ue000-\ue002]", " "), F.lit(pattern), F.lit(0)), F.lower)
 
 
-def _windows(words: Column, size: int) -> Column:
-    """Hashes of all runs of ``size`` words."""
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
+def _window(hashes: list[Column], same: bool) -> Column:
+    """One hash of words' hashes; literal windows have a mark of their own, so that they meet only their like."""
+    return F.xxhash64(*hashes, *([F.lit(LITERAL)] if same else []))
 
-    def run(h):
-        last = F.size(h) - size
-        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(size))))).otherwise(F.array().cast("array<bigint>"))
 
-    return F.transform(F.array(hashed), run)[0]
+def _hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
 def _is_slot(w: Column) -> Column:
@@ -100,18 +98,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, key: str = "d
     at = at.where((F.col("slots") <= SLOTS) & (F.col("slots") <= F.floor(F.col("size") / 2)))
     hashed = F.when(F.lit(False), F.lit(0).cast("long"))
     for size in range(LEAST, WINDOW + 1):
-        hashed = F.when(F.col("size") == size, F.xxhash64(*(F.xxhash64(F.get("part", F.lit(j))) for j in range(size)))).otherwise(hashed)
+        part = [F.xxhash64(F.get("part", F.lit(j))) for j in range(size)]
+        for same in (False, True):
+            hashed = F.when((F.col("size") == size) & ((F.col("form") == LITERAL) == same), _window(part, same)).otherwise(hashed)
     template = scratch.cut(at.select("size", hashed.alias("window"), "item_id", "form", "at", "length", "slots").distinct(), "template")
     held = template.groupBy("size").count().collect()  # at most four rows
     small = sum(r["count"] for r in held) * 64 <= BROADCAST_BYTES
 
     sizes = sorted((r["size"] for r in held), reverse=True) or [WINDOW]
-    # One scan makes the windows of all sizes in use, canonical and literal.
-    rows = source.select("doc_id", words(F.col("text")).alias("w"), literal(F.col("text")).alias("l"))
-    runs = F.array(*(F.struct(F.lit(size).alias("size"), F.lit(same).alias("same"), _windows(F.col(w), size).alias("windows")) for size in sizes for same, w in ((False, "w"), (True, "l"))))
-    rows = rows.select("doc_id", F.explode(runs).alias("r")).select("doc_id", "r.size", "r.same", F.posexplode("r.windows").alias("pos", "window"))
-    own = template.withColumn("same", F.col("form") == LITERAL)
-    hits = rows.join(F.broadcast(own) if small else own, ["window", "size", "same"])
+    # One scan makes the windows of all sizes in use; they are hashed outside lambdas, where code is generated.
+    both = F.array(*(F.struct(F.lit(same).alias("same"), _hashes(w).alias("h")) for same, w in ((False, words(F.col("text"))), (True, literal(F.col("text"))))))
+    rows = source.select("doc_id", F.explode(both).alias("r")).select("doc_id", "r.same", "r.h").where(F.size("h") >= min(sizes))
+    rows = rows.select("doc_id", "same", "h", F.explode(F.sequence(F.lit(0), F.size("h") - min(sizes))).alias("pos"))
+
+    def key(size: int) -> Column:
+        part = [F.get("h", F.col("pos") + j) for j in range(size)]
+        return F.when(F.col("pos") + size <= F.size("h"), F.when(F.col("same"), _window(part, True)).otherwise(_window(part, False)))
+
+    keys = [key(size) for size in sizes]
+    rows = rows.select("doc_id", "pos", (keys[0] if len(keys) == 1 else F.explode(F.array(*keys))).alias("window"))
+    hits = rows.join(F.broadcast(template) if small else template, "window")
     lines = hits.groupBy("doc_id", "item_id", "form", "length", "size", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
         F.sort_array(F.collect_set("at")).alias("ats"), F.max("slots").alias("slots")
     )
