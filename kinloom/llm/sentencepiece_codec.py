@@ -30,9 +30,9 @@ from kinloom.llm import textkernel as K
 
 BLANK = "\u2581"
 #: Characters of a chunk up to which chunks are relaxed side by side, and characters indexed at once.
-SHORT, INDEXED = 48, 250_000
+SHORT, INDEXED = 48, 125_000
 #: Bytes of text encoded and ids decoded at once.
-BLOCK, DECODED = 2 << 20, 250_000
+BLOCK, DECODED = 512 << 10, 250_000
 
 
 class Pieces:
