@@ -237,6 +237,26 @@ _REACH = """reach AS (
 closed AS (SELECT DISTINCT ON (src, node) src, node, d, o, ids FROM reach ORDER BY src, node, d, o)"""
 _PAIRS = """k AS (SELECT DISTINCT lower(p_name) AS key FROM part), short AS (SELECT left(key, length(key) - 1) AS key FROM k)"""
 _CM = "CASE WHEN c_acctbal IS NULL OR c_acctbal <= 0 THEN '' ELSE coalesce(nullif(concat_ws(', ', " + ", ".join(f"CASE WHEN c_acctbal BETWEEN {lo} AND {hi} THEN '{n}' END" for lo, hi, n in BANDS) + f"), ''), '{UNKNOWN}') END"
+_RATIOS = """given AS (SELECT DISTINCT a, b, split_part(a, ' ', 1) AS s, unnest(string_split(b, ' ')[1:2]) AS t FROM pairs),
+sides AS (
+    SELECT a, b, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS s, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS l FROM pairs
+    UNION ALL SELECT a, b, b, a FROM pairs WHERE length(a) = length(b)),
+windows AS (SELECT a, b, s, substring(l, greatest(i, 0) + 1, i + length(s) - greatest(i, 0)) AS t FROM (SELECT *, unnest(range(1 - length(s), length(l))) AS i FROM sides)),
+ordered AS (SELECT a, b, array_to_string(list_sort(string_split(a, ' ')), ' ') AS s, array_to_string(list_sort(string_split(b, ' ')), ' ') AS t FROM pairs),
+need AS (SELECT s, t FROM given UNION SELECT s, t FROM windows UNION SELECT s, t FROM ordered UNION SELECT a, b FROM pairs),
+steps AS (
+    SELECT s, t, 0 AS i, list_transform(range(length(s) + 1), lambda x: 0) AS r FROM need
+    UNION ALL SELECT s, t, i + 1, list_transform(range(length(s) + 1), lambda j: list_max(list_transform(range(j + 1), lambda k: CASE WHEN k > 0 AND s[k] = t[i + 1] THEN r[k] + 1 ELSE r[k + 1] END))) FROM steps WHERE i < length(t)),
+alike AS (SELECT s, t, CAST(round_even(200.0 * r[length(s) + 1] / (length(s) + length(t)), 0) AS INTEGER) AS v FROM steps WHERE i = length(t)),
+ratios AS (
+    SELECT a, b, q.v AS ratio, o.v AS token_sort,
+        (SELECT max(v) FROM windows w JOIN alike x ON x.s = w.s AND x.t = w.t WHERE w.a = p.a AND w.b = p.b) AS partial,
+        (SELECT max(v) FROM given g JOIN alike x ON x.s = g.s AND x.t = g.t WHERE g.a = p.a AND g.b = p.b) AS s_given
+    FROM pairs p JOIN alike q ON q.s = p.a AND q.t = p.b JOIN ordered USING (a, b) JOIN alike o ON o.s = ordered.s AND o.t = ordered.t)"""
+# All names here are of two words, so that names of one surname have one surname in common, a Jaccard of 1 and no middle names.
+_SCORE = "11 * token_sort + 5 * partial + 4 * s_given + 160"
+_ACCEPTED = "(score20 >= 1720 OR (s_given >= 90 AND score20 >= 1840) OR (s_given >= 95 AND score20 >= 1760))"
+_CLIPPED = "regexp_replace({0}, '^(\\S+)\\S ', '\\1 ')"
 
 ORACLES = {
     "segment_sum_by_group_key": "SELECT lower(p_name) || ' | ' || upper(p_brand) AS group_key, sum(l_quantity) AS cm, arg_min(p_name, (l_orderkey, l_linenumber)) AS name FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1",
@@ -272,4 +292,9 @@ ORACLES = {
         u AS (SELECT a, b, CASE WHEN len(list_filter(list_concat(x, y), lambda s: length(s) <= 4)) > 0 THEN 4 ELSE 99 END AS n, x, y FROM t),
         v AS (SELECT a, b, list_distinct(list_transform(x, lambda s: left(s, n))) AS x, list_distinct(list_transform(y, lambda s: left(s, n))) AS y FROM u)
         SELECT a, b, len(list_intersect(x, y)) / greatest(len(list_distinct(list_concat(x, y))), 1) AS jaccard FROM v""",
+    "fuzzy_ratio_scores": f"WITH RECURSIVE {_PAIRS}, pairs AS (SELECT short.key AS a, k.key AS b FROM short JOIN k ON left(short.key, 1) = left(k.key, 1)), {_RATIOS} SELECT a, b, ratio, token_sort, partial FROM ratios",
+    "accept_decision": f"""WITH RECURSIVE {_PAIRS}, pairs AS (SELECT DISTINCT {_CLIPPED.format("x.key")} AS a, y.key AS b FROM k x JOIN k y ON split_part(x.key, ' ', 2) = split_part(y.key, ' ', 2)), {_RATIOS},
+        scored AS (SELECT a, s_given, CAST({_SCORE} AS INTEGER) AS score20 FROM ratios),
+        best AS (SELECT DISTINCT ON (a) * FROM scored ORDER BY a, s_given DESC, score20 DESC)
+        SELECT a AS key, CAST(1 AS INTEGER) AS inter, s_given, score20, {_ACCEPTED} AS accepted FROM best""",
 }
