@@ -258,6 +258,49 @@ _SCORE = "11 * token_sort + 5 * partial + 4 * s_given + 160"
 _ACCEPTED = "(score20 >= 1720 OR (s_given >= 90 AND score20 >= 1840) OR (s_given >= 95 AND score20 >= 1760))"
 _CLIPPED = "regexp_replace({0}, '^(\\S+)\\S ', '\\1 ')"
 
+# Paths from one person up to a common ancestor and down to another, and their charts.
+_MET = """top AS (SELECT src, max(d) AS m FROM closed GROUP BY src),
+one AS (SELECT x.src AS a, y.src AS b, x.node, x.d AS d1, y.d AS d2, x.o AS o1, y.o AS o2, x.ids AS i1, y.ids AS i2, s.m AS m1, t.m AS m2, (x.d = y.d OR x.d > y.d + 1) AS f
+    FROM closed x JOIN closed y ON x.node = y.node JOIN top s ON s.src = x.src JOIN top t ON t.src = y.src WHERE x.src = (SELECT pid FROM root) AND y.src <> x.src),
+round AS (SELECT *, CASE WHEN f THEN d1 ELSE d2 END AS r, CASE WHEN f THEN o1 ELSE o2 END AS k FROM one WHERE CASE WHEN f THEN m2 >= d1 - 1 ELSE m1 >= d2 END),
+best AS (SELECT DISTINCT ON (a, b) * FROM round WHERE r < 20 ORDER BY a, b, r, NOT f, k),
+met AS (SELECT a, b, node AS ancestor, list_concat(i1, list_reverse(i2)[2:]) AS path FROM best UNION ALL SELECT pid, pid, pid, [pid] FROM root)"""
+_CHARTS = """label AS (SELECT pid, name, replace(replace(replace(replace(name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', chr(39)) AS label FROM people),
+named AS (SELECT a, b, list(name ORDER BY step) AS names, list('N_' || pid || '["' || label || '"]' ORDER BY step) AS nodes FROM (SELECT a, b, unnest(path) AS pid, generate_subscripts(path, 1) AS step FROM met) JOIN label USING (pid) GROUP BY a, b),
+partner AS (SELECT h AS pid, w AS mate FROM couples UNION ALL SELECT w, arg_min('C' || f, f) FROM couples GROUP BY w),
+placed AS (
+    SELECT met.*, names, nodes, mate, list_position(path, ancestor) AS up, list_position(path, ancestor) IN (1, len(path)) AS line, list_transform(path, lambda x: 'N_' || x) AS ids,
+        x.label || ' &amp; ' || y.label AS couple_label
+    FROM met JOIN named USING (a, b) LEFT JOIN partner ON partner.pid = ancestor LEFT JOIN label x ON x.pid = ancestor LEFT JOIN label y ON y.pid = mate),
+joined AS (SELECT *, NOT line AND mate IS NOT NULL AS couple, 'N_' || CASE WHEN NOT line AND mate IS NOT NULL THEN least(ancestor, mate) || '_' || greatest(ancestor, mate) ELSE ancestor END AS j FROM placed),
+drawn AS (
+    SELECT a, b, array_to_string(names, ' → ') AS text_path, names[-1] AS last_name, array_to_string(list_concat(
+        ['flowchart BT'], CASE WHEN couple THEN [j || '["' || couple_label || '"]'] ELSE [] END,
+        list_filter(nodes, lambda x, i: (NOT couple OR path[i] NOT IN (ancestor, mate)) AND list_position(path, path[i]) = i),
+        CASE WHEN line THEN list_transform(range(1, len(ids)), lambda i: ids[i] || ' --> ' || ids[i + 1])
+        ELSE list_concat(list_transform(range(1, up - 1), lambda i: ids[i] || ' --> ' || ids[i + 1]), [ids[up - 1] || ' --> ' || j],
+            list_transform(range(len(ids), up + 1, -1), lambda i: ids[i] || ' --> ' || ids[i - 1]), [ids[up + 1] || ' --> ' || j]) END,
+        ['style N_' || a || ' {0}', 'style N_' || b || ' {1}', 'style ' || j || ' {2}']), chr(10)) AS mermaid_data
+    FROM joined)""".replace("{0}", render.FIRST).replace("{1}", render.SECOND).replace("{2}", render.TOP)
+_LAST = "root AS (SELECT 'C' || max(c_custkey) AS pid FROM customer)"
+_FIRST_ALIKE = "root AS (SELECT arg_min(pid, ord) AS pid FROM people WHERE contains(lower(name), (SELECT lower(name) FROM people WHERE pid = 'C' || (SELECT max(c_custkey) FROM customer))))"
+# Matches whose name no person bears are scored against the people of their surname; all names of the tables find some.
+_ANALYSIS = f"""WITH RECURSIVE {_PEOPLE}, {_PARENTS}, {_COUPLES}, {_REACH}, {_FIRST_ALIKE}, {_MET}, {_CHARTS},
+segment AS (SELECT CASE WHEN regexp_matches(p_brand, '[13579]$') THEN {_CLIPPED.format("p_name")} ELSE p_name END AS name, p_brand, l_quantity, l_orderkey, l_linenumber FROM lineitem JOIN part ON p_partkey = l_partkey),
+matches AS (SELECT lower(name) || ' | ' || upper(p_brand) AS group_key, lower(name) AS key, sum(l_quantity) AS cm, arg_min(name, (l_orderkey, l_linenumber)) AS csv_name FROM segment GROUP BY ALL),
+bearer AS (SELECT trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS key, pid, ord FROM people),
+eldest AS (SELECT key, min(ord) AS ord, arg_min(pid, ord) AS pid FROM bearer GROUP BY key),
+pairs AS (SELECT DISTINCT m.key AS a, eldest.key AS b FROM matches m JOIN eldest ON split_part(m.key, ' ', 2) = split_part(eldest.key, ' ', 2) WHERE m.key NOT IN (SELECT key FROM bearer)), {_RATIOS},
+scored AS (SELECT a AS key, b AS other, s_given, {_SCORE} AS score20 FROM ratios),
+nearest AS (SELECT DISTINCT ON (s.key) s.*, pid, eldest.ord, {_ACCEPTED} AS accepted FROM scored s JOIN eldest ON eldest.key = other ORDER BY s.key, s_given DESC, score20 DESC, eldest.ord),
+found AS (SELECT group_key, pid, ord FROM matches JOIN bearer USING (key) UNION ALL SELECT group_key, pid, ord FROM matches JOIN nearest USING (key) WHERE accepted),
+chosen AS (SELECT group_key, arg_min(pid, ord) AS b FROM found WHERE pid IN (SELECT b FROM met) GROUP BY group_key),
+results AS (SELECT group_key, last_name AS match_name, cm, text_path, mermaid_data, {_CM.replace("c_acctbal", "cm")} AS relationships, csv_name FROM matches JOIN chosen USING (group_key) JOIN drawn USING (b)),
+skipped AS (
+    SELECT group_key, csv_name, CASE WHEN group_key IN (SELECT group_key FROM found) THEN '{flows.NO_PATH}' WHEN s_given IS NULL THEN '{resolve.NO_POOL}'
+        ELSE 'score insuficiente ou conflito de sobrenome (given=' || s_given || ', final=' || regexp_replace(printf('%.2f', score20 / 20), '([.][0-9])0$', '\\1') || ', inter=1/1, jacc=1.00)' END AS motivo
+    FROM matches LEFT JOIN nearest USING (key) WHERE group_key NOT IN (SELECT group_key FROM chosen))"""
+
 ORACLES = {
     "segment_sum_by_group_key": "SELECT lower(p_name) || ' | ' || upper(p_brand) AS group_key, sum(l_quantity) AS cm, arg_min(p_name, (l_orderkey, l_linenumber)) AS name FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1",
     "kinship_bands": f"SELECT c_custkey, {_CM} AS relationships FROM customer",
@@ -273,13 +316,7 @@ ORACLES = {
     "graph_edges": f"""WITH {_COUPLES}, e AS (SELECT h AS p, 'F' || f AS f FROM couples UNION SELECT w, 'F' || f FROM couples UNION SELECT 'C' || c_custkey, 'F' || (c_custkey // 4) FROM customer WHERE c_custkey >= 4)
         SELECT p AS src, f AS dst FROM e UNION ALL SELECT f, p FROM e""",
     "ancestor_closure": f"WITH RECURSIVE {_PEOPLE}, {_PARENTS}, {_REACH} SELECT src, node, CAST(d AS INTEGER) AS d, array_to_string(ids, '>') AS path FROM closed WHERE src IN (SELECT child FROM parents)",
-    "mrca_direct_path": f"""WITH RECURSIVE {_PEOPLE}, {_PARENTS}, {_REACH}, top AS (SELECT src, max(d) AS m FROM closed GROUP BY src),
-        one AS (SELECT x.src AS a, y.src AS b, x.node, x.d AS d1, y.d AS d2, x.o AS o1, y.o AS o2, x.ids AS i1, y.ids AS i2, s.m AS m1, t.m AS m2, (x.d = y.d OR x.d > y.d + 1) AS f
-            FROM closed x JOIN closed y ON x.node = y.node JOIN top s ON s.src = x.src JOIN top t ON t.src = y.src WHERE x.src = 'C' || (SELECT max(c_custkey) FROM customer) AND y.src <> x.src),
-        met AS (SELECT *, CASE WHEN f THEN d1 ELSE d2 END AS r, CASE WHEN f THEN o1 ELSE o2 END AS k FROM one WHERE CASE WHEN f THEN m2 >= d1 - 1 ELSE m1 >= d2 END),
-        best AS (SELECT DISTINCT ON (a, b) * FROM met WHERE r < 20 ORDER BY a, b, r, NOT f, k)
-        SELECT a, b, node AS ancestor, array_to_string(list_concat(i1, list_reverse(i2)[2:]), '>') AS path FROM best
-        UNION ALL SELECT pid, pid, pid, pid FROM people WHERE pid = 'C' || (SELECT max(c_custkey) FROM customer)""",
+    "mrca_direct_path": f"WITH RECURSIVE {_PEOPLE}, {_PARENTS}, {_REACH}, {_LAST}, {_MET} SELECT a, b, ancestor, array_to_string(path, '>') AS path FROM met",
     "affinity_path_length": f"""WITH RECURSIVE {_COUPLES}, h AS (SELECT h AS p, 'F' || f AS f FROM couples UNION SELECT w, 'F' || f FROM couples UNION SELECT 'C' || c_custkey, 'F' || (c_custkey // 4) FROM customer WHERE c_custkey >= 4),
         e AS (SELECT p AS src, f AS dst FROM h UNION ALL SELECT f, p FROM h),
         bfs AS (SELECT 'C' || (SELECT max(c_custkey) FROM customer) AS node, 0 AS d UNION SELECT dst, d + 1 FROM bfs JOIN e ON node = src WHERE d < 40)
@@ -297,4 +334,8 @@ ORACLES = {
         scored AS (SELECT a, s_given, CAST({_SCORE} AS INTEGER) AS score20 FROM ratios),
         best AS (SELECT DISTINCT ON (a) * FROM scored ORDER BY a, s_given DESC, score20 DESC)
         SELECT a AS key, CAST(1 AS INTEGER) AS inter, s_given, score20, {_ACCEPTED} AS accepted FROM best""",
+    "mermaid_direct": f"WITH RECURSIVE {_PEOPLE}, {_PARENTS}, {_COUPLES}, {_REACH}, {_LAST}, {_MET}, {_CHARTS} SELECT a, b, text_path, mermaid_data FROM drawn",
+    "dna_analysis_results": f"{_ANALYSIS} SELECT * FROM results",
+    "dna_analysis_skipped": f"{_ANALYSIS} SELECT * FROM skipped",
+    "dna_analysis_summary": f"{_ANALYSIS} SELECT (SELECT count(*) FROM results) || ' conexões encontradas. ' || (SELECT count(*) FROM skipped) || ' descartadas.' AS message",
 }
