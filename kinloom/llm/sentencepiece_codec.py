@@ -88,23 +88,32 @@ class Pieces:
         suffixes = np.lexsort(lanes[::-1])
         lanes = [x[suffixes] for x in lanes]
 
-        def search(wanted, after):
-            """The first suffix not below the wanted lanes (or above them)."""
-            lo, hi = np.zeros(len(wanted), np.int64), np.full(len(wanted), n)
+        def compared(at, wanted):
+            """Whether the suffixes at these places are below the wanted lanes, and whether they equal them."""
+            less, equal = np.zeros(len(at), bool), np.ones(len(at), bool)
+            for k, lane in enumerate(lanes):
+                have, want = lane[at], wanted[:, k]
+                less |= equal & (have < want)
+                equal &= have == want
+            return less, equal
+
+        def search(wanted, lo, after):
+            """The first suffix, from lo on, that isn't below the wanted lanes (or that is above them)."""
+            lo, hi = lo.copy(), np.full(len(wanted), n)
             while (open_ := np.flatnonzero(lo < hi)).size:
                 mid = (lo[open_] + hi[open_]) // 2
-                less, equal = np.zeros(len(mid), bool), np.ones(len(mid), bool)
-                for k, lane in enumerate(lanes):
-                    have, want = lane[mid], wanted[open_, k]
-                    less |= equal & (have < want)
-                    equal &= have == want
+                less, equal = compared(mid, wanted[open_])
                 if after:
                     less |= equal
                 lo[open_[less]] = mid[less] + 1
                 hi[open_[~less]] = mid[~less]
             return lo
 
-        first, last = search(self.low, False), search(self.high, True)
+        first = search(self.low, np.zeros(len(self.low), np.int64), False)
+        last = first.copy()
+        inside = np.flatnonzero(first < n)
+        held = inside[np.logical_or(*compared(first[inside], self.high[inside]))]  # pieces that occur at all
+        last[held] = search(self.high[held], first[held], True)
         count = last - first
         shift = first - (np.cumsum(count) - count)
         at = suffixes[np.repeat(shift, count) + np.arange(int(count.sum()))]
