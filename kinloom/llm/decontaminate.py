@@ -7,6 +7,9 @@ all documents; hits vote for a diagonal of document and item.  On a diagonal
 with slots, the item's values must map to the document's by a function: a value
 that stands twice in the item stands for one value in the document.  That
 catches a re-parameterised question and refuses a chance likeness of its frame.
+A window needs one plain word to be looked up.  How many plain words a diagonal
+needs (``PLAIN`` and a ``SHARE``) is asked of all that it covers, after windows
+of slots alone, too common to look up, have been compared word by word.
 
 Items are indexed with their names as placeholders and as plain words, so that a
 document in upper or lower case, where names can't be told, matches as well.  A
@@ -25,8 +28,8 @@ from kinloom.llm.scratch import Scratch
 WINDOW = 8
 #: Words in a row that make a leak (or the whole item, if shorter); items below ``LEAST`` words are too common to tell.
 RUN, LEAST = 13, 5
-#: Placeholders that a window may hold at most.
-SLOTS = 4
+#: Plain words that a covered run with slots must hold, and one of how many of its words.
+PLAIN, SHARE = 2, 4
 #: Most bytes of template windows to broadcast; beyond, the join shuffles.
 BROADCAST_BYTES = 64 << 20
 
@@ -93,15 +96,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, key: str = "d
     # Without names in an item its first two forms are one.
     forms = forms.select("item_id", F.explode(F.filter(each, lambda f: (f["form"] != UNNAMED) | (F.col("named") != F.col("unnamed")))).alias("f")).select("item_id", "f.*")
     forms = forms.withColumn("length", F.size("w")).where(F.col("length") >= LEAST).withColumn("size", F.least("length", F.lit(WINDOW)))
+    forms = forms.withColumn("bare", _bare(F.col("w"), F.col("size")))
     at = forms.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("length") - F.col("size"))))
     at = at.withColumn("part", F.slice("w", F.col("at") + 1, F.col("size"))).withColumn("slots", F.size(F.filter("part", _is_slot)))
-    at = at.where((F.col("slots") <= SLOTS) & (F.col("slots") <= F.floor(F.col("size") / 2)))
+    at = at.where(F.col("slots") < F.col("size"))
     hashed = F.when(F.lit(False), F.lit(0).cast("long"))
     for size in range(LEAST, WINDOW + 1):
         part = [F.xxhash64(F.get("part", F.lit(j))) for j in range(size)]
         for same in (False, True):
             hashed = F.when((F.col("size") == size) & ((F.col("form") == LITERAL) == same), _window(part, same)).otherwise(hashed)
-    template = scratch.cut(at.select("size", hashed.alias("window"), "item_id", "form", "at", "length", "slots").distinct(), "template")
+    template = scratch.cut(at.select("size", hashed.alias("window"), "item_id", "form", "at", "length", "bare", "slots").distinct(), "template")
     held = template.groupBy("size").count().collect()  # at most four rows
     small = sum(r["count"] for r in held) * 64 <= BROADCAST_BYTES
 
@@ -118,7 +122,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, key: str = "d
     keys = [key(size) for size in sizes]
     rows = rows.select("doc_id", "pos", (keys[0] if len(keys) == 1 else F.explode(F.array(*keys))).alias("window"))
     hits = rows.join(F.broadcast(template) if small else template, "window")
-    lines = hits.groupBy("doc_id", "item_id", "form", "length", "size", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
+    lines = hits.groupBy("doc_id", "item_id", "form", "length", "bare", "size", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
         F.sort_array(F.collect_set("at")).alias("ats"), F.max("slots").alias("slots")
     )
     covered = F.aggregate(
@@ -127,12 +131,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, key: str = "d
         lambda s, a: F.struct((s["n"] + F.least(F.col("size"), a + F.col("size") - s["end"])).cast("int").alias("n"), (a + F.col("size")).cast("int").alias("end")),
         lambda s: s["n"],
     )
-    lines = lines.withColumn("n_words", covered).where(F.col("n_words") >= F.least(F.lit(RUN), F.col("length")))
+    needed = F.least(F.lit(RUN), F.col("length"))
+    lines = lines.withColumn("n_words", covered).where(F.col("n_words") + F.col("bare") >= needed)
     lines = scratch.cut(lines.withColumn("low", F.array_min("ats")).withColumn("high", F.array_max("ats") + F.col("size")).drop("ats"), "lines")
 
-    plain, open_ = lines.where("slots = 0"), lines.where("slots > 0")
+    done = (F.col("slots") == 0) & (F.col("n_words") >= needed)
+    plain, open_ = lines.where(done), lines.where(~done)
+    columns = ["doc_id", "item_id", "diagonal", "low", "length", "n_words"]
+    plain = plain.select(columns)
     if not open_.isEmpty():
-        plain = plain.unionByName(open_.join(_consistent(open_, source, items), ["doc_id", "item_id", "form", "diagonal"], "left_semi"))
+        plain = plain.unionByName(_consistent(open_, source, items).where(F.col("n_words") >= needed).select(columns))
     best = plain.groupBy("doc_id", "item_id").agg(
         F.min(F.struct((-F.col("n_words")).alias("n"), (F.col("diagonal") + F.col("low")).alias("first"), F.col("length").alias("length"))).alias("b")
     )
@@ -141,26 +149,58 @@ def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, key: str = "d
     )
 
 
+def _bare(words: Column, size: Column) -> Column:
+    """How many words no window of ``size`` covers together with a plain word."""
+    near = F.transform(words, lambda w, i: F.exists(F.slice(words, F.greatest(i - size + 1, F.lit(0)) + 1, 2 * size - 1 + F.least(i - size + 1, F.lit(0))), lambda v: ~_is_slot(v)))
+    return F.size(F.filter(near, lambda n: ~n))
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _consistent(lines: DataFrame, source: DataFrame, items: DataFrame) -> DataFrame:
-    """The diagonals on which the item's slot values map to the document's by a function."""
-
-    def placed(text: str, named: Column | None) -> Column:
-        """Values by word: null where the word is no slot."""
-
-        def of(names: bool) -> Column:
-            both = F.struct(words(F.col(text), names).alias("w"), slots(F.col(text), names).alias("v"))
-            kinds = F.transform(F.array(both), lambda b: F.transform(b["w"], lambda w, i: F.when(_is_slot(w), F.get(b["v"], F.size(F.filter(F.slice(b["w"], 1, i), _is_slot))))))
-            return kinds[0]
-
-        return of(True) if named is None else F.when(named, of(True)).otherwise(of(False))
-
-    wanted = lines.select("doc_id", "item_id", "form", "diagonal", "low", "high")
-    left = wanted.join(items.dropDuplicates(["item_id", "item_text"]), "item_id")
-    left = left.withColumn("iv", placed("item_text", F.col("form") == NAMED)).drop("item_text")
-    both = left.join(source, "doc_id").withColumn("dv", placed("text", None)).drop("text")
-    size = F.col("high") - F.col("low")
-    pairs = F.zip_with(F.slice("iv", F.col("low") + 1, size), F.slice("dv", F.greatest(F.col("diagonal") + F.col("low"), F.lit(0)) + 1, size), lambda i, d: F.struct(i.alias("i"), d.alias("d")))
-    both = both.withColumn("pairs", F.filter(pairs, lambda p: p["i"].isNotNull()))
-    firsts = F.array_distinct(F.transform("pairs", lambda p: p["i"]))
-    good = both.where(F.size(F.array_distinct("pairs")) == F.size(firsts))
-    return good.select("doc_id", "item_id", "form", "diagonal").distinct()
+    """The diagonals on which the item's slot values map to the document's by a function, with all that they cover.
+
+    Windows of slots alone count here: words are compared one by one.
+    """
+
+    def read(text: str, names: bool) -> Column:
+        return F.struct(words(F.col(text), names).alias("w"), slots(F.col(text), names).alias("v"))
+
+    def placed(whole: Column, start: Column) -> Column:
+        """Words from ``start`` on, as many as the item has, each with its value if it is a slot."""
+
+        def of(r: Column) -> Column:
+            before = F.size(F.filter(F.slice(r["w"], 1, start), _is_slot))
+            part = F.struct(F.slice(r["w"], start + 1, F.col("length")).alias("w"), F.slice(r["v"], before + 1, F.col("length")).alias("v"))
+            return _let(part, lambda p: F.transform(p["w"], lambda w, i: F.struct(w.alias("w"), F.when(_is_slot(w), F.get(p["v"], F.size(F.filter(F.slice(p["w"], 1, i), _is_slot)))).alias("v"))))
+
+        return _let(whole, of)
+
+    wanted = lines.select("doc_id", "item_id", "form", "diagonal", "length", "size")
+    left = wanted.join(items.dropDuplicates(["item_id", "item_text"]), "item_id").withColumn("skip", F.greatest(-F.col("diagonal"), F.lit(0)))
+    left = left.withColumn("i", placed(F.when(F.col("form") == NAMED, read("item_text", True)).otherwise(read("item_text", False)), F.col("skip"))).drop("item_text")
+    both = left.join(source, "doc_id").withColumn("d", placed(read("text", True), F.greatest("diagonal", F.lit(0)))).drop("text")
+    pairs = F.zip_with("i", "d", lambda i, d: F.struct(F.coalesce(i["w"] == d["w"], F.lit(False)).alias("same"), F.when(_is_slot(i["w"]), 0).otherwise(1).alias("plain"), i["v"].alias("i"), d["v"].alias("d")))
+    both = both.withColumn("pairs", F.slice(pairs, 1, F.col("length") - F.col("skip"))).drop("i", "d")
+
+    def step(s: Column, p: Column) -> Column:
+        run, own = F.when(p["same"], s["run"] + 1).otherwise(0), F.when(p["same"], s["own"] + p["plain"]).otherwise(0)
+        first, full = run == F.col("size"), run >= F.col("size")
+        return F.struct(
+            run.alias("run"), own.alias("own"), (s["at"] + 1).alias("at"),
+            (s["n"] + F.when(first, F.col("size")).when(full, 1).otherwise(0)).alias("n"),
+            (s["plain"] + F.when(first, own).when(full, p["plain"]).otherwise(0)).alias("plain"),
+            F.when(first & (s["high"] == 0), s["at"] + 1 - F.col("size")).otherwise(s["low"]).alias("low"),
+            F.when(full, s["at"] + 1).otherwise(s["high"]).alias("high"),
+        )
+
+    start = F.struct(*(F.lit(0).alias(c) for c in ("run", "own", "at", "n", "plain", "low", "high")))
+    both = both.withColumn("c", F.aggregate("pairs", start, step))
+    both = both.where((F.col("c.plain") >= PLAIN) & (F.col("c.plain") * SHARE >= F.col("c.n")))
+    both = both.withColumn("pairs", F.filter(F.slice("pairs", F.col("c.low") + 1, F.col("c.high") - F.col("c.low")), lambda p: p["i"].isNotNull()))
+    values = F.transform("pairs", lambda p: F.struct(p["i"].alias("i"), p["d"].alias("d")))
+    good = both.where(F.size(F.array_distinct(values)) == F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"]))))
+    return good.select("doc_id", "item_id", "diagonal", "length", (F.col("skip") + F.col("c.low")).alias("low"), F.col("c.n").alias("n_words"))

@@ -142,6 +142,17 @@ def test_decontamination_of_literal_copies(spark):
     assert got == {(1, 1), (2, 2), (4, 3)}
 
 
+def test_decontamination_of_crowded_slots(spark):
+    """Numbers stand close together: most of a window's words, or all, are placeholders; chance likeness is refused."""
+    ten = lambda k: ", ".join(str(k + 3 * i) for i in range(15))
+    items = spark.createDataFrame([(1, "John ran 5 km in 20 minutes and 7 km in 30 minutes", ""), (2, "so we add up the " + ten(1), ""), (3, "we ran 4 km in 9 minutes", "")], "item_id long, text string, doc_id string")
+    docs = documents(spark, [(1, "John ran 6 km in 25 minutes and 9 km in 35 minutes"), (2, "now: so we add up the " + ten(50)), (3, "John ran 6 km in 25 minutes and 9 km in 25 minutes"), (4, "we ran 6 km in 8 minutes"),
+                             (5, ten(2) + " " + ten(3)), (6, "he swam 6 km in 25 minutes and 9 km in 35 minutes"), (7, "John ran 5 km in 20 minutes and 20 km in 30 minutes"), (8, "so we add up the " + ten(50).replace("53", "50"))])
+    twice = spark.createDataFrame([(4, "John ran 5 km in 20 minutes and 20 km in 30 minutes", "")], items.schema)
+    got = {(r["doc_id"], r["item_id"]): r["n_words"] for r in decontaminate.leaks(docs, items.unionByName(twice), Scratch(spark, "t")).collect()}
+    assert got == {(1, 1): 13, (2, 2): 20, (3, 1): 13, (4, 3): 7, (7, 1): 13, (7, 4): 13, (8, 2): 20}
+
+
 def test_chats(spark):
     said = ["plain", "", None, "</s>[INST] ok [/INST]", "a \\1 b", "<", "</s", "\\", "]\n", "é😀", "<s>[user]\nhi</s>"]
     rows = [(c, t, role, x, "k") for c in (1, None) for t, (x, role) in enumerate(zip(said, ["user", "assistant"] * 6, strict=False))] + [(2, None, None, "x", "k"), (2, 0, "a]\nb", "y", "k")]
