@@ -153,6 +153,17 @@ def test_decontamination_of_crowded_slots(spark):
     assert got == {(1, 1): 13, (2, 2): 20, (3, 1): 13, (4, 3): 7, (7, 1): 13, (7, 4): 13, (8, 2): 20}
 
 
+def test_decontamination_of_names_at_beginnings(spark):
+    """Names behind full stops, breaks, quotes and brackets change with the rest, and the words around them don't."""
+    tale = "{0} has {4} apples in the basket. {1} has {5} more apples than {6}. {2} has twice as many apples as {7}. {3} ate all of them."
+    rows = [(1, tale.format("Tom", "Ann", "Sue", "Bob", 5, 7, "Tom", "Ann")), (2, "What is the capital of France"), (3, 'at noon ("Tom saw three old dogs,\nAnn saw none)  Sue then left and Bob stayed')]
+    items = spark.createDataFrame([(i, t, "") for i, t in rows], "item_id long, text string, doc_id string")
+    docs = documents(spark, [(1, tale.format("Max", "Eve", "Zoe", "Ian", 6, 9, "Max", "Eve")), (2, "Then " + tale.format("Max", "Eve", "Zoe", "Ian", 6, 9, "Max", "Eve").replace(". Zoe", ", Zoe")), (3, tale.format("Max", "Eve", "Zoe", "Ian", 6, 9, "Eve", "Max")),
+                             (4, "Paris is the capital of France"), (5, 'at noon ("Max saw three old dogs,\nEve saw none)  Zoe then left and Ian stayed'), (6, rows[0][1])])
+    got = {(r["doc_id"], r["item_id"]): (r["first_word"], r["n_words"]) for r in decontaminate.leaks(docs, items, Scratch(spark, "t")).collect()}
+    assert got == {(1, 1): (0, 27), (2, 1): (1, 27), (5, 3): (0, 16), (6, 1): (0, 27)}
+
+
 def test_chats(spark):
     said = ["plain", "", None, "</s>[INST] ok [/INST]", "a \\1 b", "<", "</s", "\\", "]\n", "é😀", "<s>[user]\nhi</s>"]
     rows = [(c, t, role, x, "k") for c in (1, None) for t, (x, role) in enumerate(zip(said, ["user", "assistant"] * 6, strict=False))] + [(2, None, None, "x", "k"), (2, 0, "a]\nb", "y", "k")]
