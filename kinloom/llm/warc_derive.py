@@ -31,7 +31,10 @@ from kinloom.llm.scratch import Scratch
 FILE_BYTES, DATE = 64 << 20, "2024-01-01T00:00:00Z"
 _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:kinloom:warc")
 
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
+#: What drops out before tags do: comments, scripts and styles, to the end of the page if they never end.
+_RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>]).*?(?:</\1(?=[\s/>])[^>]*>|\Z)", re.S | re.I)
+#: Tags of elements whose content drops out where an end tag follows, quoted values whole; svg may close itself.
+_HOLDER = re.compile(r"""<(/?)(noscript|template|svg)(?=[\s/>])((?:[^<>"'=]|=\s*"[^"]*"|=\s*'[^']*'|["'=])*+)>""", re.I)
 #: Elements that end a line.
 _BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^<>]*>?", re.I)
 _TAG = re.compile(r"<[a-zA-Z/!?][^<>]*>?")
@@ -39,9 +42,33 @@ _BLANK = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r" ?\n[ \n]*")
 
 
+def _without_holders(page: str) -> str:
+    """A page without its noscript, template and svg elements; of a tag without its partner only the tag goes."""
+    out, done, open_ = [], 0, {}
+    cuts: list[tuple[int, int]] = []
+    for m in _HOLDER.finditer(page):
+        name = m[2].lower()
+        starts = open_.setdefault(name, [])
+        if not m[1]:
+            if name == "svg" and m[3].endswith("/"):
+                cuts.append(m.span())
+            else:
+                starts.append(m.span())
+        else:
+            cuts.append((starts.pop()[0], m.end()) if starts else m.span())
+    cuts += [span for starts in open_.values() for span in starts]
+    for a, b in sorted(cuts):
+        if b <= done:
+            continue
+        if a >= done:
+            out += [page[done:a], " "]
+        done = b
+    return "".join([*out, page[done:]])
+
+
 def plain_text(page: str) -> str:
     """A page's text: no scripts, styles, comments or tags; entities resolved; a line for each block."""
-    text = _TAG.sub("", _BREAK.sub("\n", _DROP.sub(" ", page.replace("\r", " ").replace("\n", " "))))
+    text = _TAG.sub("", _BREAK.sub("\n", _without_holders(_RAW.sub(" ", page.replace("\r", " ").replace("\n", " ")))))
     return _LINES.sub("\n", _BLANK.sub(" ", html.unescape(text))).strip()
 
 

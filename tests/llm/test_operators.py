@@ -229,6 +229,27 @@ def test_warc(spark):
     assert warc_derive.read_derivatives(warc_derive.write_derivatives(frame.limit(0), Scratch(spark, "t"))).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<p>Intro</p><svg-icon name="x"></svg-icon><p>Main text</p>', "Intro\nMain text"),
+        ("<p>a</p><template-x>kept</template-x><script-y>too</script-y><style-z/><p>b</p>", "a\nkepttoo\nb"),
+        ('<svg width="1"/><p>Main</p>', "Main"),
+        ('<svg aria-label="a>b" /><p>Main</p><svg><text>no</text><svg/><svg>no</svg>no</svg>end', "Main\nend"),
+        ("<p>a</p><svg><p>b</p>", "a\nb"),
+        ("<p>a</p><template><p>b</p><noscript>c", "a\nb\nc"),
+        ("a</svg>b<TEMPLATE x>no<template>no</template>no</Template >c<noscript>no</noscript>d", "a b c d"),
+        ("a<script>var t='<svg>'</script>b<!-- <template> -->c<style>x", "a b c"),
+        ("<svg title=it's>no</svg>don't<p>b</p>", "don't\nb"),
+        ("a<script>no", "a"),
+        ("a<!-- no", "a"),
+        ("a<svg width='1'", "a"),
+    ],
+)
+def test_elements_that_drop_out_of_a_page(page, text):
+    assert warc_derive.plain_text(page) == text
+
+
 @pytest.mark.parametrize("operator, good, bad", [(quality_knn.quality_scores, "plain words of a text", "a### b%%% c$$$"), (toxicity_fm.toxicity_scores, "you idiot of a", "words of a text")])
 def test_classifiers(spark, operator, good, bad):
     rng = random.Random(3)
