@@ -3,7 +3,7 @@
 Documents are dealt to shards by ranges of their key.  A shard's ids are
 compressed by replacing frequent pairs of neighbours by nonterminals, over and
 over: each round counts all pairs and replaces the most frequent ones that can't
-overlap each other.  The end id takes part in no pair, so a document is a run of
+overlap each other, until no pair has ``LEAST`` places.  The end id takes part in no pair, so a document is a run of
 symbols of its own, and with the stored length of each symbol's
 expansion any stretch of ids is decoded without the rest of the shard.
 
@@ -44,31 +44,32 @@ from kinloom.llm.scratch import Scratch
 
 #: Id behind each document, bytes of text aimed at in a shard.
 END, SHARD_BYTES = 2, 8 << 20
-#: Rounds of replacement, pairs replaced in a round at most, and the fewest places that a pair must have.
-ROUNDS, PAIRS, LEAST = 6, 384, 64
+#: Pairs replaced in a round at most, and the fewest places that a pair must have.
+PAIRS, LEAST = 384, 64
 _BITS = 20
 
 
-def compress(ids: np.ndarray, first: int, barrier: int = END, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, first: int, barrier: int = END) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, rules and the rules' lengths; nonterminals count from ``first``."""
     seq, rules, lengths = ids.astype(np.uint32), np.zeros((0, 2), np.uint32), np.zeros(0, np.uint32)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         slot = (seq[:-1] * np.uint32(0x9E3779B1) ^ seq[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _BITS)
-        slot[(seq[:-1] == barrier) | (seq[1:] == barrier)] = 0
-        tally = np.bincount(slot, minlength=1 << _BITS)
-        tally[0] = 0
-        top = np.argpartition(tally, -4 * PAIRS)[-4 * PAIRS :]
-        top = top[tally[top] >= LEAST]
+        slot[(seq[:-1] == barrier) | (seq[1:] == barrier)] = 1 << _BITS
+        tally = np.bincount(slot, minlength=(1 << _BITS) + 1)
+        tally[-1] = 0
+        able = np.flatnonzero(tally >= LEAST)
+        top = able[np.argpartition(tally[able], -4 * PAIRS)[-4 * PAIRS :]] if len(able) > 4 * PAIRS else able
+        while len(top):
+            often = np.zeros((1 << _BITS) + 1, bool)
+            often[top] = True
+            spot = np.flatnonzero(often[slot])
+            pair = (seq[spot].astype(np.uint64) << np.uint64(32)) | seq[spot + 1]
+            pairs, count = np.unique(pair, return_counts=True)
+            if len(top) == len(able) or count.max() >= LEAST:
+                break
+            top = able  # rare pairs that share their slots hid the others
         if not len(top):
             break
-        often = np.zeros(1 << _BITS, bool)
-        often[top] = True
-        often[0] = False
-        spot = np.flatnonzero(often[slot])
-        pair = (seq[spot].astype(np.uint64) << np.uint64(32)) | seq[spot + 1]
-        pairs, count = np.unique(pair, return_counts=True)
         order = np.lexsort((pairs, -count))
         is_left, is_right, chosen = set(), set(), []
         for p, n in zip(pairs[order].tolist(), count[order].tolist(), strict=True):

@@ -216,6 +216,15 @@ def test_shards(spark):
     assert repair_store.read_shards(repair_store.write_shards(documents(spark, []), Scratch(spark, "t"))).count() == 0
 
 
+def test_no_frequent_pair_is_left():
+    rng = np.random.default_rng(3)
+    words = [rng.integers(3, 3000, rng.integers(2, 9)) for _ in range(4000)]
+    ids = np.concatenate([np.append(words[k], 2) if k % 9 == 0 else words[k] for k in rng.zipf(1.2, 200_000) % 4000])
+    symbols, rules, _ = repair_store.compress(ids, 3000)
+    pairs, count = np.unique(np.stack([symbols[:-1], symbols[1:]])[:, (symbols[:-1] != 2) & (symbols[1:] != 2)], axis=1, return_counts=True)
+    assert count.max() < repair_store.LEAST and (repair_store.expand(symbols, rules, 3000) == ids).all()
+
+
 def test_warc(spark):
     pages = [(1, "http://a/\r\nX: y", "<title>T</title><script>var t='</p>'</script><p>a &amp; b<br>c<!-- no --></p>", "r"), (2, None, None, "r"), (None, "u", "", "r"), (1, "http://a/\r\nX: y", "<p>again", "r"), (3, "u", "x" * 300_000, "r")]
     frame = spark.createDataFrame(pages, "page_id long, url string, html string, record_id string")
