@@ -223,7 +223,7 @@ class Encoder:
                 found.append(np.fromiter((x for g in got for x in g), np.int32))
             return np.concatenate(found), np.array(counts, np.int64)
 
-        ids, sizes = self.memory.encode(K.hashes(data, starts, stops), new)
+        ids, sizes = self.memory.encode(data, starts, stops, new)
         return ids, K.per_row(sizes, np.searchsorted(starts, ends))
 
 

@@ -231,7 +231,7 @@ class Pieces:
         def new(which):
             return self.segment([whole[a:b].decode("utf-8", "replace").replace(" ", BLANK) for a, b in zip(starts[which].tolist(), stops[which].tolist(), strict=True)])
 
-        ids, sizes = self.memory.encode(K.hashes(data, starts, stops), new)
+        ids, sizes = self.memory.encode(data, starts, stops, new)
         return ids, K.per_row(sizes, np.searchsorted(starts, ends))
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:

@@ -27,24 +27,9 @@ ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-_BYTE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_powers: list[np.ndarray] = []
-
-
-def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n-1 of the base and of its inverse modulo 2^64."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        _powers[:] = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            out, have = np.ones(size, np.uint64), 1
-            while have < size:
-                take = min(have, size - have)
-                out[have : have + take] = out[:take] * np.uint64(pow(base, have, 1 << 64))
-                have += take
-            _powers.append(out)
-    return _powers[0], _powers[1]
+#: Bytes that a lane of each size from 0 to 8 keeps.
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_GOLDEN, _LENGTH = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -89,12 +74,57 @@ def spans(inside: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, ends)
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges, equal for equal bytes wherever they stand."""
-    power, inverse = _pow(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * power[: len(data)], out=total[1:])
-    return mix((total[stops] - total[starts]) * inverse[starts])
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on, as numbers; zeros follow the end."""
+    wide = np.zeros(len(data) + 8, np.uint8)
+    wide[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", wide, strides=(1,))
+
+
+def _placed(j: np.ndarray | int, salt: int) -> np.ndarray:
+    """What is added to the lane at place j, so that a lane counts by its place."""
+    return mix((np.atleast_1d(np.asarray(j, np.uint64)) + np.uint64(1)) * np.uint64(_GOLDEN) + np.uint64(salt))
+
+
+def hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit hashes of byte ranges, equal for equal bytes wherever they stand.
+
+    A range is cut into lanes of eight bytes; each is mixed with its place, and
+    their sum is mixed with the length.  No power of a base is in it, so texts
+    of two balanced words, which cancel each other out in a polynomial modulo
+    2^64, are nothing special.
+    """
+    size = stops - starts
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    lanes = _lanes(data)
+    total = mix((lanes[starts] & _KEEP[np.minimum(size, 8)]) + _placed(0, salt))
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        count = (size[long] - 1) >> 3
+        head = np.cumsum(count) - count
+        j = np.arange(int(count.sum())) - np.repeat(head, count) + 1
+        left = np.repeat(size[long], count) - 8 * j
+        more = mix((lanes[np.repeat(starts[long], count) + 8 * j] & _KEEP[np.minimum(left, 8)]) + _placed(j, salt))
+        total[long] += np.add.reduceat(more, head)
+    return mix(total + size.astype(np.uint64) * _LENGTH)
+
+
+def exact(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Two numbers a range that tell ranges of one hash apart.
+
+    Up to 16 bytes they are the bytes themselves.  Beyond, they are the length
+    and a second hash, so that with the first 128 bits and the length agree.
+    """
+    size, lanes = stops - starts, _lanes(data)
+    out = np.empty((len(size), 2), np.uint64)
+    out[:, 0] = lanes[starts] & _KEEP[np.minimum(size, 8)]
+    out[:, 1] = lanes[starts + np.minimum(size, 8)] & _KEEP[np.clip(size - 8, 0, 8)]
+    long = np.flatnonzero(size > 16)
+    if len(long):
+        out[long, 0] = size[long].astype(np.uint64)
+        out[long, 1] = hashes(data, starts[long], stops[long], 0xA0761D6478BD642F)
+    return out
 
 
 def hash_of(text: bytes) -> int:
@@ -120,45 +150,100 @@ def grams(words: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return mix(h[whole]), ptr
 
 
+def _room(held: np.ndarray, n: int) -> np.ndarray:
+    """The array, or one twice as long with its rows, so that it has room for n rows."""
+    if n <= len(held):
+        return held
+    out = np.empty((max(n, 2 * len(held)), *held.shape[1:]), held.dtype)
+    out[: len(held)] = held
+    return out
+
+
 class Ids:
-    """A worker's memory of the ids of chunks that it has met, found by the chunks' hashes.
+    """A worker's memory of the ids of chunks that it has met: a hash table with open addresses.
 
-    It holds up to ``limit`` chunks and starts anew beyond, which changes no result.
+    A hit counts only where ``exact`` agrees as well; a chunk that shares its
+    hash with another is encoded each time.  It holds up to ``limit`` chunks and
+    ``most`` ids and starts anew beyond, which changes no result.
     """
 
-    def __init__(self, limit: int = 1_000_000):
-        self.limit = limit
+    def __init__(self, limit: int = 1_500_000, most: int = 8_000_000):
+        self.limit, self.most = limit, most
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.pool = np.zeros(0, np.int32)
-
-    def encode(self, hashes: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
+        self.n, self.used = 0, 0
+        self.keys, self.told = np.empty(1 << 14, np.uint64), np.empty((1 << 14, 2), np.uint64)
+        self.at, self.size = np.empty(1 << 14, np.int32), np.empty(1 << 14, np.int32)
+        self.pool = np.empty(1 << 16, np.int32)
+        self._table(16)
+
+    def _table(self, bits: int) -> None:
+        self.bits, self.table = bits, np.full(1 << bits, -1, np.int32)
+        self._put(np.arange(self.n, dtype=np.int32))
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _put(self, which: np.ndarray) -> None:
+        """Give each of these keys, which are not in the table, the next free slot."""
+        slot = self._slots(self.keys[which])
+        while len(which):
+            free = self.table[slot] < 0
+            self.table[slot[free]] = which[free]
+            left = self.table[slot] != which
+            which, slot = which[left], (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Where each key is held, or -1."""
+        slot = self._slots(keys)
+        found = self.table[slot]
+        open_ = np.flatnonzero((found >= 0) & (self.keys[found] != keys))
+        slot = slot[open_]
+        while len(open_):
+            slot = (slot + 1) & ((1 << self.bits) - 1)
+            got = self.table[slot]
+            found[open_] = got
+            more = (got >= 0) & (self.keys[got] != keys[open_])
+            open_, slot = open_[more], slot[more]
+        return found
+
+    def encode(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all chunks end to end, and how many each has.
 
         ``encode`` takes indices of chunks and gives their ids end to end and
-        their counts; it is called once, for chunks not met before.
+        their counts; it is called for chunks not met before.
         """
-        keys, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) > self.limit:
+        keys, told = hashes(data, starts, stops), exact(data, starts, stops)
+        if self.n > self.limit or self.used > self.most:
             self._clear()
-        where = np.searchsorted(self.keys, keys)
-        new = np.ones(len(keys), bool)
-        inside = where < len(self.keys)
-        new[inside] = self.keys[where[inside]] != keys[inside]
-        if new.any():
-            flat, sizes = encode(first[new])
-            at = len(self.pool) + np.cumsum(sizes) - sizes
-            self.pool = np.concatenate((self.pool, flat.astype(np.int32)))
-            spot = np.searchsorted(self.keys, keys[new])
-            self.keys = np.insert(self.keys, spot, keys[new])
-            self.at = np.insert(self.at, spot, at)
-            self.size = np.insert(self.size, spot, sizes.astype(np.int32))
-            where = np.searchsorted(self.keys, keys)
-        at, size = self.at[where][inverse], self.size[where][inverse].astype(np.int64)
+        where = self._find(keys)
+        miss = np.flatnonzero(where < 0)
+        if len(miss):
+            _, first, inverse = np.unique(keys[miss], return_index=True, return_inverse=True)
+            first = miss[first]
+            flat, sizes = encode(first)
+            n, m = self.n, self.n + len(first)
+            for name, values in (("keys", keys[first]), ("told", told[first]), ("at", self.used + np.cumsum(sizes) - sizes), ("size", sizes)):
+                held = _room(getattr(self, name), m)
+                held[n:m] = values
+                setattr(self, name, held)
+            self.pool = _room(self.pool, self.used + len(flat))
+            self.pool[self.used : self.used + len(flat)] = flat
+            self.n, self.used = m, self.used + len(flat)
+            if 2 * m > 1 << self.bits:
+                self._table((4 * m).bit_length())
+            else:
+                self._put(np.arange(n, m, dtype=np.int32))
+            where[miss] = n + inverse
+        at, size, pool = self.at[where].astype(np.int64), self.size[where].astype(np.int64), self.pool
+        other = np.flatnonzero((self.told[where] != told).any(1))
+        if len(other):
+            flat, sizes = encode(other)
+            pool = np.concatenate((pool[: self.used], flat.astype(np.int32)))
+            at[other], size[other] = self.used + np.cumsum(sizes) - sizes, sizes
         shift = at - (np.cumsum(size) - size)
-        return self.pool[np.repeat(shift, size) + np.arange(int(size.sum()))], size
+        return pool[np.repeat(shift, size) + np.arange(int(size.sum()))], size
 
 
 def per_row(sizes: np.ndarray, at: np.ndarray) -> np.ndarray:

@@ -29,18 +29,15 @@ def terms(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     data = K.LOWER[data]
     starts, stops, at = K.spans(K.ALNUM[data], ends)
     row = np.repeat(np.arange(len(ends) - 1), np.diff(at))
-    power, inverse = K._pow(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(K._BYTE[data] * power[: len(data)], out=total[1:])
     found, rows = [], []
     for salt, size in zip(_SALT, (0, 4, 5, 6), strict=True):
         own = slice(None) if not size else stops - starts > size
         s = starts[own]
         e = stops[own] if not size else s + size
-        found.append((total[e] - total[s]) * inverse[s] * np.uint64(0xD6E8FEB86659FD93) + salt)
+        found.append(K.hashes(data, s, e) + salt)
         rows.append(row[own])
     found = np.concatenate(found)
-    return found ^ (found >> np.uint64(29)), np.concatenate(rows)
+    return found, np.concatenate(rows)
 
 
 class Table:
