@@ -2,10 +2,13 @@
 
 Documents are dealt to shards by ranges of their key.  A shard's ids are
 compressed by replacing frequent pairs of neighbours by nonterminals, over and
-over: each round counts all pairs and replaces the most frequent ones that can't
-overlap each other, until no pair has ``LEAST`` places.  The end id takes part in no pair, so a document is a run of
-symbols of its own, and with the stored length of each symbol's
-expansion any stretch of ids is decoded without the rest of the shard.
+over, until no pair has ``LEAST`` places.  A round counts the pairs and ranks
+those with that many places by their number; a place is replaced if its pair
+ranks above those that overlap it.  Only places whose pair was frequent, or that
+stand beside a nonterminal that got places, can hold a frequent pair in the next
+round, so each round looks at fewer places.  The end id takes part in no pair, so a
+document is a run of symbols of its own, and with the stored length of each
+symbol's expansion any stretch of ids is decoded without the rest of the shard.
 
 A shard file, all numbers little-endian:
 
@@ -27,6 +30,7 @@ manifest, which Spark's own commit protects, says which of them count.
 from __future__ import annotations
 
 import io
+import json
 import os
 import posixpath
 import uuid
@@ -44,66 +48,126 @@ from kinloom.llm.scratch import Scratch
 
 #: Id behind each document, bytes of text aimed at in a shard.
 END, SHARD_BYTES = 2, 8 << 20
-#: Pairs replaced in a round at most, and the fewest places that a pair must have.
-PAIRS, LEAST = 384, 64
+#: Fewest places that a pair must have to be replaced, and fewest that it must win in a round (but for the first in rank).
+LEAST, WON = 64, 16
+#: Bits of the largest table of pairs.
 _BITS = 20
 
 
+def _winners(spot: np.ndarray, rank: np.ndarray, twin: np.ndarray, nxt: np.ndarray, prv: np.ndarray, board: np.ndarray) -> np.ndarray:
+    """Indices of the places that rank above both neighbours; in a run of one symbol every second place stands for the rest."""
+    own = rank
+    if len(twin):
+        where = spot[twin]
+        begin = np.ones(len(twin), bool)
+        begin[1:] = nxt[where[:-1]] != where[1:]
+        start = np.flatnonzero(begin)
+        step = np.arange(len(twin)) - np.repeat(start, np.diff(np.append(start, len(twin))))
+        own = rank.copy()
+        own[twin[step % 2 == 1]] = 0
+    board[spot] = own
+    found = np.flatnonzero((board[prv[spot]] < own) & (board[nxt[spot]] < own))
+    board[spot] = 0
+    return found
+
+
 def compress(ids: np.ndarray, first: int, barrier: int = END) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, rules and the rules' lengths; nonterminals count from ``first``."""
-    seq, rules, lengths = ids.astype(np.uint32), np.zeros((0, 2), np.uint32), np.zeros(0, np.uint32)
-    while len(seq) > 1:
-        slot = (seq[:-1] * np.uint32(0x9E3779B1) ^ seq[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _BITS)
-        slot[(seq[:-1] == barrier) | (seq[1:] == barrier)] = 1 << _BITS
-        tally = np.bincount(slot, minlength=(1 << _BITS) + 1)
-        tally[-1] = 0
-        able = np.flatnonzero(tally >= LEAST)
-        top = able[np.argpartition(tally[able], -4 * PAIRS)[-4 * PAIRS :]] if len(able) > 4 * PAIRS else able
-        while len(top):
-            often = np.zeros((1 << _BITS) + 1, bool)
-            often[top] = True
-            spot = np.flatnonzero(often[slot])
-            pair = (seq[spot].astype(np.uint64) << np.uint64(32)) | seq[spot + 1]
-            pairs, count = np.unique(pair, return_counts=True)
-            if len(top) == len(able) or count.max() >= LEAST:
-                break
-            top = able  # rare pairs that share their slots hid the others
-        if not len(top):
+    n = len(ids)
+    seq = np.append(ids, barrier).astype(np.uint32)  # the barrier behind the end spares checks of bounds
+    nxt, prv = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+    nxt[n], prv[0] = n, n
+    board, gone = np.zeros(n + 1, np.int32), np.zeros(n + 1, bool)
+    rules, lengths, made = [], np.zeros(0, np.uint32), 0
+    known, names = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    free = seq != barrier
+    live, salt = np.flatnonzero(free[:-1] & free[1:]).astype(np.int32), 0
+    while len(live):
+        # Pairs are told apart by slots: one of the pairs that share a slot owns it, the others wait for the next deal.
+        half = np.uint32(16) if first + made <= 1 << 16 else np.uint64(32)
+        pair = (seq[live].astype(half.dtype) << half) | seq[nxt[live]].astype(half.dtype)
+        bits = min(_BITS, max(8, len(live).bit_length()))
+        odd = 0x9E3779B97F4A7C15 + 2 * salt * 0x61C8864680B583EB & (1 << 64) - 1
+        mixed = pair * np.uint32(odd & 0xFFFFFFFF) if half == 16 else ((pair * np.uint64(odd)) >> np.uint64(32)).astype(np.uint32)
+        mixed ^= mixed >> np.uint32(15)
+        mixed *= np.uint32(0x2C1B3C6D)
+        slot = (mixed >> np.uint32(32 - bits)).astype(np.int64)
+        salt += 1
+        tally = np.bincount(slot, minlength=1 << bits)
+        at = np.flatnonzero((tally >= LEAST).take(slot))
+        live, slot, pair = live[at], slot[at], pair[at]
+        if not len(live):
             break
-        order = np.lexsort((pairs, -count))
-        is_left, is_right, chosen = set(), set(), []
-        for p, n in zip(pairs[order].tolist(), count[order].tolist(), strict=True):
-            a, b = p >> 32, p & 0xFFFFFFFF
-            if n < LEAST or len(chosen) == PAIRS:
+        owner = np.zeros(1 << bits, pair.dtype)
+        owner[slot] = pair
+        mine = owner.take(slot) == pair
+        spot = live
+        if not mine.all():
+            tally -= np.bincount(slot[~mine], minlength=1 << bits)
+            at = np.flatnonzero(mine)
+            spot, slot, pair = live[at], slot[at], pair[at]
+        able = np.flatnonzero(tally >= LEAST)
+        if not len(able):
+            if len(spot) == len(live):
                 break
-            if a in is_right or b in is_left or (a == b and (a in is_left or b in is_right)):
-                continue
-            is_left.add(a), is_right.add(b), chosen.append(p)
-        if not chosen:
-            break
-        chosen = np.sort(np.array(chosen, np.uint64))
-        at = np.minimum(np.searchsorted(chosen, pair), len(chosen) - 1)
-        hit = chosen[at] == pair
-        spot, at = spot[hit], at[hit]
-        twin = (chosen[at] >> np.uint64(32)) == (chosen[at] & np.uint64(0xFFFFFFFF))
-        if twin.any():  # in a run of one symbol every second pair counts
-            where = spot[twin]
-            run = np.cumsum(np.concatenate(([True], np.diff(where) > 1))) - 1
-            begin = where[np.searchsorted(run, np.arange(run[-1] + 1))]
-            keep = np.ones(len(spot), bool)
-            keep[np.flatnonzero(twin)[(where - begin[run]) % 2 == 1]] = False
-            spot, at = spot[keep], at[keep]
-        left, right = (chosen >> np.uint64(32)).astype(np.int64), (chosen & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        size = lambda s: np.where(s < first, 1, np.append(lengths, np.uint32(1))[np.maximum(s - first, -1)])
-        new = (size(left) + size(right)).astype(np.uint32)
-        seq = seq.copy()
-        seq[spot] = (first + len(rules) + at).astype(np.uint32)
-        gone = np.ones(len(seq), bool)
-        gone[spot + 1] = False
-        seq = seq[gone]
-        rules = np.concatenate((rules, np.stack([left, right], 1).astype(np.uint32)))
-        lengths = np.concatenate((lengths, new))
-    return seq, rules, lengths
+            continue
+        by = able[np.argsort((tally[able] << 20) | (able * 0x9E3779B1 & 0xFFFFF), kind="stable")]
+        table = np.zeros(1 << bits, np.int32)
+        table[by] = np.arange(1, len(by) + 1)
+        rank = table.take(slot)
+        at = np.flatnonzero(rank)
+        if len(at) < len(spot):
+            spot, rank = spot[at], rank[at]
+        pairs = owner[by]
+        left, right = (pairs >> half).astype(np.int64), (pairs & ((half.dtype.type(1) << half) - half.dtype.type(1))).astype(np.int64)
+        twins = left == right
+        twin = np.flatnonzero(np.append(False, twins)[rank]) if twins.any() else np.zeros(0, np.int64)
+        at = _winners(spot, rank, twin, nxt, prv, board)
+        spot, rank = spot[at], rank[at]
+        good = np.bincount(rank, minlength=len(by) + 1)[1:] >= WON
+        good[-1] = True
+        whole = (left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)
+        number = np.zeros(len(by), np.int64)
+        if made:  # a pair that has a rule keeps it
+            i = np.minimum(np.searchsorted(known, whole), made - 1)
+            old = known[i] == whole
+            number[old], good = names[i[old]], good | old
+            fresh = np.flatnonzero(good & ~old)
+        else:
+            fresh = np.flatnonzero(good)
+        number[fresh] = first + made + np.arange(len(fresh))
+        sizes = np.append(lengths, np.uint32(1))
+        size = [np.where(x < first, np.uint32(1), sizes[np.maximum(x - first, -1)]) for x in (left[fresh], right[fresh])]
+        lengths = np.concatenate((lengths, size[0] + size[1]))
+        rules.append(whole[fresh])
+        order = np.argsort(whole[fresh])
+        place = np.searchsorted(known, whole[fresh][order])
+        known, names = np.insert(known, place, whole[fresh][order]), np.insert(names, place, number[fresh][order])
+        made += len(fresh)
+        at = np.flatnonzero(good[rank - 1])
+        spot, rank = spot[at], rank[at]
+        dead = nxt[spot]
+        seq[spot], gone[dead] = number[rank - 1], True
+        nxt[spot] = nxt[dead]
+        prv[nxt[spot]] = spot
+        prv[0] = n
+        again = np.unique(number[rank - 1])
+        again = again[again < first + made - len(fresh)]
+        if len(again):  # pairs of a nonterminal that got more places may be frequent now, wherever they stand
+            grown = np.zeros(first + made, bool)
+            grown[again] = True
+            spot = np.concatenate((spot, np.flatnonzero(grown.take(seq) & ~gone).astype(np.int32)))
+        if 8 * len(live) > n:
+            look = np.zeros(n + 1, bool)
+            look[live] = look[spot] = look[prv[spot]] = True
+            look &= ~gone
+            live = np.flatnonzero(look).astype(np.int32)
+        else:
+            live = np.unique(np.concatenate((live, spot, prv[spot])))
+            live = live[~gone[live]]
+        live = live[(seq[live] != barrier) & (seq[nxt[live]] != barrier)]
+    made = np.concatenate([np.zeros(0, np.uint64), *rules])
+    return seq[:-1][~gone[:-1]], np.stack([made >> np.uint64(32), made & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32), lengths
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
@@ -119,36 +183,45 @@ def expand(symbols: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
 
 
 class Shard:
-    """A shard file's content, read lazily enough to decode any stretch of ids."""
+    """A shard file.  Rules and offsets are read at once, symbols only where they are asked for."""
 
-    def __init__(self, data: bytes):
-        if data[:4] != b"RPG1":
+    def __init__(self, read):
+        """``read`` gives so many bytes of the file from a place on: ``read(n, at)``."""
+        if read(4, 0) != b"RPG1":
             raise ValueError("not a shard file")
-        docs, n_rules, n_symbols, self.n_ids, self.first = (int(x) for x in np.frombuffer(data, "<u8", 5, 4))
+        docs, n_rules, self.n_symbols, self.n_ids, self.first = (int(x) for x in np.frombuffer(read(40, 4), "<u8"))
         at = 44
 
         def take(kind, n):
             nonlocal at
-            out = np.frombuffer(data, kind, n, at)
-            at += out.nbytes
-            return out
+            size = n * np.dtype(kind).itemsize
+            at += size
+            return np.frombuffer(read(size, at - size), kind)
 
         self.rules = take("<u4", 2 * n_rules).reshape(-1, 2)
         self.lengths = take("<u4", n_rules)
         self.keys, self.null = take("<i8", docs), take("u1", docs)
         self.symbol_at, self.id_at = take("<u8", docs + 1).astype(np.int64), take("<u8", docs + 1).astype(np.int64)
-        self.symbols = take("<u2" if self.first + n_rules < 65_536 else "<u4", n_symbols)
+        self._kind, self._at, self._read = np.dtype("<u2" if self.first + n_rules < 65_536 else "<u4"), at, read
+
+    @classmethod
+    def of(cls, data: bytes) -> Shard:
+        return cls(lambda n, at: data[at : at + n])
+
+    def symbols(self, start: int = 0, stop: int | None = None) -> np.ndarray:
+        stop = self.n_symbols if stop is None else stop
+        return np.frombuffer(self._read((stop - start) * self._kind.itemsize, self._at + start * self._kind.itemsize), self._kind)
 
     def document(self, i: int) -> np.ndarray:
-        return expand(self.symbols[self.symbol_at[i] : self.symbol_at[i + 1]], self.rules, self.first)
+        return expand(self.symbols(int(self.symbol_at[i]), int(self.symbol_at[i + 1])), self.rules, self.first)
 
     def stretch(self, start: int, n: int) -> np.ndarray:
-        """``n`` ids from the shard's id ``start`` on, expanding only the symbols that hold them."""
+        """``n`` ids from the shard's id ``start`` on, reading its documents' symbols and expanding only those that hold the ids."""
         if not 0 <= start <= start + n <= self.n_ids:
             raise IndexError("outside the shard")
         d = int(np.searchsorted(self.id_at, start, "right")) - 1
         e = int(np.searchsorted(self.id_at, start + n, "left"))
-        own = self.symbols[self.symbol_at[d] : self.symbol_at[e]].astype(np.int64)
+        own = self.symbols(int(self.symbol_at[d]), int(self.symbol_at[e])).astype(np.int64)
         size = np.where(own < self.first, 1, np.append(self.lengths, 1)[np.maximum(own - self.first, -1)].astype(np.int64))
         ends = np.cumsum(size)
         skip = start - int(self.id_at[d])
@@ -157,6 +230,13 @@ class Shard:
         return expand(own[a:b], self.rules, self.first)[skip - before : skip - before + n]
 
 
+def read_stretch(file: str, start: int, n: int) -> np.ndarray:
+    """``n`` ids of a shard file from its id ``start`` on, by seeking in the file."""
+    system, path = _store(file)
+    with system.open_input_file(path) as held:
+        return Shard(held.read_at).stretch(start, n)
+
+
 def pack(keys: pa.Array, ids: np.ndarray, at: np.ndarray, first: int) -> bytes:
     """A shard file of documents whose ids, with the end id each, lie end to end."""
     symbols, rules, lengths = compress(ids, first)
@@ -179,12 +259,24 @@ def pack(keys: pa.Array, ids: np.ndarray, at: np.ndarray, first: int) -> bytes:
     return out.getvalue()
 
 
+#: Bytes that the chunks of joined texts may have: ASCII that is printed, and letters of two bytes from U+00C0 to U+024F.
+_PLAIN = np.zeros(256, bool)
+_PLAIN[0x21:0x7F] = _PLAIN[0x80:0xC0] = _PLAIN[0xC3:0xCA] = True
+_WORD, _LEAD = np.zeros(256, bool), np.zeros(256, bool)
+_WORD[0x30:0x3A] = _WORD[0x41:0x5B] = _WORD[0x61:0x7B] = _LEAD[0xC3:0xCA] = True
+_MARK = _PLAIN & ~_WORD
+_MARK[0x80:] = False
+
+
 class Encoder:
     """The tokenizers library behind a memory of chunks.
 
-    A text is cut before each blank that stands between two characters other
-    than white space; the byte-level pre-tokenizer begins a token there too, so
-    the chunks' ids laid end to end are the text's.
+    With the byte-level pre-tokenizer and its own pattern, a token begins at each
+    blank that stands between two characters other than white space, and
+    wherever a run of letters or digits and a run of marks meet, but behind an
+    apostrophe.  A text is cut there, and the chunks' ids laid end to end are the
+    text's.  Added tokens are left whole.  With any other pre-tokenizer a text
+    is one chunk.
     """
 
     def __init__(self, path: str):
@@ -194,34 +286,73 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.first = self.model.get_vocab_size()
         self.memory = K.Ids()
-        self.cut = '"ByteLevel"' in self.model.to_str(False)[:20_000] and not self.model.normalizer
+        with open(path, encoding="utf-8") as file:
+            own = json.load(file)
+        before, added = own.get("pre_tokenizer") or {}, own.get("added_tokens") or []
+        self.cut = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not own.get("normalizer")
+        self.cut &= not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in added) and len(added) <= 64
+        self.added = [t["content"].encode() for t in added]
+        line = self.model.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if self.cut and len(line) == 1 else None
+
+    def _heads(self, data: np.ndarray, ends: np.ndarray, whole: bytes) -> np.ndarray:
+        head = np.zeros(len(data), bool)
+        if self.cut and len(data) > 2:
+            word, mark = _WORD[data], _MARK[data]
+            # Characters beyond ASCII may be white space or marks; letters of two bytes are neither, but for two signs among them.
+            tail, lead = np.zeros(len(data), bool), _LEAD[data]
+            tail[1:] = lead[:-1] & (data[1:] >= 0x80)
+            sign = tail & ((data == 0x97) | (data == 0xB7))
+            sign[1:] &= data[:-1] == 0xC3
+            left, right = word | mark | tail, word | mark | lead
+            head[1:-1] = (data[1:-1] == 0x20) & left[:-2] & right[2:]
+            head[1:] |= mark[1:] & (word | (tail & ~sign))[:-1]
+            head[1:] |= word[1:] & mark[:-1] & (data[:-1] != 0x27)
+            for token in self.added:
+                at = whole.find(token)
+                while at >= 0:
+                    head[at + 1 : at + len(token)] = False
+                    at = whole.find(token, at + 1)
+        head[ends[:-1][np.diff(ends) > 0]] = True
+        return head
+
+    def _joined(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids and counts of chunks, many of them encoded as the lines of one text; None where lines and chunks don't agree."""
+        pages = ["\n".join(texts[i : i + 200]) + "\n" for i in range(0, len(texts), 200)]
+        flat = np.concatenate([np.array(e.ids, np.int32) for e in self.model.encode_batch_fast(pages, add_special_tokens=False)])
+        edge = np.flatnonzero(flat == self.line)
+        if len(edge) != len(texts):
+            return None
+        keep = np.ones(len(flat), bool)
+        keep[edge] = False
+        return flat[keep], np.diff(edge, prepend=-1) - 1
+
+    def _apart(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for i in range(0, len(texts), 20_000) for e in self.model.encode_batch_fast(texts[i : i + 20_000], add_special_tokens=False)]
+        return np.fromiter((x for g in got for x in g), np.int32), np.array([len(g) for g in got], np.int64)
 
     def encode(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a block's rows end to end and the rows' offsets."""
         if not len(data):
             return np.zeros(0, np.int32), np.zeros(len(ends), np.int64)
-        head = np.zeros(len(data), bool)
-        if self.cut and len(data) > 2:
-            plain = K.NOT_SPACE[data] & (data < 0x80) & (data > 0x20)
-            head[1:-1] = (data[1:-1] == 0x20) & plain[:-2] & plain[2:]
-            # Characters beyond ASCII may be white space or marks; letters of two bytes from U+00C0 to U+024F are neither.
-            lead = np.isin(data[2:], np.arange(0xC3, 0xCA))
-            tail = np.zeros(len(data) - 2, bool)
-            tail[1:] = np.isin(data[:-3], np.arange(0xC3, 0xCA)) & (data[1:-2] >= 0x80)
-            head[1:-1] |= (data[1:-1] == 0x20) & (plain[:-2] | tail) & (plain[2:] | lead)
-        head[ends[:-1][np.diff(ends) > 0]] = True
-        starts = np.flatnonzero(head)
-        stops = np.append(starts[1:], len(data))
         whole = data.tobytes()
+        starts = np.flatnonzero(self._heads(data, ends, whole))
+        stops = np.append(starts[1:], len(data))
+        odd = np.concatenate(([0], np.cumsum(~_PLAIN[data], dtype=np.int32)))
 
         def new(which):
-            found, counts = [], []
-            for i in range(0, len(which), 20_000):
-                part = which[i : i + 20_000]
-                texts = [whole[a:b].decode("utf-8", "replace") for a, b in zip(starts[part].tolist(), stops[part].tolist(), strict=True)]
-                got = [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-                counts += [len(g) for g in got]
-                found.append(np.fromiter((x for g in got for x in g), np.int32))
-            return np.concatenate(found), np.array(counts, np.int64)
+            texts = [whole[a:b].decode("utf-8", "replace") for a, b in zip(starts[which].tolist(), stops[which].tolist(), strict=True)]
+            easy = (odd[stops[which]] == odd[starts[which] + (data[starts[which]] == 0x20)]) & (self.line is not None)
+            if easy.all() and (got := self._joined(texts)):
+                return got
+            if not easy.any() or not (got := self._joined([texts[i] for i in np.flatnonzero(easy)])):
+                return self._apart(texts)
+            size = np.zeros(len(texts), np.int64)
+            flat, size[easy] = got
+            rest, size[~easy] = self._apart([texts[i] for i in np.flatnonzero(~easy)])
+            out, mine = np.empty(int(size.sum()), np.int32), np.repeat(easy, size)
+            out[mine], out[~mine] = flat, rest
+            return out, size
 
         ids, sizes = self.memory.encode(data, starts, stops, new)
         return ids, K.per_row(sizes, np.searchsorted(starts, ends))
@@ -283,8 +414,19 @@ def write_shards(docs: DataFrame, scratch: Scratch, path: str | None = None, key
         yield pa.RecordBatch.from_pydict({"shard": [part], "file": [f"{folder}/{name}"], "n_docs": [len(at) - 1], "n_ids": [len(flat)]}, pa.schema([("shard", pa.int64()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
     manifest = scratch.cut(dealt.mapInArrow(write, "shard long, file string, n_docs long, n_ids long"), "manifest")
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one short row for each shard
-    return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    # Ids before a shard: those before its thousand of shards, and those before it in its thousand.
+    thousand = F.floor(F.col("shard") / 1000)
+    earlier = Window.orderBy("thousand").rowsBetween(Window.unboundedPreceding, -1)  # one number for a thousand shards
+    above = manifest.groupBy(thousand.alias("thousand")).agg(F.sum("n_ids").alias("n")).select("thousand", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("above"))
+    own = Window.partitionBy("thousand").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    placed = manifest.withColumn("thousand", thousand).withColumn("own", F.coalesce(F.sum("n_ids").over(own), F.lit(0))).join(above, "thousand")
+    return placed.select("shard", "file", "n_docs", "n_ids", (F.col("own") + F.col("above")).alias("start"))
+
+
+def spread(files: DataFrame, by: str) -> DataFrame:
+    """A manifest's rows dealt to as many tasks as there are files, or 16 a core; a count keeps small rows from being put together again."""
+    tasks = min(files.count(), 16 * files.sparkSession.sparkContext.defaultParallelism)
+    return files.repartition(max(1, tasks), F.col(by))
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
@@ -295,8 +437,8 @@ def read_shards(manifest: DataFrame) -> DataFrame:
             for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 system, path = _store(name)
                 with system.open_input_stream(path) as file:
-                    shard = Shard(file.read())
-                ids = expand(shard.symbols, shard.rules, shard.first).astype("<u4")
+                    shard = Shard.of(file.read())
+                ids = expand(shard.symbols(), shard.rules, shard.first).astype("<u4")
                 at = shard.id_at
                 whole = memoryview(ids.tobytes())
                 crc = [zlib.crc32(whole[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
@@ -306,4 +448,4 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 )
 
     files = manifest.select("file", "start", "shard")
-    return files.repartition(F.col("shard")).select("file", "start").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread(files, "shard").select("file", "start").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

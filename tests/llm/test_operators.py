@@ -209,13 +209,28 @@ def test_shards(spark):
     keys = [-1 if r["doc_id"] is None else r["doc_id"] for r in got]
     assert keys == sorted(keys) and [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got])[:-1].tolist()]
     ids = np.concatenate([np.tile([5, 5, 5, 7, 9], 300), [2], np.random.default_rng(0).integers(3, 9, 5000), [2], [2]])
-    shard = repair_store.Shard(repair_store.pack(pa.array([1, None, 3]), ids, np.array([0, 1501, 6502, 6503]), 100))
-    assert len(shard.symbols) < 0.7 * len(ids) and (repair_store.expand(shard.symbols, shard.rules, shard.first) == ids).all() and len(shard.document(2)) == 1
+    shard = repair_store.Shard.of(repair_store.pack(pa.array([1, None, 3]), ids, np.array([0, 1501, 6502, 6503]), 100))
+    assert shard.n_symbols < 0.7 * len(ids) and (repair_store.expand(shard.symbols(), shard.rules, shard.first) == ids).all() and len(shard.document(2)) == 1
     for a, n in ((0, 10), (1490, 30), (3000, 1), (6503, 0), (1500, 1), (0, 6503)):
         assert (shard.stretch(a, n) == ids[a : a + n]).all()
+    one = manifest.orderBy("shard").first()
+    asked = []
+    with open(one["file"].removeprefix("file://"), "rb") as file:
+        data = file.read()
+    part = repair_store.Shard(lambda n, at: asked.append(n) or data[at : at + n])
+    assert (repair_store.read_stretch(one["file"], 1, 2) == part.stretch(1, 2)).all() and asked[-1] < 4 * part.n_symbols
     assert repair_store.read_shards(repair_store.write_shards(documents(spark, []), Scratch(spark, "t"))).count() == 0
 
 
+def test_any_ids_come_back():
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        ids = np.repeat(rng.integers(0, rng.integers(2, 9), rng.integers(0, 200)), rng.integers(1, 9))
+        first = int(rng.choice([20, 65_530, 70_000]))
+        symbols, rules, lengths = repair_store.compress(ids, first)
+        assert (repair_store.expand(symbols, rules, first) == ids).all() and len(lengths) == len(rules)
+
+
 def test_no_frequent_pair_is_left():
     rng = np.random.default_rng(3)
     words = [rng.integers(3, 3000, rng.integers(2, 9)) for _ in range(4000)]
