@@ -151,10 +151,10 @@ def grams(words: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
 
 
 def _room(held: np.ndarray, n: int) -> np.ndarray:
-    """The array, or one twice as long with its rows, so that it has room for n rows."""
+    """The array, or one longer by a quarter with its rows, so that it has room for n rows."""
     if n <= len(held):
         return held
-    out = np.empty((max(n, 2 * len(held)), *held.shape[1:]), held.dtype)
+    out = np.empty((max(n, len(held) * 5 // 4), *held.shape[1:]), held.dtype)
     out[: len(held)] = held
     return out
 
@@ -167,7 +167,7 @@ class Ids:
     ``most`` ids and starts anew beyond, which changes no result.
     """
 
-    def __init__(self, limit: int = 1_500_000, most: int = 8_000_000):
+    def __init__(self, limit: int = 1_000_000, most: int = 8_000_000):
         self.limit, self.most = limit, most
         self._clear()
 

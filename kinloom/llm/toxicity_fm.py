@@ -1,11 +1,17 @@
 """Toxicity: a factorization machine over hashed terms.
 
 Terms are 64-bit hashes of lower-cased words and of their first 4, 5 and 6
-bytes, present or absent.  Out of a bounded sample of labelled rows, terms that
-tell the classes apart (a likelihood-ratio statistic of at least ``LEAST_G``) are
-kept, at most ``TERMS``.  The machine has a weight for each term and a factor
+bytes, present or absent.  The machine has a weight for each term and a factor
 vector for each term; products of two terms' vectors weigh pairs, such as an
 insult with the mention of a group, beyond what the sum of their own weights says.
+
+Out of a bounded sample of labelled rows a term is kept if it tells the classes
+apart by itself (a likelihood-ratio statistic of at least ``LEAST_G``).  A word
+that doesn't may still do so together with another, as a group's name does with
+an insult.  So each word that stands in a row of ``COMMON`` is held against all
+kept terms and all such words, and kept if what the pair says exceeds what both
+say alone by ``LEAST_PAIR`` and by a ``PART`` of all that the labels hold.  The rules bound the terms by the
+sample; there is no other cap.
 """
 
 from __future__ import annotations
@@ -18,57 +24,53 @@ from pyspark.sql import functions as F
 from kinloom.llm import textkernel as K
 from kinloom.llm.quality_knn import sampled, scored
 
-#: Labelled rows that the model is fitted on at most (give or take the hash's chance), terms kept, factors.
-SAMPLE, TERMS, FACTORS = 20_000, 1_024, 8
-LEAST_G, LEAST_ROWS = 12.0, 4
+#: Labelled rows that the model is fitted on at most (give or take the hash's chance), factors.
+SAMPLE, FACTORS = 20_000, 8
+#: Statistic from which a term counts by itself, and rows that it must stand in; that of a pair beyond its parts; and one of how many rows a word of a pair stands in.
+LEAST_G, LEAST_ROWS, LEAST_PAIR, PART, COMMON = 12.0, 4, 30.0, 0.02, 50
 _SALT = [np.uint64(s * 0x9E3779B97F4A7C15 % 2**64) for s in range(4)]
 
 
 def terms(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Term hashes of a block and the row of each, with repeats."""
+    """Term hashes of a block and the row of each, with repeats; the lowest two bits tell words (0) from beginnings."""
     data = K.LOWER[data]
     starts, stops, at = K.spans(K.ALNUM[data], ends)
     row = np.repeat(np.arange(len(ends) - 1), np.diff(at))
     found, rows = [], []
-    for salt, size in zip(_SALT, (0, 4, 5, 6), strict=True):
+    for kind, (salt, size) in enumerate(zip(_SALT, (0, 4, 5, 6), strict=True)):
         own = slice(None) if not size else stops - starts > size
         s = starts[own]
         e = stops[own] if not size else s + size
-        found.append(K.hashes(data, s, e) + salt)
+        found.append((K.hashes(data, s, e) + salt) & ~np.uint64(3) | np.uint64(kind))
         rows.append(row[own])
     found = np.concatenate(found)
     return found, np.concatenate(rows)
 
 
 class Table:
-    """Finds the kept terms among many hashes: a slot for each term, without a clash."""
+    """Finds the kept terms among many hashes."""
 
     def __init__(self, keys: np.ndarray, bits: int = 18):
-        self.keys = np.append(keys, np.uint64(0))
-        for self.factor in np.random.default_rng(3).integers(1, 1 << 63, 4096, dtype=np.uint64) | np.uint64(1):
-            self.shift = np.uint64(64 - bits)
-            slots = ((keys * self.factor) >> self.shift).astype(np.int64)
-            if len(np.unique(slots)) == len(keys):
-                break
-        else:
-            raise ValueError("no table without clashes")
-        self.slot = np.full(1 << bits, len(keys), np.int16)
-        self.slot[slots] = np.arange(len(keys))
+        self.keys, self.shift = np.sort(keys), np.uint64(64 - bits)
+        self.some = np.zeros(1 << bits, bool)
+        self.some[(self.keys >> self.shift).astype(np.int64)] = True
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which hashes are kept terms, and which terms."""
-        at = self.slot[(hashes * self.factor) >> self.shift]
-        hit = np.flatnonzero(at < len(self.keys) - 1)
-        hit = hit[self.keys[at[hit]] == hashes[hit]]
-        return hit, at[hit].astype(np.int64)
+        hit = np.flatnonzero(self.some[(hashes >> self.shift).astype(np.int64)])
+        at = np.searchsorted(self.keys, hashes[hit])
+        good = at < len(self.keys)
+        good[good] = self.keys[at[good]] == hashes[hit][good]
+        return hit[good], at[good]
 
 
 def _present(table: Table, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows and terms of a block, each pair once, by row."""
     hashes, rows = terms(data, ends)
     hit, term = table.find(hashes)
-    both = np.unique(rows[hit] * TERMS + term)
-    return both // TERMS, both % TERMS
+    n = max(1, len(table.keys))
+    both = np.unique(rows[hit] * n + term)
+    return both // n, both % n
 
 
 def raw(model: dict, rows: np.ndarray, term: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,8 +111,52 @@ def train(rows: np.ndarray, term: np.ndarray, y: np.ndarray, n_terms: int, epoch
     return model
 
 
+def _split(n: np.ndarray, p: np.ndarray, share: float) -> np.ndarray:
+    """What n rows with p ones add to the likelihood-ratio statistic, where ``share`` of all rows are ones."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ones = np.where(p > 0, p * np.log(p / (n * share)), 0)
+        zeros = np.where(n > p, (n - p) * np.log((n - p) / (n * (1 - share))), 0)
+    return 2 * (ones + zeros)
+
+
+def allied(rows: np.ndarray, term: np.ndarray, y: np.ndarray, weak: np.ndarray) -> np.ndarray:
+    """Which terms to keep: those that aren't weak, and weak ones that say more with another term than both say alone."""
+    terms, few, share = len(weak), np.flatnonzero(weak), float(y.mean()) if len(y) else 0.0
+    if not len(few) or not 0 < share < 1:
+        return ~weak
+    both, ones = np.zeros((len(few), terms), np.float32), np.zeros((len(few), terms), np.float32)
+    edge = np.searchsorted(rows, np.arange(len(y) + 1))
+    for a in range(0, len(y), 1024):
+        b = min(a + 1024, len(y))
+        x = np.zeros((b - a, terms), np.float32)
+        x[rows[edge[a] : edge[b]] - a, term[edge[a] : edge[b]]] = 1
+        both += x[:, few].T @ x
+        x = x[y[a:b] > 0]
+        ones += x[:, few].T @ x
+    total, toxic = float(len(y)), float(y.sum())
+    n, p = np.bincount(term, minlength=terms).astype(np.float64), np.bincount(term, y[rows], terms)
+    held = -2 * total * (share * np.log(share) + (1 - share) * np.log(1 - share))
+    alone = _split(n, p, share) + _split(total - n, toxic - p, share)
+    good = ~weak
+    for i in range(0, len(few), 256):  # rows of the table, so that its doubles stay few
+        own = few[i : i + 256]
+        n11, p11 = both[i : i + 256].astype(np.float64), ones[i : i + 256].astype(np.float64)
+        n10, p10, n01, p01 = n[own][:, None] - n11, p[own][:, None] - p11, n[None] - n11, p[None] - p11
+        whole = _split(n11, p11, share) + _split(n10, p10, share) + _split(n01, p01, share) + _split(total - n11 - n10 - n01, toxic - p11 - p10 - p01, share)
+        parts = alone[own][:, None] + alone[None]
+        told = whole - parts >= max(LEAST_PAIR, PART * held)
+        told[np.arange(len(own)), own] = False
+        one, other = np.nonzero(told)
+        good[own[one]] = good[other] = True
+    return good
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn, label: str = "toxic", key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> dict:
-    """The model: kept terms, their weights and factor vectors, and the bias."""
+    """The model: kept terms, their weights and factor vectors, and the bias.
+
+    Rows without a key, a text or a label of 0 or 1 teach nothing; of several
+    labels of a key the largest holds, and all texts of a key count.
+    """
     chosen = sampled(labels, label, learn, sample, key)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # bounded by the sample
 
@@ -131,32 +177,39 @@ def fit(docs: DataFrame, labels: DataFrame, learn, label: str = "toxic", key: st
 
     rows = rows.select("doc_id", "label", "text")
     size, ones = chosen.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
-    counted = rows.mapInArrow(tally, "term long, rows long, ones long").groupBy("term").agg(F.sum("rows").alias("n"), F.sum("ones").alias("p")).where(F.col("n") >= LEAST_ROWS)
+    counted = rows.mapInArrow(tally, "term long, rows long, ones long").groupBy("term").agg(F.sum("rows").alias("n"), F.sum("ones").alias("p"))
+    counted = counted.where(F.col("n") >= LEAST_ROWS)
     share = F.lit(ones / max(size, 1))
 
     def part(seen, due):
         return F.when(seen > 0, seen * F.log(seen / F.greatest(due, F.lit(1e-9)))).otherwise(0.0)
 
     p, n = F.col("p").cast("double"), F.col("n").cast("double")
-    g = 2 * (part(p, n * share) + part(n - p, n * (1 - share)) + part(F.lit(float(ones)) - p, (F.lit(float(size)) - n) * share) + part(F.lit(float(size - ones)) - n + p, (F.lit(float(size)) - n) * (1 - share)))
-    best = counted.withColumn("g", F.round(g, 6)).where(F.col("g") >= LEAST_G).orderBy(F.desc("g"), "term").limit(TERMS).select("term").toArrow()
-    keys = np.sort(best["term"].to_numpy().view(np.uint64)) if len(best) else np.zeros(0, np.uint64)
-    table = Table(keys)
-    sent = docs.sparkSession.sparkContext.broadcast(table)
+    all_n, all_p = F.lit(float(size)), F.lit(float(ones))
+    g = 2 * (part(p, n * share) + part(n - p, n * (1 - share)) + part(all_p - p, (all_n - n) * share) + part(all_n - all_p - n + p, (all_n - n) * (1 - share)))
+    weak = F.round(g, 6) < LEAST_G
+    word = (F.col("n") * COMMON >= size) & (F.col("term").bitwiseAND(F.lit(3)) == 0)
+    best = counted.where(~weak | word).select("term", weak.alias("weak")).toArrow()
+    keys = best["term"].to_numpy().view(np.uint64) if len(best) else np.zeros(0, np.uint64)
+    order = np.argsort(keys)
+    weak = best["weak"].to_numpy()[order] if len(best) else np.zeros(0, bool)
+    sent = docs.sparkSession.sparkContext.broadcast(Table(keys[order]))
 
     def index(batches):
         for block, data, ends in K.blocks(batches):
             r, t = _present(sent.value, data, ends)
             cut = np.searchsorted(r, np.arange(len(block) + 1))
             yield pa.RecordBatch.from_arrays(
-                [block.column(0), block.column(1), pa.array([t[a:b].astype(np.int16).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["doc_id", "label", "terms"]
+                [block.column(0), block.column(1), pa.array([t[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["doc_id", "label", "terms"]
             )
 
     got = rows.mapInArrow(index, "doc_id long, label int, terms binary").toArrow().sort_by([("doc_id", "ascending"), ("terms", "ascending")])
-    lists = [np.frombuffer(t, np.int16).astype(np.int64) for t in got["terms"].to_pylist()]
-    r = np.repeat(np.arange(len(lists)), [len(t) for t in lists])
-    t = np.concatenate([np.zeros(0, np.int64), *lists])
-    return {"table": table, **train(r, t, got["label"].to_numpy().astype(np.float64), len(keys))}
+    lists = [np.frombuffer(t, np.int32) for t in got["terms"].to_pylist()]
+    r, t = np.repeat(np.arange(len(lists)), [len(t) for t in lists]), np.concatenate([np.zeros(0, np.int32), *lists]).astype(np.int64)
+    y = got["label"].to_numpy().astype(np.float64)
+    kept = allied(r, t, y, weak)
+    r, t = r[kept[t]], (np.cumsum(kept) - 1)[t[kept[t]]]
+    return {"table": Table(keys[order][kept]), **train(r, t, y, int(kept.sum()))}
 
 
 def judge(model: dict, data: np.ndarray, ends: np.ndarray) -> np.ndarray:

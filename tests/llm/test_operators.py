@@ -1,5 +1,6 @@
 """The corpus operators against brute force, on small tables with all kinds of odd rows."""
 
+import gzip
 import random
 import re
 import zlib
@@ -73,8 +74,14 @@ def test_minhash(spark, texts, monkeypatch, small):
 
 
 def test_posterior_bounds():
-    least = minhash_dedup.bounds(0.85, 1e-6)
-    assert list(least) == sorted(least) and 0.6 * 125 < least[-1] < 0.85 * 125
+    least = minhash_dedup.bounds(0.85, 1e-6, 130)
+    assert list(least) == sorted(least) and [n for n, _ in least] == [25, 50, 75, 100, 125, 130] and 0.6 * 130 < least[-1][1] < 0.85 * 130
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 95, 100])
+def test_bands_follow_the_threshold(percent):
+    plan = minhash_dedup.Plan(percent / 100)
+    assert (1 - (percent / 100) ** plan.rows) ** plan.bands <= minhash_dedup.BANDED and plan.bands <= minhash_dedup.BANDS
 
 
 def test_components(spark):
@@ -241,16 +248,42 @@ def test_no_frequent_pair_is_left():
 
 
 def test_warc(spark):
-    pages = [(1, "http://a/\r\nX: y", "<title>T</title><script>var t='</p>'</script><p>a &amp; b<br>c<!-- no --></p>", "r"), (2, None, None, "r"), (None, "u", "", "r"), (1, "http://a/\r\nX: y", "<p>again", "r"), (3, "u", "x" * 300_000, "r")]
-    frame = spark.createDataFrame(pages, "page_id long, url string, html string, record_id string")
-    got = warc_derive.read_derivatives(warc_derive.write_derivatives(frame, Scratch(spark, "t"))).collect()
-    assert len(got) == 2 * len(pages)
-    texts = {r["block"] for r in got if r["type"] == "conversion" and r["page_id"] == 1}
-    assert texts == {"T\na & b\nc", "again"}
+    pages = [(1, "http://a/\r\nX: y", "<p>again", "r"), (2, None, None, "r"), (None, "u", "", "r"), (1, "http://a/\r\nX: y", "<title>T</title><script>var t='</p>'</script><p>a &amp; b<br>c<!-- no --></p>", "r"),
+             (1, "http://a/\r\nX: y", "<p>again", "r"), (3, "u", "x" * 3_000_000, "r")]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string, record string")
+    got = warc_derive.read_derivatives(warc_derive.write_derivatives(warc_derive.responses(frame), Scratch(spark, "t"))).collect()
+    assert len(got) == len({r["record_id"] for r in got}) == 2 * len(pages) and len({r["refers_to"] for r in got}) == len(pages)
+    texts = sorted(r["block"] for r in got if r["type"] == "conversion" and r["page_id"] == 1)
+    assert texts == ["T\na & b\nc", "again", "again"]
     by = {r["record_id"]: r for r in got}
     assert all(by[r["concurrent_to"]]["refers_to"] == r["refers_to"] and by[r["concurrent_to"]]["source_digest"] == r["source_digest"] for r in got)
     assert {r["target_uri"] for r in got if r["page_id"] == 1} == {"http://a/%0D%0AX: y"} and {r["target_uri"] for r in got if r["page_id"] == 2} == {None}
-    assert warc_derive.read_derivatives(warc_derive.write_derivatives(frame.limit(0), Scratch(spark, "t"))).count() == 0
+    assert warc_derive.read_derivatives(warc_derive.write_derivatives(warc_derive.responses(frame.limit(0)), Scratch(spark, "t"))).count() == 0
+
+
+def test_responses_keep_what_the_crawler_said(spark, tmp_path):
+    """Record ids, dates, header sets, digests and encodings of two responses, from files and from a table."""
+    page = "<p>caf\xe9".encode("latin-1")
+    chunks = b"".join(b"%x\r\n%s\r\n" % (len(c), c) for c in (gzip.compress(b"<b>packed</b> and "), )) + b"0\r\n\r\n"
+    heads = [b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=ISO-8859-1\r\nServer: one\r\nSet-Cookie: a\r\nSet-Cookie: b", b"HTTP/1.0 404 Not Found\r\nTransfer-Encoding: chunked\r\nContent-Encoding: gzip\r\nX-Two:  z"]
+    sent = [("<urn:uuid:11111111-1111-1111-1111-111111111111>", "2020-02-02T02:02:02Z", "http://one/", heads[0], page, "sha1:OWN"), ("<urn:uuid:22222222-2222-2222-2222-222222222222>", "2021-01-01T00:00:00Z", "http://two/", heads[1], chunks, None)]
+    made = [warc_derive.record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<urn:x>")], b"software: x\r\n")]
+    made += [warc_derive.record([("WARC-Type", "response"), ("WARC-Record-ID", i), ("WARC-Date", d), ("WARC-Target-URI", u), ("WARC-Payload-Digest", g)], h + b"\r\n\r\n" + p) for i, d, u, h, p, g in sent]
+    (tmp_path / "plain.warc").write_bytes(b"".join(made))
+    (tmp_path / "packed.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in made))
+    files = spark.createDataFrame([(f"file://{tmp_path}/plain.warc",), (f"file://{tmp_path}/packed.warc.gz",), (None,)], "file string")
+    got = warc_derive.read_derivatives(warc_derive.write_derivatives(warc_derive.read_responses(files), Scratch(spark, "t"))).collect()
+    assert len(got) == 8
+    for i, d, u, h, p, g in sent:
+        own = [r for r in got if r["refers_to"] == i]
+        assert len(own) == 4 and {(r["date"], r["target_uri"], r["source_digest"]) for r in own} == {(d, u, g or warc_derive.digest(p))}
+    about = {r["block"] for r in got if r["type"] == "metadata" and "one" in r["target_uri"]}
+    assert len(about) == 1 and "source-http-server: one\r\nsource-http-set-cookie: a, b\r\n" in about.pop()
+    assert {r["block"] for r in got if r["type"] == "conversion"} == {"caf\xe9", "packed and"}
+    table = spark.createDataFrame([(7, "u", "<p>x", "<urn:own>", "2019-01-01T00:00:00Z", "HTTP/1.1 203 Z\r\nServer: s", "sha1:D"), (8, "u", "<p>x", None, None, None, None)], "page_id long, url string, html string, i string, d string, h string, g string")
+    rows = warc_derive.read_derivatives(warc_derive.write_derivatives(warc_derive.responses(table, own_id="i", date="d", http="h", payload_digest="g"), Scratch(spark, "t"))).collect()
+    assert {(r["refers_to"], r["date"], r["source_digest"]) for r in rows if r["page_id"] == 7} == {("<urn:own>", "2019-01-01T00:00:00Z", "sha1:D")}
+    assert {r["date"] for r in rows if r["page_id"] == 8} == {warc_derive.DATE} and any("source-http-server: s" in r["block"] for r in rows)
 
 
 @pytest.mark.parametrize(
@@ -288,6 +321,65 @@ def test_classifiers(spark, operator, good, bad):
     assert {r["score"] for r in operator(docs, labels.limit(0), docs, learn).collect()} == {0.5}
 
 
+@pytest.mark.parametrize("together", [False, True])
+def test_toxicity_learns_pairs(spark, monkeypatch, together):
+    """Labels that say whether exactly one of two words is there, or both are: factors tell what weights alone can't."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(3000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        own = [f"word{rng.randrange(300)}" for _ in range(25)] + ["zebra"] * a + ["quokka"] * b
+        rows.append((i, " ".join(rng.sample(own, len(own))), int(a and b if together else a != b)))
+    data = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    docs, labels = data.select("doc_id", "text"), data.select("doc_id", "toxic")
+
+    def right():
+        scores = toxicity_fm.toxicity_scores(docs, labels, docs, lambda key: key % 4 != 2).where("doc_id % 4 = 2").collect()
+        return sum((r["score"] >= 0.5) == rows[r["doc_id"]][2] for r in scores) / len(scores)
+
+    assert right() >= 0.95
+    if not together:
+        monkeypatch.setattr(toxicity_fm, "FACTORS", 0)
+        assert right() < 0.8
+
+
+def test_toxicity_scores_are_the_machine_of_their_model(spark):
+    """Scores recomputed from the model, term by term and pair by pair."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(["lorem", "ipsum", "dolor", "idiots", "foolish"]) for _ in range(rng.randrange(0, 9)))) for i in range(200)]
+    docs = documents(spark, [*rows, (None, None)])
+    labels = spark.createDataFrame([(i, int("idiots" in t or "foolish" in t)) for i, t in rows], "doc_id long, toxic int")
+    model = toxicity_fm.fit(docs, labels, lambda key: key % 4 != 2)
+    for r in quality_knn.scored(docs, model, toxicity_fm.judge).collect():
+        data = (r["text"] or "").encode()
+        words = {w.encode() for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", data.decode().translate(LOW))}
+        names = {(w, 0) for w in words} | {(w[:n], k) for w in words for k, n in ((1, 4), (2, 5), (3, 6)) if len(w) > n}
+        keys = {(toxicity_fm.K.hash_of(w) + int(toxicity_fm._SALT[k])) % 2**64 & ~3 | k for w, k in names}
+        own = [i for i, key in enumerate(model["table"].keys.tolist()) if key in keys]
+        value = model["bias"] + sum(model["w"][i] for i in own) + sum(float(model["v"][i] @ model["v"][j]) for i in own for j in own if i < j)
+        assert abs(r["score"] - 1 / (1 + np.exp(-value))) < 1e-9
+
+
+def test_quality_votes_are_those_of_all_cosines(spark):
+    """Every document's cosine to each labelled vector, sorted in full."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["lorem", "ipsum,", "DOLOR", "sit%%", "amet.", "9x"]) for _ in range(rng.randrange(0, 30)))) for i in range(150)]
+    docs = documents(spark, [*rows, (None, None)])
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    model = quality_knn.fit(docs, labels, lambda key: key % 5 != 0)
+    assert len(model["labels"]) == sum(i % 5 != 0 for i, _ in rows)
+    for r in quality_knn.scored(docs, model, quality_knn.vote).collect():
+        data = np.frombuffer((r["text"] or "").encode(), np.uint8)
+        z = quality_knn.weigh(quality_knn.counts(data, np.array([0, len(data)])), model["idf"])[0] @ model["axes"]
+        cos = model["vectors"] @ (z / max(float(np.sqrt((z * z).sum())), 1e-9))
+        best = sorted(cos.tolist(), reverse=True)
+        if not data.size or best[quality_knn.NEIGHBOURS - 1] - best[quality_knn.NEIGHBOURS] < 1e-6:
+            continue  # no terms, or a tie at the edge of the neighbourhood
+        near = np.argsort(-cos)[: quality_knn.NEIGHBOURS]
+        weight = np.maximum(cos[near], 0).astype(np.float64) ** quality_knn.SHARP
+        assert abs(r["score"] - (weight * model["labels"][near]).sum() / weight.sum()) < 1e-4
+
+
 def test_the_pipeline_keeps_columns_and_takes_effect(spark):
     import corpus_pipeline
 
