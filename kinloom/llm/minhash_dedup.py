@@ -15,35 +15,57 @@ Large buckets neither meet in one task nor give all their pairs:
   forest of the most similar pairs, which is linear in their size;
 * where a large bucket still spans several components after those pairs are
   confirmed, its blocks are compared again with their full sets at hand, and
-  only confirmed links between components leave the task.
+  only confirmed links between components leave the task; blocks are smaller
+  there, so that a task holds about twice ``SET_BYTES`` of sets.
 
 So each pair of a bucket is either pruned by the posterior bound, confirmed or
 refuted on full sets, or already joined by confirmed links.
 
-A true pair at the threshold misses all 25 bands of 5 with probability 4e-7.
+Bands follow the threshold: a true pair at it misses all of them with a
+probability of at most ``BANDED`` (25 bands of 5 at 0.85, 37 at 0.8).  Sets hold
+64-bit hashes of shingles; that two shingles of a compared pair share one, or
+that two classes share the 128 bits of theirs, isn't to be expected at any size.
+
+A class with so many copies that it would stand out among the tasks is joined to
+them by broadcast.  There are at most ``EVEN`` such classes a task.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinloom.llm import textkernel as K
 from kinloom.llm.graph import components
 from kinloom.llm.scratch import Scratch
 
-BANDS, ROWS = 25, 5
-HASHES = BANDS * ROWS
-SMALL, BLOCK = 64, 1024
-STEP = 25
-_rng = np.random.default_rng(5)
-_MUL = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
-_ADD = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64)
+#: Probability that bands miss a pair at the threshold; most rows of a band, and most bands before a band gets fewer rows.
+BANDED, ROWS, BANDS = 5e-7, 5, 48
+#: Classes of a bucket that gives all its pairs, classes of a block, bytes of a block's sets, hash functions of a batch.
+SMALL, BLOCK, SET_BYTES, STEP = 64, 1024, 32 << 20, 25
+#: Parts of an even share of a task from which a class counts as large.
+EVEN = 8
+
+
+class Plan:
+    """Bands and rows for a threshold, and their hash functions."""
+
+    def __init__(self, threshold: float):
+        for rows in range(ROWS, 0, -1):
+            hit = threshold**rows
+            self.rows, self.bands = rows, 1 if hit >= 1 else math.ceil(math.log(BANDED) / math.log1p(-hit))
+            if self.bands <= BANDS:
+                break
+        self.hashes = self.rows * self.bands
+        rng = np.random.default_rng(5)
+        self.mul = rng.integers(1, 1 << 63, self.hashes, dtype=np.uint64) | np.uint64(1)
+        self.add = rng.integers(1, 1 << 63, self.hashes, dtype=np.uint64)
 
 
 def shingle_sets(batches: Iterator[pa.RecordBatch], column: str, k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -60,21 +82,21 @@ def shingle_sets(batches: Iterator[pa.RecordBatch], column: str, k: int) -> Iter
         yield block, sets
 
 
-def minima(values: np.ndarray) -> np.ndarray:
+def minima(values: np.ndarray, plan: Plan) -> np.ndarray:
     """The smallest value under each hash function."""
-    out = np.full(HASHES, np.uint64(0xFFFFFFFFFFFFFFFF))
+    out = np.full(plan.hashes, np.uint64(0xFFFFFFFFFFFFFFFF))
     for i in range(0, len(values), 512):
-        np.minimum(out, (values[i : i + 512, None] * _MUL + _ADD).min(0), out=out)
+        np.minimum(out, (values[i : i + 512, None] * plan.mul + plan.add).min(0), out=out)
     return out
 
 
-def _sketch(column: str, k: int):
+def _sketch(column: str, k: int, plan: Plan):
     def run(batches):
         for block, sets in shingle_sets(batches, column, k):
             size = np.array([len(s) for s in sets], np.int64)
-            low = np.stack([minima(s) for s in sets])
-            bands = K.grams(low.ravel(), np.arange(0, low.size + 1, ROWS), ROWS)[0].reshape(-1, BANDS)
-            bands = K.mix(bands + np.arange(BANDS, dtype=np.uint64))
+            low = np.stack([minima(s, plan) for s in sets])
+            bands = K.grams(low.ravel(), np.arange(0, low.size + 1, plan.rows), plan.rows)[0].reshape(-1, plan.bands)
+            bands = K.mix(bands + np.arange(plan.bands, dtype=np.uint64))
             one = [np.bitwise_xor.reduce(K.mix(s)) if len(s) else np.uint64(0) for s in sets]
             two = [np.add.reduce(K.mix(s ^ np.uint64(0x5851F42D4C957F2D))) if len(s) else np.uint64(0) for s in sets]
             sig = (K.mix(low) >> np.uint64(56)).astype(np.uint8)
@@ -85,7 +107,7 @@ def _sketch(column: str, k: int):
                     pa.array(np.array(one, np.uint64).view(np.int64)),
                     pa.array(np.array(two, np.uint64).view(np.int64)),
                     pa.array([s.tobytes() for s in sig], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel())),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * plan.bands), pa.array(bands.view(np.int64).ravel())),
                 ],
                 ["doc_id", "n_shingles", "one", "two", "sig", "bands"],
             )
@@ -139,8 +161,8 @@ def _full(column: str, k: int, sent):
 
 
 @lru_cache(8)
-def bounds(threshold: float, miss: float) -> tuple[int, ...]:
-    """Fewest equal bytes after each batch of ``STEP`` with posterior of the threshold at least ``miss``.
+def bounds(threshold: float, miss: float, hashes: int) -> tuple[tuple[int, int], ...]:
+    """Hash functions seen after each batch of ``STEP``, and the fewest equal bytes with a posterior of the threshold of at least ``miss``.
 
     Equal bytes come with probability J + (1 - J) / 256.  The posterior is
     summed over a fine grid of J.
@@ -148,21 +170,21 @@ def bounds(threshold: float, miss: float) -> tuple[int, ...]:
     grid = (np.arange(20_000) + 0.5) / 20_000
     hit = grid + (1 - grid) / 256
     out = []
-    for n in range(STEP, HASHES + 1, STEP):
+    for n in [*range(STEP, hashes, STEP), hashes]:
         for m in range(n + 1):
             log = m * np.log(hit) + (n - m) * np.log1p(-hit)
             weight = np.exp(log - log.max())
             if weight[grid >= threshold].sum() >= miss * weight.sum():
-                out.append(m)
+                out.append((n, m))
                 break
     return tuple(out)
 
 
-def surviving(sigs: np.ndarray, a: np.ndarray, b: np.ndarray, least: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+def surviving(sigs: np.ndarray, a: np.ndarray, b: np.ndarray, least: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
     """Which pairs outlive all batches, and their equal bytes."""
-    alive, equal = np.arange(len(a)), np.zeros(len(a), np.int32)
-    for step, need in enumerate(least):
-        cut = slice(step * STEP, (step + 1) * STEP)
+    alive, equal, seen = np.arange(len(a)), np.zeros(len(a), np.int32), 0
+    for upto, need in least:
+        cut, seen = slice(seen, upto), upto
         equal[alive] += (sigs[a[alive], cut] == sigs[b[alive], cut]).sum(1, dtype=np.int32)
         alive = alive[equal[alive] >= need]
     return alive, equal[alive]
@@ -243,12 +265,12 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarr
 
 
 def _signatures(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(K.blob(column.combine_chunks() if column.num_chunks != 1 else column.chunk(0))[0], np.uint8).reshape(-1, HASHES)
+    return np.frombuffer(K.blob(column.combine_chunks() if column.num_chunks != 1 else column.chunk(0))[0], np.uint8).reshape(len(column), -1)
 
 
-def _compare(threshold: float, miss: float):
+def _compare(threshold: float, miss: float, hashes: int):
     def run(batches):
-        least = bounds(threshold, miss)
+        least = bounds(threshold, miss, hashes)
         for table in _groups(batches, ("key", "lo", "hi"), 4 * BLOCK):
             cid, sigs = table["cid"].to_numpy(), _signatures(table["sig"])
             kept, large = [], []
@@ -288,11 +310,11 @@ def _verify(percent: int):
     return run
 
 
-def _finish(threshold: float, miss: float, percent: int):
+def _finish(threshold: float, miss: float, percent: int, hashes: int):
     """Links between the components that meet in a block pair of a large bucket."""
 
     def run(batches):
-        least = bounds(threshold, miss)
+        least = bounds(threshold, miss, hashes)
         for table in _groups(batches, ("key", "lo", "hi"), 1):
             cid, sigs, comp = table["cid"].to_numpy(), _signatures(table["sig"]), table["comp"].to_numpy()
             sets, root = table["set"].combine_chunks(), {int(c): int(c) for c in comp}
@@ -318,15 +340,20 @@ def _finish(threshold: float, miss: float, percent: int):
     return run
 
 
-def _dealt(bucket: DataFrame) -> DataFrame:
+def _dealt(bucket: DataFrame, blocks: Column) -> DataFrame:
     """Rows of buckets, each for every pair of blocks that its block takes part in, sorted by that pair."""
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("cid"), F.col("n")).cast("int")
-    rows = bucket.withColumn("n", blocks).withColumn("blk", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    rows = bucket.withColumn("n", blocks.cast("int")).withColumn("blk", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     rows = rows.withColumn("lo", F.least("blk", "other")).withColumn("hi", F.greatest("blk", "other")).drop("other", "n")
     return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "cid")
 
 
+def evenly(rows: DataFrame, table: DataFrame, on: str | list[str], large: DataFrame, how: str = "inner") -> DataFrame:
+    """The join of rows with a table that has each key once; the keys of ``large``, a short list, meet it by broadcast."""
+    many = rows.join(F.broadcast(large), on, "left_semi").join(F.broadcast(table.join(F.broadcast(large), on, "left_semi")), on, how)
+    return many.unionByName(rows.join(F.broadcast(large), on, "left_anti").join(table, on, how))
+
+
 def near_duplicates(docs: DataFrame, scratch: Scratch, text: str = "text", key: str = "doc_id", k: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``.
 
@@ -340,21 +367,25 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, text: str = "text", key:
     empty result.
     """
     threshold = percent / 100
+    plan = Plan(threshold)
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sketch = scratch.cut(
-        source.mapInArrow(_sketch("text", k), "doc_id long, n_shingles long, one long, two long, sig binary, bands array<long>"), "sketch"
+        source.mapInArrow(_sketch("text", k, plan), "doc_id long, n_shingles long, one long, two long, sig binary, bands array<long>"), "sketch"
     )
     full = sketch.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("one", "two").agg(F.min("doc_id").alias("cid"))
-    member = full.join(classes, ["one", "two"])
+    classes = scratch.cut(full.groupBy("one", "two").agg(F.min("doc_id").alias("cid"), F.count("*").alias("copies")), "classes")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    common = classes.where(F.col("copies") > max(1.0, sketch.count() / (EVEN * tasks)))
+    member = evenly(full, classes.drop("copies"), ["one", "two"], common.select("one", "two"))
     reps = member.where("doc_id = cid").select("cid", "one", "two", "sig", "bands").dropDuplicates(["cid", "one", "two"])
     reps = scratch.cut(reps.drop("one", "two"), "reps")
-    member = scratch.cut(member.select("doc_id", "n_shingles", "cid"), "member")
+    member = scratch.cut(member.select("doc_id", "n_shingles", F.col("cid").alias("node")), "member")
     keys = reps.select("cid", F.explode("bands").alias("key")).distinct()
     sizes = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     bucket = scratch.cut(keys.join(sizes, "key"), "bucket")
     signed = bucket.join(reps.select("cid", "sig"), "cid")
-    pairs = _dealt(signed).mapInArrow(_compare(threshold, miss), "a long, b long").distinct()
+    blocks = F.ceil(F.col("size") / F.lit(BLOCK))
+    pairs = _dealt(signed, blocks).mapInArrow(_compare(threshold, miss, plan.hashes), "a long, b long").distinct()
     pairs = scratch.cut(pairs, "pairs")
 
     def sets(of: DataFrame) -> DataFrame:
@@ -377,13 +408,16 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, text: str = "text", key:
     if not open_.isEmpty():
         wanted = scratch.cut(open_.select("cid").distinct(), "wanted")
         held = scratch.cut(sets(wanted).join(reps.select("cid", "sig"), "cid"), "open-sets")
-        more = _dealt(open_.join(held, "cid")).mapInArrow(_finish(threshold, miss, percent), "a long, b long").distinct()
+        weight = open_.join(held.select("cid", F.octet_length("set").alias("bytes")), "cid").groupBy("key").agg(F.sum("bytes").alias("bytes"))
+        blocks = F.greatest(blocks, F.ceil(F.col("bytes") / F.lit(SET_BYTES)))
+        rows = _dealt(open_.join(weight, "key").join(held, "cid"), blocks)
+        more = rows.mapInArrow(_finish(threshold, miss, percent, plan.hashes), "a long, b long").distinct()
         more = scratch.cut(more, "more")
         first = scratch.cut(components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), scratch), "second")
         scratch.drop(held)
     scratch.drop(bucket, open_)
 
-    placed = member.join(first, member.cid == first.node, "left").withColumn("component_id", F.coalesce("root", "cid"))
+    placed = evenly(member, first, "node", common.select(F.col("cid").alias("node")).distinct(), "left").withColumn("component_id", F.coalesce("root", "node"))
     alone = sketch.where("n_shingles = 0 or doc_id is null").withColumn("component_id", F.col("doc_id"))
     rows = placed.select("doc_id", "n_shingles", "component_id").unionByName(alone.select("doc_id", "n_shingles", "component_id"))
     return rows.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
