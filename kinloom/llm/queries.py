@@ -56,9 +56,9 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_warc_derive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derivative records of all pages, as their files have them."""
-    from kinloom.llm.warc_derive import read_derivatives, write_derivatives
+    from kinloom.llm.warc_derive import read_derivatives, responses, write_derivatives
 
-    found = read_derivatives(write_derivatives(_table(spark, sf_dir, "pages"), Scratch(spark, "op4")))
+    found = read_derivatives(write_derivatives(responses(_table(spark, sf_dir, "pages")), Scratch(spark, "op4")))
     return found.select(
         "page_id", "type", "record_id", "refers_to", "concurrent_to", "target_uri", "date", "source_digest", "block_digest", "content_type",
         F.length("block").cast("long").alias("chars"), F.sha2("block", 256).alias("block_sha256"),
