@@ -34,29 +34,46 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier (operator 10) doesn't reject."""
+    """Documents that the toxicity classifier (operator 10) doesn't reject; null and empty texts are scored like others."""
     return _judged(spark, docs, sf_dir, toxicity_scores, 4, 2).where(F.col("`\0score`") < TOXIC).select(*docs.columns)
 
 
+#: A row's number within a stage, and names that no column of documents has.
+_ROW, _KEPT = "\0row", "\0kept"
+
+
+def _numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows with a number of their own, written down so that it stays the same; ids may be null or repeated."""
+    return scratch.cut(docs.withColumn(_ROW, F.monotonically_increasing_id()), "numbered")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies (operator 5): five words, similarity 0.8 or more.
+    """One row of each group of near copies (operator 5): five words, similarity 0.8 or more.
 
-    Of repeated rows of a kept doc_id one stays; rows without a doc_id all stay.
+    Rows are told apart by a number, so null ids and different texts under one
+    id are rows like others.  The row with the smallest doc_id stays (null ids
+    last, then the first row); rows without words all stay.
     """
-    kept = near_duplicates(docs, Scratch(spark, "dedup")).where("kept and doc_id is not null").select(F.col("doc_id").alias("\0kept")).distinct()
-    named = docs.join(kept, docs["doc_id"].cast("long") == kept["\0kept"], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    scratch = Scratch(spark, "dedup")
+    docs = _numbered(docs, scratch)
+    group = near_duplicates(docs, scratch, key=_ROW).select(F.col("doc_id").alias(_ROW), "component_id")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(_ROW).alias("row"))
+    ids = docs.select("doc_id", _ROW).join(group, _ROW)
+    kept = ids.groupBy("component_id").agg(F.min(first)["row"].alias(_KEPT)).select(_KEPT)
+    return docs.join(kept, docs[_ROW] == kept[_KEPT], "left_semi").drop(_ROW)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item (operator 3)."""
+    """Rows without a benchmark item (operator 3), whatever their doc_id; null and empty texts stay."""
+    scratch = Scratch(spark, "leaks")
+    docs = _numbered(docs, scratch)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = leaks(docs, benchmark, Scratch(spark, "leaks")).select(F.col("doc_id").alias("\0leak")).distinct()
-    return docs.join(found, docs["doc_id"].cast("long") == found["\0leak"], "left_anti")
+    found = leaks(docs, benchmark, scratch, key=_ROW).select(F.col("doc_id").alias(_KEPT)).distinct()
+    return docs.join(found, docs[_ROW] == found[_KEPT], "left_anti").drop(_ROW)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_tokens, ids``: every document's piece ids (operator 2)."""
+    """``doc_id, n_tokens, ids``: every row's piece ids (operator 2); null and empty texts have none."""
     out = encode(docs.select("doc_id", "text"))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
