@@ -18,6 +18,8 @@ SAME = {"netto": "neto", "gouvea": "gouveia"}
 SHORT = ["sa"]
 # Broken sequences and what they become, in the order in which they apply.
 BROKEN = [("A�", "ç"), ("Ã§", "ç"), ("Ã£", "ã"), ("Ã¡", "á"), ("Ã¢", "â"), ("Ã©", "é"), ("Ãª", "ê"), ("Ã¨", "è"), ("Ã­", "í"), ("Ã³", "ó"), ("Ã´", "ô"), ("Ãº", "ú")]
+# Letters with a tilde of their own, and a broken cedilla, in the order in which they apply.
+TILDES = [("A\u0303", "Ã"), ("O\u0303", "Ão"), ("N\u0303v", "Ñ"), ("a\u0303o", "ão"), ("A\u0303o", "ão"), ("Ã§", "ç"), ("Ã\u00e7", "ç")]
 #: Used where a person has no name.
 NAMELESS = "Sem Nome"
 
@@ -43,6 +45,18 @@ def repair_encoding(text: Column) -> Column:
     return F.coalesce(sound, text)
 
 
+def without_replacement(text: Column) -> Column:
+    """The text without U+FFFD; null stays null."""
+    return F.replace(text, F.lit("\ufffd"), F.lit(""))
+
+
+def repair_tildes(text: Column) -> Column:
+    """Letters and tildes that stand apart put together; null stays null."""
+    for bad, good in TILDES:
+        text = F.replace(text, F.lit(bad), F.lit(good))
+    return text
+
+
 @F.pandas_udf(T.StringType())
 def _plain(text: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining marks."""

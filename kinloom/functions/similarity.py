@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,6 +22,7 @@ def lcs(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
+@lru_cache(100_000)
 def ratio(a: str, b: str) -> int:
     """Twice the common subsequence over both lengths, in percent, rounded half to even."""
     total = len(a) + len(b)

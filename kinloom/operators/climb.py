@@ -7,27 +7,35 @@ two closures of ancestors, so many pairs are answered at once with joins.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinloom.session import cut
+from kinloom.session import cut, cut_and_count
 
-DEPTH = 20
+#: Most levels of a climb, and levels between two written tables.
+DEPTH, STEP = 20, 4
+#: Rows of one side's ancestors to broadcast at most; beyond, the join shuffles.
+FEW = 200_000
 
 
 def closure(starts: DataFrame, parents: DataFrame, depth: int = DEPTH) -> DataFrame:
     """``src, node, d, o, ids``: each ancestor's least distance and, of such climbs, the first by parents' places."""
-    level = cut(starts.select("src").distinct().select("src", F.col("src").alias("node"), F.lit(0).alias("d"), F.array().cast("array<int>").alias("o"), F.array("src").alias("ids")), "level")
-    seen = level
-    for d in range(1, depth + 1):
-        up = level.join(parents, level.node == parents.child)
-        best = F.min(F.struct(F.concat("o", F.array("pos")).alias("o"), F.concat("ids", F.array("parent")).alias("ids"))).alias("b")
-        new = up.groupBy("src", F.col("parent").alias("node")).agg(best).join(seen.select("src", "node"), ["src", "node"], "left_anti")
-        level = cut(new.select("src", "node", F.lit(d).alias("d"), "b.o", "b.ids"), "level")
-        if level.isEmpty():
+    level = seen = cut(starts.select("src").distinct().select("src", F.col("src").alias("node"), F.lit(0).alias("d"), F.array().cast("array<int>").alias("o"), F.array("src").alias("ids")), "level")
+    best = F.min(F.struct(F.concat("o", F.array("pos")).alias("o"), F.concat("ids", F.array("parent")).alias("ids"))).alias("b")
+    for d in range(1, depth + 1, STEP):
+        steps = []
+        for k in range(d, min(d + STEP, depth + 1)):
+            up = level.join(parents, level.node == parents.child).groupBy("src", F.col("parent").alias("node")).agg(best)
+            level = up.select("src", "node", F.lit(k).alias("d"), "b.o", "b.ids")
+            steps.append(level)
+        written, n = cut_and_count(reduce(DataFrame.unionByName, steps), "levels")
+        if not n:
             break
-        seen = seen.unionByName(level)
-    return seen
+        seen, level = seen.unionByName(written), written.where(F.col("d") == k)
+    # A least climb goes by least climbs, so that climbs round about fall out here.
+    return seen.groupBy("src", "node").agg(F.min(F.struct("d", "o", "ids")).alias("b")).select("src", "node", "b.d", "b.o", "b.ids")
 
 
 def common_ancestors(pairs: DataFrame, parents: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -37,8 +45,11 @@ def common_ancestors(pairs: DataFrame, parents: DataFrame, depth: int = DEPTH) -
     reach = cut(closure(ends, parents, depth), "closure")
     top = reach.groupBy("src").agg(F.max("d").alias("m"))
     one = pairs.where("a <> b").join(top.select(F.col("src").alias("a"), F.col("m").alias("m1")), "a").join(top.select(F.col("src").alias("b"), F.col("m").alias("m2")), "b")
-    left = one.join(reach.select(F.col("src").alias("a"), "node", F.col("d").alias("d1"), F.col("o").alias("o1"), F.col("ids").alias("i1")), "a")
-    both = left.join(reach.select(F.col("src").alias("b"), "node", F.col("d").alias("d2"), F.col("o").alias("o2"), F.col("ids").alias("i2")), ["b", "node"])
+    # The second ends' ancestors meet the first ends' by both, so a first end that all pairs share multiplies nothing.
+    right = one.join(reach.select(F.col("src").alias("b"), "node", F.col("d").alias("d2"), F.col("o").alias("o2"), F.col("ids").alias("i2")), "b")
+    left = reach.join(pairs.select(F.col("a").alias("src")).distinct(), "src", "left_semi")
+    left = left.select(F.col("src").alias("a"), "node", F.col("d").alias("d1"), F.col("o").alias("o1"), F.col("ids").alias("i1"))
+    both = right.join(F.broadcast(left) if left.count() <= FEW else left, ["a", "node"])
     first = (F.col("d1") == F.col("d2")) | (F.col("d1") > F.col("d2") + 1)
     both = both.select(
         "a", "b", "node", "i1", "i2",

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinloom.functions.names import repair_tildes
+
 
 def child_families(member: DataFrame) -> DataFrame:
     """``child, families``: the families that name a child, in the file's order."""
@@ -51,6 +53,19 @@ def edges(person: DataFrame, member: DataFrame) -> DataFrame:
     return all_.select(F.col("pid").alias("src"), F.col("fid").alias("dst")).unionByName(all_.select(F.col("fid").alias("src"), F.col("pid").alias("dst")))
 
 
+def nodes(person: DataFrame, member: DataFrame, families: DataFrame | None = None) -> DataFrame:
+    """``id, label, type`` of persons and families; ``families(fid)`` adds those without members."""
+    fids = member.select("fid") if families is None else member.select("fid").unionByName(families.select("fid"))
+    own = person.select(F.col("pid").alias("id"), F.col("name").alias("label"), F.lit("person").alias("type"))
+    return own.unionByName(fids.where("fid is not null").distinct().select(F.col("fid").alias("id"), F.lit("Familia").alias("label"), F.lit("family").alias("type")))
+
+
+def registered(rows: DataFrame) -> DataFrame:
+    """``pid, name, name_clean``: of rows ``ord, pid, name`` with one id the first counts; later ones change nothing."""
+    first = rows.groupBy("pid").agg(F.min_by(F.struct("name"), "ord").alias("r"))
+    return first.select("pid", F.col("r.name").alias("name"), F.trim(repair_tildes(F.col("r.name"))).alias("name_clean"))
+
+
 def find_people(person: DataFrame, queries: DataFrame) -> DataFrame:
     """``query, ord, pid, name`` of people by name: equal in lower case, and only if none is, those that contain it."""
     low = queries.select("query", F.lower("query").alias("q")).distinct()

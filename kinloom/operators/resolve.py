@@ -6,7 +6,7 @@ compare exactly.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinloom.functions import names as N
@@ -34,14 +34,21 @@ def pools(wanted: DataFrame, people: DataFrame) -> DataFrame:
 
 
 def scored(pool: DataFrame, wanted: DataFrame, people: DataFrame) -> DataFrame:
-    """The pool's pairs with both names' parts, similarities and ``score20``."""
+    """The pool's best pairs with both names' parts, similarities and ``score20``.
+
+    What is best goes by surnames in common, then by the given name, then by the
+    score.  So only pairs with the most surnames are compared by given names, and
+    only those with the best given name by their whole names.
+    """
     m = wanted.select("key", F.col("given").alias("g"), "surnames", "suffixes", F.col("words").alias("mine"))
     p = people.select(F.col("key").alias("other"), F.col("surnames").alias("theirs"), "firsts", F.col("words").alias("them"), "ord")
     both = pool.join(m, "key").join(p, "other")
-    # Each of the few pairs of first names is compared once, and so is each pair of names.
+    both = both.withColumn("own", N.drop_short(F.col("surnames"))).withColumn("shared", F.array_intersect("own", "theirs")).withColumn("inter", F.size("shared"))
+    own = Window.partitionBy("key")
+    both = both.withColumn("most", F.max("inter").over(own)).where("inter = most").drop("most")
     both = both.withColumn("s_given", F.greatest(F.coalesce(indel_ratio(F.col("g"), F.get("firsts", 0)), F.lit(0)), F.coalesce(indel_ratio(F.col("g"), F.get("firsts", 1)), F.lit(0))))
+    both = both.withColumn("most", F.max("s_given").over(own)).where("s_given = most").drop("most")
     both = both.withColumn("s_token", token_sort_ratio(F.col("key"), F.col("other"))).withColumn("s_part", partial_indel_ratio(F.col("key"), F.col("other")))
-    both = both.withColumn("own", N.drop_short(F.col("surnames"))).withColumn("shared", F.array_intersect("own", "theirs")).withColumn("inter", F.size("shared"))
     common = F.size(F.filter("shared", lambda s: F.array_contains(F.array(*map(F.lit, N.COMMON)), s)))
     return both.withColumn("score20", 11 * F.col("s_token") + 5 * F.col("s_part") + 4 * F.col("s_given") + 160 * F.col("inter") - 80 * common)
 
@@ -58,7 +65,7 @@ def judged(pairs: DataFrame, cm: Column) -> DataFrame:
     generic = F.array_contains(F.array(*map(F.lit, N.GENERIC)), F.col("g"))
     pairs = pairs.withColumn("jaccard", N.soft_jaccard(F.col("own"), F.col("theirs")))
     j = F.col("jaccard")
-    need = F.when(generic, 2).otherwise(1)
+    need = F.when(generic & (F.size("own") >= 2), 2).otherwise(1)
     j_ok = (F.size("own") <= 1) | (j >= 0.5) | ((j >= 0.33) & F.coalesce(cm >= 150, F.lit(False)) & ~generic)
     begins = F.arrays_overlap(N.prefixes(F.col("surnames")), F.transform("theirs", lambda t: F.left(t, F.lit(3))))
     good = (

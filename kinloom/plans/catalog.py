@@ -111,6 +111,18 @@ def graph_edges(spark, sf_dir):
     return pedigree.edges(*_tree(spark, sf_dir))
 
 
+def graph_nodes(spark, sf_dir):
+    return pedigree.nodes(*_tree(spark, sf_dir))
+
+
+def first_registrations(spark, sf_dir):
+    """Line items as registrations of their parts, under the supplier's number, with a tilde that stands apart."""
+    row = F.col("l_orderkey") * 100 + F.col("l_linenumber")
+    name = F.concat(F.lit(" A\u0303o "), F.col("l_suppkey").cast("string"), F.lit("\ufffd "))
+    rows = _t(spark, sf_dir, "lineitem").select(row.alias("ord"), F.col("l_partkey").cast("string").alias("pid"), name.alias("name"))
+    return pedigree.registered(rows).select("pid", "name", "name_clean", N.without_replacement(F.col("name")).alias("name_whole"))
+
+
 def ancestor_closure(spark, sf_dir):
     person, member = _tree(spark, sf_dir)
     parents = cut(pedigree.parents(person, member), "parents")
@@ -146,6 +158,20 @@ def path_search(spark, sf_dir):
     return flows.search_path(*_tree(spark, sf_dir), "Supplier#000000001", "Supplier#000000002")
 
 
+def path_search_direct(spark, sf_dir):
+    """The last customer who is the first of a name, and the mother; with blanks around and in lower case."""
+    person, member = _tree(spark, sf_dir)
+    named = person.groupBy(F.lower("name")).agg(F.min("ord").alias("ord"), F.min_by(F.struct("pid", "name"), "ord").alias("p"))
+    own = named.where("p.pid like 'C%'").orderBy(F.desc("ord")).first()["p"]
+    mother = pedigree.parents(person, member).where((F.col("child") == own["pid"]) & (F.col("pos") == 1)).first()["parent"]
+    mother = person.where(F.col("pid") == mother).first()["name"]
+    return flows.search_path(person, member, f"  {own['name'].lower()} ", mother)
+
+
+def path_search_unknown(spark, sf_dir):
+    return flows.search_path(*_tree(spark, sf_dir), "Supplier#000000001", " nobody of this name  ")
+
+
 def _names(spark, sf_dir):
     """Distinct names of parts, and the same names cut short by a letter."""
     names = _t(spark, sf_dir, "part").select(N.norm_name(F.col("p_name")).alias("key")).distinct()
@@ -215,7 +241,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         segment_sum_by_group_key, kinship_bands, detect_id_columns, norm_name_documents, name_tokens_split, sorted_names, person_lookup,
-        pedigree_parents, pedigree_spouses, graph_edges, ancestor_closure, mrca_direct_path, mermaid_direct, affinity_path_length, path_search,
+        pedigree_parents, pedigree_spouses, graph_edges, graph_nodes, first_registrations, ancestor_closure, mrca_direct_path, mermaid_direct,
+        affinity_path_length, path_search, path_search_direct, path_search_unknown,
         surname_blocking, prefix_blocking, soft_prefix_jaccard, fuzzy_ratio_scores, accept_decision,
         dna_analysis_results, dna_analysis_skipped, dna_analysis_summary,
     )
@@ -315,6 +342,15 @@ ORACLES = {
     "pedigree_spouses": f"WITH {_COUPLES} SELECT h AS pid, w AS spouse, CAST(0 AS INTEGER) AS pos FROM couples UNION ALL SELECT w, h, CAST(row_number() OVER (PARTITION BY w ORDER BY 'F' || f, f) - 1 AS INTEGER) FROM (SELECT w, h, f FROM couples)".replace("ORDER BY 'F' || f, f", "ORDER BY f"),
     "graph_edges": f"""WITH {_COUPLES}, e AS (SELECT h AS p, 'F' || f AS f FROM couples UNION SELECT w, 'F' || f FROM couples UNION SELECT 'C' || c_custkey, 'F' || (c_custkey // 4) FROM customer WHERE c_custkey >= 4)
         SELECT p AS src, f AS dst FROM e UNION ALL SELECT f, p FROM e""",
+    "graph_nodes": f"WITH {_PEOPLE}, {_COUPLES} SELECT pid AS id, name AS label, 'person' AS type FROM people UNION ALL SELECT 'F' || f, 'Familia', 'family' FROM couples",
+    "first_registrations": """WITH r AS (SELECT CAST(l_partkey AS VARCHAR) AS pid, ' A' || chr(771) || 'o ' || arg_min(l_suppkey, l_orderkey * 100 + l_linenumber) || chr(65533) || ' ' AS name FROM lineitem GROUP BY l_partkey)
+        SELECT pid, name, trim(replace(name, 'A' || chr(771), 'Ã')) AS name_clean, replace(name, chr(65533), '') AS name_whole FROM r""",
+    "path_search_direct": f"""WITH RECURSIVE {_PEOPLE}, {_PARENTS}, {_COUPLES}, {_REACH},
+        first AS (SELECT lower(name) AS name, min(ord) AS ord, arg_min(pid, ord) AS pid FROM people GROUP BY 1),
+        root AS (SELECT arg_max(pid, ord) AS pid, arg_max(name, ord) AS name FROM first WHERE pid LIKE 'C%'), mother AS (SELECT parent AS pid FROM parents WHERE child = (SELECT pid FROM root) AND pos = 1),
+        {_MET}, {_CHARTS}
+        SELECT (SELECT name FROM root) AS person1_name, (SELECT name FROM people WHERE pid = b) AS person2_name, text_path, mermaid_data, '{flows.DIRECT}' AS message, true AS success FROM drawn WHERE b = (SELECT pid FROM mother)""",
+    "path_search_unknown": "SELECT CAST(NULL AS VARCHAR) AS person1_name, CAST(NULL AS VARCHAR) AS person2_name, CAST(NULL AS VARCHAR) AS text_path, CAST(NULL AS VARCHAR) AS mermaid_data, 'Pessoa 2 ''nobody of this name'' não encontrada.' AS message, false AS success",
     "ancestor_closure": f"WITH RECURSIVE {_PEOPLE}, {_PARENTS}, {_REACH} SELECT src, node, CAST(d AS INTEGER) AS d, array_to_string(ids, '>') AS path FROM closed WHERE src IN (SELECT child FROM parents)",
     "mrca_direct_path": f"WITH RECURSIVE {_PEOPLE}, {_PARENTS}, {_REACH}, {_LAST}, {_MET} SELECT a, b, ancestor, array_to_string(path, '>') AS path FROM met",
     "affinity_path_length": f"""WITH RECURSIVE {_COUPLES}, h AS (SELECT h AS p, 'F' || f AS f FROM couples UNION SELECT w, 'F' || f FROM couples UNION SELECT 'C' || c_custkey, 'F' || (c_custkey // 4) FROM customer WHERE c_custkey >= 4),

@@ -21,13 +21,14 @@ _PATH = "person1_name string, person2_name string, text_path string, mermaid_dat
 def search_path(person: DataFrame, member: DataFrame, first: str, second: str) -> DataFrame:
     """One row: how two people connect, through a common ancestor or else through a marriage.
 
-    What comes to the driver is one path and the people on it.
+    Names are asked for, and given back, without blanks at their ends.  What comes to the driver is one path and the people on it.
     """
     spark = person.sparkSession
 
     def answer(message, success, names=(None, None), text=None, chart=None):
         return spark.createDataFrame([(*names, text, chart, message, success)], _PATH)
 
+    first, second = first.strip(), second.strip()
     asked = spark.createDataFrame([(first,), (second,)], "query string")
     found = pedigree.find_people(person, asked).groupBy("query").agg(F.min(F.struct("ord", "pid", "name")).alias("p")).collect()
     at = {r["query"]: r["p"] for r in found}
@@ -35,7 +36,7 @@ def search_path(person: DataFrame, member: DataFrame, first: str, second: str) -
         if name not in at:
             return answer(f"Pessoa {k} '{name}' não encontrada.", False)
     a, b = at[first]["pid"], at[second]["pid"]
-    names = (at[first]["name"], at[second]["name"])
+    names = (first, second)
     pair = spark.createDataFrame([(a, b)], "a string, b string")
     parents, couples = cut(pedigree.parents(person, member), "parents"), cut(pedigree.spouses(person, member), "spouses")
     direct = climb.common_ancestors(pair, parents).collect()

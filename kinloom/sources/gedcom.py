@@ -2,37 +2,77 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinloom.functions.names import display_name
 
+# The ANSEL character set beyond ASCII; marks stand before the letter that bears them.
+ANSEL = {
+    0xA1: "Ł", 0xA2: "Ø", 0xA3: "Đ", 0xA4: "Þ", 0xA5: "Æ", 0xA6: "Œ", 0xA7: "ʹ", 0xA8: "·", 0xA9: "♭", 0xAA: "®", 0xAB: "±", 0xAC: "Ơ", 0xAD: "Ư", 0xAE: "ʼ", 0xB0: "ʻ",
+    0xB1: "ł", 0xB2: "ø", 0xB3: "đ", 0xB4: "þ", 0xB5: "æ", 0xB6: "œ", 0xB7: "ʺ", 0xB8: "ı", 0xB9: "£", 0xBA: "ð", 0xBC: "ơ", 0xBD: "ư", 0xC0: "°", 0xC1: "ℓ", 0xC2: "℗",
+    0xC3: "©", 0xC4: "♯", 0xC5: "¿", 0xC6: "¡", 0xCF: "ß",
+}
+ANSEL_MARKS = {
+    0xE0: "\u0309", 0xE1: "\u0300", 0xE2: "\u0301", 0xE3: "\u0302", 0xE4: "\u0303", 0xE5: "\u0304", 0xE6: "\u0306", 0xE7: "\u0307", 0xE8: "\u0308", 0xE9: "\u030c", 0xEA: "\u030a",
+    0xEB: "\ufe20", 0xEC: "\ufe21", 0xED: "\u0315", 0xEE: "\u030b", 0xEF: "\u0310", 0xF0: "\u0327", 0xF1: "\u0328", 0xF2: "\u0323", 0xF3: "\u0324", 0xF4: "\u0325", 0xF5: "\u0333",
+    0xF6: "\u0332", 0xF7: "\u0326", 0xF8: "\u031c", 0xF9: "\u032e", 0xFA: "\ufe22", 0xFB: "\ufe23", 0xFE: "\u0313",
+}
+
+
+def from_ansel(data: bytes) -> str:
+    """Text of ANSEL bytes, composed; bytes without a character become U+FFFD."""
+    out, marks = [], ""
+    for b in data:
+        if b in ANSEL_MARKS:
+            marks += ANSEL_MARKS[b]
+            continue
+        out += [chr(b) if b < 0x80 else ANSEL.get(b, "\ufffd"), marks]
+        marks = ""
+    return unicodedata.normalize("NFC", "".join(out))
+
+
+@F.pandas_udf(T.StringType())
+def _ansel(content: pd.Series) -> pd.Series:
+    return content.map(lambda c: c if c is None else from_ansel(c))
+
+
 _LINE = r"^\s*(\d+)\s+(?:(@[^@]+@)\s+)?(\S+)(?: (.*))?$"
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """``pos, level, xref, tag, value`` of every line; a line against the grammar raises an error.
 
-    Bytes that are no UTF-8 make the file be read as Latin-1.
+    A byte order mark tells UTF-16, and the header ANSEL; other bytes that are
+    no UTF-8 make the file be read as Latin-1.  ``file`` numbers the files by path.
     """
     raw = spark.read.format("binaryFile").load(path).select("path", F.col("content").alias("c"))
-    text = F.coalesce(F.try_validate_utf8(F.col("c").cast("string")), F.decode("c", "ISO-8859-1"))
-    rows = raw.select("path", F.posexplode(F.split(F.regexp_replace(text, "^﻿", ""), "\r\n|\r|\n")).alias("pos", "line")).where("trim(line) <> ''")
+    number = raw.select("path").distinct().select("path", (F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("file"))  # a row a file
+    raw = raw.join(F.broadcast(number), "path").drop("path")
+    wide = F.hex(F.substring("c", 1, 2)).isin("FFFE", "FEFF")
+    ansel = F.rlike(F.decode(F.substring("c", 1, 4096), "ISO-8859-1"), F.lit(r"(?m)^\s*1\s+CHAR\s+ANSEL\s*$"))
+    text = F.when(wide, F.decode("c", "UTF-16")).when(ansel, _ansel("c")).otherwise(F.coalesce(F.try_validate_utf8(F.col("c").cast("string")), F.decode("c", "ISO-8859-1")))
+    rows = raw.select("file", F.posexplode(F.split(F.regexp_replace(text, "^﻿", ""), "\r\n|\r|\n")).alias("pos", "line")).where("trim(line) <> ''")
     good = F.rlike("line", F.lit(_LINE))
     level = F.when(good, F.regexp_extract("line", _LINE, 1)).otherwise(F.raise_error(F.concat(F.lit("not a GEDCOM line: "), F.col("line"))))
     part = lambda i: F.nullif(F.regexp_extract("line", _LINE, i), F.lit(""))
-    return rows.select("path", "pos", level.cast("int").alias("level"), part(2).alias("xref"), F.upper(part(3)).alias("tag"), part(4).alias("value"))
+    return rows.select("file", "pos", level.cast("int").alias("level"), part(2).alias("xref"), F.upper(part(3)).alias("tag"), part(4).alias("value"))
 
 
 def read_gedcom(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """``person(ord, pid, name, famc, fams)`` and ``family_member(fam_ord, fid, tag, pos, pid)``.
 
-    Of records that share an id the last one counts, in the place of the first.
+    Of records that share an id the last one counts, in the place of the first;
+    several files are read in the order of their paths, as if end to end.
     """
     every = lines(spark, path)
-    inside = Window.partitionBy("path").orderBy("pos")
-    own = every.withColumn("record", F.sum((F.col("level") == 0).cast("long")).over(inside))
-    heads = own.where("level = 0 and tag in ('INDI', 'FAM') and xref is not null").select("path", "record", "xref", F.col("tag").alias("kind"))
+    inside = Window.partitionBy("file").orderBy("pos")
+    own = every.withColumn("record", F.shiftleft("file", 40) + F.sum((F.col("level") == 0).cast("long")).over(inside))
+    heads = own.where("level = 0 and tag in ('INDI', 'FAM') and xref is not null").select("record", "xref", F.col("tag").alias("kind"))
     best = heads.groupBy("xref", "kind").agg(F.min("record").alias("ord"), F.max("record").alias("record"))
     facts = own.where("level = 1").select("record", "pos", "tag", "value").join(best, "record")
     at = F.struct("pos", "value")
@@ -48,3 +88,8 @@ def read_gedcom(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         F.col("ord").alias("fam_ord"), F.col("xref").alias("fid"), "tag", "pos", F.trim("value").alias("pid")
     )
     return person, member
+
+
+def read_families(spark: SparkSession, path: str) -> DataFrame:
+    """``fid`` of every family record, with members or without."""
+    return lines(spark, path).where("level = 0 and tag = 'FAM' and xref is not null").select(F.col("xref").alias("fid")).distinct()

@@ -24,9 +24,14 @@ class Roles:
 
 
 def read_matches(spark: SparkSession, path: str) -> DataFrame:
-    """The file as a table with ``row_ord``: UTF-8 if all of it is, else Latin-1; headers are trimmed, values at their left."""
+    """The file as a table with ``row_ord``: UTF-8 if all of it is, else Latin-1; headers are trimmed, values at their left.
+
+    A quoted value may hold commas, line breaks and doubled quotes.
+    """
     sound = spark.read.format("binaryFile").load(path).agg(F.bool_and(F.is_valid_utf8(F.col("content").cast("string")))).first()[0]
-    rows = spark.read.csv(path, header=True, inferSchema=True, ignoreLeadingWhiteSpace=True, encoding="UTF-8" if sound else "ISO-8859-1")
+    rows = spark.read.csv(
+        path, header=True, inferSchema=True, ignoreLeadingWhiteSpace=True, quote='"', escape='"', multiLine=True, encoding="UTF-8" if sound else "ISO-8859-1"
+    )
     rows = rows.toDF(*(c.strip() for c in rows.columns))
     return rows.withColumn("row_ord", F.monotonically_increasing_id())
 
