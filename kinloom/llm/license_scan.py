@@ -4,12 +4,16 @@ Every run of ``GRAM`` words of every text is hashed and joined to the positions
 of the license templates that have the same run.  A hit votes for the diagonal
 ``place in the text - place in the template``; votes are gathered by document,
 template and diagonal.  Neighbouring diagonals, which a word put in or left out
-splits, are merged, and a span stands if enough of the template's runs voted.
-Exact templates need all their runs on one diagonal.
+splits, are merged, and the span is verified: the longest chain of hits that goes
+forward in the text and in the template must hold enough of the template's runs,
+so that words in another order don't count.  Exact templates need all their runs
+on one diagonal.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -69,6 +73,21 @@ def _rolled(batches):
         )
 
 
+def _chain(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest run of hits ``(at, place)`` on these diagonals, whose places in template and text both rise."""
+    hits = sorted(((at, d + at) for d, v in places for at in range(v.bit_length()) if v >> at & 1), key=lambda h: (h[0], -h[1]))
+    ends, last, back = [], [], [-1] * len(hits)
+    for i, (_, place) in enumerate(hits):
+        k = bisect_left(ends, place)
+        back[i] = last[k - 1] if k else -1
+        ends[k : k + 1], last[k : k + 1] = [place], [i]
+    out, i = [], last[-1]
+    while i >= 0:
+        out.append(hits[i])
+        i = back[i]
+    return out[::-1]
+
+
 def _verify(known: list[tuple[list[str], str, bool]]):
     need = [(1 << (len(words) - GRAM + 1)) - 1 for words, _, _ in known]
 
@@ -85,15 +104,13 @@ def _verify(known: list[tuple[list[str], str, bool]]):
                 continue
             i = 0
             while i < len(places):
-                j, v = i + 1, places[i][1]
+                j = i + 1
                 while j < len(places) and places[j][0] - places[j - 1][0] <= NEAR:
-                    v |= places[j][1]
                     j += 1
-                cover = v.bit_count() / need[t].bit_count()
+                chain = _chain(places[i:j])
+                cover = len(chain) / need[t].bit_count()
                 if cover >= COVER:
-                    start = places[i][0] + (places[i][1] & -places[i][1]).bit_length() - 1
-                    stop = places[j - 1][0] + places[j - 1][1].bit_length() - 1 + GRAM
-                    found.append({"label": label, "start": max(0, start), "stop": stop, "coverage": cover, "exact": False})
+                    found.append({"label": label, "start": chain[0][1], "stop": chain[-1][1] + GRAM, "coverage": cover, "exact": False})
                 i = j
         return sorted(found, key=lambda s: (s["start"], s["stop"], s["label"]))
 

@@ -1,26 +1,20 @@
 """Tables cut out of the lineage, in the folder the cluster shares.
 
-``spark.checkpoint.dir`` names that folder.  Where it is unset, as in tests on
-one machine, a temporary folder of the driver serves.  A cut is written as
+``spark.checkpoint.dir`` names that folder.  Where it is unset and all runs on
+one machine, as in tests, a temporary folder serves and goes with the driver; on
+a cluster that is an error.  A cut is written as
 Parquet and read back: it survives lost executors, since nothing upstream of it
 is ever computed again, and columns are pruned on the way back in.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='kinloom-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from kinloom.session import shared_folder
 
 
 class Scratch:
