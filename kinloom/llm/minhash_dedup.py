@@ -26,8 +26,9 @@ probability of at most ``BANDED`` (25 bands of 5 at 0.85, 37 at 0.8).  Sets hold
 64-bit hashes of shingles; that two shingles of a compared pair share one, or
 that two classes share the 128 bits of theirs, isn't to be expected at any size.
 
-A class with so many copies that it would stand out among the tasks is joined to
-them by broadcast.  There are at most ``EVEN`` such classes a task.
+A class with so many copies, or a bucket with so many classes, that it would stand
+out among the tasks is joined by broadcast.  There are at most ``EVEN`` of either
+a task.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ from kinloom.llm.scratch import Scratch
 BANDED, ROWS, BANDS = 5e-7, 5, 48
 #: Classes of a bucket that gives all its pairs, classes of a block, bytes of a block's sets, hash functions of a batch.
 SMALL, BLOCK, SET_BYTES, STEP = 64, 1024, 32 << 20, 25
-#: Parts of an even share of a task from which a class counts as large.
+#: The part of a task's even share of rows from which a class or a bucket counts as large is one in so many.
 EVEN = 8
 
 
@@ -381,8 +382,9 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, text: str = "text", key:
     reps = scratch.cut(reps.drop("one", "two"), "reps")
     member = scratch.cut(member.select("doc_id", "n_shingles", F.col("cid").alias("node")), "member")
     keys = reps.select("cid", F.explode("bands").alias("key")).distinct()
-    sizes = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    bucket = scratch.cut(keys.join(sizes, "key"), "bucket")
+    sizes = scratch.cut(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    crowded = sizes.where(F.col("size") > max(1.0, reps.count() * plan.bands / (EVEN * tasks))).select("key")
+    bucket = scratch.cut(evenly(keys, sizes, "key", crowded), "bucket")
     signed = bucket.join(reps.select("cid", "sig"), "cid")
     blocks = F.ceil(F.col("size") / F.lit(BLOCK))
     pairs = _dealt(signed, blocks).mapInArrow(_compare(threshold, miss, plan.hashes), "a long, b long").distinct()
@@ -404,13 +406,13 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, text: str = "text", key:
     large = bucket.where(F.col("size") > SMALL).join(first, F.col("cid") == F.col("node"), "left")
     large = large.select("key", "size", "cid", F.coalesce("root", "cid").alias("comp"))
     mixed = large.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    open_ = scratch.cut(large.join(mixed, "key", "left_semi"), "open")
+    open_ = scratch.cut(evenly(large, mixed, "key", crowded, "left_semi"), "open")
     if not open_.isEmpty():
         wanted = scratch.cut(open_.select("cid").distinct(), "wanted")
         held = scratch.cut(sets(wanted).join(reps.select("cid", "sig"), "cid"), "open-sets")
         weight = open_.join(held.select("cid", F.octet_length("set").alias("bytes")), "cid").groupBy("key").agg(F.sum("bytes").alias("bytes"))
         blocks = F.greatest(blocks, F.ceil(F.col("bytes") / F.lit(SET_BYTES)))
-        rows = _dealt(open_.join(weight, "key").join(held, "cid"), blocks)
+        rows = _dealt(evenly(open_, weight, "key", crowded).join(held, "cid"), blocks)
         more = rows.mapInArrow(_finish(threshold, miss, percent, plan.hashes), "a long, b long").distinct()
         more = scratch.cut(more, "more")
         first = scratch.cut(components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), scratch), "second")
