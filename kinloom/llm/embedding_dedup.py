@@ -1,33 +1,41 @@
 """Embedding near-duplicates: spherical k-means cells and blocked cosine products.
 
 Each vector is at home in the cell of its nearest centre.  A pair at the
-threshold can lie on either side of a border between cells, so a vector also
-visits each cell of a lower number whose border is no further away than the
-threshold's angle: with unit centres c (home) and e, the distance of x to their
-border is x.(c - e) / |c - e|, and no vector within the angle t of x is at home
-beyond it if that exceeds sin(t).  The cells therefore find every link, with any
-centres; centres are fitted on a bounded sample only to make cells small.
-
-Exact copies are one class with a multiplicity.  Cells are dealt into blocks of
-``BLOCK`` vectors; each pair of blocks is a task of its own that returns a count
-of links a vector and a forest of links, both linear in its rows.
+threshold can lie on either side of a border between cells, so a vector is also
+compared with each cell of a lower number whose border is no further away than
+the threshold's angle: with unit centres c (home) and e, the distance of x to
+their border is x.(c - e) / |c - e|, and no vector within the angle t of x is at
+home beyond it if that exceeds sin(t).  The cells therefore find every link, with
+any centres; centres are fitted on a bounded sample only to make cells small.
+
+Exact copies are one class with a multiplicity.  Classes are sorted by cell and
+written as files of unit vectors, each once; a block is ``BLOCK`` classes of a
+cell, and a table of blocks, with the cells that any of a block's vectors
+reaches, is all that is shuffled after that.  Each pair of blocks to compare is a
+row, whose task reads the blocks' files, multiplies, and returns a count of links
+a class and a forest of links, both linear in its rows.  Products are taken in
+single precision first; what could reach the threshold is taken in double.
 """
 
 from __future__ import annotations
 
 import math
+import posixpath
+import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinloom.llm import textkernel as K
 from kinloom.llm.graph import components
-from kinloom.llm.minhash_dedup import _groups
+from kinloom.llm.minhash_dedup import EVEN, evenly
+from kinloom.llm.repair_store import _store
 from kinloom.llm.scratch import Scratch
 
-#: Rows that centres are fitted on, vectors aimed at in a cell, most centres, rows in a block.
+#: Rows that centres are fitted on, vectors aimed at in a cell, most centres, classes in a block.
 SAMPLE, CELL, CENTRES, BLOCK = 20_000, 1_500, 1_024, 1_024
 
 
@@ -74,76 +82,125 @@ def fit_centres(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return np.unique(centres, axis=0)
 
 
-def _assign(centres: np.ndarray, threshold: float):
-    reach = math.sqrt(max(0.0, 1 - threshold * threshold)) + 1e-9
-    gap = np.sqrt(np.maximum(((centres[:, None] - centres[None]) ** 2).sum(2), 1e-30)) if len(centres) else np.zeros((0, 0))
+def _home(centres: np.ndarray):
+    """The rows with their home cells; an odd dimension is a cell of its own."""
 
     def run(batches):
         for batch in batches:
             vec = batch.column(batch.schema.get_field_index("vec"))
             dims = vec.value_lengths().to_numpy(zero_copy_only=False)
-            rows, cells, homes = [], [], []
-            for dim in np.unique(dims):
-                own = np.flatnonzero(dims == dim)
-                if not len(centres) or dim != centres.shape[1]:  # an odd dimension is a cell of its own
-                    rows.append(own), cells.append(np.full(len(own), -int(dim))), homes.append(np.ones(len(own), bool))
-                    continue
-                for i in range(0, len(own), 4096):
-                    part = own[i : i + 4096]
-                    cos = _matrix(vec.take(pa.array(part)), int(dim)) @ centres.T
-                    home = np.argmax(cos, 1)
-                    near = (cos[np.arange(len(part)), home][:, None] - cos) <= reach * gap[home]
-                    near &= np.arange(len(centres)) < home[:, None]
-                    near[np.arange(len(part)), home] = True
-                    r, c = np.nonzero(near)
-                    rows.append(part[r]), cells.append(c), homes.append(c == home[r])
-            rows, cells, homes = (np.concatenate(x) for x in (rows, cells, homes))
-            for i in range(0, len(rows), 8192):
-                cut = slice(i, i + 8192)
-                taken = batch.take(pa.array(rows[cut]))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cells[cut].astype(np.int64)), pa.array(homes[cut])], [*taken.schema.names, "cell", "home"])
+            cell = -dims.astype(np.int64)
+            own = np.flatnonzero(dims == centres.shape[1]) if len(centres) else np.zeros(0, np.int64)
+            for i in range(0, len(own), 4096):
+                part = own[i : i + 4096]
+                cell[part] = np.argmax(_matrix(vec.take(pa.array(part)), centres.shape[1]) @ centres.T, 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], [*batch.schema.names, "cell"])
 
     return run
 
 
-def _each(batches):
-    """Tables of one block pair each."""
-    for table in _groups(batches, ("cell", "left", "right"), 1):
-        new = np.zeros(len(table) - 1, bool)
-        for name in ("cell", "left", "right"):
-            values = table[name].to_numpy()
-            new |= values[1:] != values[:-1]
-        cuts = [0, *(np.flatnonzero(new) + 1), len(table)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            yield table.slice(a, b - a)
+def _reached(x: np.ndarray, home: int, centres: np.ndarray, threshold: float) -> np.ndarray:
+    """Cells of a lower number than the home cell whose border any of the vectors is near."""
+    reach = math.sqrt(max(0.0, 1 - threshold * threshold)) + 1e-9
+    lower = centres[:home]
+    gap = np.sqrt(np.maximum(((centres[home] - lower) ** 2).sum(1), 1e-30))
+    return np.flatnonzero((x @ centres[home][:, None] - x @ lower.T <= reach * gap).any(0))
 
 
-def _links(threshold: float):
+_BLOCKS = "file string, cell long, dim long, size long, reached array<long>"
+
+
+def _write_blocks(folder: str, centres: np.ndarray, threshold: float):
+    """Files of a cell's classes each, ``BLOCK`` at most: class ids, multiplicities, unit vectors."""
+
     def run(batches):
-        for table in _each(batches):
+        system = root = None
+        held: list[pa.RecordBatch] = []
+        rows, cell = 0, None
+
+        def write():
+            table = pa.Table.from_batches(held).combine_chunks()
             dim = len(table["vec"][0])
-            cid, times = table["cid"].to_numpy(), table["times"].to_numpy()
-            home, blk = table["home"].to_numpy(), table["blk"].to_numpy()
-            left, right = table["left"][0].as_py(), table["right"][0].as_py()
             x = _matrix(table["vec"].combine_chunks(), dim)
-            linked = x @ x.T >= threshold
-            np.fill_diagonal(linked, False)
-            if right < 0:  # homes of one block against visitors of another
-                linked &= home[:, None] != home[None]
-            elif left != right:
-                linked &= blk[:, None] != blk[None]
-            count = linked @ times
-            label = np.arange(len(cid))
-            while True:
-                best = np.where(linked, label[None], len(label)).min(1, initial=len(label))
-                best = np.minimum(best, label)
-                best = best[best]
-                if (best == label).all():
-                    break
-                label = best
-            some = np.flatnonzero(count)
-            if len(some):
-                yield pa.RecordBatch.from_arrays([pa.array(cid[some]), pa.array(count[some].astype(np.int64)), pa.array(cid[label[some]])], ["cid", "links", "other"])
+            name = f"{uuid.uuid4().hex}.vec"
+            with system.open_output_stream(posixpath.join(root, name)) as out:
+                for part in (np.array([len(x), dim], "<i8"), table["cid"].to_numpy().astype("<i8"), table["times"].to_numpy().astype("<i8"), x.astype("<f8")):
+                    out.write(part.tobytes())
+            reached = _reached(x, cell, centres, threshold) if cell >= 0 else np.zeros(0, np.int64)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([cell], pa.int64()), pa.array([dim]), pa.array([len(x)]), pa.array([reached.tolist()], pa.list_(pa.int64()))], ["file", "cell", "dim", "size", "reached"])
+
+        for batch in batches:
+            if system is None:
+                system, root = _store(folder)
+                system.create_dir(root, recursive=True)
+            cells = batch.column(batch.schema.get_field_index("cell")).to_numpy()
+            edge = [0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1).tolist(), len(cells)]
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                while a < b:
+                    if held and (cells[a] != cell or rows == BLOCK):
+                        yield write()
+                        rows = 0
+                    take = min(b - a, BLOCK - rows)
+                    held.append(batch.slice(a, take))
+                    cell, rows, a = int(cells[a]), rows + take, a + take
+        if held:
+            yield write()
+
+    return run
+
+
+@lru_cache(64)
+def _file(name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    system, path = _store(name)
+    with system.open_input_stream(path) as file:
+        data = file.read()
+    n, dim = (int(v) for v in np.frombuffer(data, "<i8", 2))
+    return np.frombuffer(data, "<i8", n, 16), np.frombuffer(data, "<i8", n, 16 + 8 * n), np.frombuffer(data, "<f8", n * dim, 16 + 16 * n).reshape(n, dim)
+
+
+def _block(names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    parts = [_file(n) for n in names]
+    return parts[0] if len(parts) == 1 else tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+
+
+def linked(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows with a product of at least ``threshold`` in double precision."""
+    near = x.astype(np.float32) @ y.astype(np.float32).T >= threshold - 2.4e-7 * (x.shape[1] + 8)
+    if near.sum() > near.size // 16:
+        return np.nonzero(x @ y.T >= threshold)
+    a, b = np.nonzero(near)
+    good = np.einsum("ij,ij->i", x[a], y[b]) >= threshold
+    return a[good], b[good]
+
+
+def _links(threshold: float):
+    def run(batches):
+        for batch in batches:
+            for one, other in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
+                cid, times, x = _block(one)
+                if one == other:
+                    a, b = linked(x, x, threshold)
+                    a, b = a[a != b], b[a != b]
+                else:
+                    more, weight, y = _block(other)
+                    a, b = linked(x, y, threshold)
+                    a, b = np.concatenate((a, b + len(cid))), np.concatenate((b + len(cid), a))
+                    cid, times = np.concatenate((cid, more)), np.concatenate((times, weight))
+                if not len(a):
+                    continue
+                count = np.zeros(len(cid), np.int64)
+                np.add.at(count, a, times[b])
+                label = np.arange(len(cid))
+                while True:
+                    best = label.copy()
+                    np.minimum.at(best, a, label[b])
+                    best = best[best]
+                    if (best == label).all():
+                        break
+                    label = best
+                some = np.flatnonzero(count)
+                yield pa.RecordBatch.from_arrays([pa.array(cid[some]), pa.array(count[some]), pa.array(cid[label[some]])], ["cid", "links", "other"])
 
     return run
 
@@ -161,11 +218,14 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, key: str = "vec_id", colu
     source = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("vec"))
     rows = scratch.cut(source.mapInArrow(_prepare, "vec_id long, good boolean, one long, two long, vec array<double>"), "vectors")
     good = rows.where("good and vec_id is not null")
-    classes = good.groupBy("one", "two").agg(F.min("vec_id").alias("cid"), F.count("*").alias("times"))
-    member = good.join(classes, ["one", "two"])
+    classes = scratch.cut(good.groupBy("one", "two").agg(F.min("vec_id").alias("cid"), F.count("*").alias("times")), "sizes")
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    common = classes.where(F.col("times") > max(1.0, rows.count() / (EVEN * tasks))).select("one", "two")  # at most EVEN for each task
+    member = evenly(good, classes, ["one", "two"], common)
     first = member.where("vec_id = cid").select("cid", "one", "two", "times", "vec").dropDuplicates(["cid", "one", "two"])
     reps = scratch.cut(first.withColumn("class", F.xxhash64("one", "two")).drop("one", "two"), "classes")
     member = scratch.cut(member.select("vec_id", "cid", "times", F.xxhash64("one", "two").alias("class")), "members")
+    hot = scratch.cut(common.join(classes, ["one", "two"]).select(F.xxhash64("one", "two").alias("class"), F.col("cid").alias("node")), "common")
 
     total = reps.count()
     dim = reps.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
@@ -175,26 +235,28 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, key: str = "vec_id", colu
     k = min(CENTRES, max(1, round(total / CELL)))
     centres = fit_centres(_matrix(sample, dim), min(k, len(sample))) if sample is not None and len(sample) else np.zeros((0, 0))
 
-    placed = reps.select("class", "times", "vec").mapInArrow(_assign(centres, threshold), "class long, times long, vec array<double>, cell long, home boolean")
-    placed = scratch.cut(placed.withColumnRenamed("class", "cid"), "placed")
-    sizes = placed.groupBy("cell").agg(F.count_if("home").alias("homes"), F.count_if(~F.col("home")).alias("guests"))
-    dealt = placed.join(F.broadcast(sizes), "cell")  # at most CENTRES cells and one for each odd dimension
-    blocks = dealt.withColumn("nh", F.ceil(F.col("homes") / F.lit(BLOCK)).cast("int")).withColumn("ng", F.ceil(F.col("guests") / F.lit(BLOCK)).cast("int"))
-    blocks = blocks.withColumn("blk", F.pmod(F.xxhash64("cid"), F.when(F.col("home"), F.col("nh")).otherwise(F.col("ng"))).cast("int"))
-    among = F.transform(F.sequence(F.lit(0), F.col("nh") - 1), lambda j: F.struct(F.least("blk", j).alias("left"), F.greatest("blk", j).alias("right")))
-    host = F.when(F.col("ng") > 0, F.transform(F.sequence(F.lit(1), F.col("ng")), lambda j: F.struct(F.col("blk").alias("left"), (-j).alias("right")))).otherwise(F.array())
-    guest = F.when(F.col("nh") > 0, F.transform(F.sequence(F.lit(0), F.col("nh") - 1), lambda j: F.struct(j.alias("left"), (-F.col("blk") - 1).alias("right")))).otherwise(F.array())
-    tasks = blocks.withColumn("task", F.explode(F.when(F.col("home"), F.concat(among, host)).otherwise(guest)))
-    tasks = tasks.select("cid", "times", "vec", "home", "blk", "cell", "task.left", "task.right")
-    tasks = tasks.repartition("cell", "left", "right").sortWithinPartitions("cell", "left", "right", "cid")
-    found = scratch.cut(tasks.mapInArrow(_links(threshold), "cid long, links long, other long"), "found")
+    folder = scratch.path("blocks")
+    placed = reps.select(F.col("class").alias("cid"), "times", "vec").mapInArrow(_home(centres), "cid long, times long, vec array<double>, cell long")
+    placed = placed.repartitionByRange(max(1, -(-total // (8 * BLOCK))), "cell", "cid").sortWithinPartitions("cell", "cid")
+    files = scratch.cut(placed.mapInArrow(_write_blocks(folder, centres, threshold), _BLOCKS), "blocks")
+    # Files of a cell are put together to blocks; a row a file, so that even a cell that holds most vectors is soon numbered.
+    before = F.sum("size").over(Window.partitionBy("cell").orderBy("file")) - F.col("size")
+    named = F.transform(F.array_sort(F.collect_list("file")), lambda f: f)
+    blocks = files.withColumn("block", F.floor(before / BLOCK)).groupBy("cell", "block").agg(named.alias("files"), F.array_distinct(F.flatten(F.collect_list("reached"))).alias("reached"))
+    blocks = scratch.cut(blocks, "numbered")
+    reach = blocks.select(F.col("cell").alias("home"), F.col("block").alias("own"), F.col("files").alias("one"), F.explode(F.concat(F.array("cell"), "reached")).alias("cell"))
+    pairs = reach.join(blocks.select("cell", "block", F.col("files").alias("other")), "cell").where("home <> cell or own <= block").select("one", "other")
+    pairs = scratch.cut(pairs, "pairs")
+    n = max(1, min(pairs.count(), 16 * vectors.sparkSession.sparkContext.defaultParallelism))
+    found = scratch.cut(pairs.repartition(n, F.xxhash64("one", "other")).mapInArrow(_links(threshold), "cid long, links long, other long"), "found")
     counts = found.groupBy("cid").agg(F.sum("links").alias("links"))
     name = reps.select("class", "cid")
     pairs = found.select("cid", "other").distinct().withColumnRenamed("cid", "class").join(name, "class").select(F.col("cid").alias("a"), "other")
     pairs = pairs.join(name.select(F.col("class").alias("other"), F.col("cid").alias("b")), "other").select("a", "b")
     joined = components(pairs, scratch)
 
-    placed_rows = member.join(counts.withColumnRenamed("cid", "class"), "class", "left").join(joined, F.col("cid") == F.col("node"), "left")
+    roots = evenly(member.withColumnRenamed("cid", "node"), joined, "node", hot.select("node").distinct(), "left")
+    placed_rows = evenly(roots.withColumnRenamed("node", "cid"), counts.withColumnRenamed("cid", "class"), "class", hot.select("class").distinct(), "left")
     linked = placed_rows.select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("root", "cid").alias("component_id"))
     alone = rows.where("not good or vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)))
