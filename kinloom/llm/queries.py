@@ -13,6 +13,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every text: their number, places, labels and best coverage."""
     from kinloom.llm.license_scan import license_spans
 
     found = license_spans(_table(spark, sf_dir, "documents"))
@@ -49,6 +50,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a benchmark item that stands in it."""
     from kinloom.llm.decontaminate import leaks
 
     return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), Scratch(spark, "op3"))
@@ -66,12 +68,14 @@ def op4_warc_derive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near copies, at 85 percent of five-word shingles."""
     from kinloom.llm.minhash_dedup import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents"), Scratch(spark, "op5"), percent=85)
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What formatted conversations give when they are read back: turns, text under the loss mask, and digests."""
     from kinloom.llm.chat_format import format_chats, parse, under_mask
 
     said = "</s>[INST] ok [/INST]"
@@ -112,12 +116,14 @@ FROM sized GROUP BY conv_id
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of vectors with a cosine of 0.95 or more."""
     from kinloom.llm.embedding_dedup import near_vectors
 
     return near_vectors(_table(spark, sf_dir, "embeddings"), Scratch(spark, "op7"), threshold=0.95)
 
 
 def op8_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' ids as the shard files have them: where they start, how many, and their checksum."""
     from kinloom.llm.repair_store import read_shards, write_shards
 
     return read_shards(write_shards(_table(spark, sf_dir, "documents"), Scratch(spark, "op8")))
@@ -135,16 +141,74 @@ def _classified(spark: SparkSession, sf_dir: str, operator, parts: int, held: in
 
 
 def op9_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores, learnt outside the fold of remainder 0 of 5."""
     from kinloom.llm.quality_knn import quality_scores
 
     return _classified(spark, sf_dir, quality_scores, 5, 0)
 
 
 def op10_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores, learnt outside the fold of remainder 2 of 4."""
     from kinloom.llm.toxicity_fm import toxicity_scores
 
     return _classified(spark, sf_dir, toxicity_scores, 4, 2)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_sentencepiece, op3_decontaminate, op4_warc_derive, op5_minhash_dedup, op6_chat_format, op7_embedding_dedup, op8_repair_tokens, op9_quality_knn, op10_toxicity_fm)}
-ORACLES: dict[str, str] = {"op6_chat_format": OP6_SQL}
+_LOW = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _op1_sql() -> str:
+    """Pairs of words of texts and templates by position, gathered by diagonal; loose templates' near diagonals are one span."""
+    from kinloom.llm.license_scan import COVER, NEAR, templates
+
+    known = ", ".join(f"({i}, '{label}', {exact}, {words!r})" for i, (words, label, exact) in enumerate(templates()))
+    return f"""
+WITH template(tid, label, exact, words) AS (VALUES {known}),
+tg AS (SELECT tid, label, exact, len(words) - 1 AS need, i - 1 AS nth, words[i] || ' ' || words[i + 1] AS w FROM (SELECT *, unnest(range(1, len(words))) AS i FROM template)),
+d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOW.format("text")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+g AS (SELECT rid, i - 1 AS place, ws[i] || ' ' || ws[i + 1] AS w FROM (SELECT *, unnest(range(1, len(ws))) AS i FROM d)),
+h AS (SELECT DISTINCT rid, tid, label, exact, need, place - nth AS diagonal, nth FROM g JOIN tg USING (w)),
+line AS (SELECT rid, tid, label, exact, need, diagonal, count(*) AS votes FROM h GROUP BY ALL),
+step AS (SELECT rid, tid, diagonal, CASE WHEN diagonal - lag(diagonal) OVER own > {NEAR} THEN 1 ELSE 0 END AS apart FROM line WHERE NOT exact WINDOW own AS (PARTITION BY rid, tid ORDER BY diagonal)),
+grouped AS (SELECT rid, tid, diagonal, sum(apart) OVER (PARTITION BY rid, tid ORDER BY diagonal) AS part FROM step),
+span AS (
+    SELECT rid, label, true AS exact, diagonal AS start, 1.0::DOUBLE AS coverage FROM line WHERE exact AND votes = need
+    UNION ALL SELECT rid, label, false, NULL, count(DISTINCT nth) / any_value(need) FROM h JOIN grouped USING (rid, tid, diagonal) WHERE NOT exact GROUP BY rid, tid, label, part
+        HAVING count(DISTINCT nth) / any_value(need) >= {COVER}),
+found AS (
+    SELECT rid, count(*) FILTER (WHERE exact) AS n_base, min(start) AS first_word, max(start) AS last_word, max(coverage) AS score,
+        string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE exact) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM span GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM d LEFT JOIN found USING (rid)
+"""
+
+
+_REACH = """reach AS (SELECT a AS node, a AS seen FROM link UNION SELECT reach.node, link.b FROM reach JOIN link ON link.a = reach.seen),
+least AS (SELECT node, min(seen) AS root FROM reach GROUP BY node)"""
+OP5_SQL = f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, regexp_extract_all({_LOW.format("text")}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS MATERIALIZED (
+    SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS w FROM (SELECT *, unnest(range(1, len(ws) - 3)) AS i FROM d WHERE len(ws) >= 5)
+    UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM d WHERE len(ws) BETWEEN 1 AND 4),
+size AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM s x JOIN s y ON x.w = y.w AND x.doc_id <> y.doc_id GROUP BY ALL),
+link AS MATERIALIZED (SELECT a, b FROM common c JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * c.n >= 85 * (x.n + y.n - c.n)),
+{_REACH}
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, d.doc_id) AS component_id, coalesce(root, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN size USING (doc_id) LEFT JOIN least ON node = d.doc_id
+"""
+OP7_SQL = f"""
+WITH RECURSIVE good AS MATERIALIZED (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b FROM good x JOIN good y ON x.vec_id <> y.vec_id AND len(x.v) = len(y.v) AND list_cosine_similarity(x.v, y.v) >= 0.95),
+{_REACH}
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(root, vec_id) AS component_id, coalesce(root, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY a) ON a = vec_id LEFT JOIN least ON node = vec_id
+"""
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_license_scan, op2_sentencepiece, op3_decontaminate, op4_warc_derive, op5_minhash_dedup, op6_chat_format, op7_embedding_dedup, op8_repair_tokens, op9_quality_knn, op10_toxicity_fm)
+}
+ORACLES: dict[str, str] = {"op1_license_scan": _op1_sql(), "op5_minhash_dedup": OP5_SQL, "op6_chat_format": OP6_SQL, "op7_embedding_dedup": OP7_SQL}
