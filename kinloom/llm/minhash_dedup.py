@@ -403,16 +403,18 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, text: str = "text", key:
     scratch.drop(pairs, held)
     first = scratch.cut(components(links, scratch), "first")
 
-    large = bucket.where(F.col("size") > SMALL).join(first, F.col("cid") == F.col("node"), "left")
+    large = bucket.where(F.col("size") > SMALL)
+    busy = sizes.where((F.col("size") > SMALL) & (F.col("size") > large.count() / (EVEN * tasks))).select("key")
+    large = large.join(first, F.col("cid") == F.col("node"), "left")
     large = large.select("key", "size", "cid", F.coalesce("root", "cid").alias("comp"))
     mixed = large.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    open_ = scratch.cut(evenly(large, mixed, "key", crowded, "left_semi"), "open")
+    open_ = scratch.cut(evenly(large, mixed, "key", busy, "left_semi"), "open")
     if not open_.isEmpty():
         wanted = scratch.cut(open_.select("cid").distinct(), "wanted")
         held = scratch.cut(sets(wanted).join(reps.select("cid", "sig"), "cid"), "open-sets")
         weight = open_.join(held.select("cid", F.octet_length("set").alias("bytes")), "cid").groupBy("key").agg(F.sum("bytes").alias("bytes"))
         blocks = F.greatest(blocks, F.ceil(F.col("bytes") / F.lit(SET_BYTES)))
-        rows = _dealt(evenly(open_, weight, "key", crowded).join(held, "cid"), blocks)
+        rows = _dealt(evenly(open_, weight, "key", busy).join(held, "cid"), blocks)
         more = rows.mapInArrow(_finish(threshold, miss, percent, plan.hashes), "a long, b long").distinct()
         more = scratch.cut(more, "more")
         first = scratch.cut(components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), scratch), "second")
