@@ -110,8 +110,8 @@ def _reached(x: np.ndarray, home: int, centres: np.ndarray, threshold: float) ->
 _BLOCKS = "file string, cell long, dim long, size long, reached array<long>"
 
 
-def _write_blocks(folder: str, centres: np.ndarray, threshold: float):
-    """Files of a cell's classes each, ``BLOCK`` at most: class ids, multiplicities, unit vectors."""
+def _write_blocks(folder: str, centres: np.ndarray, threshold: float, most: int):
+    """Files of a cell's classes each, ``most`` at most: class ids, multiplicities, unit vectors."""
 
     def run(batches):
         system = root = None
@@ -138,10 +138,10 @@ def _write_blocks(folder: str, centres: np.ndarray, threshold: float):
             edge = [0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1).tolist(), len(cells)]
             for a, b in zip(edge[:-1], edge[1:], strict=True):
                 while a < b:
-                    if held and (cells[a] != cell or rows == BLOCK):
+                    if held and (cells[a] != cell or rows == most):
                         yield write()
                         rows = 0
-                    take = min(b - a, BLOCK - rows)
+                    take = min(b - a, most - rows)
                     held.append(batch.slice(a, take))
                     cell, rows, a = int(cells[a]), rows + take, a + take
         if held:
@@ -238,10 +238,10 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, key: str = "vec_id", colu
     folder = scratch.path("blocks")
     placed = reps.select(F.col("class").alias("cid"), "times", "vec").mapInArrow(_home(centres), "cid long, times long, vec array<double>, cell long")
     placed = placed.repartitionByRange(max(1, -(-total // (8 * BLOCK))), "cell", "cid").sortWithinPartitions("cell", "cid")
-    files = scratch.cut(placed.mapInArrow(_write_blocks(folder, centres, threshold), _BLOCKS), "blocks")
+    files = scratch.cut(placed.mapInArrow(_write_blocks(folder, centres, threshold, BLOCK), _BLOCKS), "blocks")
     # Files of a cell are put together to blocks; a row a file, so that even a cell that holds most vectors is soon numbered.
     before = F.sum("size").over(Window.partitionBy("cell").orderBy("file")) - F.col("size")
-    named = F.transform(F.array_sort(F.collect_list("file")), lambda f: f)
+    named = F.array_sort(F.collect_list("file"))
     blocks = files.withColumn("block", F.floor(before / BLOCK)).groupBy("cell", "block").agg(named.alias("files"), F.array_distinct(F.flatten(F.collect_list("reached"))).alias("reached"))
     blocks = scratch.cut(blocks, "numbered")
     reach = blocks.select(F.col("cell").alias("home"), F.col("block").alias("own"), F.col("files").alias("one"), F.explode(F.concat(F.array("cell"), "reached")).alias("cell"))
