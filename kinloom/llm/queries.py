@@ -154,6 +154,19 @@ def op10_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir, toxicity_scores, 4, 2)
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every text's byte-level BPE ids and of what they decode to; null and empty texts have no ids."""
+    from kinloom.llm.byte_bpe import decode, encode
+
+    ids = encode(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids")
+    return decode(ids).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 _LOW = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -209,6 +222,6 @@ FROM embeddings LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY a) ON a =
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_license_scan, op2_sentencepiece, op3_decontaminate, op4_warc_derive, op5_minhash_dedup, op6_chat_format, op7_embedding_dedup, op8_repair_tokens, op9_quality_knn, op10_toxicity_fm)
+    for f in (op1_license_scan, op2_sentencepiece, op3_decontaminate, op4_warc_derive, op5_minhash_dedup, op6_chat_format, op7_embedding_dedup, op8_repair_tokens, op9_quality_knn, op10_toxicity_fm, op13_byte_bpe)
 }
 ORACLES: dict[str, str] = {"op1_license_scan": _op1_sql(), "op5_minhash_dedup": OP5_SQL, "op6_chat_format": OP6_SQL, "op7_embedding_dedup": OP7_SQL}
