@@ -154,6 +154,43 @@ def op10_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir, toxicity_scores, 4, 2)
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of rebuilt conversations: nodes with members, children, leaves, savings and who ends there."""
+    from kinloom.llm.conversation_trie import ends_digests, prefix_trie, shared_heads
+
+    nodes, ends = prefix_trie(_table(spark, sf_dir, "conversations"), Scratch(spark, "op11"), shared_heads)
+    columns = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens"]
+    own = F.sha2(F.when(F.col("n_children") == 0, F.col("conv_id").cast("string")).otherwise(""), 256)
+    single = nodes.where("single").select(*columns, own.alias("ends_sha256"))
+    many = nodes.where("NOT single").join(ends_digests(ends), ["conv_id", "depth"], "left")
+    return single.unionByName(many.select(*columns, F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256")))
+
+
+OP11_SQL = """
+WITH turns AS (
+    SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+    FROM conversations WHERE conv_id IS NOT NULL
+), own AS (SELECT conv_id, list(struct_pack(r := r, x := x) ORDER BY i) AS ts FROM turns GROUP BY conv_id),
+steps AS (SELECT *, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0])) AS bits FROM own),
+crc AS (SELECT conv_id, ts, xor(4294967295, list_reduce(list_prepend(4294967295, bits), lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1)))) % 6 AS h FROM steps),
+again AS (
+    SELECT c.conv_id, list_concat(coalesce(o.ts[1 : c.h], c.ts[1 : 0]), c.ts[c.h + 1 :]) AS ts FROM crc c LEFT JOIN own o ON o.conv_id = c.conv_id - c.conv_id % 100
+), member AS (
+    SELECT conv_id, d, sha256(CAST(to_json(ts[1 : d]) AS VARCHAR)) AS k, length(ts[d].x) AS chars, len(ts) = d AS ended FROM (SELECT *, unnest(range(0, len(ts) + 1)) AS d FROM again)
+), node AS (SELECT d, k, min(conv_id) AS rep, count(*) AS n, any_value(chars) AS chars FROM member GROUP BY d, k),
+way AS (SELECT member.conv_id, d, ended, rep FROM member JOIN node USING (d, k)),
+up AS (SELECT node.*, way.rep AS parent FROM node LEFT JOIN way ON way.conv_id = node.rep AND way.d = node.d - 1),
+kids AS (SELECT parent AS rep, d - 1 AS d, count(*) AS c FROM up WHERE d > 0 GROUP BY parent, d),
+sums AS (
+    SELECT way.rep, way.d, count(*) FILTER (WHERE kids.c IS NULL) AS leaves, sum(CASE WHEN m.d = 0 THEN 0 ELSE (m.n - 1) * m.chars END) AS saved
+    FROM node m LEFT JOIN kids ON kids.rep = m.rep AND kids.d = m.d JOIN way ON way.conv_id = m.rep AND way.d <= m.d GROUP BY way.rep, way.d
+), ends AS (SELECT rep, d, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM way WHERE ended GROUP BY rep, d)
+SELECT up.rep AS conv_id, up.d AS depth, parent AS parent_conv_id, n AS n_convs, coalesce(c, 0) AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+    sha256(coalesce(ids, '')) AS ends_sha256
+FROM up JOIN sums ON sums.rep = up.rep AND sums.d = up.d LEFT JOIN kids ON kids.rep = up.rep AND kids.d = up.d LEFT JOIN ends ON ends.rep = up.rep AND ends.d = up.d
+"""
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every text's byte-level BPE ids and of what they decode to; null and empty texts have no ids."""
     from kinloom.llm.byte_bpe import decode, encode
@@ -222,6 +259,6 @@ FROM embeddings LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY a) ON a =
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_license_scan, op2_sentencepiece, op3_decontaminate, op4_warc_derive, op5_minhash_dedup, op6_chat_format, op7_embedding_dedup, op8_repair_tokens, op9_quality_knn, op10_toxicity_fm, op13_byte_bpe)
+    for f in (op1_license_scan, op2_sentencepiece, op3_decontaminate, op4_warc_derive, op5_minhash_dedup, op6_chat_format, op7_embedding_dedup, op8_repair_tokens, op9_quality_knn, op10_toxicity_fm, op11_conversation_trie, op13_byte_bpe)
 }
-ORACLES: dict[str, str] = {"op1_license_scan": _op1_sql(), "op5_minhash_dedup": OP5_SQL, "op6_chat_format": OP6_SQL, "op7_embedding_dedup": OP7_SQL}
+ORACLES: dict[str, str] = {"op1_license_scan": _op1_sql(), "op5_minhash_dedup": OP5_SQL, "op6_chat_format": OP6_SQL, "op7_embedding_dedup": OP7_SQL, "op11_conversation_trie": OP11_SQL}
