@@ -191,6 +191,15 @@ FROM up JOIN sums ON sums.rep = up.rep AND sums.d = up.d LEFT JOIN kids ON kids.
 """
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's tokens by two tokenizers, cut into groups where both end, with the links' corpus-wide counts."""
+    from kinloom.llm.token_alignment import align_documents
+
+    found = align_documents(_table(spark, sf_dir, "documents"), Scratch(spark, "op12"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest)
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every text's byte-level BPE ids and of what they decode to; null and empty texts have no ids."""
     from kinloom.llm.byte_bpe import decode, encode
@@ -259,6 +268,6 @@ FROM embeddings LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY a) ON a =
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_license_scan, op2_sentencepiece, op3_decontaminate, op4_warc_derive, op5_minhash_dedup, op6_chat_format, op7_embedding_dedup, op8_repair_tokens, op9_quality_knn, op10_toxicity_fm, op11_conversation_trie, op13_byte_bpe)
+    for f in (op1_license_scan, op2_sentencepiece, op3_decontaminate, op4_warc_derive, op5_minhash_dedup, op6_chat_format, op7_embedding_dedup, op8_repair_tokens, op9_quality_knn, op10_toxicity_fm, op11_conversation_trie, op12_token_alignment, op13_byte_bpe)
 }
 ORACLES: dict[str, str] = {"op1_license_scan": _op1_sql(), "op5_minhash_dedup": OP5_SQL, "op6_chat_format": OP6_SQL, "op7_embedding_dedup": OP7_SQL, "op11_conversation_trie": OP11_SQL}
