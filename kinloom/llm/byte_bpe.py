@@ -50,23 +50,14 @@ def kinds() -> np.ndarray:
     return out
 
 
-def cuts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Where the pieces of a block of valid UTF-8 rows begin.
-
-    This is what ``'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+``
-    matches from left to right: runs of one class; a run of white space before
-    something else leaves its last character apart, and a blank there goes to
-    the run behind it; an apostrophe that no blank stands before takes one of
-    the seven endings.
-    """
-    n = len(data)
+def classes(data: np.ndarray) -> np.ndarray:
+    """The class of each byte's character in valid UTF-8."""
     table = kinds()
-    lead = (data & 0xC0) != 0x80
     kind = table[data]
     wide = np.flatnonzero(data >= 0xC0)
     if len(wide):
-        long = np.zeros(n + 3, np.int64)
-        long[:n] = data
+        long = np.zeros(len(data) + 3, np.int64)
+        long[: len(data)] = data
         first = long[wide]
         b, c, d = long[wide + 1] & 0x3F, long[wide + 2] & 0x3F, long[wide + 3] & 0x3F
         point = np.where(first < 0xE0, (first & 0x1F) << 6 | b, np.where(first < 0xF0, (first & 0x0F) << 12 | b << 6 | c, (first & 0x07) << 18 | b << 12 | c << 6 | d))
@@ -74,6 +65,21 @@ def cuts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         size = 2 + (first >= 0xE0) + (first >= 0xF0)
         for k in range(4):
             kind[wide[size > k] + k] = own[size > k]
+    return kind
+
+
+def cuts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where the pieces of a block of valid UTF-8 rows begin.
+
+    This is what ``'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+``
+    matches from left to right: runs of one class; a run of white space before
+    something else leaves its last character apart, and a blank there goes to
+    the run behind it; an apostrophe that no blank stands before takes one of
+    the seven endings.
+    """
+    n = len(data)
+    lead = (data & 0xC0) != 0x80
+    kind = classes(data)
     cut = np.ones(n + 1, bool)
     cut[1:n] = kind[1:] != kind[:-1]
     row = np.zeros(n + 1, bool)

@@ -1,20 +1,22 @@
 """Alignment of two tokenizers' tokens of the same texts, by relational steps.
 
-Both tokenizers begin a token at each blank that follows something other than
-white space, so what stands between two such blanks, a word, is aligned alone and
-a text's alignment is its words' alignments end to end.  Documents are dealt to
-parts, and each part's distinct words are aligned once, with how often they occur:
-
-1. both encodings of a word are exploded by position, and lengths in bytes are
-   summed up by a window: each token's end;
-2. a full outer equi-join on word and end finds the cuts, where tokens of both
+Where neither tokenizer has a token across a place, whatever stands around it, a
+text is cut: before a blank or line break that follows no white space, around a line
+break that ends white space, and between letters and marks of ASCII.  What lies between two cuts, a unit,
+is aligned alone, and a text's alignment is its units' alignments end to end.  A
+first pass deals documents to parts, finds each part's distinct units with their
+numbers of occurrences and encodes them by both tokenizers.  Then:
+
+1. a unit's tokens are exploded by position, and their lengths in bytes, joined from
+   the vocabulary, are summed up by a window: each token's end;
+2. a full outer equi-join on unit and end finds the cuts, where tokens of both
    end, and with them the links between the tokens that end there;
 3. a running count of the cuts numbers the groups of tokens between cuts;
 4. links are counted over the corpus, and counts are joined back to the links;
-5. a part's documents are exploded into words, joined with its aligned words, and
+5. a part's documents are exploded into units, joined with its aligned units, and
    put together by position.
 
-A tokenizer pair that doesn't cut at blanks is aligned by whole texts.
+A pair of tokenizers that isn't known to keep such places apart is aligned by whole texts.
 """
 
 from __future__ import annotations
@@ -24,20 +26,21 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kinloom.llm import byte_bpe
 from kinloom.llm import textkernel as K
-from kinloom.llm.byte_bpe import WHITE
 from kinloom.llm.repair_store import Encoder
 from kinloom.llm.scratch import Scratch
 from kinloom.llm.sentencepiece_codec import default_model, pieces
 
-#: Bytes of text in a part, bytes encoded at once, and pairs up to which their counts are broadcast.
-PART, BLOCK, BROADCAST = 16 << 20, 512 << 10, 1_000_000
-#: Before a blank that follows no white space.
-_BEFORE_WORD = "(?<=[^" + "".join(f"\\x{{{c:x}}}" for c in WHITE) + "])(?= )"
-_TOKENS = "struct<ids: array<int>, sizes: array<int>>"
+#: Bytes of text in a part, bytes encoded at once, rows of a batch, and pairs up to which their counts are broadcast.
+PART, BLOCK, ROWS, BROADCAST = 32 << 20, 512 << 10, 50_000, 1_000_000
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
+_MARK[0x21:0x30] = _MARK[0x3A:0x41] = _MARK[0x5B:0x61] = _MARK[0x7B:0x7F] = True
 
 
 class ByteLevel(Encoder):
@@ -70,8 +73,8 @@ def default_tokenizer() -> str:
 
 
 def _tokens(model, words: pa.Array) -> pa.Array:
-    """Ids and byte lengths of each word's tokens; null where they don't join to the word's bytes."""
-    ids, sizes, counts, good = [], [], [], []
+    """Ids of each word's tokens; null where they don't join to the word's bytes."""
+    ids, counts, good = [], [], []
     for _, data, ends in K.blocks([pa.RecordBatch.from_arrays([words], ["text"])], limit=BLOCK):
         flat, at = model.encode(data, ends)
         size = model.raw_at[flat + 1] - model.raw_at[flat]
@@ -85,24 +88,110 @@ def _tokens(model, words: pa.Array) -> pa.Array:
         else:
             raw, data = raw.tobytes(), data.tobytes()
             fits = np.array([raw[to[a] : to[b]] == data[c:d] for a, b, c, d in zip(at[:-1], at[1:], ends[:-1], ends[1:], strict=True)], bool)
-        ids.append(flat), sizes.append(size), counts.append(np.diff(at)), good.append(fits)
+        ids.append(flat), counts.append(np.diff(at)), good.append(fits)
     at = pa.array(np.concatenate(([0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *counts])))).astype(np.int32))
-    lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate([np.zeros(0, np.int32), *x]).astype(np.int32))) for x in (ids, sizes)]
-    return pa.StructArray.from_arrays(lists, ["ids", "sizes"], mask=pa.array(~np.concatenate([np.zeros(0, bool), *good])))
+    return pa.ListArray.from_arrays(at, pa.array(np.concatenate([np.zeros(0, np.int32), *ids]).astype(np.int32)), mask=pa.array(~np.concatenate([np.zeros(0, bool), *good])))
 
 
-def encoders(a_path: str, b_path: str):
-    """Two scalar functions from words to tokens.  They keep the partitioning of what they are applied to."""
-
-    @F.arrow_udf(_TOKENS)
-    def a(words: pa.Array) -> pa.Array:
-        return _tokens(byte_level(a_path), words)
-
-    @F.arrow_udf(_TOKENS)
-    def b(words: pa.Array) -> pa.Array:
-        return _tokens(pieces(b_path), words)
-
-    return a, b
+@lru_cache(2)
+def rules(a_path: str, b_path: str) -> tuple[bool, bool, bool]:
+    """Whether texts may be cut at all, at line breaks, and between letters and marks."""
+    b = pieces(b_path)
+    raw = b.raw.tobytes()
+    long = [np.frombuffer(raw[x:y], np.uint8) for x, y in zip(b.raw_at[:-1].tolist(), b.raw_at[1:].tolist(), strict=True) if y - x > 1]
+    lines = not any((p == 0x0A).any() for p in long)
+    marks = not any(((_LETTER[p[:-1]] & _MARK[p[1:]]) | (_MARK[p[:-1]] & _LETTER[p[1:]])).any() for p in long)
+    return byte_level(a_path).cut and b.split, lines, marks
+
+
+def heads(data: np.ndarray, ends: np.ndarray, may: tuple[bool, bool, bool]) -> np.ndarray:
+    """Where the units of a block of valid UTF-8 rows begin."""
+    head = np.zeros(len(data), bool)
+    if may[0] and len(data) > 1:
+        white = byte_bpe.classes(data) == byte_bpe._WHITE
+        gap = data == 0x20
+        if may[1]:
+            line = data == 0x0A
+            gap |= line
+            lone = line[:-1] & ~white[1:]  # a break that ends white space is a token of its own, if something follows in the row
+            lone[ends[(ends > 0) & (ends < len(data))] - 1] = False
+            head[1:] |= lone
+            head[:-1] |= lone
+        head[1:] |= gap[1:] & ~white[:-1]
+        if may[2]:
+            letter, mark = _LETTER[data], _MARK[data]
+            head[1:] |= (letter[:-1] & mark[1:]) | (mark[:-1] & (data[:-1] != 0x27) & letter[1:])
+    head[ends[:-1][np.diff(ends) > 0]] = True
+    return np.flatnonzero(head)
+
+
+_PARTS = "part long, unit int, n long, a array<int>, b array<int>, row int, doc_id long, units array<int>"
+_ARROW = pa.schema([("part", pa.int64()), ("unit", pa.int32()), ("n", pa.int64()), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32())), ("row", pa.int32()), ("doc_id", pa.int64()), ("units", pa.list_(pa.int32()))])
+
+
+def _batch(rows: int, **columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(rows, f.type)) for f in _ARROW], schema=_ARROW)
+
+
+def _part(number: int, docs: list, a_path: str, b_path: str):
+    """Batches of a part's units, and of its documents as unit numbers; null for those that aren't rendered byte for byte."""
+    may = rules(a_path, b_path)
+    ids, arrays, sizes, sound = [], [], [], []
+    for doc_id, data, ends, valid in docs:
+        starts = heads(data, ends, may)
+        offsets = np.append(starts, len(data)).astype(np.int32)
+        arrays.append(pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]))
+        sizes.append(np.diff(np.searchsorted(starts, ends)))
+        ids.append(doc_id), sound.append(valid)
+    coded = pa.chunked_array(arrays, pa.binary()).combine_chunks().dictionary_encode()
+    words, place = coded.dictionary, coded.indices.to_numpy()
+    size, sound = np.concatenate(sizes), np.concatenate(sound)
+    tokens = [_tokens(model, words) for model in (byte_level(a_path), pieces(b_path))]
+    good = ~np.logical_or(*(t.is_null().to_numpy(zero_copy_only=False) for t in tokens))
+    at = np.concatenate(([0], np.cumsum(size)))
+    wrong = np.concatenate(([0], np.cumsum(~good[place])))
+    sound = sound & (size > 0) & (wrong[at[1:]] == wrong[at[:-1]])
+    counts = np.bincount(place[np.repeat(sound, size)], minlength=len(words))
+    used = np.flatnonzero(counts)  # units of documents without tokens are left out
+    for i in range(0, len(used), ROWS):
+        part = used[i : i + ROWS]
+        take = pa.array(part)
+        yield _batch(len(part), part=pa.array(np.full(len(part), number)), unit=pa.array(part.astype(np.int32)), n=pa.array(counts[part]), a=tokens[0].take(take), b=tokens[1].take(take))
+    names, row = pa.chunked_array(ids).combine_chunks(), 0
+    while row < len(size):
+        last = max(row + 1, int(np.searchsorted(at, at[row] + 20 * ROWS, "right")) - 1)
+        held = pa.ListArray.from_arrays(pa.array((at[row : last + 1] - at[row]).astype(np.int32)), pa.array(place[at[row] : at[last]]), mask=pa.array(~sound[row:last]))
+        yield _batch(last - row, part=pa.array(np.full(last - row, number)), row=pa.array(np.arange(row, last, dtype=np.int32)), doc_id=names.slice(row, last - row), units=held)
+        row = last
+
+
+def parted(docs: DataFrame, a_path: str, b_path: str, part_bytes: int) -> DataFrame:
+    """Rows of two kinds: a part's distinct units with both tokenizers' ids, and its documents as arrays of unit numbers."""
+
+    def run(batches):
+        task, made, held, room = TaskContext.get().partitionId(), 0, [], 0
+        for block, data, ends in K.blocks(batches, "text", BLOCK):
+            valid = np.ones(len(block), bool)
+            whole = data.tobytes()
+            try:
+                whole.decode()
+            except UnicodeDecodeError:
+                rows = [whole[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
+                valid = np.array([r.decode("utf-8", "ignore").encode() == r for r in rows])
+                rows = [r if v else b"" for r, v in zip(rows, valid, strict=True)]
+                data, ends = np.frombuffer(b"".join(rows), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+            full = np.diff(ends) > 0  # a blank before each text that isn't empty
+            spaced = np.insert(data, ends[:-1][full], 0x20)
+            held.append((block.column(0), spaced, ends + np.concatenate(([0], np.cumsum(full))), valid))
+            room += len(spaced)
+            if room >= part_bytes:
+                yield from _part(task << 20 | made, held, a_path, b_path)
+                made, held, room = made + 1, [], 0
+        if held:
+            yield from _part(task << 20 | made, held, a_path, b_path)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, _PARTS)
 
 
 @contextmanager
@@ -117,47 +206,48 @@ def co_located(spark: SparkSession):
         spark.conf.set(name, was)
 
 
-def _ended(units: DataFrame, unit: list[str], encoder, name: str) -> DataFrame:
-    """A word's tokens, one row each: id and the byte at which it ends; one row of nulls where it has none."""
-    rows = units.select(*unit, encoder("word").alias("t")).select(*unit, F.posexplode_outer("t.ids").alias("pos", name), F.col("t.sizes").alias("sizes"))
-    so_far = Window.partitionBy(*unit).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select(*unit, name, "pos", F.get("sizes", F.col("pos")).alias("size")).select(*unit, name, F.sum("size").over(so_far).alias("end"))
+def _bytes(spark: SparkSession, model) -> DataFrame:
+    """``id, size`` of a vocabulary's tokens: as many rows as it has, so it may be broadcast."""
+    return F.broadcast(spark.createDataFrame(list(enumerate(np.diff(model.raw_at).tolist())), "id int, size long"))
 
 
-def aligned(units: DataFrame, unit: list[str], a_path: str, b_path: str) -> DataFrame:
-    """Words, told apart by the columns ``unit``, with their alignment.
+def _ended(units: DataFrame, name: str, sizes: DataFrame, *more: str) -> DataFrame:
+    """A unit's tokens, one row each: id and the byte at which it ends."""
+    rows = units.select("part", "unit", *more, name).repartition("part", "unit").select("part", "unit", *more, F.posexplode(name).alias("pos", "id"))
+    so_far = Window.partitionBy("part", "unit").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(sizes, "id").select("part", "unit", *more, F.col("id").alias(name), F.sum("size").over(so_far).alias("end"))
+
+
+def aligned(units: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """Units ``part, unit, n, a, b`` (arrays of ids over the same bytes) with their alignment.
 
     ``n_a``, ``n_b`` tokens, ``groups`` (ids of A, comma-joined, a bar, ids of B; groups joined by
-    semicolons), ``links``, an array of id pairs as A * 2^32 + B, and ``ok``: whether both tokenizers
-    render the word byte for byte.  Units should be dealt by ``unit``; under ``co_located``
-    nothing is dealt again.
+    semicolons) and ``links``, an array of id pairs as A * 2^32 + B.  Run it under
+    ``co_located``, so that tokens aren't dealt again.
     """
-    a, b = encoders(a_path, b_path)
-    both = _ended(units, unit, a, "a").join(_ended(units, unit, b, "b"), [*unit, "end"], "full_outer")
-    cut = F.col("a").isNotNull() & F.col("b").isNotNull()
-    earlier = Window.partitionBy(*unit).orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-    both = both.withColumn("cut", cut).withColumn("group", F.coalesce(F.count_if("cut").over(earlier), F.lit(0)))
-    groups = both.groupBy(*unit, "group").agg(
+    spark, key = units.sparkSession, ["part", "unit"]
+    a, b = _ended(units, "a", _bytes(spark, byte_level(a_path)), "n"), _ended(units, "b", _bytes(spark, pieces(b_path)))
+    both = a.join(b, [*key, "end"], "full_outer").withColumn("cut", F.col("a").isNotNull() & F.col("b").isNotNull())
+    earlier = Window.partitionBy(*key).orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
+    both = both.withColumn("group", F.coalesce(F.count_if("cut").over(earlier), F.lit(0)))
+    groups = both.groupBy(*key, "group").agg(
+        F.max("n").alias("n"),
         F.expr("listagg(CAST(a AS STRING), ',') WITHIN GROUP (ORDER BY end)").alias("as"),
         F.expr("listagg(CAST(b AS STRING), ',') WITHIN GROUP (ORDER BY end)").alias("bs"),
         F.count("a").alias("n_a"),
         F.count("b").alias("n_b"),
-        F.max(F.when(F.col("cut"), F.col("end"))).alias("end"),
         F.max(F.when(F.col("cut"), F.shiftleft(F.col("a").cast("long"), 32) + F.col("b"))).alias("link"),
     )
-    whole = groups.groupBy(*unit).agg(
+    return groups.groupBy(*key).agg(
+        F.max("n").alias("n"),
         F.expr("listagg(concat(as, '|', bs), ';') WITHIN GROUP (ORDER BY `group`)").alias("groups"),
         F.sum("n_a").alias("n_a"),
         F.sum("n_b").alias("n_b"),
-        F.max("end").alias("end"),
         F.collect_list("link").alias("links"),
-        F.count_if(F.col("link").isNull()).alias("open"),
     )
-    ok = F.coalesce((F.col("open") == 0) & (F.col("end") == F.octet_length("word")), F.lit(False))
-    return whole.withColumn("ok", ok).drop("open", "end")
 
 
-def align_documents(docs: DataFrame, scratch: Scratch, a_path: str | None = None, b_path: str | None = None, part_bytes: int = PART) -> DataFrame:
+def align_documents(docs: DataFrame, scratch: Scratch, a_path: str | None = None, b_path: str | None = None, part_bytes: int | None = None) -> DataFrame:
     """One row per document: ``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups``.
 
     The tokens are those of a blank and the text, by a byte-level BPE (A) and by
@@ -167,52 +257,26 @@ def align_documents(docs: DataFrame, scratch: Scratch, a_path: str | None = None
     Texts that are null, empty, no UTF-8, or not rendered byte for byte by both have
     zeros and an empty ``groups``, and their links don't count.  Repeated rows and ids are
     documents of their own; other columns are ignored; an empty table gives an empty result.
-
-    ``docs`` is read twice and must give the same rows in the same partitions, as files
-    do; were a word of a document unknown to its part, the job would fail.
     """
     a_path, b_path, spark = a_path or default_tokenizer(), b_path or default_model(), docs.sparkSession
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    total = base.agg(F.sum(F.octet_length("text").cast("long") + 16)).first()[0] or 0
-    count = max(1, -(-total // part_bytes))
-    base = base.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(count)).cast("int"))
-    usable = (F.col("text") != "") & F.is_valid_utf8("text")
-    spaced = F.concat(F.lit(" "), F.col("text"))
-    split = byte_level(a_path).cut and pieces(b_path).split
-
-    def words(of: DataFrame) -> DataFrame:
-        return of.where(usable).select("row", "doc_id", "part", F.posexplode(F.split(spaced, _BEFORE_WORD) if split else F.array(spaced)).alias("pos", "word"))
-
-    unit = ["part", "word"]
+    parts = scratch.cut(parted(docs, a_path, b_path, part_bytes or PART), "parts")
     with co_located(spark):
-        units = words(base).groupBy(*unit).agg(F.count(F.lit(1)).alias("n"))
-        known = scratch.cut(aligned(units, [*unit, "n"], a_path, b_path), "aligned")
-        counted = known.where("ok")
-        odd = known.where("NOT ok").select(*unit)
-        if odd.limit(1).count():  # links of documents with a word that isn't rendered byte for byte don't count
-            rows = words(base).join(odd, unit, "left_semi").select("row").distinct()
-            lost = words(base.join(rows, "row", "left_semi")).groupBy(*unit).agg(F.count(F.lit(1)).alias("lost"))
-            counted = counted.join(lost, unit, "left").withColumn("n", F.col("n") - F.coalesce("lost", F.lit(0)))
-        pairs = counted.select("n", F.explode("links").alias("link")).groupBy("link").agg(F.sum("n").alias("count")).where("count > 0")
+        known = scratch.cut(aligned(parts.where("unit IS NOT NULL").select("part", "unit", "n", "a", "b"), a_path, b_path), "aligned")
+        pairs = known.select("n", F.explode("links").alias("link")).groupBy("link").agg(F.sum("n").alias("count"))
         pairs = scratch.cut(pairs.withColumn("b", F.col("link").bitwiseAND(0xFFFFFFFF)), "pairs")
         best = pairs.groupBy("b").agg(F.max("count").alias("most"))
         pairs = pairs.join(best, "b").select("link", "count", (F.col("count") == F.col("most")).cast("int").alias("best"))
         if pairs.count() <= BROADCAST:
             pairs = F.broadcast(pairs)
-        dealt = known.repartition(count, "part").select(*unit, "ok", "n_a", "n_b", "groups", F.explode_outer("links").alias("link"))
-        scored = dealt.join(pairs, "link", "left").groupBy(*unit).agg(  # pairs of count 0 are absent; their words stand in odd documents only
-            F.first("ok").alias("ok"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.first("groups").alias("groups"), F.count("link").alias("n_links"),
-            F.sum(F.coalesce("best", F.lit(0))).alias("n_best"), F.sum(F.coalesce("count", F.lit(0))).alias("count_sum"),
-        )
-        found = words(base.repartition(count, "part")).join(scored.hint("shuffle_hash"), unit, "left")
-        odd = F.when(F.col("ok").isNull(), F.raise_error(F.lit("a word is unknown: the documents were not the same when read again"))).otherwise(~F.col("ok"))
-        sums = {c: F.sum(c) for c in ("n_a", "n_b", "n_links", "n_best", "count_sum")}
-        whole = found.groupBy("part", "row", "doc_id").agg(
-            *(v.alias(c) for c, v in sums.items()), F.expr("listagg(groups, ';') WITHIN GROUP (ORDER BY pos)").alias("groups"), F.max(odd).alias("odd")
+        scored = known.repartition("part").select("part", "unit", "n_a", "n_b", "groups", F.explode("links").alias("link")).join(pairs, "link")
+        scored = scored.groupBy("part", "unit").agg(
+            F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.first("groups").alias("groups"), F.count("link").alias("n_links"), F.sum("best").alias("n_best"), F.sum("count").alias("count_sum")
         )
-        none = F.lit(0).cast("long")
-        out = whole.select("doc_id", *(F.when(F.col("odd"), none).otherwise(F.col(c)).alias(c) for c in sums), F.when(F.col("odd"), "").otherwise(F.col("groups")).alias("groups"))
-        out = out.unionByName(base.where(~usable).select("doc_id", *(none.alias(c) for c in sums), F.lit("").alias("groups")))
-        out = scratch.cut(out.withColumn("n_groups", F.col("n_links")), "documents")
+        rows = parts.where("unit IS NULL").select("part", "row", "doc_id", "units")
+        found = rows.where("units IS NOT NULL").repartition("part").select("part", "row", "doc_id", F.posexplode("units").alias("pos", "unit"))
+        found = found.join(scored.hint("shuffle_hash"), ["part", "unit"])
+        sums = ["n_a", "n_b", "n_links", "n_best", "count_sum"]
+        whole = found.groupBy("part", "row", "doc_id").agg(*(F.sum(c).alias(c) for c in sums), F.expr("listagg(groups, ';') WITHIN GROUP (ORDER BY pos)").alias("groups"))
+        none = rows.where("units IS NULL").select("doc_id", *(F.lit(0).cast("long").alias(c) for c in sums), F.lit("").alias("groups"))
+        out = scratch.cut(whole.select("doc_id", *sums, "groups").unionByName(none).withColumn("n_groups", F.col("n_links")), "documents")
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
