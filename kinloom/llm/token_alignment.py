@@ -9,7 +9,7 @@ numbers of occurrences and encodes them by both tokenizers.  Then:
 
 1. a unit's tokens are exploded by position, and their lengths in bytes, joined from
    the vocabulary, are summed up by a window: each token's end;
-2. a full outer equi-join on unit and end finds the cuts, where tokens of both
+2. an equi-join on unit and end, from either side, finds the cuts, where tokens of both
    end, and with them the links between the tokens that end there;
 3. a running count of the cuts numbers the groups of tokens between cuts;
 4. links are counted over the corpus, and counts are joined back to the links;
@@ -37,7 +37,7 @@ from kinloom.llm.scratch import Scratch
 from kinloom.llm.sentencepiece_codec import default_model, pieces
 
 #: Bytes of text in a part, bytes encoded at once, rows of a batch, and pairs up to which their counts are broadcast.
-PART, BLOCK, ROWS, BROADCAST = 32 << 20, 512 << 10, 50_000, 1_000_000
+PART, BLOCK, ROWS, BROADCAST = 12 << 20, 512 << 10, 50_000, 1_000_000
 _LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
 _MARK[0x21:0x30] = _MARK[0x3A:0x41] = _MARK[0x5B:0x61] = _MARK[0x7B:0x7F] = True
@@ -227,20 +227,19 @@ def aligned(units: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """
     spark, key = units.sparkSession, ["part", "unit"]
     a, b = _ended(units, "a", _bytes(spark, byte_level(a_path)), "n"), _ended(units, "b", _bytes(spark, pieces(b_path)))
-    both = a.join(b, [*key, "end"], "full_outer").withColumn("cut", F.col("a").isNotNull() & F.col("b").isNotNull())
     earlier = Window.partitionBy(*key).orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-    both = both.withColumn("group", F.coalesce(F.count_if("cut").over(earlier), F.lit(0)))
-    groups = both.groupBy(*key, "group").agg(
-        F.max("n").alias("n"),
-        F.expr("listagg(CAST(a AS STRING), ',') WITHIN GROUP (ORDER BY end)").alias("as"),
-        F.expr("listagg(CAST(b AS STRING), ',') WITHIN GROUP (ORDER BY end)").alias("bs"),
-        F.count("a").alias("n_a"),
-        F.count("b").alias("n_b"),
-        F.max(F.when(F.col("cut"), F.shiftleft(F.col("a").cast("long"), 32) + F.col("b"))).alias("link"),
-    )
+
+    def grouped(own: DataFrame, other: DataFrame, name: str, *more) -> DataFrame:
+        """One side's groups: its ids between cuts; a token that ends with one of the other side closes its group."""
+        met = own.join(other, [*key, "end"], "left").withColumn("group", F.coalesce(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).over(earlier), F.lit(0)))
+        ids = F.expr(f"listagg(CAST({name} AS STRING), ',') WITHIN GROUP (ORDER BY end)")
+        return met.groupBy(*key, "group").agg(ids.alias(f"{name}s"), F.count(name).alias(f"n_{name}"), *more)
+
+    link = F.shiftleft(F.col("a").cast("long"), 32) + F.col("b")
+    groups = grouped(a, b, "a", F.max("n").alias("n"), F.max(link).alias("link")).join(grouped(b, a.drop("n"), "b"), [*key, "group"])
     return groups.groupBy(*key).agg(
         F.max("n").alias("n"),
-        F.expr("listagg(concat(as, '|', bs), ';') WITHIN GROUP (ORDER BY `group`)").alias("groups"),
+        F.expr("listagg(concat(`as`, '|', bs), ';') WITHIN GROUP (ORDER BY `group`)").alias("groups"),
         F.sum("n_a").alias("n_a"),
         F.sum("n_b").alias("n_b"),
         F.collect_list("link").alias("links"),
