@@ -28,6 +28,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,15 +36,19 @@ from kinloom.llm.scratch import Scratch
 
 #: Bytes of a file, roughly; date and HTTP headers of pages whose table gives none.
 FILE_BYTES, DATE, HTTP = 64 << 20, "1970-01-01T00:00:00Z", "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8"
+#: Bytes that a payload may have when its compression is undone; a larger one has no text, and the metadata says so.
+MOST = 256 << 20
 _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:kinloom:warc")
 
 #: What drops out before tags do: comments, scripts and styles, to the end of the page if they never end.
 _RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>]).*?(?:</\1(?=[\s/>])[^>]*>|\Z)", re.S | re.I)
 #: Tags of elements whose content drops out where an end tag follows, quoted values whole; svg may close itself.
 _HOLDER = re.compile(r"""<(/?)(noscript|template|svg)(?=[\s/>])((?:[^<>"'=]|=\s*"[^"]*"|=\s*'[^']*'|["'=])*+)>""", re.I)
+#: What follows a tag's name, quoted values whole.
+_REST = r"""(?:[^<>"'=]|=\s*"[^"]*"|=\s*'[^']*'|["'=])*+>?"""
 #: Elements that end a line.
-_BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^<>]*>?", re.I)
-_TAG = re.compile(r"<[a-zA-Z/!?][^<>]*>?")
+_BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b" + _REST, re.I)
+_TAG = re.compile("<[a-zA-Z/!?]" + _REST)
 _BLANK = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r" ?\n[ \n]*")
 
@@ -103,7 +108,7 @@ def _record_at(data: bytes, at: int) -> tuple[dict[str, str], int, int]:
     first, *lines = data[at:head].decode("utf-8", "replace").split("\r\n")
     if not first.startswith("WARC/"):
         raise ValueError("not a WARC record")
-    headers = _fields(lines)
+    headers = _fields(_lines(lines))
     return headers, head + 4, head + 4 + int(headers["content-length"])
 
 
@@ -118,17 +123,24 @@ def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 4
 
 
-def _fields(lines: list[str]) -> dict[str, str]:
-    """Header fields by their names in lower case; folded lines are joined, of repeated names the values are."""
-    out: dict[str, str] = {}
-    name = ""
+def _lines(lines: list[str]) -> list[tuple[str, str]]:
+    """Header fields in order, with their names as they are; folded lines are joined."""
+    out: list[tuple[str, str]] = []
     for line in lines:
-        if line[:1] in (" ", "\t") and name:
-            out[name] += " " + line.strip()
+        if line[:1] in (" ", "\t") and out:
+            out[-1] = (out[-1][0], f"{out[-1][1]} {line.strip()}")
         elif ":" in line:
             name, value = line.split(":", 1)
-            name, value = name.strip().lower(), value.strip()
-            out[name] = f"{out[name]}, {value}" if name in out else value
+            out.append((name.strip(), value.strip()))
+    return out
+
+
+def _fields(lines: list[tuple[str, str]]) -> dict[str, str]:
+    """Header fields by their names in lower case; of repeated names the values are joined."""
+    out: dict[str, str] = {}
+    for name, value in lines:
+        name = name.lower()
+        out[name] = f"{out[name]}, {value}" if name in out else value
     return out
 
 
@@ -147,28 +159,75 @@ def _unchunked(body: bytes) -> bytes:
     return b"".join(out) if at >= len(body) and out else body
 
 
+class NoText(ValueError):
+    """Why a payload has no text."""
+
+
+def _inflated(body: bytes, kind: int) -> bytes:
+    """All members of a compressed body; what breaks off gives its beginning."""
+    out, size = [], 0
+    while body:
+        member = zlib.decompressobj(kind)
+        try:
+            out.append(member.decompress(body, MOST - size + 1))
+        except zlib.error:
+            if not out:
+                raise
+            break  # what follows the last member
+        size += len(out[-1])
+        if size > MOST:
+            raise NoText("too large")
+        body = member.unused_data if kind == 31 else b""
+    return b"".join(out)
+
+
 def _unpacked(body: bytes, coding: str) -> bytes:
-    """A gzip or deflate body uncompressed; what isn't stays as it is, what breaks off gives its beginning."""
-    kinds = {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}.get(coding.strip().lower(), ())
+    """A gzip or deflate body uncompressed; what isn't compressed after all stays as it is."""
+    coding = coding.strip().lower()
+    kinds = {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15), "": (), "identity": ()}.get(coding)
+    if kinds is None:
+        raise NoText(f"content-encoding {coding}")
     for kind in kinds:
         try:
-            return zlib.decompressobj(kind).decompress(body)
+            return _inflated(body, kind)
         except zlib.error:
             continue
     return body
 
 
-def http_parts(block: bytes) -> tuple[str, dict[str, str], bytes]:
-    """Status line, header fields and payload of an HTTP response; a block without headers is all payload."""
+def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
+    """Status line, header fields in order and payload of an HTTP response; a block without headers is all payload."""
     if not block.startswith(b"HTTP/"):
-        return "", {}, block
+        return "", [], block
     head, _, payload = block.partition(b"\r\n\r\n")
     status, *lines = head.decode("utf-8", "replace").split("\r\n")
-    return status, _fields(lines), payload
+    return status, _lines(lines), payload
+
+
+#: Byte order marks, and a charset that a page names in its first 1024 bytes.
+_MARKS = [(b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")]
+_META = re.compile(rb"<meta[^>]*?charset\s*=\s*[\"']?\s*([\w.:-]+)", re.I)
+
+
+def _decoded(payload: bytes, charset: str | None) -> str:
+    """A payload's characters: by its byte order mark, its header's charset, the page's own, or UTF-8; of unknown charsets by UTF-8."""
+    for mark, name in _MARKS:
+        if payload.startswith(mark):
+            return payload[len(mark) :].decode(name, "replace")
+    if not charset and (own := _META.search(payload[:1024])):
+        charset = own[1].decode("ascii", "replace")
+        charset = "utf-8" if charset.lower().startswith("utf-16") else charset  # a page whose tags can be read isn't UTF-16
+    try:
+        return payload.decode(charset or "utf-8", "replace")
+    except (LookupError, ValueError):  # no such charset, or one that is no encoding of text
+        return payload.decode("utf-8", "replace")
 
 
 def page_text(fields: dict[str, str], payload: bytes) -> str:
-    """The text of a payload: of HTML without its tags, of other text as it is, of anything else none."""
+    """The text of a payload: of HTML without its tags, of other text as it is, of anything else none.
+
+    Raises ``NoText`` where a content coding isn't known or the payload is larger than ``MOST``.
+    """
     kind = fields.get("content-type", "text/html")
     if not re.match(r"\s*(?:text/|application/(?:xhtml\+)?xml)", kind, re.I):
         return ""
@@ -177,10 +236,7 @@ def page_text(fields: dict[str, str], payload: bytes) -> str:
     for coding in reversed(fields.get("content-encoding", "").split(",")):
         payload = _unpacked(payload, coding)
     named = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", kind, re.I)
-    try:
-        text = payload.decode(named[1] if named else "utf-8", "replace")
-    except LookupError:
-        text = payload.decode("utf-8", "replace")
+    text = _decoded(payload, named[1] if named else None)
     return text if re.match(r"\s*text/plain", kind, re.I) else plain_text(text)
 
 
@@ -196,19 +252,29 @@ def response(url: str | None, page: str | None, unique: str, own_id: str | None
 
 
 def derive(key: int | None, data: bytes) -> tuple[bytes, bytes] | None:
-    """The metadata and the conversion record of a response record; None of a record of another type."""
+    """The metadata and the conversion record of a response record; None of a record of another type.
+
+    A response without an id gets one from its bytes.  The metadata has a line
+    for each of the source's HTTP headers, in order, and tells why there is no
+    text where a payload can't be read.
+    """
     headers, start, end = _record_at(data, 0)
     if headers.get("warc-type") != "response":
         return None
     status, http, payload = http_parts(data[start:end])
-    source, url, date = headers["warc-record-id"], headers.get("warc-target-uri"), headers.get("warc-date")
+    source = headers.get("warc-record-id") or record_id("response", hashlib.sha256(data).hexdigest())
+    url, date = headers.get("warc-target-uri"), headers.get("warc-date")
     payload_digest = headers.get("warc-payload-digest") or digest(payload)
     own, other = record_id("metadata", source), record_id("conversion", source)
     refers = [("WARC-Date", date), ("WARC-Target-URI", url), ("WARC-Refers-To", source), ("WARC-Refers-To-Target-URI", url), ("WARC-Refers-To-Date", date)]
     fields = [("page-id", None if key is None else str(key)), ("source-record-id", source), ("source-payload-digest", payload_digest), ("source-length", str(len(payload))), ("source-http-status", status or None)]
-    fields += [(f"source-http-{name}", value) for name, value in http.items()]
+    fields += [(f"source-http-{name}", value) for name, value in http]
+    try:
+        text, why = page_text(_fields(http), payload).encode("utf-8", "replace"), None
+    except NoText as reason:
+        text, why = b"", str(reason)
+    fields.append(("no-text", why))
     about = "".join(f"{k}: {_line(v)}\r\n" for k, v in fields if v is not None).encode()
-    text = page_text(http, payload).encode("utf-8", "replace")
     return (
         record([("WARC-Type", "metadata"), ("WARC-Record-ID", own), *refers, ("WARC-Concurrent-To", other), ("WARC-Block-Digest", digest(about)), ("Content-Type", "application/warc-fields")], about),
         record([("WARC-Type", "conversion"), ("WARC-Record-ID", other), *refers, ("WARC-Concurrent-To", own), ("WARC-Source-Payload-Digest", payload_digest), ("WARC-Block-Digest", digest(text)), ("Content-Type", "text/plain; charset=UTF-8")], text),
@@ -239,15 +305,22 @@ def responses(
 
     The last four name columns of the table, where it has them: record ids, dates,
     HTTP headers (status line first) and payload digests; they are kept as they
-    are, and null ones made up.  A made-up id comes from the row's place in the
-    table's files, its URL and its payload, so that repeated rows have ids of
-    their own; the made-up date is ``DATE`` and the headers are ``HTTP``.  A null
+    are, and null ones made up.  A made-up id comes from the row's file name and
+    number there (or, of a table that isn't read from files, from its place), its
+    URL and its payload, so that repeated rows have ids of their own; the made-up date is ``DATE`` and the headers are ``HTTP``.  A null
     page is an empty payload, a null URL leaves the target headers out.  Other
     columns are ignored; an empty table gives an empty result.
     """
     given = [F.col(c).cast("string") if c else F.lit(None).cast("string") for c in (own_id, date, http, payload_digest)]
+    place = F.monotonically_increasing_id().cast("string")
+    try:
+        of_file = F.concat_ws(" ", "_metadata.file_name", F.col("_metadata.row_index").cast("string"))
+        pages.select(of_file)
+        place = of_file
+    except AnalysisException:
+        pass  # not read from files
     rows = pages.select(
-        F.col(key).cast("long").alias("page_id"), F.monotonically_increasing_id().alias("place"), F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("html"),
+        F.col(key).cast("long").alias("page_id"), place.alias("place"), F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("html"),
         *(c.alias(f"given{i}") for i, c in enumerate(given)),
     )
 
@@ -376,7 +449,7 @@ def read_derivatives(manifest: DataFrame) -> DataFrame:
                     if digest(block) != h["warc-block-digest"]:
                         raise ValueError(f"{h['warc-record-id']}: the block isn't what its digest says")
                     if h["warc-type"] == "metadata":
-                        about = _fields(block.decode().split("\r\n"))
+                        about = _fields(_lines(block.decode().split("\r\n")))
                         pair = {h["warc-refers-to"]: (int(about["page-id"]) if "page-id" in about else None, about["source-payload-digest"])}
                     key, source = pair[h["warc-refers-to"]]
                     rows.append((h["warc-record-id"], h["warc-type"], h["warc-refers-to"], h["warc-concurrent-to"], h.get("warc-target-uri"), h.get("warc-date"), source, h["warc-block-digest"], h["content-type"], key, block.decode()))

@@ -278,12 +278,12 @@ def test_responses_keep_what_the_crawler_said(spark, tmp_path):
         own = [r for r in got if r["refers_to"] == i]
         assert len(own) == 4 and {(r["date"], r["target_uri"], r["source_digest"]) for r in own} == {(d, u, g or warc_derive.digest(p))}
     about = {r["block"] for r in got if r["type"] == "metadata" and "one" in r["target_uri"]}
-    assert len(about) == 1 and "source-http-server: one\r\nsource-http-set-cookie: a, b\r\n" in about.pop()
+    assert len(about) == 1 and "source-http-Server: one\r\nsource-http-Set-Cookie: a\r\nsource-http-Set-Cookie: b\r\n" in about.pop()
     assert {r["block"] for r in got if r["type"] == "conversion"} == {"caf\xe9", "packed and"}
     table = spark.createDataFrame([(7, "u", "<p>x", "<urn:own>", "2019-01-01T00:00:00Z", "HTTP/1.1 203 Z\r\nServer: s", "sha1:D"), (8, "u", "<p>x", None, None, None, None)], "page_id long, url string, html string, i string, d string, h string, g string")
     rows = warc_derive.read_derivatives(warc_derive.write_derivatives(warc_derive.responses(table, own_id="i", date="d", http="h", payload_digest="g"), Scratch(spark, "t"))).collect()
     assert {(r["refers_to"], r["date"], r["source_digest"]) for r in rows if r["page_id"] == 7} == {("<urn:own>", "2019-01-01T00:00:00Z", "sha1:D")}
-    assert {r["date"] for r in rows if r["page_id"] == 8} == {warc_derive.DATE} and any("source-http-server: s" in r["block"] for r in rows)
+    assert {r["date"] for r in rows if r["page_id"] == 8} == {warc_derive.DATE} and any("source-http-Server: s" in r["block"] for r in rows)
 
 
 @pytest.mark.parametrize(
