@@ -49,24 +49,24 @@ def templates(exact: dict[str, str] = EXACT, loose: dict[str, str] = LOOSE) -> l
     return out
 
 
-def _words(text: str) -> np.ndarray:
+def _words(text: str, salt: int) -> np.ndarray:
     data = np.frombuffer(text.encode(), np.uint8)
     starts, stops, _ = K.spans(K.ALNUM[data], np.array([0, len(data)]))
-    return K.hashes(data, starts, stops)
+    return K.hashes(data, starts, stops, salt)
 
 
-def _rolled(batches):
+def _rolled(batches, salt: int):
     """Per row: a digest of the text, its number of words, and the hashes of its runs; first a hash of 0, which each row has."""
     for block, data, ends in K.blocks(batches):
         low = K.LOWER[data]
         starts, stops, at = K.spans(K.ALNUM[low], ends)
-        runs, ptr = K.grams(K.hashes(low, starts, stops), at, GRAM)
+        runs, ptr = K.grams(K.hashes(low, starts, stops, salt), at, GRAM)
         n = len(block)
         sizes = np.diff(ptr) + 1
         edge = np.concatenate(([0], np.cumsum(sizes)))
         out = np.zeros(edge[-1], np.uint64)
         out[np.arange(len(runs)) + np.repeat(np.arange(1, n + 1), sizes - 1)] = runs
-        digest = K.hashes(data, ends[:-1], ends[1:])
+        digest = K.hashes(data, ends[:-1], ends[1:], salt)
         yield pa.RecordBatch.from_arrays(
             [block.column(0), pa.array(digest.view(np.int64)), pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(out.view(np.int64)))],
             ["doc_id", "digest", "n_words", "runs"],
@@ -128,24 +128,26 @@ def _verify(known: list[tuple[list[str], str, bool]]):
     return run
 
 
-def license_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", exact: dict[str, str] = EXACT, loose: dict[str, str] = LOOSE) -> DataFrame:
+def license_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", exact: dict[str, str] = EXACT, loose: dict[str, str] = LOOSE, salt: int | None = None) -> DataFrame:
     """One row per document: ``doc_id, n_words, spans``; spans have label, start, stop (in words), coverage and exact.
 
     A null text is empty and has no words.  Repeated rows give repeated rows.
     Null keys are kept.  Other columns are ignored; an empty table gives an
     empty result.  Spans of one template whose diagonals lie within ``NEAR`` of
-    each other count as one, with the start of the first.
+    each other count as one, with the start of the first.  Words are known by
+    64-bit hashes under ``salt``, which is drawn anew if none is given.
     """
+    salt = K.salted(salt)
     spark = docs.sparkSession
     known = templates(exact, loose)
     rows = [(0, -1, 0)]
     for t, (words, _, _) in enumerate(known):
-        at = _words(" ".join(words))
+        at = _words(" ".join(words), salt)
         runs = K.grams(at, np.array([0, len(at)]), GRAM)[0]
         rows += [(int(h), t, p) for p, h in enumerate(runs.view(np.int64))]
     places = spark.createDataFrame(rows, "run long, template int, at int")
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rolled = source.mapInArrow(_rolled, "doc_id long, digest long, n_words long, runs array<long>")
+    rolled = source.mapInArrow(lambda batches: _rolled(batches, salt), "doc_id long, digest long, n_words long, runs array<long>")
     one = rolled.select("doc_id", "digest", "n_words", F.posexplode("runs").alias("place", "run"))
     hits = one.join(F.broadcast(places), "run")  # the templates are a fixed list
     hits = hits.select("doc_id", "digest", "n_words", "template", (F.col("place") - 1 - F.col("at")).cast("long").alias("diagonal"), F.expr("shiftleft(1L, at)").alias("vote"))

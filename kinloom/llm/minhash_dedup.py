@@ -69,12 +69,12 @@ class Plan:
         self.add = rng.integers(1, 1 << 63, self.hashes, dtype=np.uint64)
 
 
-def shingle_sets(batches: Iterator[pa.RecordBatch], column: str, k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def shingle_sets(batches: Iterator[pa.RecordBatch], column: str, k: int, salt: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Blocks of rows and each row's sorted distinct shingle hashes."""
     for block, data, ends in K.blocks(batches, column):
         data = K.LOWER[data]
         starts, stops, at = K.spans(K.NOT_SPACE[data], ends)
-        words = K.hashes(data, starts, stops)
+        words = K.hashes(data, starts, stops, salt)
         hashed, ptr = K.grams(words, at, k)
         sets = [np.unique(hashed[a:b]) for a, b in zip(ptr[:-1], ptr[1:], strict=True)]
         for row in np.flatnonzero((np.diff(at) > 0) & (np.diff(at) < k)):
@@ -91,9 +91,9 @@ def minima(values: np.ndarray, plan: Plan) -> np.ndarray:
     return out
 
 
-def _sketch(column: str, k: int, plan: Plan):
+def _sketch(column: str, k: int, plan: Plan, salt: int):
     def run(batches):
-        for block, sets in shingle_sets(batches, column, k):
+        for block, sets in shingle_sets(batches, column, k, salt):
             size = np.array([len(s) for s in sets], np.int64)
             low = np.stack([minima(s, plan) for s in sets])
             bands = K.grams(low.ravel(), np.arange(0, low.size + 1, plan.rows), plan.rows)[0].reshape(-1, plan.bands)
@@ -148,14 +148,14 @@ def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return ((bits[mark >> 6] >> (mark & 63).astype(np.uint64)) & np.uint64(1)).astype(bool).reshape(3, -1).all(0)
 
 
-def _full(column: str, k: int, sent):
+def _full(column: str, k: int, sent, salt: int):
     def some(batches):
         for batch in batches:
             keys = batch.column(0)
             yield batch.filter(pa.array(_passes(sent.value, keys.fill_null(0).to_numpy(zero_copy_only=False)) & keys.is_valid().to_numpy(zero_copy_only=False)))
 
     def run(batches):
-        for block, sets in shingle_sets(some(batches), column, k):
+        for block, sets in shingle_sets(some(batches), column, k, salt):
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["cid", "set"])
 
     return run
@@ -355,7 +355,7 @@ def evenly(rows: DataFrame, table: DataFrame, on: str | list[str], large: DataFr
     return many.unionByName(rows.join(F.broadcast(large), on, "left_anti").join(table, on, how))
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch, text: str = "text", key: str = "doc_id", k: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
+def near_duplicates(docs: DataFrame, scratch: Scratch, text: str = "text", key: str = "doc_id", k: int = 5, percent: int = 80, miss: float = 1e-6, salt: int | None = None) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``.
 
     Documents are linked when 100 * |A & B| >= percent * |A | B| for their sets
@@ -366,12 +366,16 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, text: str = "text", key:
     its texts is.  A null key keeps its row, unlinked
     (null component, kept).  Other columns are ignored.  An empty table gives an
     empty result.
+
+    Words and shingles are known by 64-bit hashes under ``salt``, which is drawn
+    anew for each call if none is given, so that no text can be built to share one.
     """
+    salt = K.salted(salt)
     threshold = percent / 100
     plan = Plan(threshold)
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sketch = scratch.cut(
-        source.mapInArrow(_sketch("text", k, plan), "doc_id long, n_shingles long, one long, two long, sig binary, bands array<long>"), "sketch"
+        source.mapInArrow(_sketch("text", k, plan, salt), "doc_id long, n_shingles long, one long, two long, sig binary, bands array<long>"), "sketch"
     )
     full = sketch.where("n_shingles > 0 and doc_id is not null")
     classes = scratch.cut(full.groupBy("one", "two").agg(F.min("doc_id").alias("cid"), F.count("*").alias("copies")), "classes")
@@ -392,7 +396,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, text: str = "text", key:
 
     def sets(of: DataFrame) -> DataFrame:
         sent = docs.sparkSession.sparkContext.broadcast(bloom(of))  # 8 MB at most; so no text is shuffled
-        return source.mapInArrow(_full("text", k, sent), "cid long, set binary").join(of, "cid", "left_semi").distinct()
+        return source.mapInArrow(_full("text", k, sent, salt), "cid long, set binary").join(of, "cid", "left_semi").distinct()
 
     named = scratch.cut(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "named")
     held = scratch.cut(sets(named), "sets")

@@ -9,6 +9,7 @@ of a Python worker whatever the Arrow batch size.
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -92,7 +93,8 @@ def hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, salt: int =
     A range is cut into lanes of eight bytes; each is mixed with its place, and
     their sum is mixed with the length.  No power of a base is in it, so texts
     of two balanced words, which cancel each other out in a polynomial modulo
-    2^64, are nothing special.
+    2^64, are nothing special.  Who knows the salt can build ranges of one hash;
+    jobs that take hashes for texts therefore draw a salt of their own (``salted``).
     """
     size = stops - starts
     if not len(size):
@@ -110,11 +112,21 @@ def hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, salt: int =
     return mix(total + size.astype(np.uint64) * _LENGTH)
 
 
+def salted(salt: int | None = None) -> int:
+    """The salt, or one drawn at random that is never 0."""
+    return secrets.randbits(63) | 1 if salt is None else salt
+
+
+#: The salt of a process's own second hash; it never leaves the process.
+_OWN = salted()
+
+
 def exact(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """Two numbers a range that tell ranges of one hash apart.
+    """Two numbers a range that tell ranges of one hash apart, in this process.
 
     Up to 16 bytes they are the bytes themselves.  Beyond, they are the length
-    and a second hash, so that with the first 128 bits and the length agree.
+    and a second hash of a salt of its own, so that with the first 128 bits and
+    the length agree.
     """
     size, lanes = stops - starts, _lanes(data)
     out = np.empty((len(size), 2), np.uint64)
@@ -123,7 +135,7 @@ def exact(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray
     long = np.flatnonzero(size > 16)
     if len(long):
         out[long, 0] = size[long].astype(np.uint64)
-        out[long, 1] = hashes(data, starts[long], stops[long], 0xA0761D6478BD642F)
+        out[long, 1] = hashes(data, starts[long], stops[long], _OWN)
     return out
 
 

@@ -60,3 +60,38 @@ def test_hashes_do_not_depend_on_the_place():
     data = np.frombuffer(b"xx" + b"the same words" + b"--" + b"the same words" + b"the same word", np.uint8)
     h = K.hashes(data, np.array([2, 18, 32]), np.array([16, 32, 45]))
     assert h[0] == h[1] != h[2] and K.hashes(data, np.array([5]), np.array([5])).shape == (1,)
+
+
+def exchanged(rng):
+    """Two words of one hash under the salt 0: at two places the shares of the sum are exchanged."""
+    head = bytes(rng.integers(97, 123, 8).astype(np.uint8))
+    other = bytes(rng.integers(97, 123, 8).astype(np.uint8))
+    place = [int(K._placed(j, 0)[0]) for j in (0, 1)]
+    move = lambda lane, a, b: ((int.from_bytes(lane, "little") + place[a] - place[b]) % (1 << 64)).to_bytes(8, "little")
+    return head + other, move(other, 1, 0) + move(head, 0, 1)
+
+
+def test_words_built_for_one_hash_are_told_apart():
+    """Bytes of any kind: both words have one hash under the salt 0, and others under a salt that nobody knew."""
+    x, y = exchanged(np.random.default_rng(4))
+    assert x != y and K.hash_of(x) == K.hash_of(y)
+    data = np.frombuffer(x + y, np.uint8)
+    a, b = np.array([0, 16]), np.array([16, 32])
+    drawn = K.hashes(data, a, b, K.salted())
+    assert drawn[0] != drawn[1] and K.salted() != K.salted() and K.salted(0) == 0
+    memory = K.Ids()
+    for _ in range(2):  # the memory of chunks compares what it finds
+        ids, sizes = memory.encode(data, a, b, lambda which: (np.array([data[a[i]] for i in which], np.int32), np.ones(len(which), np.int64)))
+        assert ids.tolist() == [x[0], y[0]] and sizes.tolist() == [1, 1]
+
+
+def test_operators_draw_their_own_salt(spark, monkeypatch):
+    """With every job's salt set to 0 by force the clash is there; as they are, operators 1 and 5 don't meet it."""
+    seen = []
+    honest = K.salted
+    monkeypatch.setattr(K, "salted", lambda salt=None: seen.append(honest(salt)) or seen[-1])
+    docs = spark.createDataFrame([(1, "one two three four five"), (2, "one two three four five")], "doc_id long, text string")
+    for _ in range(2):
+        minhash_dedup.near_duplicates(docs, Scratch(spark, "t"))
+        license_scan.license_spans(docs)
+    assert len(set(seen)) == 4 and 0 not in seen
