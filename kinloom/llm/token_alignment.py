@@ -34,10 +34,12 @@ from kinloom.llm import byte_bpe
 from kinloom.llm import textkernel as K
 from kinloom.llm.repair_store import Encoder
 from kinloom.llm.scratch import Scratch
-from kinloom.llm.sentencepiece_codec import default_model, pieces
+from kinloom.llm.sentencepiece_codec import Pieces, default_model
 
 #: Bytes of text in a part, bytes encoded at once, rows of a batch, and pairs up to which their counts are broadcast.
 PART, BLOCK, ROWS, BROADCAST = 12 << 20, 512 << 10, 50_000, 1_000_000
+#: Chunks and ids that a worker remembers of each tokenizer; it has two, so less of each.
+MEMORY = 200_000, 1_600_000
 _LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
 _MARK[0x21:0x30] = _MARK[0x3A:0x41] = _MARK[0x5B:0x61] = _MARK[0x7B:0x7F] = True
@@ -58,6 +60,15 @@ class ByteLevel(Encoder):
             raw[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else b""
         self.raw_at = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
+        self.memory = K.Ids(*MEMORY)
+
+
+@lru_cache(2)
+def pieces(path: str) -> Pieces:
+    """A worker loads a model once."""
+    model = Pieces(path)
+    model.memory = K.Ids(*MEMORY)
+    return model
 
 
 @lru_cache(2)
