@@ -1,48 +1,100 @@
-"""Shortest paths through marriages: persons and families as one undirected graph."""
+"""Shortest paths through marriages: persons and families as one undirected graph.
+
+Both ends of a pair spread in turns, two edges at a time: from persons by their
+families to the families' other persons.  A level is a table of (end, person); on
+the second end's side each row also names the best step back to that end.  In such a
+graph a level's neighbours lie in the level before or the one behind, so what was
+seen is the level before and no more.  Paths aren't carried along.  Where a pair has
+met, the persons on its shortest paths are marked backwards over the written levels,
+and one path is read off forwards.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinloom.session import cut
+from kinloom.operators.pedigree import edges
+from kinloom.session import cut, cut_and_count
 
 HOPS = 40
+#: Steps of a path that are read off between two written tables.
+STEP = 3
+
+
+def _places(person: DataFrame, member: DataFrame) -> DataFrame:
+    """``pid, po, fid, fo``: who is in which family, with both's ordinals."""
+    order = member.groupBy("fid").agg(F.min("fam_ord").alias("fo"))
+    own = edges(person, member).join(person.select(F.col("pid").alias("src"), F.col("ord").alias("po")), "src")
+    return own.select(F.col("src").alias("pid"), "po", F.col("dst").alias("fid")).join(order, "fid").select("pid", "po", "fid", "fo")
+
+
+def _spread(level: DataFrame, before: DataFrame | None, places: DataFrame) -> DataFrame:
+    """The next level of each end: ``src, node, back``, where ``back`` is the best step to the level: family's and person's ordinal, person."""
+    step = F.min(F.struct("po", F.col("node").alias("to"))).alias("s")
+    families = level.join(places.withColumnRenamed("pid", "node"), "node").groupBy("src", "fid", "fo").agg(step)
+    back = F.min(F.struct("fo", "s.po", "s.to")).alias("back")
+    new = families.join(places.select("fid", F.col("pid").alias("node")), "fid").groupBy("src", "node").agg(back)
+    new = new.join(level.select("src", "node"), ["src", "node"], "left_anti")
+    return new.join(before.select("src", "node"), ["src", "node"], "left_anti") if before is not None else new
 
 
-def shortest_paths(pairs: DataFrame, person: DataFrame, edges: DataFrame, hops: int = HOPS) -> DataFrame:
+def _marked(met: DataFrame, levels: list[DataFrame], places: DataFrame) -> list[DataFrame]:
+    """For each step from the first end: ``a, b, node`` of the persons on a shortest path."""
+    marks = [met]
+    for level in reversed(levels[:-1]):
+        families = marks[-1].join(places.select(F.col("pid").alias("node"), "fid"), "node").select("a", "b", "fid").distinct()
+        near = families.join(places.select("fid", F.col("pid").alias("node")), "fid").select("a", "b", "node").distinct()
+        marks.append(cut(near.join(level.select(F.col("src").alias("a"), "node"), ["a", "node"], "left_semi"), "marks"))
+    return marks[::-1]
+
+
+def _read(met: DataFrame, left: list[DataFrame], right: list[DataFrame], places: DataFrame) -> DataFrame:
+    """``a, b, path`` of pairs that met between the last levels of both sides."""
+    path = met.select("a", "b").distinct().select("a", "b", F.col("a").alias("at"), F.array("a").alias("path"))
+    one, two = places.select(F.col("pid").alias("at"), "fid", "fo"), places.select("fid", F.col("pid").alias("node"), "po")
+    for k, mark in enumerate(_marked(met, left, places)[1:], 1):
+        near = path.select("a", "b", "at").join(one, "at").join(two, "fid").join(mark, ["a", "b", "node"], "left_semi")
+        best = near.groupBy("a", "b").agg(F.min(F.struct("fo", "po", "node"))["node"].alias("next"))
+        path = path.join(best, ["a", "b"]).select("a", "b", F.col("next").alias("at"), F.concat("path", F.array("next")).alias("path"))
+        path = cut(path, "paths") if k % STEP == 0 else path
+    for k, level in enumerate(reversed(right[1:]), 1):
+        back = level.select(F.col("src").alias("b"), F.col("node").alias("at"), F.col("back.to").alias("next"))
+        path = path.join(back, ["b", "at"]).select("a", "b", F.col("next").alias("at"), F.concat("path", F.array("next")).alias("path"))
+        path = cut(path, "paths") if k % STEP == 0 else path
+    return path.select("a", "b", "path")
+
+
+def shortest_paths(pairs: DataFrame, person: DataFrame, member: DataFrame, hops: int = HOPS) -> DataFrame:
     """``a, b, path``: the persons on a shortest path of at most ``hops`` edges, two persons at least.
 
-    Both ends spread in turns, a level at a time, until they meet; the first
-    meeting is a shortest path.  Of equally short ones the same is found each
-    time: the smallest by the way from ``a`` to the middle, then from ``b``.
-    Ends that aren't persons have none.
+    Of equally short paths the one counts whose ordinals are the smallest,
+    position by position: the second person's family's, the second person's, and
+    so on, by ``ord`` and ``fam_ord``.  Ends that aren't persons have no path;
+    repeated pairs count once.
     """
     known = person.select("pid")
     pairs = pairs.select("a", "b").distinct().where("a <> b").join(known.withColumnRenamed("pid", "a"), "a", "left_semi").join(known.withColumnRenamed("pid", "b"), "b", "left_semi")
-    open_ = cut(pairs, "pairs")
-    level, seen, found = {}, {}, None
-    for end in "ab":
-        level[end] = open_.select(F.col(end).alias("src")).distinct().select("src", F.col("src").alias("node"), F.array("src").alias("ids"))
-        seen[end] = level[end].select("src", "node")
-    for turn in range(hops):
+    open_, n_open = cut_and_count(pairs, "pairs")
+    places, found = cut(_places(person, member), "places"), []
+    levels = {end: [open_.select(F.col(end).alias("src")).distinct().select("src", F.col("src").alias("node"), F.lit(None).cast("struct<fo: long, po: long, to: string>").alias("back"))] for end in "ab"}
+    for turn in range(hops // 2):
+        if not n_open:
+            break
         end = "ab"[turn % 2]
-        out = level[end].join(open_.select(F.col(end).alias("src")), "src", "left_semi").join(edges.select(F.col("src").alias("node"), "dst"), "node")
-        new = out.select("src", F.col("dst").alias("node"), F.concat("ids", F.array("dst")).alias("ids")).groupBy("src", "node").agg(F.min("ids").alias("ids"))
-        level[end] = cut(new.join(seen[end], ["src", "node"], "left_anti"), "spread")
-        seen[end] = seen[end].unionByName(level[end].select("src", "node"))
-        left = level["a"].select(F.col("src").alias("a"), "node", F.col("ids").alias("i1"))
-        right = level["b"].select(F.col("src").alias("b"), "node", F.col("ids").alias("i2"))
-        met = cut(open_.join(left, "a").join(right, ["b", "node"]).groupBy("a", "b").agg(F.min(F.struct("i1", "i2")).alias("m")), "met")
-        if not met.isEmpty():
-            found = met if found is None else found.unionByName(met)
-            open_ = cut(open_.join(met, ["a", "b"], "left_anti"), "pairs")
-        if open_.isEmpty() or level[end].isEmpty():
+        own = levels[end]
+        live = own[-1].join(open_.select(F.col(end).alias("src")).distinct(), "src", "left_semi")
+        level, n = cut_and_count(_spread(live, own[-2] if len(own) > 1 else None, places), "spread")
+        own.append(level)
+        if not n:
             break
-    if found is None:
+        met = open_.join(levels["a"][-1].select(F.col("src").alias("a"), "node"), "a").join(levels["b"][-1].select(F.col("src").alias("b"), "node"), ["b", "node"])
+        met, n = cut_and_count(met.select("a", "b", "node"), "met")
+        if n:
+            found.append(_read(met, list(levels["a"]), list(levels["b"]), places))
+            open_, n_open = cut_and_count(open_.join(met.select("a", "b").distinct(), ["a", "b"], "left_anti"), "pairs")
+    if not found:
         return pairs.where(F.lit(False)).withColumn("path", F.array().cast("array<string>"))
-    down = F.reverse("m.i2")
-    whole = F.concat("m.i1", F.slice(down, 2, F.size(down)))
-    # Persons and families alternate, and both ends are persons.
-    own = F.filter(whole, lambda x, i: i % 2 == 0)
-    return found.select("a", "b", own.alias("path"))
+    return reduce(DataFrame.unionByName, found)

@@ -6,6 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -183,3 +184,10 @@ def bridge_chart(first: str, second: str, husband: str, wife: str, left: dict, r
         chart.style(top, TOP)
     chart.style(chart.id(husband), PARTNER), chart.style(chart.id(wife), PARTNER)
     return "\n".join(chart.lines)
+
+
+@F.arrow_udf(T.StringType())
+def bridge_charts(first: pa.Array, second: pa.Array, husband: pa.Array, wife: pa.Array, left: pa.Array, right: pa.Array, labels: pa.Array) -> pa.Array:
+    """``bridge_chart`` of every row; ``right`` is null where the second person is the partner."""
+    rows = zip(*(c.to_pylist() for c in (first, second, husband, wife, left, right, labels)), strict=True)
+    return pa.array([bridge_chart(*row, dict(names)) for *row, names in rows], pa.string())

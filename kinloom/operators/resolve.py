@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from kinloom.functions import names as N
 from kinloom.functions.similarity import indel_ratio, partial_indel_ratio, token_sort_ratio
+from kinloom.operators.nearest import best_candidates
+from kinloom.session import cut
 
 NO_POOL = "sem candidatos por sobrenome (abreviação/corrupção?)"
 NO_SURNAME = "sem sobrenome em comum (filtro anti-falso-positivo)"
@@ -33,24 +35,30 @@ def pools(wanted: DataFrame, people: DataFrame) -> DataFrame:
     return near.unionByName(far)
 
 
-def scored(pool: DataFrame, wanted: DataFrame, people: DataFrame) -> DataFrame:
-    """The pool's best pairs with both names' parts, similarities and ``score20``.
-
-    What is best goes by surnames in common, then by the given name, then by the
-    score.  So only pairs with the most surnames are compared by given names, and
-    only those with the best given name by their whole names.
-    """
+def _described(pairs: DataFrame, wanted: DataFrame, people: DataFrame) -> DataFrame:
+    """The pairs with both names' parts and the surnames in common."""
     m = wanted.select("key", F.col("given").alias("g"), "surnames", "suffixes", F.col("words").alias("mine"))
     p = people.select(F.col("key").alias("other"), F.col("surnames").alias("theirs"), "firsts", F.col("words").alias("them"), "ord")
-    both = pool.join(m, "key").join(p, "other")
-    both = both.withColumn("own", N.drop_short(F.col("surnames"))).withColumn("shared", F.array_intersect("own", "theirs")).withColumn("inter", F.size("shared"))
-    own = Window.partitionBy("key")
-    both = both.withColumn("most", F.max("inter").over(own)).where("inter = most").drop("most")
-    both = both.withColumn("s_given", F.greatest(F.coalesce(indel_ratio(F.col("g"), F.get("firsts", 0)), F.lit(0)), F.coalesce(indel_ratio(F.col("g"), F.get("firsts", 1)), F.lit(0))))
-    both = both.withColumn("most", F.max("s_given").over(own)).where("s_given = most").drop("most")
-    both = both.withColumn("s_token", token_sort_ratio(F.col("key"), F.col("other"))).withColumn("s_part", partial_indel_ratio(F.col("key"), F.col("other")))
+    both = pairs.join(m, "key").join(p, "other")
+    return both.withColumn("own", N.drop_short(F.col("surnames"))).withColumn("shared", F.array_intersect("own", "theirs")).withColumn("inter", F.size("shared"))
+
+
+def _summed(pairs: DataFrame) -> DataFrame:
     common = F.size(F.filter("shared", lambda s: F.array_contains(F.array(*map(F.lit, N.COMMON)), s)))
-    return both.withColumn("score20", 11 * F.col("s_token") + 5 * F.col("s_part") + 4 * F.col("s_given") + 160 * F.col("inter") - 80 * common)
+    return pairs.withColumn("score20", 11 * F.col("s_token") + 5 * F.col("s_part") + 4 * F.col("s_given") + 160 * F.col("inter") - 80 * common)
+
+
+def scored(pool: DataFrame, wanted: DataFrame, people: DataFrame) -> DataFrame:
+    """All of the pool's pairs with both names' parts, similarities and ``score20``."""
+    both = _described(pool, wanted, people)
+    both = both.withColumn("s_given", F.greatest(F.coalesce(indel_ratio(F.col("g"), F.get("firsts", 0)), F.lit(0)), F.coalesce(indel_ratio(F.col("g"), F.get("firsts", 1)), F.lit(0))))
+    return _summed(both.withColumn("s_token", token_sort_ratio(F.col("key"), F.col("other"))).withColumn("s_part", partial_indel_ratio(F.col("key"), F.col("other"))))
+
+
+def found_best(wanted: DataFrame, people: DataFrame) -> DataFrame:
+    """What ``best`` gives of all scored pairs of the pools, without making them."""
+    wanted, people = cut(wanted, "wanted"), cut(people, "people")  # names' parts are used many times
+    return _summed(_described(best_candidates(wanted, people).select("key", "other", "s_given", "s_token", "s_part"), wanted, people))
 
 
 def best(pairs: DataFrame) -> DataFrame:
@@ -97,7 +105,7 @@ def candidates(matches: DataFrame, person: DataFrame) -> tuple[DataFrame, DataFr
     rest = keyed.join(named.select("key").distinct(), "key", "left_anti")
     people = features(named.select("key").distinct()).join(named.groupBy("key").agg(F.min("ord").alias("ord"), F.min_by("pid", "ord").alias("pid")), "key")
     wanted = features(rest.select("key").distinct())
-    found = best(scored(pools(wanted, people), wanted, people))
+    found = found_best(wanted, people)
     verdict = judged(rest.select("group_key", "key", "cm").join(found, "key", "left"), F.col("cm"))
     verdict = verdict.join(people.select(F.col("key").alias("other"), "pid"), "other", "left")
     fuzzy = verdict.where("accepted").select("group_key", "pid", "ord")

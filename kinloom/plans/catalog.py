@@ -151,7 +151,27 @@ def mermaid_direct(spark, sf_dir):
 def affinity_path_length(spark, sf_dir):
     person, member = _tree(spark, sf_dir)
     pair = spark.createDataFrame([(f"C{_last_customer(spark, sf_dir)}", "S1")], "a string, b string")
-    return affinity.shortest_paths(pair, person, cut(pedigree.edges(person, member), "edges")).select("a", "b", F.size("path").cast("long").alias("n_persons"))
+    return affinity.shortest_paths(pair, person, member).select("a", "b", F.size("path").cast("long").alias("n_persons"))
+
+
+def affinity_paths(spark, sf_dir):
+    """Persons on the shortest paths from every ninth customer to three suppliers."""
+    person, member = _tree(spark, sf_dir)
+    ends = spark.createDataFrame([("S1",), ("S7",), ("S13",)], "b string")
+    pairs = person.where("pid LIKE 'C%' AND ord % 9 = 0").select(F.col("pid").alias("a")).join(F.broadcast(ends))  # three ends
+    return affinity.shortest_paths(pairs, person, member).select("a", "b", F.array_join("path", ">").alias("path"))
+
+
+def path_searches(spark, sf_dir):
+    """Every fifth customer's name and a supplier's: by whole name, by a part of it, unknown ones, and people and themselves."""
+    person, member = _tree(spark, sf_dir)
+    k = F.col("ord")
+    second = (
+        F.when(k % 35 == 0, F.concat(F.lit("nobody "), k.cast("string"))).when(k % 45 == 0, F.col("name")).when(k % 20 == 0, F.lit(" supplier#00000001 "))
+        .otherwise(F.concat(F.lit("Supplier#00000000"), (k % 6 + 1).cast("string")))
+    )
+    asked = person.where("pid LIKE 'C%' AND ord % 5 = 0").select(F.col("name").alias("first"), second.alias("second"))
+    return flows.search_paths(cut(person, "person"), cut(member, "member"), asked).drop("mermaid_data")
 
 
 def path_search(spark, sf_dir):
@@ -213,10 +233,35 @@ def accept_decision(spark, sf_dir):
     wanted = people.select(_clipped(F.col("key")).alias("key")).distinct()
     w = resolve.features(wanted)
     p = resolve.features(people).withColumn("ord", F.xxhash64("key"))
-    found = resolve.judged(resolve.best(resolve.scored(resolve.pools(w, p), w, p)), F.lit(100.0))
+    found = resolve.judged(resolve.found_best(w, p), F.lit(100.0))
     return found.select("key", "inter", "s_given", "score20", "accepted")
 
 
+def _spelled(number):
+    """A word for a number, letter by letter."""
+    return F.concat(F.lit("k"), F.translate(number.cast("string"), "0123456789", "abcdefghij"))
+
+
+def _surnames(key, nation):
+    """A third of the names are Silva, a seventh of the rest Sá; others go by nation."""
+    return F.when(key % 3 == 0, "Silva").when(key % 7 == 1, "Sá").otherwise(F.concat(F.lit("Nação"), F.translate(nation.cast("string"), "0123456789", "abcdefghij")))
+
+
+def best_candidate(spark, sf_dir):
+    """Suppliers' made-up names resolved to customers': a hot surname, particles, accents, suffixes, and surnames that only begin alike."""
+    c, s = _t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"), _t(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    k, n = F.col("c_custkey"), F.col("s_suppkey")
+    suffix = F.when(k % 5 == 0, " Filho").otherwise("")
+    name = F.concat(_spelled(k * 7 + 13), F.lit(" de "), F.lower("c_mktsegment"), F.lit(" "), _surnames(k, F.col("c_nationkey")), suffix)
+    segment = F.element_at(F.array(*map(F.lit, ("automobile", "building", "furniture", "machinery", "household"))), (n % 5 + 1).cast("int"))
+    middle = F.when((n % 4 == 0) | (n % 11 == 3), "").otherwise(F.concat(segment, F.lit(" ")))
+    asked = F.concat(_spelled(n * 31 + 14), F.lit(" "), middle, F.when(n % 11 == 3, "Silvestre").otherwise(_surnames(n, F.col("s_nationkey"))))
+    named = c.select(F.col("c_custkey").alias("ord"), N.norm_name(name).alias("key"))
+    people = resolve.features(named.select("key")).join(named, "key")
+    wanted = resolve.features(s.select(N.norm_name(asked).alias("key")).distinct())
+    return resolve.found_best(wanted, people).select("key", "other", "inter", "s_given", "score20")
+
+
 def _analysis(spark, sf_dir):
     """Segments whose brand ends in an odd digit have their first words clipped, so that they need the fuzzy tiers."""
     person, member = _tree(spark, sf_dir)
@@ -242,8 +287,8 @@ QUERIES = {
     for f in (
         segment_sum_by_group_key, kinship_bands, detect_id_columns, norm_name_documents, name_tokens_split, sorted_names, person_lookup,
         pedigree_parents, pedigree_spouses, graph_edges, graph_nodes, first_registrations, ancestor_closure, mrca_direct_path, mermaid_direct,
-        affinity_path_length, path_search, path_search_direct, path_search_unknown,
-        surname_blocking, prefix_blocking, soft_prefix_jaccard, fuzzy_ratio_scores, accept_decision,
+        affinity_path_length, affinity_paths, path_search, path_searches, path_search_direct, path_search_unknown,
+        surname_blocking, prefix_blocking, soft_prefix_jaccard, fuzzy_ratio_scores, accept_decision, best_candidate,
         dna_analysis_results, dna_analysis_skipped, dna_analysis_summary,
     )
 }
@@ -309,6 +354,51 @@ drawn AS (
             list_transform(range(len(ids), up + 1, -1), lambda i: ids[i] || ' --> ' || ids[i - 1]), [ids[up + 1] || ' --> ' || j]) END,
         ['style N_' || a || ' {0}', 'style N_' || b || ' {1}', 'style ' || j || ' {2}']), chr(10)) AS mermaid_data
     FROM joined)""".replace("{0}", render.FIRST).replace("{1}", render.SECOND).replace("{2}", render.TOP)
+# Affinity paths: of all shortest ways to a target, the one whose next node has the smallest ordinal, step by step.
+_NEXT = """joint AS (SELECT h AS p, f FROM couples UNION SELECT w, f FROM couples UNION SELECT 'C' || c_custkey, c_custkey // 4 FROM customer WHERE c_custkey >= 4),
+e AS (SELECT p AS src, 'F' || f AS dst, f AS o FROM joint UNION ALL SELECT 'F' || f, p, ord FROM joint JOIN people ON pid = p),
+bfs AS (SELECT DISTINCT b AS t, b AS node, 0 AS d FROM ends UNION SELECT t, dst, d + 1 FROM bfs JOIN e ON node = src WHERE d < 40),
+dist AS (SELECT t, node, min(d) AS d FROM bfs GROUP BY t, node),
+nxt AS (SELECT x.t, x.node, arg_min(e.dst, e.o) AS step FROM dist x JOIN e ON e.src = x.node JOIN dist y ON y.t = x.t AND y.node = e.dst AND y.d = x.d - 1 GROUP BY x.t, x.node),
+walk AS (SELECT DISTINCT a, b, a AS node, [a] AS path FROM ends JOIN dist ON t = b AND node = a WHERE a <> b UNION ALL SELECT a, b, step, CASE WHEN step[1] = 'F' THEN path ELSE list_append(path, step) END FROM walk JOIN nxt ON nxt.t = b AND nxt.node = walk.node),
+kin AS (SELECT a, b, path FROM walk WHERE node = b)"""
+_ASKED = """asked AS (
+    SELECT DISTINCT name AS first, trim(CASE WHEN ord % 35 = 0 THEN 'nobody ' || ord WHEN ord % 45 = 0 THEN name WHEN ord % 20 = 0 THEN ' supplier#00000001 ' ELSE 'Supplier#00000000' || (ord % 6 + 1) END) AS second
+    FROM people WHERE pid LIKE 'C%' AND ord % 5 = 0),
+query AS (SELECT first AS q FROM asked UNION SELECT second FROM asked),
+hit AS (SELECT q, pid, ord, lower(name) = lower(q) AS same FROM query JOIN people ON contains(lower(name), lower(q))),
+who AS (SELECT DISTINCT ON (q) q, pid FROM hit ORDER BY q, same DESC, ord),
+placed AS (SELECT first, second, x.pid AS a, y.pid AS b FROM asked LEFT JOIN who x ON x.q = first LEFT JOIN who y ON y.q = second),
+pair AS (SELECT DISTINCT a, b FROM placed WHERE a IS NOT NULL AND b IS NOT NULL),
+top AS (SELECT src, max(d) AS m FROM closed GROUP BY src),
+one AS (SELECT a, b, x.d AS d1, y.d AS d2, x.o AS o1, y.o AS o2, x.ids AS i1, y.ids AS i2, s.m AS m1, t.m AS m2, (x.d = y.d OR x.d > y.d + 1) AS f
+    FROM pair JOIN closed x ON x.src = a JOIN closed y ON y.src = b AND y.node = x.node JOIN top s ON s.src = a JOIN top t ON t.src = b WHERE a <> b),
+round AS (SELECT *, CASE WHEN f THEN d1 ELSE d2 END AS r, CASE WHEN f THEN o1 ELSE o2 END AS k FROM one WHERE CASE WHEN f THEN m2 >= d1 - 1 ELSE m1 >= d2 END),
+best AS (SELECT DISTINCT ON (a, b) * FROM round WHERE r < 20 ORDER BY a, b, r, NOT f, k),
+met AS (SELECT a, b, list_concat(i1, list_reverse(i2)[2:]) AS path FROM best UNION ALL SELECT a, b, [a] FROM pair WHERE a = b),
+ends AS (SELECT a, b FROM pair ANTI JOIN met USING (a, b))"""
+# Made-up names of suppliers and customers: surnames are a market segment and Silva, Sá or a nation.
+_MADE = """bearer AS (
+    SELECT c_custkey AS ord, 'k' || translate(CAST(c_custkey * 7 + 13 AS VARCHAR), '0123456789', 'abcdefghij') AS g, lower(c_mktsegment) AS seg,
+        CASE WHEN c_custkey % 3 = 0 THEN 'silva' WHEN c_custkey % 7 = 1 THEN 'sa' ELSE 'nacao' || translate(CAST(c_nationkey AS VARCHAR), '0123456789', 'abcdefghij') END AS sn FROM customer),
+p AS (SELECT ord, g || ' de ' || seg || ' ' || sn || CASE WHEN ord % 5 = 0 THEN ' filho' ELSE '' END AS key, [seg, sn] AS names, [g, seg] AS firsts FROM bearer),
+sought AS (
+    SELECT DISTINCT 'k' || translate(CAST(s_suppkey * 31 + 14 AS VARCHAR), '0123456789', 'abcdefghij') AS g,
+        CASE WHEN s_suppkey % 4 = 0 OR s_suppkey % 11 = 3 THEN '' ELSE ['automobile', 'building', 'furniture', 'machinery', 'household'][s_suppkey % 5 + 1] END AS seg,
+        CASE WHEN s_suppkey % 11 = 3 THEN 'silvestre' WHEN s_suppkey % 3 = 0 THEN 'silva' WHEN s_suppkey % 7 = 1 THEN 'sa' ELSE 'nacao' || translate(CAST(s_nationkey AS VARCHAR), '0123456789', 'abcdefghij') END AS sn
+    FROM supplier),
+w AS (SELECT g, g || ' ' || CASE WHEN seg = '' THEN '' ELSE seg || ' ' END || sn AS key, CASE WHEN seg = '' THEN [sn] ELSE [seg, sn] END AS names FROM sought),
+near AS (SELECT w.key, w.g, p.key AS other, p.ord, p.firsts, len(list_intersect(w.names, p.names)) AS inter, 'silva' IN w.names AND 'silva' IN p.names AS silva FROM w JOIN p ON list_has_any(w.names, p.names)),
+far AS (SELECT w.key, w.g, p.key, p.ord, p.firsts, 0, false FROM w JOIN p ON list_has_any(list_transform(list_filter(w.names, lambda x: length(x) >= 3), lambda x: x[1:3]), list_transform(p.names, lambda x: x[1:3])) WHERE w.key NOT IN (SELECT key FROM near)),
+pool AS (SELECT * FROM near UNION ALL SELECT * FROM far),
+most AS (SELECT * FROM pool SEMI JOIN (SELECT key, max(inter) AS inter FROM pool GROUP BY key) USING (key, inter)),
+asked AS (SELECT DISTINCT g AS s, unnest(firsts) AS t FROM most),
+run AS (
+    SELECT s, t, 0 AS i, list_transform(range(length(s) + 1), lambda x: 0) AS r FROM asked
+    UNION ALL SELECT s, t, i + 1, list_transform(range(length(s) + 1), lambda j: list_max(list_transform(range(j + 1), lambda k: CASE WHEN k > 0 AND s[k] = t[i + 1] THEN r[k] + 1 ELSE r[k + 1] END))) FROM run WHERE i < length(t)),
+close AS (SELECT s, t, CAST(round_even(200.0 * r[length(s) + 1] / (length(s) + length(t)), 0) AS INTEGER) AS v FROM run WHERE i = length(t)),
+first AS (SELECT most.*, (SELECT max(v) FROM close WHERE s = g AND list_contains(firsts, t)) AS v_given FROM most),
+pairs AS (SELECT key AS a, other AS b, inter, silva, ord, v_given FROM first SEMI JOIN (SELECT key, max(v_given) AS v_given FROM first GROUP BY key) USING (key, v_given))"""
 _LAST = "root AS (SELECT 'C' || max(c_custkey) AS pid FROM customer)"
 _FIRST_ALIKE = "root AS (SELECT arg_min(pid, ord) AS pid FROM people WHERE contains(lower(name), (SELECT lower(name) FROM people WHERE pid = 'C' || (SELECT max(c_custkey) FROM customer))))"
 # Matches whose name no person bears are scored against the people of their surname; all names of the tables find some.
@@ -357,6 +447,19 @@ ORACLES = {
         e AS (SELECT p AS src, f AS dst FROM h UNION ALL SELECT f, p FROM h),
         bfs AS (SELECT 'C' || (SELECT max(c_custkey) FROM customer) AS node, 0 AS d UNION SELECT dst, d + 1 FROM bfs JOIN e ON node = src WHERE d < 40)
         SELECT 'C' || (SELECT max(c_custkey) FROM customer) AS a, 'S1' AS b, CAST(min(d) // 2 + 1 AS BIGINT) AS n_persons FROM bfs WHERE node = 'S1' HAVING min(d) IS NOT NULL""",
+    "affinity_paths": f"""WITH RECURSIVE {_PEOPLE}, {_COUPLES}, ends AS (SELECT 'C' || c_custkey AS a, b FROM customer CROSS JOIN (SELECT unnest(['S1', 'S7', 'S13']) AS b) JOIN people ON pid = b WHERE c_custkey % 9 = 0), {_NEXT}
+        SELECT a, b, array_to_string(path, '>') AS path FROM kin""",
+    "path_searches": f"""WITH RECURSIVE {_PEOPLE}, {_PARENTS}, {_COUPLES}, {_REACH}, {_ASKED}, {_NEXT},
+        way AS (SELECT a, b, path, '{flows.DIRECT}' AS how FROM met UNION ALL SELECT a, b, path, '{flows.INDIRECT}' FROM kin),
+        told AS (SELECT a, b, how, string_agg(name, ' → ' ORDER BY step) AS text_path FROM (SELECT a, b, how, unnest(path) AS pid, generate_subscripts(path, 1) AS step FROM way) JOIN people USING (pid) GROUP BY a, b, how)
+        SELECT first, second, CASE WHEN how IS NOT NULL THEN first END AS person1_name, CASE WHEN how IS NOT NULL THEN second END AS person2_name, text_path,
+            CASE WHEN a IS NULL THEN 'Pessoa 1 ' || chr(39) || first || chr(39) || ' não encontrada.' WHEN b IS NULL THEN 'Pessoa 2 ' || chr(39) || second || chr(39) || ' não encontrada.'
+                ELSE coalesce(how, 'Nenhuma conexão encontrada entre ' || chr(39) || first || chr(39) || ' e ' || chr(39) || second || chr(39) || '.') END AS message,
+            a IS NOT NULL AND b IS NOT NULL AS success
+        FROM placed LEFT JOIN told USING (a, b)""",
+    "best_candidate": f"""WITH RECURSIVE {_MADE}, {_RATIOS.replace("given AS (SELECT DISTINCT a, b, split_part(a, ' ', 1) AS s, unnest(string_split(b, ' ')[1:2]) AS t FROM pairs)", "given AS (SELECT a, b, a AS s, b AS t FROM pairs WHERE false)")}
+        SELECT DISTINCT ON (a) a AS key, b AS other, CAST(inter AS INTEGER) AS inter, v_given AS s_given, CAST(11 * token_sort + 5 * partial + 4 * v_given + 160 * inter - 80 * CAST(silva AS INTEGER) AS INTEGER) AS score20
+        FROM pairs JOIN ratios USING (a, b) ORDER BY a, score20 DESC, ord""",
     "surname_blocking": f"WITH {_PAIRS} SELECT x.key, y.key AS other FROM k x JOIN k y ON split_part(x.key, ' ', 2) = split_part(y.key, ' ', 2)",
     "prefix_blocking": f"""WITH {_PAIRS}, s AS (SELECT key, split_part(key, ' ', 2) AS sn FROM short), p AS (SELECT key, split_part(key, ' ', 2) AS sn FROM k),
         near AS (SELECT s.key, p.key AS other FROM s JOIN p USING (sn))

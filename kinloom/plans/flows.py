@@ -15,67 +15,89 @@ DIRECT = "Conexão direta encontrada (ancestral comum)."
 INDIRECT = "Conexão indireta encontrada (via casamento/afinidade)."
 NO_PATH = "sem caminho subindo por pais (pais ausentes no GED?)"
 
-_PATH = "person1_name string, person2_name string, text_path string, mermaid_data string, message string, success boolean"
+#: A pair's row: as asked, without blanks at the ends, and how they connect.
+_COLUMNS = ["first", "second", "person1_name", "person2_name", "text_path", "mermaid_data", "message", "success"]
 
 
-def search_path(person: DataFrame, member: DataFrame, first: str, second: str) -> DataFrame:
-    """One row: how two people connect, through a common ancestor or else through a marriage.
+def _people_asked(person: DataFrame, asked: DataFrame) -> DataFrame:
+    """``query, pid``: of each name asked for the first person in the tree's order."""
+    found = pedigree.find_people(person, asked.select(F.explode(F.array("first", "second")).alias("query")).distinct())
+    return found.groupBy("query").agg(F.min(F.struct("ord", "pid"))["pid"].alias("pid"))
+
+
+def _marriages(paths: DataFrame, couples: DataFrame) -> DataFrame:
+    """The paths with ``at``: the place of the first person on them whose next is a partner; null if there is none."""
+    steps = paths.select("a", "b", F.posexplode("path").alias("at", "pid"), F.col("path").alias("p")).select("a", "b", "at", "pid", F.get("p", F.col("at") + 1).alias("spouse"))
+    wed = steps.join(couples.select("pid", "spouse").distinct(), ["pid", "spouse"], "left_semi").groupBy("a", "b").agg(F.min("at").alias("at"))
+    return paths.join(wed, ["a", "b"], "left")
+
+
+def _branches(ends: DataFrame, parents: DataFrame, couples: DataFrame) -> DataFrame:
+    """``a, b, branch``: the climb between two ends, with its ancestor's partner: one who stands on the climb first, else the first."""
+    met = climb.common_ancestors(ends, parents)
+    on = F.array_contains("path", F.col("spouse"))
+    mate = F.min(F.struct((~on).alias("off"), "pos", "spouse"))["spouse"].alias("partner")
+    mates = met.join(couples.select(F.col("pid").alias("ancestor"), "pos", "spouse"), "ancestor").groupBy("a", "b").agg(mate)
+    return met.join(mates, ["a", "b"], "left").select("a", "b", F.struct("path", "ancestor", "partner").alias("branch"))
+
+
+def _affinities(pairs: DataFrame, person: DataFrame, member: DataFrame, parents: DataFrame, couples: DataFrame) -> DataFrame:
+    """``a, b, text_path, mermaid_data`` of the pairs that connect through a marriage."""
+    paths = cut(_marriages(affinity.shortest_paths(pairs, person, member), couples), "marriages")
+    wed = paths.where("at IS NOT NULL").select("a", "b", F.get("path", F.col("at")).alias("x"), F.get("path", F.col("at") + 1).alias("y"))
+    ends = wed.select(F.explode(F.array(F.struct("a", F.col("x").alias("b")), F.struct(F.col("b").alias("a"), F.col("y").alias("b")))).alias("e")).select("e.a", "e.b").distinct()
+    branches = cut(_branches(ends, parents, couples), "branches")
+    left = branches.select("a", F.col("b").alias("x"), F.col("branch").alias("left"))
+    right = branches.select(F.col("a").alias("b"), F.col("b").alias("y"), F.col("branch").alias("right"))
+    both = wed.join(left, ["a", "x"]).join(right, ["b", "y"], "left").where("b = y OR right IS NOT NULL")
+    shown = F.concat("left.path", F.coalesce("right.path", F.array().cast("array<string>")), F.array("a", "b", "x", "y"))
+    shown = F.array_union(shown, F.filter(F.array("left.partner", "right.partner"), lambda p: p.isNotNull()))
+    labels = person.select("pid", render.label(F.col("name")).alias("label"))
+    named = both.select("a", "b", F.explode(shown).alias("pid")).join(labels, "pid").groupBy("a", "b").agg(F.map_from_entries(F.collect_list(F.struct("pid", "label"))).alias("labels"))
+    bridged = both.join(named, ["a", "b"]).select("a", "b", render.bridge_charts("a", "b", "x", "y", "left", F.when(F.col("b") != F.col("y"), F.col("right")), "labels").alias("bridge"))
+    people = render.with_people(paths.select("a", "b", "path"), person)
+    none = F.lit(None).cast("string")
+    plain = render.direct_chart(F.col("people"), none, none, none, F.col("a"), F.col("b"))
+    drawn = people.select("a", "b", render.text_path(F.col("people")).alias("text_path"), plain.alias("plain")).join(bridged, ["a", "b"], "left")
+    return drawn.select("a", "b", "text_path", F.coalesce("bridge", "plain").alias("mermaid_data"))
+
 
-    Names are asked for, and given back, without blanks at their ends.  What comes to the driver is one path and the people on it.
+def search_paths(person: DataFrame, member: DataFrame, asked: DataFrame) -> DataFrame:
+    """How pairs of people connect: ``first, second, person1_name, person2_name, text_path, mermaid_data, message, success``.
+
+    ``asked(first, second)`` names them; names are asked for, and given back,
+    without blanks at their ends, and each pair gives one row.  A pair connects
+    through a common ancestor or else through a marriage.  Null names are empty,
+    and an empty name finds the first person, as any name contains it.
     """
-    spark = person.sparkSession
-
-    def answer(message, success, names=(None, None), text=None, chart=None):
-        return spark.createDataFrame([(*names, text, chart, message, success)], _PATH)
-
-    first, second = first.strip(), second.strip()
-    asked = spark.createDataFrame([(first,), (second,)], "query string")
-    found = pedigree.find_people(person, asked).groupBy("query").agg(F.min(F.struct("ord", "pid", "name")).alias("p")).collect()
-    at = {r["query"]: r["p"] for r in found}
-    for k, name in enumerate((first, second), 1):
-        if name not in at:
-            return answer(f"Pessoa {k} '{name}' não encontrada.", False)
-    a, b = at[first]["pid"], at[second]["pid"]
-    names = (first, second)
-    pair = spark.createDataFrame([(a, b)], "a string, b string")
+    asked = asked.select(*(F.trim(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in ("first", "second"))).distinct()
+    ids = _people_asked(person, asked)
+    asked = asked.join(ids.select(F.col("query").alias("first"), F.col("pid").alias("a")), "first", "left").join(ids.select(F.col("query").alias("second"), F.col("pid").alias("b")), "second", "left")
+    asked = cut(asked.select("first", "second", "a", "b"), "asked")
+    pairs = asked.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b").distinct()
     parents, couples = cut(pedigree.parents(person, member), "parents"), cut(pedigree.spouses(person, member), "spouses")
-    direct = climb.common_ancestors(pair, parents).collect()
-    if direct:
-        path, message = direct[0]["path"], DIRECT
-        people = render.with_people(spark.createDataFrame([(a, b, path, direct[0]["ancestor"])], "a string, b string, path array<string>, ancestor string"), person, couples)
-        chart = render.direct_chart(F.col("people"), F.col("ancestor"), F.col("partner"), F.col("partner_label"), F.col("a"), F.col("b"))
-        return people.select(F.lit(names[0]).alias("person1_name"), F.lit(names[1]).alias("person2_name"), render.text_path(F.col("people")).alias("text_path"), chart.alias("mermaid_data"), F.lit(message).alias("message"), F.lit(True).alias("success"))
-    indirect = affinity.shortest_paths(pair, person, cut(pedigree.edges(person, member), "edges")).collect()
-    if not indirect:
-        return answer(f"Nenhuma conexão encontrada entre '{first}' e '{second}'.", True)
-    path = indirect[0]["path"]
-    wed = {(r["pid"], r["spouse"]) for r in couples.where(F.col("pid").isin(path)).collect()}
-    partners = {r["pid"]: r["all"] for r in couples.groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("pos", "spouse"))).alias("all")).join(spark.createDataFrame([(p,) for p in path], "pid string"), "pid").collect()}
-    at = next((i for i in range(len(path) - 1) if (path[i], path[i + 1]) in wed), None)
-    branches, ids = [], set(path)
-    if at is not None:
-        ends = [(a, path[at]), (b, path[at + 1])]
-        met = {(r["a"], r["b"]): r for r in climb.common_ancestors(spark.createDataFrame(ends, "a string, b string"), parents).collect()}
-        for end in ends:
-            if end not in met:
-                branches.append(None)
-                continue
-            top = met[end]["ancestor"]
-            own = partners.get(top) or [r["all"] for r in couples.where(F.col("pid") == top).groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("pos", "spouse"))).alias("all")).collect()]
-            own = own[0] if own and isinstance(own[0], list) else own
-            mates = [s["spouse"] for s in own or []]
-            mate = next((m for m in mates if m in met[end]["path"]), mates[0] if mates else None)
-            branches.append({"path": met[end]["path"], "ancestor": top, "partner": mate})
-            ids |= {*met[end]["path"], *([mate] if mate else [])}
-    labels = {r["pid"]: r for r in person.join(spark.createDataFrame([(i,) for i in sorted(ids)], "pid string"), "pid").select("pid", "name", render.label(F.col("name")).alias("label")).collect()}
-    text = render.ARROW.join(labels[p]["name"] if p in labels else "Sem Nome" for p in path)
-    if at is None or branches[0] is None or (b != path[at + 1] and branches[1] is None):
-        people = render.with_people(spark.createDataFrame([(a, b, path)], "a string, b string, path array<string>"), person)
-        none = F.lit(None).cast("string")
-        chart = people.select(render.direct_chart(F.col("people"), none, none, none, F.col("a"), F.col("b"))).first()[0]
-    else:
-        chart = render.bridge_chart(a, b, path[at], path[at + 1], branches[0], None if b == path[at + 1] else branches[1], {k: r["label"] for k, r in labels.items()})
-    return answer(INDIRECT, True, names, text, chart)
+    direct = cut(climb.common_ancestors(pairs, parents), "direct")
+    people = render.with_people(direct, person, couples)
+    chart = render.direct_chart(F.col("people"), F.col("ancestor"), F.col("partner"), F.col("partner_label"), F.col("a"), F.col("b"))
+    drawn = people.select("a", "b", render.text_path(F.col("people")).alias("text_path"), chart.alias("mermaid_data"), F.lit(DIRECT).alias("message"))
+    left = pairs.join(direct.select("a", "b"), ["a", "b"], "left_anti")
+    drawn = cut(drawn.unionByName(_affinities(left, person, member, parents, couples).withColumn("message", F.lit(INDIRECT))), "drawn")
+    out = asked.join(drawn, ["a", "b"], "left")
+    known = F.col("a").isNotNull() & F.col("b").isNotNull()
+
+    def absent(k, name):
+        return F.concat(F.lit(f"Pessoa {k} '"), name, F.lit("' não encontrada."))
+
+    nothing = F.concat(F.lit("Nenhuma conexão encontrada entre '"), "first", F.lit("' e '"), "second", F.lit("'."))
+    message = F.when(F.col("a").isNull(), absent(1, F.col("first"))).when(F.col("b").isNull(), absent(2, F.col("second"))).otherwise(F.coalesce("message", nothing))
+    names = [F.when(F.col("message").isNotNull(), F.col(c)).alias(f"person{k}_name") for k, c in enumerate(("first", "second"), 1)]
+    return out.select("first", "second", *names, "text_path", "mermaid_data", message.alias("message"), known.alias("success")).select(_COLUMNS)
+
+
+def search_path(person: DataFrame, member: DataFrame, first: str, second: str) -> DataFrame:
+    """One row: how two people connect."""
+    asked = person.sparkSession.createDataFrame([(first.strip(), second.strip())], "first string, second string")
+    return search_paths(person, member, asked).drop("first", "second")
 
 
 def analyse_matches(person: DataFrame, member: DataFrame, rows: DataFrame, roles: Roles, root: str) -> tuple[DataFrame, DataFrame]:
