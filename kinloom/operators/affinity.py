@@ -41,29 +41,42 @@ def _spread(level: DataFrame, before: DataFrame | None, places: DataFrame) -> Da
     return new.join(before.select("src", "node"), ["src", "node"], "left_anti") if before is not None else new
 
 
-def _marked(met: DataFrame, levels: list[DataFrame], places: DataFrame) -> list[DataFrame]:
-    """For each step from the first end: ``a, b, node`` of the persons on a shortest path."""
-    marks = [met]
-    for level in reversed(levels[:-1]):
-        families = marks[-1].join(places.select(F.col("pid").alias("node"), "fid"), "node").select("a", "b", "fid").distinct()
-        near = families.join(places.select("fid", F.col("pid").alias("node")), "fid").select("a", "b", "node").distinct()
-        marks.append(cut(near.join(level.select(F.col("src").alias("a"), "node"), ["a", "node"], "left_semi"), "marks"))
-    return marks[::-1]
+def _marked(met: DataFrame, levels: list[DataFrame], last: int, places: DataFrame) -> dict[int, DataFrame]:
+    """For each step from the first end: ``a, b, node`` of the persons on a shortest path, of the pairs that met at that step or later."""
+    marks = {}
+    for k in range(last, 0, -1):
+        own = met.where(F.col("i") == k).select("a", "b", "node")
+        if k < last:
+            families = marks[k + 1].join(places.select(F.col("pid").alias("node"), "fid"), "node").select("a", "b", "fid").distinct()
+            near = families.join(places.select("fid", F.col("pid").alias("node")), "fid").select("a", "b", "node").distinct()
+            own = own.unionByName(near.join(levels[k].select(F.col("src").alias("a"), "node"), ["a", "node"], "left_semi").select("a", "b", "node"))
+        marks[k] = cut(own, "marks")
+    return marks
 
 
 def _read(met: DataFrame, left: list[DataFrame], right: list[DataFrame], places: DataFrame) -> DataFrame:
-    """``a, b, path`` of pairs that met between the last levels of both sides."""
-    path = met.select("a", "b").distinct().select("a", "b", F.col("a").alias("at"), F.array("a").alias("path"))
+    """``a, b, path`` of pairs that met at the persons ``node``, ``i`` steps from the first end and ``j`` from the second."""
+    path = met.select("a", "b", "i", "j").distinct().select("a", "b", "i", "j", F.col("a").alias("at"), F.array("a").alias("path"))
+    columns, (most_i, most_j) = path.columns, met.agg(F.max("i"), F.max("j")).first()
     one, two = places.select(F.col("pid").alias("at"), "fid", "fo"), places.select("fid", F.col("pid").alias("node"), "po")
-    for k, mark in enumerate(_marked(met, left, places)[1:], 1):
-        near = path.select("a", "b", "at").join(one, "at").join(two, "fid").join(mark, ["a", "b", "node"], "left_semi")
-        best = near.groupBy("a", "b").agg(F.min(F.struct("fo", "po", "node"))["node"].alias("next"))
-        path = path.join(best, ["a", "b"]).select("a", "b", F.col("next").alias("at"), F.concat("path", F.array("next")).alias("path"))
-        path = cut(path, "paths") if k % STEP == 0 else path
-    for k, level in enumerate(reversed(right[1:]), 1):
-        back = level.select(F.col("src").alias("b"), F.col("node").alias("at"), F.col("back.to").alias("next"))
-        path = path.join(back, ["b", "at"]).select("a", "b", F.col("next").alias("at"), F.concat("path", F.array("next")).alias("path"))
-        path = cut(path, "paths") if k % STEP == 0 else path
+    marks, done = _marked(met, left, most_i, places), 0
+
+    def stepped(path: DataFrame, going, to: DataFrame) -> DataFrame:
+        """Paths that go on, with their next person from ``a, b, next``, and the others as they are."""
+        nonlocal done
+        done += 1
+        on = path.where(going).join(to, ["a", "b"]).withColumn("path", F.concat("path", F.array("next"))).withColumn("at", F.col("next")).select(columns)
+        path = on.unionByName(path.where(~going))
+        return cut(path, "paths") if done % STEP == 0 else path
+
+    for k in range(1, most_i + 1):
+        going = F.col("i") >= k
+        near = path.where(going).select("a", "b", "at").join(one, "at").join(two, "fid").join(marks[k], ["a", "b", "node"], "left_semi")
+        path = stepped(path, going, near.groupBy("a", "b").agg(F.min(F.struct("fo", "po", "node"))["node"].alias("next")))
+    for k in range(most_j, 0, -1):
+        going = F.col("j") >= k
+        back = right[k].select(F.col("src").alias("b"), F.col("node").alias("at"), F.col("back.to").alias("next"))
+        path = stepped(path, going, path.where(going).select("a", "b", "at").join(back, ["b", "at"]).select("a", "b", "next"))
     return path.select("a", "b", "path")
 
 
@@ -91,10 +104,10 @@ def shortest_paths(pairs: DataFrame, person: DataFrame, member: DataFrame, hops:
         if not n:
             break
         met = open_.join(levels["a"][-1].select(F.col("src").alias("a"), "node"), "a").join(levels["b"][-1].select(F.col("src").alias("b"), "node"), ["b", "node"])
-        met, n = cut_and_count(met.select("a", "b", "node"), "met")
+        met, n = cut_and_count(met.select("a", "b", "node", F.lit(len(levels["a"]) - 1).alias("i"), F.lit(len(levels["b"]) - 1).alias("j")), "met")
         if n:
-            found.append(_read(met, list(levels["a"]), list(levels["b"]), places))
+            found.append(met)
             open_, n_open = cut_and_count(open_.join(met.select("a", "b").distinct(), ["a", "b"], "left_anti"), "pairs")
     if not found:
         return pairs.where(F.lit(False)).withColumn("path", F.array().cast("array<string>"))
-    return reduce(DataFrame.unionByName, found)
+    return _read(reduce(DataFrame.unionByName, found), levels["a"], levels["b"], places)
