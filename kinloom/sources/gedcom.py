@@ -24,6 +24,10 @@ ANSEL_MARKS = {
 }
 
 
+#: Code pages that a header names, by Python's names for them.
+PAGES = {"ANSI": "cp1252", "WINDOWS-1252": "cp1252", "IBMPC": "cp437", "IBM-PC": "cp437", "IBM": "cp437", "OEM": "cp437", "MACINTOSH": "mac_roman", "MAC": "mac_roman", "CP1250": "cp1250", "CP1251": "cp1251", "CP1252": "cp1252"}
+
+
 def from_ansel(data: bytes) -> str:
     """Text of ANSEL bytes, composed; bytes without a character become U+FFFD."""
     out, marks = [], ""
@@ -37,8 +41,9 @@ def from_ansel(data: bytes) -> str:
 
 
 @F.pandas_udf(T.StringType())
-def _ansel(content: pd.Series) -> pd.Series:
-    return content.map(lambda c: c if c is None else from_ansel(c))
+def _by_page(content: pd.Series, page: pd.Series) -> pd.Series:
+    """Text of ANSEL or of a code page; bytes that it doesn't have become U+FFFD."""
+    return pd.Series([c if c is None else from_ansel(c) if p == "ANSEL" else c.decode(PAGES[p], "replace") for c, p in zip(content, page, strict=True)])
 
 
 _LINE = r"^\s*(\d+)\s+(?:(@[^@]+@)\s+)?(\S+)(?: (.*))?$"
@@ -47,15 +52,19 @@ _LINE = r"^\s*(\d+)\s+(?:(@[^@]+@)\s+)?(\S+)(?: (.*))?$"
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """``pos, level, xref, tag, value`` of every line; a line against the grammar raises an error.
 
-    A byte order mark tells UTF-16, and the header ANSEL; other bytes that are
-    no UTF-8 make the file be read as Latin-1.  ``file`` numbers the files by path.
+    A byte order mark tells UTF-16, and the header ANSEL or a code page (ANSI,
+    IBMPC, MACINTOSH and others), which counts unless the bytes are UTF-8 beyond
+    ASCII; other bytes that are no UTF-8 make the file be read as Latin-1.  ``file`` numbers the files by path.
     """
     raw = spark.read.format("binaryFile").load(path).select("path", F.col("content").alias("c"))
     number = raw.select("path").distinct().select("path", (F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("file"))  # a row a file
     raw = raw.join(F.broadcast(number), "path").drop("path")
     wide = F.hex(F.substring("c", 1, 2)).isin("FFFE", "FEFF")
-    ansel = F.rlike(F.decode(F.substring("c", 1, 4096), "ISO-8859-1"), F.lit(r"(?m)^\s*1\s+CHAR\s+ANSEL\s*$"))
-    text = F.when(wide, F.decode("c", "UTF-16")).when(ansel, _ansel("c")).otherwise(F.coalesce(F.try_validate_utf8(F.col("c").cast("string")), F.decode("c", "ISO-8859-1")))
+    head = F.regexp_replace(F.decode(F.substring("c", 1, 4096), "ISO-8859-1"), "\r\n?", "\n")
+    page = F.upper(F.regexp_extract(head, r"(?m)^\s*1\s+CHAR\s+(\S+)\s*$", 1))
+    sound = F.try_validate_utf8(F.col("c").cast("string"))
+    old = (page == "ANSEL") | (page.isin(list(PAGES)) & sound.isNull())
+    text = F.when(wide, F.decode("c", "UTF-16")).when(old, _by_page(F.when(old, F.col("c")), page)).otherwise(F.coalesce(sound, F.decode("c", "ISO-8859-1")))
     rows = raw.select("file", F.posexplode(F.split(F.regexp_replace(text, "^﻿", ""), "\r\n|\r|\n")).alias("pos", "line")).where("trim(line) <> ''")
     good = F.rlike("line", F.lit(_LINE))
     level = F.when(good, F.regexp_extract("line", _LINE, 1)).otherwise(F.raise_error(F.concat(F.lit("not a GEDCOM line: "), F.col("line"))))

@@ -13,6 +13,10 @@ from kinloom.functions.names import norm_name, repair_encoding
 NAME_HEADERS = ["Name", "MatchedName", "Nome"]
 CM_HEADERS = ["cM", "TotalCM", "Total cM"]
 MATCH_ID = "^[A-Z]{2}[0-9]{7}$"
+# What pandas reads as missing.
+MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+#: A whole number, and a number, as pandas takes them for columns of numbers.
+WHOLE, NUMBER = r"^\s*[+-]?[0-9]{1,18}\s*$", r"(?i)^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?\s*$|^\s*[+-]?inf(inity)?\s*$"
 
 
 @dataclass(frozen=True)
@@ -26,16 +30,33 @@ class Roles:
 def read_matches(spark: SparkSession, path: str) -> DataFrame:
     """The file as a table with ``row_ord``: UTF-8 if all of it is, else Latin-1; headers are trimmed, values at their left.
 
-    A quoted value may hold commas, line breaks and doubled quotes.
+    A quoted value may hold commas, line breaks and doubled quotes.  Missing
+    values and columns of numbers are those that pandas would find.
     """
     sound = spark.read.format("binaryFile").load(path).agg(F.bool_and(F.is_valid_utf8(F.col("content").cast("string")))).first()[0]
-    rows = spark.read.csv(
-        path, header=True, inferSchema=True, ignoreLeadingWhiteSpace=True, quote='"', escape='"', multiLine=True, encoding="UTF-8" if sound else "ISO-8859-1"
-    )
-    rows = rows.toDF(*(c.strip() for c in rows.columns))
+    rows = spark.read.csv(path, header=True, ignoreLeadingWhiteSpace=True, quote='"', escape='"', multiLine=True, encoding="UTF-8" if sound else "ISO-8859-1")
+    rows = typed(rows.toDF(*(c.strip() for c in rows.columns)))
     return rows.withColumn("row_ord", F.monotonically_increasing_id())
 
 
+def typed(rows: DataFrame) -> DataFrame:
+    """Columns of strings with missing values as nulls, and columns of numbers as such.
+
+    A column whose values are all whole numbers is one of longs, or of doubles
+    if values are missing, as any other column of numbers; the rest are
+    strings.  A column without any value is one of doubles.
+    """
+    at = {c: F.col(f"`{c}`") for c in rows.columns}
+    rows = rows.select(*(F.when(~F.coalesce(v, F.lit("")).isin(MISSING), v).alias(c) for c, v in at.items()))
+    facts = []
+    for c, v in at.items():
+        facts += [F.count_if(v.isNull()).alias(f"{c}\0missing"), F.count_if(~F.rlike(v, F.lit(WHOLE))).alias(f"{c}\0parts"), F.count_if(~F.rlike(v, F.lit(NUMBER))).alias(f"{c}\0words")]
+    seen = rows.agg(*facts).first()
+    kinds = {c: "string" if seen[f"{c}\0words"] else "double" if seen[f"{c}\0parts"] or seen[f"{c}\0missing"] else "bigint" for c in at}
+    number = {c: F.regexp_replace(F.trim(v), "(?i)^([+-]?)inf(inity)?$", "$1Infinity") for c, v in at.items()}
+    return rows.select(*(v if kinds[c] == "string" else number[c].cast(kinds[c]).alias(c) for c, v in at.items()))
+
+
 def id_shares(rows: DataFrame) -> DataFrame:
     """One row: for each column the share of values that look like a match id."""
     return rows.agg(*[F.coalesce(F.avg(F.coalesce(F.rlike(F.col(f"`{c}`").cast("string"), F.lit(MATCH_ID)), F.lit(False)).cast("double")), F.lit(0.0)).alias(c) for c in rows.columns])
