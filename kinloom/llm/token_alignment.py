@@ -4,8 +4,8 @@ Where neither tokenizer has a token across a place, whatever stands around it, a
 text is cut: before a blank or line break that follows no white space, around a line
 break that ends white space, and between letters and marks of ASCII.  What lies between two cuts, a unit,
 is aligned alone, and a text's alignment is its units' alignments end to end.  A
-first pass deals documents to parts, finds each part's distinct units with their
-numbers of occurrences and encodes them by both tokenizers.  Then:
+first pass deals documents to parts and finds each part's distinct units; what is
+distinct among all parts is encoded by both tokenizers, with how often it occurs.  Then:
 
 1. a unit's tokens are exploded by position, and their lengths in bytes, joined from
    the vocabulary, are summed up by a window: each token's end;
@@ -13,8 +13,8 @@ numbers of occurrences and encodes them by both tokenizers.  Then:
    end, and with them the links between the tokens that end there;
 3. a running count of the cuts numbers the groups of tokens between cuts;
 4. links are counted over the corpus, and counts are joined back to the links;
-5. a part's documents are exploded into units, joined with its aligned units, and
-   put together by position.
+5. aligned units go to the parts that have them, whose documents are exploded into
+   units, joined with them, and put together by position.
 
 A pair of tokenizers that isn't known to keep such places apart is aligned by whole texts.
 """
@@ -34,12 +34,14 @@ from kinloom.llm import byte_bpe
 from kinloom.llm import textkernel as K
 from kinloom.llm.repair_store import Encoder
 from kinloom.llm.scratch import Scratch
-from kinloom.llm.sentencepiece_codec import Pieces, default_model
+from kinloom.llm.sentencepiece_codec import BLANK, Pieces, default_model
 
 #: Bytes of text in a part, bytes encoded at once, rows of a batch, and pairs up to which their counts are broadcast.
-PART, BLOCK, ROWS, BROADCAST = 12 << 20, 512 << 10, 50_000, 1_000_000
+PART, BLOCK, ROWS, BROADCAST = 24 << 20, 512 << 10, 50_000, 1_000_000
 #: Chunks and ids that a worker remembers of each tokenizer; it has two, so less of each.
 MEMORY = 200_000, 1_600_000
+#: B's sign for a blank, which it doesn't give back.
+_BLANK = BLANK.encode()
 _LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
 _MARK[0x21:0x30] = _MARK[0x3A:0x41] = _MARK[0x5B:0x61] = _MARK[0x7B:0x7F] = True
@@ -136,17 +138,23 @@ def heads(data: np.ndarray, ends: np.ndarray, may: tuple[bool, bool, bool]) -> n
     return np.flatnonzero(head)
 
 
-_PARTS = "part long, unit int, n long, a array<int>, b array<int>, row int, doc_id long, units array<int>"
-_ARROW = pa.schema([("part", pa.int64()), ("unit", pa.int32()), ("n", pa.int64()), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32())), ("row", pa.int32()), ("doc_id", pa.int64()), ("units", pa.list_(pa.int32()))])
+def complete(a_path: str, b_path: str) -> bool:
+    """Whether both tokenizers have a token for each byte, so that they render any text but what stands for a blank in B."""
+    a, b = byte_level(a_path), pieces(b_path)
+    alone = {a.raw[x] for x, y in zip(a.raw_at[:-1].tolist(), a.raw_at[1:].tolist(), strict=True) if y - x == 1}
+    return len(alone) == 256 and len(set(b.byte.tolist())) == 256
+
+
+_PARTS = "part long, unit int, n long, word binary, row int, doc_id long, units array<int>"
+_ARROW = pa.schema([("part", pa.int64()), ("unit", pa.int32()), ("n", pa.int64()), ("word", pa.binary()), ("row", pa.int32()), ("doc_id", pa.int64()), ("units", pa.list_(pa.int32()))])
 
 
 def _batch(rows: int, **columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(rows, f.type)) for f in _ARROW], schema=_ARROW)
 
 
-def _part(number: int, docs: list, a_path: str, b_path: str):
+def _part(number: int, docs: list, may: tuple[bool, bool, bool]):
     """Batches of a part's units, and of its documents as unit numbers; null for those that aren't rendered byte for byte."""
-    may = rules(a_path, b_path)
     ids, arrays, sizes, sound = [], [], [], []
     for doc_id, data, ends, valid in docs:
         starts = heads(data, ends, may)
@@ -157,18 +165,16 @@ def _part(number: int, docs: list, a_path: str, b_path: str):
     coded = pa.chunked_array(arrays, pa.binary()).combine_chunks().dictionary_encode()
     words, place = coded.dictionary, coded.indices.to_numpy()
     size, sound = np.concatenate(sizes), np.concatenate(sound)
-    tokens = [_tokens(model, words) for model in (byte_level(a_path), pieces(b_path))]
-    good = ~np.logical_or(*(t.is_null().to_numpy(zero_copy_only=False) for t in tokens))
-    at = np.concatenate(([0], np.cumsum(size)))
-    wrong = np.concatenate(([0], np.cumsum(~good[place])))
-    sound = sound & (size > 0) & (wrong[at[1:]] == wrong[at[:-1]])
+    sound = sound & (size > 0)
     counts = np.bincount(place[np.repeat(sound, size)], minlength=len(words))
-    used = np.flatnonzero(counts)  # units of documents without tokens are left out
-    for i in range(0, len(used), ROWS):
-        part = used[i : i + ROWS]
-        take = pa.array(part)
-        yield _batch(len(part), part=pa.array(np.full(len(part), number)), unit=pa.array(part.astype(np.int32)), n=pa.array(counts[part]), a=tokens[0].take(take), b=tokens[1].take(take))
-    names, row = pa.chunked_array(ids).combine_chunks(), 0
+    order = np.argsort(-counts, kind="stable")  # small numbers are frequent, which packs well
+    rank = np.empty(len(words), np.int32)
+    rank[order] = np.arange(len(words))
+    place, used = rank[place], int((counts > 0).sum())  # units of documents without tokens are left out
+    for i in range(0, used, ROWS):
+        part = order[i : min(i + ROWS, used)]
+        yield _batch(len(part), part=pa.array(np.full(len(part), number)), unit=pa.array(np.arange(i, i + len(part), dtype=np.int32)), n=pa.array(counts[part]), word=words.take(pa.array(part)))
+    names, at, row = pa.chunked_array(ids).combine_chunks(), np.concatenate(([0], np.cumsum(size))), 0
     while row < len(size):
         last = max(row + 1, int(np.searchsorted(at, at[row] + 20 * ROWS, "right")) - 1)
         held = pa.ListArray.from_arrays(pa.array((at[row : last + 1] - at[row]).astype(np.int32)), pa.array(place[at[row] : at[last]]), mask=pa.array(~sound[row:last]))
@@ -176,19 +182,20 @@ def _part(number: int, docs: list, a_path: str, b_path: str):
         row = last
 
 
-def parted(docs: DataFrame, a_path: str, b_path: str, part_bytes: int) -> DataFrame:
-    """Rows of two kinds: a part's distinct units with both tokenizers' ids, and its documents as arrays of unit numbers."""
+def parted(docs: DataFrame, may: tuple[bool, bool, bool], part_bytes: int) -> DataFrame:
+    """Rows of two kinds: a part's distinct units, the most frequent first, and its documents as arrays of unit numbers."""
 
     def run(batches):
         task, made, held, room = TaskContext.get().partitionId(), 0, [], 0
         for block, data, ends in K.blocks(batches, "text", BLOCK):
-            valid = np.ones(len(block), bool)
             whole = data.tobytes()
+            rows = [whole[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            valid = np.array([_BLANK not in r for r in rows]) if _BLANK in whole else np.ones(len(rows), bool)
             try:
                 whole.decode()
             except UnicodeDecodeError:
-                rows = [whole[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
-                valid = np.array([r.decode("utf-8", "ignore").encode() == r for r in rows])
+                valid &= np.array([r.decode("utf-8", "ignore").encode() == r for r in rows])
+            if not valid.all():  # documents without tokens are empty here
                 rows = [r if v else b"" for r, v in zip(rows, valid, strict=True)]
                 data, ends = np.frombuffer(b"".join(rows), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in rows])))
             full = np.diff(ends) > 0  # a blank before each text that isn't empty
@@ -196,15 +203,28 @@ def parted(docs: DataFrame, a_path: str, b_path: str, part_bytes: int) -> DataFr
             held.append((block.column(0), spaced, ends + np.concatenate(([0], np.cumsum(full))), valid))
             room += len(spaced)
             if room >= part_bytes:
-                yield from _part(task << 20 | made, held, a_path, b_path)
+                yield from _part(task << 20 | made, held, may)
                 made, held, room = made + 1, [], 0
         if held:
-            yield from _part(task << 20 | made, held, a_path, b_path)
+            yield from _part(task << 20 | made, held, may)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(run, _PARTS)
 
 
+def encoded(units: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """Units ``word, n`` with both tokenizers' ids, ``a`` and ``b``; a word that one of them doesn't render byte for byte ends the job."""
+
+    def run(batches):
+        for batch in batches:
+            found = [_tokens(model, batch.column(0)) for model in (byte_level(a_path), pieces(b_path))]
+            if any(x.null_count for x in found):
+                raise ValueError("a tokenizer doesn't render a word byte for byte")
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], ["word", "n", "a", "b"])
+
+    return units.select("word", "n").mapInArrow(run, "word binary, n long, a array<int>, b array<int>")
+
+
 @contextmanager
 def co_located(spark: SparkSession):
     """Joins whose sides are dealt by some of the keys already are not dealt again."""
@@ -224,19 +244,19 @@ def _bytes(spark: SparkSession, model) -> DataFrame:
 
 def _ended(units: DataFrame, name: str, sizes: DataFrame, *more: str) -> DataFrame:
     """A unit's tokens, one row each: id and the byte at which it ends."""
-    rows = units.select("part", "unit", *more, name).repartition("part", "unit").select("part", "unit", *more, F.posexplode(name).alias("pos", "id"))
-    so_far = Window.partitionBy("part", "unit").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.join(sizes, "id").select("part", "unit", *more, F.col("id").alias(name), F.sum("size").over(so_far).alias("end"))
+    rows = units.select("word", *more, name).repartition("word").select("word", *more, F.posexplode(name).alias("pos", "id"))
+    so_far = Window.partitionBy("word").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(sizes, "id").select("word", *more, F.col("id").alias(name), F.sum("size").over(so_far).alias("end"))
 
 
 def aligned(units: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """Units ``part, unit, n, a, b`` (arrays of ids over the same bytes) with their alignment.
+    """Units ``word, n, a, b`` (arrays of ids over the same bytes) with their alignment.
 
     ``n_a``, ``n_b`` tokens, ``groups`` (ids of A, comma-joined, a bar, ids of B; groups joined by
     semicolons) and ``links``, an array of id pairs as A * 2^32 + B.  Run it under
     ``co_located``, so that tokens aren't dealt again.
     """
-    spark, key = units.sparkSession, ["part", "unit"]
+    spark, key = units.sparkSession, ["word"]
     a, b = _ended(units, "a", _bytes(spark, byte_level(a_path)), "n"), _ended(units, "b", _bytes(spark, pieces(b_path)))
     earlier = Window.partitionBy(*key).orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
 
@@ -267,21 +287,29 @@ def align_documents(docs: DataFrame, scratch: Scratch, a_path: str | None = None
     Texts that are null, empty, no UTF-8, or not rendered byte for byte by both have
     zeros and an empty ``groups``, and their links don't count.  Repeated rows and ids are
     documents of their own; other columns are ignored; an empty table gives an empty result.
+    Both tokenizers must have a token for each byte; B then renders all texts but those
+    with its own sign for a blank.
     """
     a_path, b_path, spark = a_path or default_tokenizer(), b_path or default_model(), docs.sparkSession
-    parts = scratch.cut(parted(docs, a_path, b_path, part_bytes or PART), "parts")
+    if not complete(a_path, b_path):
+        raise ValueError("a tokenizer has no token for some bytes")
+    parts = scratch.cut(parted(docs, rules(a_path, b_path), part_bytes or PART), "parts")
+    held = parts.where("unit IS NOT NULL").select("part", "unit", "n", "word")
     with co_located(spark):
-        known = scratch.cut(aligned(parts.where("unit IS NOT NULL").select("part", "unit", "n", "a", "b"), a_path, b_path), "aligned")
+        units = scratch.cut(encoded(held.groupBy("word").agg(F.sum("n").alias("n")), a_path, b_path), "units")
+        known = scratch.cut(aligned(units, a_path, b_path), "aligned")
+        scratch.drop(units)
         pairs = known.select("n", F.explode("links").alias("link")).groupBy("link").agg(F.sum("n").alias("count"))
         pairs = scratch.cut(pairs.withColumn("b", F.col("link").bitwiseAND(0xFFFFFFFF)), "pairs")
         best = pairs.groupBy("b").agg(F.max("count").alias("most"))
         pairs = pairs.join(best, "b").select("link", "count", (F.col("count") == F.col("most")).cast("int").alias("best"))
         if pairs.count() <= BROADCAST:
             pairs = F.broadcast(pairs)
-        scored = known.repartition("part").select("part", "unit", "n_a", "n_b", "groups", F.explode("links").alias("link")).join(pairs, "link")
-        scored = scored.groupBy("part", "unit").agg(
+        scored = known.repartition("word").select("word", "n_a", "n_b", "groups", F.explode("links").alias("link")).join(pairs, "link")
+        scored = scored.groupBy("word").agg(
             F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.first("groups").alias("groups"), F.count("link").alias("n_links"), F.sum("best").alias("n_best"), F.sum("count").alias("count_sum")
         )
+        scored = held.select("part", "unit", "word").join(scored, "word").drop("word").repartition("part")
         rows = parts.where("unit IS NULL").select("part", "row", "doc_id", "units")
         found = rows.where("units IS NOT NULL").repartition("part").select("part", "row", "doc_id", F.posexplode("units").alias("pos", "unit"))
         found = found.join(scored.hint("shuffle_hash"), ["part", "unit"])
