@@ -43,9 +43,9 @@ _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:kinloom:warc")
 #: What drops out before tags do: comments, scripts and styles, to the end of the page if they never end.
 _RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>]).*?(?:</\1(?=[\s/>])[^>]*>|\Z)", re.S | re.I)
 #: Tags of elements whose content drops out where an end tag follows, quoted values whole; svg may close itself.
-_HOLDER = re.compile(r"""<(/?)(noscript|template|svg)(?=[\s/>])((?:[^<>"'=]|=\s*"[^"]*"|=\s*'[^']*'|["'=])*+)>""", re.I)
+_HOLDER = re.compile(r"""<(/?)(noscript|template|svg)(?=[\s/>])((?:[^<>"'=]++|=\s*"[^"]*"|=\s*'[^']*'|["'=])*+)>""", re.I)
 #: What follows a tag's name, quoted values whole.
-_REST = r"""(?:[^<>"'=]|=\s*"[^"]*"|=\s*'[^']*'|["'=])*+>?"""
+_REST = r"""(?:[^<>"'=]++|=\s*"[^"]*"|=\s*'[^']*'|["'=])*+>?"""
 #: Elements that end a line.
 _BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b" + _REST, re.I)
 _TAG = re.compile("<[a-zA-Z/!?]" + _REST)
