@@ -389,34 +389,40 @@ def write_shards(docs: DataFrame, scratch: Scratch, path: str | None = None, key
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     total = source.agg(F.sum(F.octet_length("text").cast("long") + 16)).first()[0] or 0
     count = max(1, -(-total // shard_bytes))
-    dealt = source.withColumn("tie", F.xxhash64("text")).repartitionByRange(count, F.col("doc_id").asc_nulls_first(), "tie")
-    dealt = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "text").drop("tie")
+    dealt = source.withColumn("tie", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    dealt = dealt.repartitionByRange(count, F.col("doc_id").asc_nulls_first(), "tie", "row")
+    dealt = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "text").drop("tie", "row")
 
     def write(batches):
-        model = encoder(path)
-        keys, ids, sizes = [], [], []
+        model, part, made = encoder(path), TaskContext.get().partitionId(), 0
+        keys, ids, sizes, room = [], [], [], 0
         for block, data, ends in K.blocks(batches, limit=2 << 20):
             flat, at = model.encode(data, ends)
             n = np.diff(at)
             own = np.full(len(flat) + len(n), END, np.int32)
             own[np.arange(len(flat)) + np.repeat(np.arange(len(n)), n)] = flat
             keys.append(block.column(0)), ids.append(own), sizes.append(n + 1)
-        if not keys:
-            return
-        part = TaskContext.get().partitionId()
+            room += len(data) + 16 * len(block)
+            if room >= 2 * shard_bytes:  # ranges aren't quite even; only a task with far more than its share has several shards
+                yield shard(model, part << 20 | made, keys, ids, sizes)
+                made, keys, ids, sizes, room = made + 1, [], [], [], 0
+        if keys:
+            yield shard(model, part << 20 | made, keys, ids, sizes)
+
+    def shard(model, number, keys, ids, sizes):
         flat, at = np.concatenate(ids), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
         packed = pack(pa.chunked_array(keys).combine_chunks(), flat, at, model.first)
         system, root = _store(folder)
         system.create_dir(root, recursive=True)
-        name = f"{part:08d}-{uuid.uuid4().hex}.rpg"
+        name = f"{number:016d}-{uuid.uuid4().hex}.rpg"
         with system.open_output_stream(posixpath.join(root, name)) as out:
             out.write(packed)
-        yield pa.RecordBatch.from_pydict({"shard": [part], "file": [f"{folder}/{name}"], "n_docs": [len(at) - 1], "n_ids": [len(flat)]}, pa.schema([("shard", pa.int64()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+        return pa.RecordBatch.from_pydict({"shard": [number], "file": [f"{folder}/{name}"], "n_docs": [len(at) - 1], "n_ids": [len(flat)]}, pa.schema([("shard", pa.int64()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
     manifest = scratch.cut(dealt.mapInArrow(write, "shard long, file string, n_docs long, n_ids long"), "manifest")
-    # Ids before a shard: those before its thousand of shards, and those before it in its thousand.
-    thousand = F.floor(F.col("shard") / 1000)
-    earlier = Window.orderBy("thousand").rowsBetween(Window.unboundedPreceding, -1)  # one number for a thousand shards
+    # Ids before a shard: those before its thousand of tasks, and those before it in its thousand.
+    thousand = F.floor(F.shiftright("shard", 20) / 1000)
+    earlier = Window.orderBy("thousand").rowsBetween(Window.unboundedPreceding, -1)  # one number for a thousand tasks
     above = manifest.groupBy(thousand.alias("thousand")).agg(F.sum("n_ids").alias("n")).select("thousand", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("above"))
     own = Window.partitionBy("thousand").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.withColumn("thousand", thousand).withColumn("own", F.coalesce(F.sum("n_ids").over(own), F.lit(0))).join(above, "thousand")

@@ -6,7 +6,7 @@ pytest.importorskip("kinloom.llm")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from kinloom.llm import chat_format, decontaminate, embedding_dedup, quality_knn, sentencepiece_codec, toxicity_fm  # noqa: E402
+from kinloom.llm import chat_format, decontaminate, embedding_dedup, quality_knn, repair_store, sentencepiece_codec, toxicity_fm  # noqa: E402
 from kinloom.llm.scratch import Scratch  # noqa: E402
 
 
@@ -63,3 +63,16 @@ def test_repeated_vectors_and_ids(spark):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, n_links int")
     got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embedding_dedup.near_vectors(frame, Scratch(spark, "t")).collect())
     assert got == [(1, 2, 1), (1, 2, 1), (2, 0, 1), (2, 2, 1), (3, 0, 3)]
+
+
+def test_many_rows_of_one_key_and_text_make_many_shards(spark):
+    """Null keys and one text in 6000 rows: no shard holds more than twice its share, and all are read back."""
+    text = "the same words again and again " * 4
+    frame = spark.createDataFrame([(None, text) for _ in range(6000)] + [(7, "x"), (7, None)], "doc_id long, text string").repartition(3)
+    manifest = repair_store.write_shards(frame, Scratch(spark, "t"), shard_bytes=60_000)
+    shards = manifest.orderBy("start").collect()
+    assert len(shards) >= 7 and max(r["n_docs"] for r in shards) < 6000 // 4 * 3
+    assert [r["start"] for r in shards] == [sum(x["n_ids"] for x in shards[:i]) for i in range(len(shards))] and [r["shard"] for r in shards] == sorted(r["shard"] for r in shards)
+    got = repair_store.read_shards(manifest).orderBy("start").collect()
+    assert len(got) == 6002 and [r["doc_id"] for r in got] == [None] * 6000 + [7, 7] and len({r["ids_crc32"] for r in got[:6000]}) == 1
+    assert sorted(r["n_tokens"] for r in got[6000:]) == [1, 2]
