@@ -5,11 +5,13 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinloom.functions.names import display_name
+from kinloom.session import cut
+from kinloom.sources import ranges as R
 
 # The ANSEL character set beyond ASCII; marks stand before the letter that bears them.
 ANSEL = {
@@ -49,27 +51,44 @@ def _by_page(content: pd.Series, page: pd.Series) -> pd.Series:
 _LINE = r"^\s*(\d+)\s+(?:(@[^@]+@)\s+)?(\S+)(?: (.*))?$"
 
 
+def _wide(spark: SparkSession, path: str) -> DataFrame:
+    """``path, block, row, text`` of UTF-16 files, which have no ranges of their own: one task reads such a file."""
+    raw = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-16").alias("c"))
+    return raw.select("path", F.lit(0).cast("long").alias("block"), F.posexplode(F.split("c", "\r\n|\r|\n")).alias("row", "text")).withColumn("row", F.col("row").cast("long"))
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """``pos, level, xref, tag, value`` of every line; a line against the grammar raises an error.
+    """``file, record, pos, level, xref, tag, value`` of every line; a line against the grammar raises an error.
 
-    A byte order mark tells UTF-16, and the header ANSEL or a code page (ANSI,
-    IBMPC, MACINTOSH and others), which counts unless the bytes are UTF-8 beyond
-    ASCII; other bytes that are no UTF-8 make the file be read as Latin-1.  ``file`` numbers the files by path.
+    Large files are read by ranges, in many tasks.  A byte order mark tells
+    UTF-16, and the header ANSEL or a code page (ANSI, IBMPC, MACINTOSH and
+    others), which counts unless the bytes are UTF-8 beyond ASCII; other bytes
+    that are no UTF-8 make the file be read as Latin-1.  ``file`` numbers the
+    files by path, ``record`` the level-0 lines of a file, ``pos`` its lines.
     """
-    raw = spark.read.format("binaryFile").load(path).select("path", F.col("content").alias("c"))
-    number = raw.select("path").distinct().select("path", (F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("file"))  # a row a file
-    raw = raw.join(F.broadcast(number), "path").drop("path")
-    wide = F.hex(F.substring("c", 1, 2)).isin("FFFE", "FEFF")
-    head = F.regexp_replace(F.decode(F.substring("c", 1, 4096), "ISO-8859-1"), "\r\n?", "\n")
-    page = F.upper(F.regexp_extract(head, r"(?m)^\s*1\s+CHAR\s+(\S+)\s*$", 1))
-    sound = F.try_validate_utf8(F.col("c").cast("string"))
-    old = (page == "ANSEL") | (page.isin(list(PAGES)) & sound.isNull())
-    text = F.when(wide, F.decode("c", "UTF-16")).when(old, _by_page(F.when(old, F.col("c")), page)).otherwise(F.coalesce(sound, F.decode("c", "ISO-8859-1")))
-    rows = raw.select("file", F.posexplode(F.split(F.regexp_replace(text, "^﻿", ""), "\r\n|\r|\n")).alias("pos", "line")).where("trim(line) <> ''")
+    raw = R.written_lines(spark, path)
+    at, latin = F.struct("block", "row"), F.decode("line", "ISO-8859-1")
+    char = F.upper(F.regexp_extract(latin, r"^\s*1\s+CHAR\s+(\S+)\s*$", 1))
+    facts = raw.groupBy("path").agg(
+        F.bool_and(F.is_valid_utf8(F.col("line").cast("string"))).alias("sound"),
+        F.hex(F.substring(F.min_by("line", at), 1, 2)).isin("FFFE", "FEFF").alias("wide"),
+        F.min_by(F.when(char != "", char), F.when(char != "", at)).alias("page"),
+    )
+    facts = cut(facts.join(R.numbered_files(raw), "path"), "files")  # a row a file
+    known = raw.join(facts.where("NOT wide"), "path")
+    old = F.coalesce((F.col("page") == "ANSEL") | (F.col("page").isin(list(PAGES)) & ~F.col("sound")), F.lit(False))
+    text = F.when(old, _by_page(F.when(old, F.col("line")), "page")).when(F.col("sound"), F.col("line").cast("string")).otherwise(latin)
+    rows = known.select("path", "file", "block", "row", text.alias("text"))
+    wide = facts.where("wide").select("path", "file")
+    if not wide.isEmpty():
+        rows = rows.unionByName(_wide(spark, path).join(wide, "path"))
+    rows = rows.withColumn("line", F.regexp_replace("text", "^\ufeff", "")).drop("text")
     good = F.rlike("line", F.lit(_LINE))
-    level = F.when(good, F.regexp_extract("line", _LINE, 1)).otherwise(F.raise_error(F.concat(F.lit("not a GEDCOM line: "), F.col("line"))))
+    level = F.when(F.trim("line") == "", -1).when(good, F.regexp_extract("line", _LINE, 1)).otherwise(F.raise_error(F.concat(F.lit("not a GEDCOM line: "), F.col("line"))))
     part = lambda i: F.nullif(F.regexp_extract("line", _LINE, i), F.lit(""))
-    return rows.select("file", "pos", level.cast("int").alias("level"), part(2).alias("xref"), F.upper(part(3)).alias("tag"), part(4).alias("value"))
+    parsed = rows.select("path", "file", "block", "row", level.cast("int").alias("level"), part(2).alias("xref"), F.upper(part(3)).alias("tag"), part(4).alias("value"))
+    parsed = R.running(R.running(parsed, F.col("level") == 0, "record"), F.lit(1), "pos", inclusive=False)
+    return cut(parsed.where("level >= 0").select("file", "record", "pos", "level", "xref", "tag", "value"), "parsed")
 
 
 def read_gedcom(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -78,9 +97,7 @@ def read_gedcom(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     Of records that share an id the last one counts, in the place of the first;
     several files are read in the order of their paths, as if end to end.
     """
-    every = lines(spark, path)
-    inside = Window.partitionBy("file").orderBy("pos")
-    own = every.withColumn("record", F.shiftleft("file", 40) + F.sum((F.col("level") == 0).cast("long")).over(inside))
+    own = lines(spark, path).withColumn("record", F.shiftleft("file", 40) + F.col("record"))
     heads = own.where("level = 0 and tag in ('INDI', 'FAM') and xref is not null").select("record", "xref", F.col("tag").alias("kind"))
     best = heads.groupBy("xref", "kind").agg(F.min("record").alias("ord"), F.max("record").alias("record"))
     facts = own.where("level = 1").select("record", "pos", "tag", "value").join(best, "record")
