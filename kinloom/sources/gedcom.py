@@ -53,7 +53,7 @@ _LINE = r"^\s*(\d+)\s+(?:(@[^@]+@)\s+)?(\S+)(?: (.*))?$"
 
 def _wide(spark: SparkSession, path: str) -> DataFrame:
     """``path, block, row, text`` of UTF-16 files, which have no ranges of their own: one task reads such a file."""
-    raw = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-16").alias("c"))
+    raw = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("path"), F.decode("content", "UTF-16").alias("c"))
     return raw.select("path", F.lit(0).cast("long").alias("block"), F.posexplode(F.split("c", "\r\n|\r|\n")).alias("row", "text")).withColumn("row", F.col("row").cast("long"))
 
 
