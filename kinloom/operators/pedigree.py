@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinloom.functions.names import repair_tildes
@@ -66,14 +66,31 @@ def registered(rows: DataFrame) -> DataFrame:
     return first.select("pid", F.col("r.name").alias("name"), F.trim(repair_tildes(F.col("r.name"))).alias("name_clean"))
 
 
+def _grams(text: Column) -> Column:
+    """A text's distinct runs of three characters; the text has three at least."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substr(text, i, F.lit(3))))
+
+
 def find_people(person: DataFrame, queries: DataFrame) -> DataFrame:
-    """``query, ord, pid, name`` of people by name: equal in lower case, and only if none is, those that contain it."""
+    """``query, ord, pid, name`` of people by name: equal in lower case, and only if none is, those that contain it.
+
+    Names that contain a query have all its runs of three characters, so a query
+    meets only the names that have its rarest run, by an equi-join.  Queries of
+    fewer characters, of which there can't be many, meet all names.
+    """
     low = queries.select("query", F.lower("query").alias("q")).distinct()
     named = person.select("ord", "pid", "name", F.lower("name").alias("n"))
     exact = named.join(low, F.col("n") == F.col("q"))
     left = low.join(exact.select("query").distinct(), "query", "left_anti")
-    part = named.join(F.broadcast(left), F.contains(F.col("n"), F.col("q")))  # the asked names are a few
-    return exact.unionByName(part).select("query", "ord", "pid", "name")
+    long = left.where(F.length("q") >= 3).withColumn("grams", _grams(F.col("q")))
+    asked = long.select("query", "q", F.size("grams").alias("all"), F.explode("grams").alias("gram"))
+    postings = named.where(F.length("n") >= 3).select("ord", "pid", "name", "n", F.explode(_grams(F.col("n"))).alias("gram"))
+    postings = postings.join(asked.select("gram").distinct(), "gram", "left_semi")
+    sizes = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("names"))
+    rarest = asked.join(sizes, "gram").groupBy("query", "q", "all").agg(F.count(F.lit(1)).alias("found"), F.min(F.struct("names", "gram"))["gram"].alias("gram"))
+    part = postings.join(rarest.where(F.col("found") == F.col("all")), "gram").where(F.contains(F.col("n"), F.col("q")))  # a run that no name has rules all out
+    short = named.join(F.broadcast(left.where(F.length("q") < 3)), F.contains(F.col("n"), F.col("q")))
+    return exact.unionByName(part, allowMissingColumns=True).unionByName(short, allowMissingColumns=True).select("query", "ord", "pid", "name")
 
 
 def find_root(person: DataFrame, name: str) -> str:

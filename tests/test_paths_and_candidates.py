@@ -6,7 +6,7 @@ from collections import deque
 import pytest
 
 from kinloom.functions import similarity as S
-from kinloom.operators import affinity, nearest, resolve
+from kinloom.operators import affinity, nearest, pedigree, resolve
 from kinloom.plans import flows
 
 
@@ -178,3 +178,18 @@ def test_many_pairs_of_each_kind_and_a_bridge_in_full(spark):
     assert got[("Bia", "nobody")]["message"] == "Pessoa 2 'nobody' não encontrada." and got[("nobody", "Bia")]["message"] == "Pessoa 1 'nobody' não encontrada."
     assert got[("Zé", "Zé")]["text_path"] == "Zé" and got[("Paulo", "Vera")]["text_path"] == "Paulo → Abel → Vera"
     assert "Casamento" not in got[("Paulo", "Vera")]["mermaid_data"]  # a founder's climb to the own child fails, so there is no branch
+
+
+def test_people_by_parts_of_names_against_every_name(spark):
+    rng = random.Random(4)
+    names = ["".join(rng.choice("abcdAB é") for _ in range(rng.randrange(0, 9))) for _ in range(120)] + ["aaaa", "AAAA b", "Sem Nome"]
+    queries = sorted({n[i : i + k] for n in names for i in (0, 2) for k in (0, 1, 2, 3, 4, 6)} | {n.upper() for n in names[:30]} | {"zzz", "aazaa", "abcd%"})
+    person = spark.createDataFrame([(k, f"p{k}", n) for k, n in enumerate(names)], "ord long, pid string, name string")
+    got = {}
+    for r in pedigree.find_people(person, spark.createDataFrame([(q,) for q in queries], "query string")).collect():
+        got.setdefault(r["query"], []).append(r["ord"])
+    want = {}
+    for q in queries:
+        same = [k for k, n in enumerate(names) if n.lower() == q.lower()]
+        want[q] = same or [k for k, n in enumerate(names) if q.lower() in n.lower()]
+    assert {q: sorted(v) for q, v in got.items()} == {q: v for q, v in want.items() if v}
