@@ -73,7 +73,7 @@ class Pieces:
         raw = [b"" if model.is_control(i) or model.is_unknown(i) else bytes([int(text[i][1:-1], 16)]) if model.is_byte(i) else text[i].replace(BLANK, " ").encode() for i in range(n)]
         self.raw_at = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
-        self.memory = K.Ids()
+        self.memory = K.Ids(500_000, 4_000_000)
 
     def _pack(self, codes: np.ndarray) -> np.ndarray:
         """Rows of codes as lanes of four."""
