@@ -29,12 +29,18 @@ def _judged(spark: SparkSession, docs: DataFrame, sf_dir: str, operator, parts:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier (operator 9) doesn't reject; null and empty texts are scored like others."""
+    """Documents that the quality classifier (operator 9) doesn't reject; null and empty texts are scored like others.
+
+    Each repeated row is scored, all alike; an empty table gives an empty one; columns of any name are kept.
+    """
     return _judged(spark, docs, sf_dir, quality_scores, 5, 0).where(F.col("`\0score`") >= GOOD).select(*docs.columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier (operator 10) doesn't reject; null and empty texts are scored like others."""
+    """Documents that the toxicity classifier (operator 10) doesn't reject; null and empty texts are scored like others.
+
+    Each repeated row is scored, all alike; an empty table gives an empty one; columns of any name are kept.
+    """
     return _judged(spark, docs, sf_dir, toxicity_scores, 4, 2).where(F.col("`\0score`") < TOXIC).select(*docs.columns)
 
 
@@ -73,7 +79,10 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_tokens, ids``: every row's piece ids (operator 2); null and empty texts have none."""
+    """``doc_id, n_tokens, ids``: every row's piece ids (operator 2); null and empty texts have none.
+
+    Repeated rows and texts of any length are encoded each; an empty table gives an empty result; other columns are left out.
+    """
     out = encode(docs.select("doc_id", "text"))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
@@ -91,7 +100,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each written and read again."""
+    """All stages over the documents, each written and read again: ``doc_id, n_tokens, ids`` of what all stages keep.
+
+    Null ids, repeated rows and null texts go through the stages by the rules of each; an empty table gives an empty result.
+    """
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
