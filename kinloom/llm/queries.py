@@ -1,4 +1,9 @@
-"""The queries of this subpackage: each applies its operator to whole tables."""
+"""The queries of this subpackage: each applies its operator to whole tables.
+
+What becomes of nulls, empty and very long texts, ties, repeated rows, empty
+tables and other columns is stated by the operator that a query calls; a query
+itself only picks columns and takes digests, row by row.
+"""
 
 from __future__ import annotations
 
