@@ -7,9 +7,9 @@ is aligned alone, and a text's alignment is its units' alignments end to end.  A
 first pass deals documents to parts and finds each part's distinct units; what is
 distinct among all parts is encoded by both tokenizers, with how often it occurs.  Then:
 
-1. a unit's tokens are exploded by position, and their lengths in bytes, joined from
-   the vocabulary, are summed up by a window: each token's end;
-2. an equi-join on unit and end, from either side, finds the cuts, where tokens of both
+1. units are laid end to end in buckets, their tokens are exploded by position, and lengths
+   in bytes, joined from the vocabulary, are summed up by a window: each token's end;
+2. an equi-join on bucket and end, from either side, finds the cuts, where tokens of both
    end, and with them the links between the tokens that end there;
 3. a running count of the cuts numbers the groups of tokens between cuts;
 4. links are counted over the corpus, and counts are joined back to the links;
@@ -36,8 +36,8 @@ from kinloom.llm.repair_store import Encoder
 from kinloom.llm.scratch import Scratch
 from kinloom.llm.sentencepiece_codec import BLANK, Pieces, default_model
 
-#: Bytes of text in a part, bytes encoded at once, rows of a batch, and pairs up to which their counts are broadcast.
-PART, BLOCK, ROWS, BROADCAST = 24 << 20, 512 << 10, 50_000, 1_000_000
+#: Bytes of text in a part, bytes encoded at once, rows of a batch, pairs up to which their counts are broadcast, and words of a bucket.
+PART, BLOCK, ROWS, BROADCAST, WORDS = 24 << 20, 512 << 10, 50_000, 1_000_000, 20_000
 #: Chunks and ids that a worker remembers of each tokenizer; it has two, so less of each.
 MEMORY = 200_000, 1_600_000
 #: B's sign for a blank, which it doesn't give back.
@@ -243,20 +243,24 @@ def _bytes(spark: SparkSession, model) -> DataFrame:
 
 
 def _ended(units: DataFrame, name: str, sizes: DataFrame, *more: str) -> DataFrame:
-    """A unit's tokens, one row each: id and the byte at which it ends."""
-    rows = units.select("word", *more, name).repartition("word").select("word", *more, F.posexplode(name).alias("pos", "id"))
-    so_far = Window.partitionBy("word").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.join(sizes, "id").select("word", *more, F.col("id").alias(name), F.sum("size").over(so_far).alias("end"))
+    """Tokens, one row each: id, word, and the byte of the bucket at which it ends."""
+    rows = units.select("bucket", "word", *more, name).repartition("bucket").select("bucket", "word", *more, F.posexplode(name).alias("pos", "id"))
+    so_far = Window.partitionBy("bucket").orderBy("word", "pos").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(sizes, "id").select("bucket", "word", *more, F.col("id").alias(name), F.sum("size").over(so_far).alias("end"))
 
 
-def aligned(units: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """Units ``word, n, a, b`` (arrays of ids over the same bytes) with their alignment.
+def aligned(units: DataFrame, a_path: str, b_path: str, bucket: int | None = None) -> DataFrame:
+    """Distinct units ``word, n, a, b`` (arrays of ids over the same bytes) with their alignment.
 
     ``n_a``, ``n_b`` tokens, ``groups`` (ids of A, comma-joined, a bar, ids of B; groups joined by
-    semicolons) and ``links``, an array of id pairs as A * 2^32 + B.  Run it under
-    ``co_located``, so that tokens aren't dealt again.
+    semicolons) and ``links``, an array of id pairs as A * 2^32 + B.  Words are laid end to
+    end in buckets of about ``bucket`` words, so that few long windows are summed up instead of
+    many short ones; both sides of a bucket are the same bytes, and each word's end is a cut.
+    Run it under ``co_located``, so that tokens aren't dealt again.
     """
-    spark, key = units.sparkSession, ["word"]
+    spark, key = units.sparkSession, ["bucket"]
+    buckets = max(1, -(-units.count() // (bucket or WORDS)))
+    units = units.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets)))
     a, b = _ended(units, "a", _bytes(spark, byte_level(a_path)), "n"), _ended(units, "b", _bytes(spark, pieces(b_path)))
     earlier = Window.partitionBy(*key).orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
 
@@ -267,14 +271,15 @@ def aligned(units: DataFrame, a_path: str, b_path: str) -> DataFrame:
         return met.groupBy(*key, "group").agg(ids.alias(f"{name}s"), F.count(name).alias(f"n_{name}"), *more)
 
     link = F.shiftleft(F.col("a").cast("long"), 32) + F.col("b")
-    groups = grouped(a, b, "a", F.max("n").alias("n"), F.max(link).alias("link")).join(grouped(b, a.drop("n"), "b"), [*key, "group"])
-    return groups.groupBy(*key).agg(
+    mine = grouped(a, b.drop("word"), "a", F.max("word").alias("word"), F.max("n").alias("n"), F.max(link).alias("link"))
+    groups = mine.join(grouped(b, a.drop("n", "word"), "b"), [*key, "group"])
+    return groups.groupBy(*key, "word").agg(
         F.max("n").alias("n"),
         F.expr("listagg(concat(`as`, '|', bs), ';') WITHIN GROUP (ORDER BY `group`)").alias("groups"),
         F.sum("n_a").alias("n_a"),
         F.sum("n_b").alias("n_b"),
-        F.collect_list("link").alias("links"),
-    )
+        F.array_sort(F.collect_list("link")).alias("links"),
+    ).drop("bucket")
 
 
 def align_documents(docs: DataFrame, scratch: Scratch, a_path: str | None = None, b_path: str | None = None, part_bytes: int | None = None) -> DataFrame:

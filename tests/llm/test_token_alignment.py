@@ -61,6 +61,7 @@ def made():
 
 def test_the_query_against_a_plain_alignment(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(A, "PART", 4000)
+    monkeypatch.setattr(A, "WORDS", 50)
     texts = made()
     spark.createDataFrame([(k // 2, t, 7) for k, t in enumerate(texts)], "doc_id long, text string, n_a int").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     got = Q.QUERIES["op12_token_alignment"](spark, str(tmp_path))
