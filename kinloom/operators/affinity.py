@@ -1,7 +1,8 @@
 """Shortest paths through marriages: persons and families as one undirected graph.
 
-Both ends of a pair spread in turns, two edges at a time: from persons by their
-families to the families' other persons.  A level is a table of (end, person); on
+Both ends of a pair spread, two edges at a time: from persons by their families to
+the families' other persons.  It is always the turn of the side whose last level is
+the smaller, so that a few ends are spread over the tree instead of many.  A level is a table of (end, person); on
 the second end's side each row also names the best step back to that end.  In such a
 graph a level's neighbours lie in the level before or the one behind, so what was
 seen is the level before and no more.  Paths aren't carried along.  Where a pair has
@@ -93,15 +94,16 @@ def shortest_paths(pairs: DataFrame, person: DataFrame, member: DataFrame, hops:
     open_, n_open = cut_and_count(pairs, "pairs")
     places, found = cut(_places(person, member), "places"), []
     levels = {end: [open_.select(F.col(end).alias("src")).distinct().select("src", F.col("src").alias("node"), F.lit(None).cast("struct<fo: long, po: long, to: string>").alias("back"))] for end in "ab"}
-    for turn in range(hops // 2):
+    sizes = {end: level[0].count() for end, level in levels.items()}
+    for _ in range(hops // 2):
         if not n_open:
             break
-        end = "ab"[turn % 2]
+        end = min("ab", key=sizes.get)
         own = levels[end]
         live = own[-1].join(open_.select(F.col(end).alias("src")).distinct(), "src", "left_semi")
-        level, n = cut_and_count(_spread(live, own[-2] if len(own) > 1 else None, places), "spread")
+        level, sizes[end] = cut_and_count(_spread(live, own[-2] if len(own) > 1 else None, places), "spread")
         own.append(level)
-        if not n:
+        if not sizes[end]:
             break
         met = open_.join(levels["a"][-1].select(F.col("src").alias("a"), "node"), "a").join(levels["b"][-1].select(F.col("src").alias("b"), "node"), ["b", "node"])
         met, n = cut_and_count(met.select("a", "b", "node", F.lit(len(levels["a"]) - 1).alias("i"), F.lit(len(levels["b"]) - 1).alias("j")), "met")

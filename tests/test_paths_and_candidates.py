@@ -52,6 +52,20 @@ def test_shortest_paths_against_brute_force(spark, hops):
     assert got == want and max(map(len, want.values())) >= 4
 
 
+def test_the_side_of_few_ends_is_spread(spark, monkeypatch):
+    """Many people and one end: no level holds more rows than the tree has people, so work grows with the tree alone."""
+    people, rows, spread = 60, [], affinity._spread
+    person = [(k, f"p{k}", f"Person {k}", None, []) for k in range(people)]
+    member = [(f, f"f{f}", tag, pos, f"p{k}") for f in range(1, 20) for pos, (tag, k) in enumerate([("HUSB", f), *(("CHIL", 3 * f + i) for i in range(3))]) if k < people]
+    monkeypatch.setattr(affinity, "_spread", lambda level, before, places: rows.append(level.count()) or spread(level, before, places))
+    folk = spark.createDataFrame(person, "ord long, pid string, name string, famc string, fams array<string>")
+    members = spark.createDataFrame(member, "fam_ord long, fid string, tag string, pos int, pid string")
+    asked = [(f"p{k}", "p1") for k in range(people)]
+    got = {(r["a"], r["b"]): r["path"] for r in affinity.shortest_paths(spark.createDataFrame(asked, "a string, b string"), folk, members).collect()}
+    assert got == {(a, b): p for a, b in asked if (p := brute(person, member, a, b, 40))} and len(got) > 30
+    assert rows[0] == 1 and max(rows) <= people
+
+
 def made_names(rng, n, hot):
     """People of whom most bear one surname, with given names that are often close to each other."""
     out = set()
