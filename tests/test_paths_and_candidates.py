@@ -6,7 +6,7 @@ from collections import deque
 import pytest
 
 from kinloom.functions import similarity as S
-from kinloom.operators import affinity, nearest, pedigree, resolve
+from kinloom.operators import affinity, climb, nearest, pedigree, render, resolve
 from kinloom.plans import flows
 
 
@@ -66,6 +66,32 @@ def test_the_side_of_few_ends_is_spread(spark, monkeypatch):
     assert rows[0] == 1 and max(rows) <= people
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_ancestors_descend_for_one_root_as_both_ends_climb(spark, monkeypatch, seed):
+    """One person against all: the same paths as by climbs of all, while few of all climb; ages differ, so that ends are nearer and farther."""
+    rng, people = random.Random(seed), 150
+    kin = [(f"p{k}", f"p{p}", i) for k in range(3, people) for i, p in enumerate(rng.sample(range(max(0, k - 40), k), min(k, rng.randrange(1, 3))))]
+    parents = spark.createDataFrame(kin, "child string, parent string, pos int")
+    pairs = spark.createDataFrame([(a, f"p{k}") for a in ("p149", "p60") for k in range(people)], "a string, b string")
+    plain, climbed = climb.closure, []
+    monkeypatch.setattr(climb, "closure", lambda starts, parents, depth=20, down=False: (not down and climbed.append(starts.distinct().count())) or plain(starts, parents, depth, down=down))
+    got = sorted(map(tuple, climb.common_ancestors(pairs, parents).collect()))
+    assert sum(climbed) < people
+    monkeypatch.setattr(climb, "MANY", people)
+    assert got == sorted(map(tuple, climb.common_ancestors(pairs, parents).collect())) and len(got) > 60
+
+
+def test_charts_name_each_part_once(spark):
+    """A chart's expression doesn't grow by repeats of its parts, which were all computed again for each row."""
+    paths = spark.createDataFrame([("a", "b", ["a", "c", "b"], "c")], "a string, b string, path array<string>, ancestor string")
+    person = spark.createDataFrame([("a", "Ana"), ("b", "Bo"), ("c", "Cy"), ("d", "Di")], "pid string, name string")
+    shown = render.with_people(paths, person, spark.createDataFrame([("c", "d", 0)], "pid string, spouse string, pos int"))
+    chart = shown.select(render.direct_chart(*map(shown.__getitem__, ("people", "ancestor", "partner", "partner_label", "a", "b"))).alias("chart"))
+    lines = ["flowchart BT", 'N_c_d["Cy &amp; Di"]', 'N_a["Ana"]', 'N_b["Bo"]', "N_a --> N_c_d", "N_b --> N_c_d", f"style N_a {render.FIRST}", f"style N_b {render.SECOND}", f"style N_c_d {render.TOP}"]
+    assert chart.first()["chart"] == "\n".join(lines)
+    assert chart._jdf.queryExecution().analyzed().toString().count("regexp_replace") <= 6
+
+
 def made_names(rng, n, hot):
     """People of whom most bear one surname, with given names that are often close to each other."""
     out = set()
