@@ -58,13 +58,16 @@ def text_path(people: Column) -> Column:
     return F.array_join(F.transform(people, lambda p: p["name"]), ARROW)
 
 
+def _let(body, **values: Column) -> Column:
+    """``body`` of the named values, each computed once for a row however often the body names it."""
+    return F.get(F.transform(F.array(F.struct(*(v.alias(k) for k, v in values.items()))), body), 0)
+
+
 def direct_chart(people: Column, ancestor: Column, partner: Column, partner_label: Column, a: Column, b: Column) -> Column:
     """The chart of a path through a common ancestor, who stands with a partner as one node."""
-    top = F.when(ancestor.isNotNull(), F.array_position(F.transform(people, lambda p: p["id"]), ancestor).cast("int") - 1).otherwise(-1)
-    n = F.size(people)
-    line = (top <= 0) | (top == n - 1)
-    couple = ~line & partner.isNotNull()
-    join = node_id(F.when(couple, F.concat(F.least(ancestor, partner), F.lit("+"), F.greatest(ancestor, partner))).otherwise(ancestor))
+    at = F.when(ancestor.isNotNull(), F.array_position(F.transform(people, lambda p: p["id"]), ancestor).cast("int") - 1).otherwise(-1)
+    named = F.transform(people, lambda p: F.struct(p["id"].alias("id"), p["label"].alias("label"), node_id(p["id"]).alias("node")))
+    none = F.array().cast("array<string>")
 
     def quoted(node, text):
         return F.concat(node, F.lit('["'), text, F.lit('"]'))
@@ -75,25 +78,35 @@ def direct_chart(people: Column, ancestor: Column, partner: Column, partner_labe
     def style(node, how):
         return F.concat(F.lit("style "), node, F.lit(f" {how}"))
 
-    none = F.array().cast("array<string>")
-    own = F.get(F.transform(F.filter(people, lambda p: p["id"] == ancestor), lambda p: p["label"]), 0)
-    head = F.when(couple, F.array(quoted(join, F.concat(own, F.lit(" &amp; "), partner_label)))).otherwise(none)
-    shown = F.filter(people, lambda p: ~couple | ~p["id"].isin(ancestor, partner))
-    nodes = F.array_distinct(F.transform(shown, lambda p: quoted(node_id(p["id"]), p["label"])))
-    ids = F.transform(people, lambda p: node_id(p["id"]))
-
     def chain(nodes):
         return F.when(F.size(nodes) < 2, none).otherwise(F.transform(F.slice(nodes, 2, F.greatest(F.size(nodes) - 1, F.lit(0))), lambda y, i: arrow(F.get(nodes, i), y)))
 
-    up = F.slice(ids, 1, F.greatest(top, F.lit(0)))
-    down = F.reverse(F.slice(ids, F.greatest(top, F.lit(0)) + 2, n))
+    def top_of(x):
+        line = (x["top"] <= 0) | (x["top"] == F.size(x["people"]) - 1)
+        couple = ~line & partner.isNotNull()
+        return _let(placed, people=x["people"], ids=F.transform(x["people"], lambda p: p["node"]), top=x["top"], line=line, couple=couple)
+
+    def placed(x):
+        join = node_id(F.when(x["couple"], F.concat(F.least(ancestor, partner), F.lit("+"), F.greatest(ancestor, partner))).otherwise(ancestor))
+        up = F.slice(x["ids"], 1, F.greatest(x["top"], F.lit(0)))
+        down = F.reverse(F.slice(x["ids"], F.greatest(x["top"], F.lit(0)) + 2, F.size(x["ids"])))
+        return _let(drawn, x=x, join=join, up=up, down=down)
+
+    def drawn(y):
+        x, join, up, down = y["x"], y["join"], y["up"], y["down"]
+        own = F.get(F.transform(F.filter(x["people"], lambda p: p["id"] == ancestor), lambda p: p["label"]), 0)
+        head = F.when(x["couple"], F.array(quoted(join, F.concat(own, F.lit(" &amp; "), partner_label)))).otherwise(none)
+        shown = F.filter(x["people"], lambda p: ~x["couple"] | ~p["id"].isin(ancestor, partner))
+        nodes = F.array_distinct(F.transform(shown, lambda p: quoted(p["node"], p["label"])))
+
+        def to_top(nodes):
+            return F.array(arrow(F.element_at(nodes, -1), join))
 
-    def to_top(nodes):
-        return F.array(arrow(F.element_at(nodes, -1), join))
+        sides = F.when(x["line"], chain(x["ids"])).otherwise(F.concat(chain(up), to_top(up), chain(down), to_top(down)))
+        end = F.when(ancestor.isNotNull(), F.array(style(join, TOP))).otherwise(none)
+        return F.array_join(F.concat(F.array(F.lit("flowchart BT")), head, nodes, sides, F.array(style(node_id(a), FIRST), style(node_id(b), SECOND)), end), "\n")
 
-    sides = F.when(line, chain(ids)).otherwise(F.concat(chain(up), to_top(up), chain(down), to_top(down)))
-    end = F.when(ancestor.isNotNull(), F.array(style(join, TOP))).otherwise(none)
-    return F.array_join(F.concat(F.array(F.lit("flowchart BT")), head, nodes, sides, F.array(style(node_id(a), FIRST), style(node_id(b), SECOND)), end), "\n")
+    return _let(top_of, people=named, top=at)
 
 
 class _Chart:
