@@ -70,11 +70,11 @@ def best_blocks(wanted: DataFrame, people: DataFrame) -> DataFrame:
     return asked.join(top, ["key", "rank"])
 
 
-def cells(left: DataFrame, right: DataFrame, by: list[str], item: Column, other: Column, side: int = SIDE) -> DataFrame:
-    """``by, xs, ys``: items of both sides that agree in ``by``, dealt to cells of about ``side`` by ``side`` items."""
+def cells(left: DataFrame, right: DataFrame, by: list[str], item: Column, other: Column, side: int = SIDE, alike=lambda v: v) -> DataFrame:
+    """``by, xs, ys``: items of both sides that agree in ``by``, dealt to cells of about ``side`` by ``side`` items; items of one ``alike`` share a cell."""
     sides = []
     for frame, value in ((left, item), (right, other)):
-        sides.append(frame.select(*by, value.alias("v")).withColumn("salt", F.xxhash64("v")))
+        sides.append(frame.select(*by, value.alias("v")).withColumn("salt", F.xxhash64(alike(F.col("v")))))
     counts = [s.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / side).alias(f"n{k}")) for k, s in enumerate(sides)]
     parts = counts[0].join(counts[1], by)
     packed = []
@@ -82,7 +82,14 @@ def cells(left: DataFrame, right: DataFrame, by: list[str], item: Column, other:
         mine, many = f"c{k}", f"n{1 - k}"
         dealt = s.join(parts, by).withColumn(mine, F.pmod("salt", F.col(f"n{k}")))
         packed.append(dealt.groupBy(*by, mine, many).agg(F.collect_list("v").alias("xy"[k] + "s")).withColumn(f"c{1 - k}", F.explode(F.sequence(F.lit(0).cast("long"), F.col(many) - 1))).drop(many))
-    return packed[0].join(packed[1], [*by, "c0", "c1"]).drop("c0", "c1")
+    # Cells are few bytes but much work, so a number of tasks is named: by their bytes they would be joined into one.
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return packed[0].join(packed[1], [*by, "c0", "c1"]).repartition(tasks, *by, "c0", "c1").drop("c0", "c1")
+
+
+def _letters(name: Column) -> Column:
+    """A name's letters in order; anagrams have the same."""
+    return F.array_join(F.array_sort(F.split(name, "")), "")
 
 
 def _pairs(xs: np.ndarray, ys: np.ndarray):
@@ -166,17 +173,63 @@ def _whole(total: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.where(total > 0, np.rint(200 * common / np.maximum(total, 1)), 0).astype(np.int64)
 
 
+def _by_letters(bag: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names of one cell and the same letters as groups: the names in the groups' order, where each group begins, its cell."""
+    order = np.lexsort((*bag.T, cell))
+    new = np.ones(len(order), bool)
+    new[1:] = (bag[order[1:]] != bag[order[:-1]]).any(1) | (cell[order[1:]] != cell[order[:-1]])
+    head = np.flatnonzero(new)
+    return order, np.append(head, len(order)), cell[order[head]]
+
+
+def _expanded(left: np.ndarray, right: np.ndarray, x_at: np.ndarray, y_at: np.ndarray):
+    """Slices of pairs of groups as pairs of places, at most ``PAIRS`` (or one pair of groups), and the pair of groups of each."""
+    size = (x_at[left + 1] - x_at[left]) * (y_at[right + 1] - y_at[right])
+    done, a = np.concatenate(([0], np.cumsum(size))), 0
+    while a < len(size):
+        b = max(a + 1, int(np.searchsorted(done, done[a] + PAIRS, "right")) - 1)
+        of = np.repeat(np.arange(a, b), size[a:b])
+        i, width = np.arange(len(of)) - (done[of] - done[a]), y_at[right[of] + 1] - y_at[right[of]]
+        yield x_at[left[of]] + i // width, y_at[right[of]] + i % width, of
+        a = b
+
+
 def _given(batches):
-    """Of each cell: given names asked for, their best ratio there, and the given names that have it."""
+    """Of each cell: given names asked for, their best ratio there, and the given names that have it.
+
+    Names of the same letters have the same bounds, so bounds are taken once for each two sets of letters.
+    """
     for batch in batches:
         block = batch.column(0)
         (xs, m), (ys, n) = _lists(batch.column(1)), _lists(batch.column(2))
         table = Strings(xs.to_pylist(), ys.to_pylist())
         bags, cell = _bags(table), np.repeat(np.arange(len(batch)), m)
-        for left, right in _pairs(m, n):
-            bound = _whole(table.sizes[0][left] + table.sizes[1][right], _alike(bags, left, right))
-            at, value = search(left, right, bound, lambda x, y: _compare(ratios, ratio, table, x, y))
-            yield pa.RecordBatch.from_arrays([block.take(pa.array(cell[left[at]])), xs.take(pa.array(left[at])), ys.take(pa.array(right[at])), pa.array(value, pa.int32())], ["block", "g", "t", "s_given"])
+        x, x_at, x_cell = _by_letters(bags[0], cell)
+        y, y_at, y_cell = _by_letters(bags[1], np.repeat(np.arange(len(batch)), n))
+        some = [bags[0][x[x_at[:-1]]], bags[1][y[y_at[:-1]]]]
+        sizes = [g.sum(1, dtype=np.int64) for g in some]
+        count = [np.bincount(c, minlength=len(batch)) for c in (x_cell, y_cell)]
+        known, found = np.zeros(len(x), np.int64), []
+        for left, right in _pairs(*count):
+            if not len(left):
+                continue
+            bound = _whole(sizes[0][left] + sizes[1][right], _alike(some, left, right))
+            first = _leaders(left, bound)
+            own = np.arange(x_at[left[first[0]]], x_at[left[first[-1]] + 1])  # a slice's groups stand one after another
+            lead = np.repeat(y_at[right[first]], np.diff(x_at)[left[first]])
+            known[own] = np.maximum(known[own], _compare(ratios, ratio, table, x[own], y[lead]))
+            keep = np.flatnonzero(bound >= np.minimum.reduceat(known, x_at[:-1])[left])
+            for i, j, of in _expanded(left[keep], right[keep], x_at, y_at):
+                fits = bound[keep][of] >= known[i]
+                i, j = i[fits], j[fits]
+                value = _compare(ratios, ratio, table, x[i], y[j]).astype(np.int64)
+                np.maximum.at(known, i, value)
+                best = value == known[i]
+                found.append((i[best], j[best], value[best]))
+        i, j, value = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        best = value == known[i]
+        i, j = x[i[best]], y[j[best]]
+        yield pa.RecordBatch.from_arrays([block.take(pa.array(cell[i])), xs.take(pa.array(i)), ys.take(pa.array(j)), pa.array(value[best], pa.int32())], ["block", "g", "t", "s_given"])
 
 
 def _names(batches):
@@ -226,7 +279,7 @@ def best_candidates(wanted: DataFrame, people: DataFrame, side: int = SIDE) -> D
     # A ratio below 100 may round to 100 only for names of a hundred letters, which are compared like others.
     equal = asked.where(F.length("g") < 90).join(given, (asked["block"] == given["block"]) & (asked["g"] == given["t"])).select(asked["*"], "t", F.lit(100).alias("s_given"))
     rest = asked.join(equal.select("key").distinct(), "key", "left_anti")
-    found = cells(rest.select("block", "g").distinct(), given, ["block"], F.col("g"), F.col("t"), side).mapInArrow(_given, "block string, g string, t string, s_given int")
+    found = cells(rest.select("block", "g").distinct(), given, ["block"], F.col("g"), F.col("t"), side, _letters).mapInArrow(_given, "block string, g string, t string, s_given int")
     near = rest.join(found, ["block", "g"])
     top = near.groupBy("key").agg(F.max("s_given").alias("s_given"))
     chosen = equal.select("key", "block", "common", "rank", "t", "s_given").unionByName(near.join(top, ["key", "s_given"]).select("key", "block", "common", "rank", "t", "s_given"))
