@@ -5,29 +5,31 @@ text is cut: before a blank or line break that follows no white space, around a
 break that ends white space, and between letters and marks of ASCII.  What lies between two cuts, a unit,
 is aligned alone, and a text's alignment is its units' alignments end to end.  A
 first pass deals documents to parts and finds each part's distinct units; what is
-distinct among all parts is encoded by both tokenizers, with how often it occurs.  Then:
+distinct among all parts goes through both tokenizers once.  Then:
 
-1. units are laid end to end in buckets, their tokens are exploded by position, and lengths
-   in bytes, joined from the vocabulary, are summed up by a window: each token's end;
-2. an equi-join on bucket and end, from either side, finds the cuts, where tokens of both
-   end, and with them the links between the tokens that end there;
-3. a running count of the cuts numbers the groups of tokens between cuts;
-4. links are counted over the corpus, and counts are joined back to the links;
-5. aligned units go to the parts that have them, whose documents are exploded into
-   units, joined with them, and put together by position.
+1. lengths in bytes, taken from the vocabulary, are summed up over a batch of units: each token's
+   end; both sides of a batch are the same bytes, and each unit's end is a cut;
+2. an equi-join of the sorted ends finds the cuts, where tokens of both end, and with them the
+   links between the tokens that end there, and the groups of tokens between cuts;
+3. links are counted over the corpus, and counts are joined back to the links;
+4. aligned units go to the parts that have them, and each part's documents, kept as
+   unit numbers, are put together from them.
+
+Nothing is written by document: the groups of a text are many times longer than its
+share of distinct units, so they are made as the result is read.
 
 A pair of tokenizers that isn't known to keep such places apart is aligned by whole texts.
 """
 
 from __future__ import annotations
 
-from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinloom.llm import byte_bpe
@@ -36,7 +38,7 @@ from kinloom.llm.repair_store import Encoder
 from kinloom.llm.scratch import Scratch
 from kinloom.llm.sentencepiece_codec import BLANK, Pieces, default_model
 
-#: Bytes of text in a part, bytes encoded at once, rows of a batch, pairs up to which their counts are broadcast, and words of a bucket.
+#: Bytes of text in a part, bytes encoded at once, rows of a batch, pairs up to which their counts are broadcast, and words aligned at once.
 PART, BLOCK, ROWS, BROADCAST, WORDS = 24 << 20, 512 << 10, 50_000, 1_000_000, 20_000
 #: Chunks and ids that a worker remembers of each tokenizer; it has two, so less of each.
 MEMORY = 200_000, 1_600_000
@@ -145,8 +147,23 @@ def complete(a_path: str, b_path: str) -> bool:
     return len(alone) == 256 and len(set(b.byte.tolist())) == 256
 
 
-_PARTS = "part long, unit int, n long, word binary, row int, doc_id long, units array<int>"
-_ARROW = pa.schema([("part", pa.int64()), ("unit", pa.int32()), ("n", pa.int64()), ("word", pa.binary()), ("row", pa.int32()), ("doc_id", pa.int64()), ("units", pa.list_(pa.int32()))])
+_PARTS = "part long, unit int, n long, word binary, row int, doc_ids array<long>, sizes array<int>, units binary"
+_ARROW = pa.schema([
+    ("part", pa.int64()), ("unit", pa.int32()), ("n", pa.int64()), ("word", pa.binary()), ("row", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("units", pa.binary()),
+])
+
+
+def pack(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32 as four planes of bytes, compressed."""
+    return pa.Codec("zstd").compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), asbytes=True) if len(numbers) else b""
+
+
+def unpack(packed: bytes, size: int) -> np.ndarray:
+    """What ``pack`` was given: ``size`` numbers."""
+    if not size:
+        return np.zeros(0, np.int64)
+    planes = np.frombuffer(pa.Codec("zstd").decompress(packed, 4 * size), np.uint8).reshape(4, size)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
 
 
 def _batch(rows: int, **columns: pa.Array) -> pa.RecordBatch:
@@ -154,7 +171,7 @@ def _batch(rows: int, **columns: pa.Array) -> pa.RecordBatch:
 
 
 def _part(number: int, docs: list, may: tuple[bool, bool, bool]):
-    """Batches of a part's units, and of its documents as unit numbers; null for those that aren't rendered byte for byte."""
+    """Batches of a part's units, and blocks of its documents as unit numbers; those that aren't rendered byte for byte have none."""
     ids, arrays, sizes, sound = [], [], [], []
     for doc_id, data, ends, valid in docs:
         starts = heads(data, ends, may)
@@ -176,14 +193,16 @@ def _part(number: int, docs: list, may: tuple[bool, bool, bool]):
         yield _batch(len(part), part=pa.array(np.full(len(part), number)), unit=pa.array(np.arange(i, i + len(part), dtype=np.int32)), n=pa.array(counts[part]), word=words.take(pa.array(part)))
     names, at, row = pa.chunked_array(ids).combine_chunks(), np.concatenate(([0], np.cumsum(size))), 0
     while row < len(size):
-        last = max(row + 1, int(np.searchsorted(at, at[row] + 20 * ROWS, "right")) - 1)
-        held = pa.ListArray.from_arrays(pa.array((at[row : last + 1] - at[row]).astype(np.int32)), pa.array(place[at[row] : at[last]]), mask=pa.array(~sound[row:last]))
-        yield _batch(last - row, part=pa.array(np.full(last - row, number)), row=pa.array(np.arange(row, last, dtype=np.int32)), doc_id=names.slice(row, last - row), units=held)
+        last = max(row + 1, int(np.searchsorted(at, at[row] + 5 * ROWS, "right")) - 1)
+        own, kept = size[row:last] * sound[row:last], np.repeat(sound[row:last], size[row:last])
+        whole = [pa.ListArray.from_arrays(pa.array([0, last - row], pa.int32()), x) for x in (names.slice(row, last - row), pa.array(own.astype(np.int32)))]
+        units = pa.array([pack(place[at[row] : at[last]][kept])], pa.binary())
+        yield _batch(1, part=pa.array([number]), row=pa.array([row], pa.int32()), doc_ids=whole[0], sizes=whole[1], units=units)
         row = last
 
 
 def parted(docs: DataFrame, may: tuple[bool, bool, bool], part_bytes: int) -> DataFrame:
-    """Rows of two kinds: a part's distinct units, the most frequent first, and its documents as arrays of unit numbers."""
+    """Rows of two kinds: a part's distinct units, the most frequent first, and blocks of its documents as unit numbers."""
 
     def run(batches):
         task, made, held, room = TaskContext.get().partitionId(), 0, [], 0
@@ -212,74 +231,83 @@ def parted(docs: DataFrame, may: tuple[bool, bool, bool], part_bytes: int) -> Da
     return rows.mapInArrow(run, _PARTS)
 
 
-def encoded(units: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """Units ``word, n`` with both tokenizers' ids, ``a`` and ``b``; a word that one of them doesn't render byte for byte ends the job."""
+def _lists(at: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), values)
 
-    def run(batches):
-        for batch in batches:
-            found = [_tokens(model, batch.column(0)) for model in (byte_level(a_path), pieces(b_path))]
-            if any(x.null_count for x in found):
-                raise ValueError("a tokenizer doesn't render a word byte for byte")
-            yield pa.RecordBatch.from_arrays([*batch.columns, *found], ["word", "n", "a", "b"])
 
-    return units.select("word", "n").mapInArrow(run, "word binary, n long, a array<int>, b array<int>")
+def _aligned(words: pa.Array, a_path: str, b_path: str) -> list[pa.Array]:
+    """Words' numbers of tokens, groups and links, of both tokenizers' tokens laid end to end."""
+    ends, ids, at, sides = [], [], [], []
+    for model in (byte_level(a_path), pieces(b_path)):
+        found = _tokens(model, words)
+        if found.null_count:
+            raise ValueError("a tokenizer doesn't render a word byte for byte")
+        ids.append(found.flatten().to_numpy()), at.append(np.concatenate(([0], np.cumsum(found.value_lengths().to_numpy()))))
+        ends.append(np.cumsum(model.raw_at[ids[-1] + 1] - model.raw_at[ids[-1]]))
+    met = np.searchsorted(ends[1], ends[0])  # where B's first token ends that doesn't end before A's
+    cut = np.flatnonzero(ends[1][met] == ends[0])
+    cuts = [cut, met[cut]]
+    for i, c in zip(ids, cuts, strict=True):
+        sides.append(pc.binary_join(_lists(np.concatenate(([0], c + 1)), pa.array(i).cast(pa.string())), ","))
+    of = np.searchsorted(cut, at[0])  # each word's first cut
+    groups = pc.binary_join(_lists(of, pc.binary_join_element_wise(*sides, "|")), ";")
+    links = _lists(of, pa.array(ids[0][cuts[0]].astype(np.int64) << 32 | ids[1][cuts[1]]))
+    return [*(pa.array(np.diff(x).astype(np.int64)) for x in at), groups, links]
 
 
-@contextmanager
-def co_located(spark: SparkSession):
-    """Joins whose sides are dealt by some of the keys already are not dealt again."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    was = spark.conf.get(name)
-    spark.conf.set(name, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, was)
+def aligned(units: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """Distinct units ``word, n, places`` with their alignment instead of the word.
 
+    ``n_a``, ``n_b`` tokens, ``groups`` (ids of A, comma-joined, a bar, ids of B; groups joined by
+    semicolons) and ``links``, an array of id pairs as A * 2^32 + B.  A word that one of the
+    tokenizers doesn't render byte for byte ends the job.
+    """
 
-def _bytes(spark: SparkSession, model) -> DataFrame:
-    """``id, size`` of a vocabulary's tokens: as many rows as it has, so it may be broadcast."""
-    return F.broadcast(spark.createDataFrame(list(enumerate(np.diff(model.raw_at).tolist())), "id int, size long"))
+    def run(batches):
+        for batch in batches:
+            for row in range(0, len(batch), WORDS):
+                part = batch.slice(row, WORDS)
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *_aligned(part.column(0), a_path, b_path)], ["n", "places", "n_a", "n_b", "groups", "links"])
 
+    return units.select("word", "n", "places").mapInArrow(run, "n long, places array<struct<part: long, unit: int>>, n_a long, n_b long, groups string, links array<long>")
 
-def _ended(units: DataFrame, name: str, sizes: DataFrame, *more: str) -> DataFrame:
-    """Tokens, one row each: id, word, and the byte of the bucket at which it ends."""
-    rows = units.select("bucket", "word", *more, name).repartition("bucket").select("bucket", "word", *more, F.posexplode(name).alias("pos", "id"))
-    so_far = Window.partitionBy("bucket").orderBy("word", "pos").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.join(sizes, "id").select("bucket", "word", *more, F.col("id").alias(name), F.sum("size").over(so_far).alias("end"))
 
+_SUMS = ["n_a", "n_b", "n_links", "n_best", "count_sum"]
 
-def aligned(units: DataFrame, a_path: str, b_path: str, bucket: int | None = None) -> DataFrame:
-    """Distinct units ``word, n, a, b`` (arrays of ids over the same bytes) with their alignment.
 
-    ``n_a``, ``n_b`` tokens, ``groups`` (ids of A, comma-joined, a bar, ids of B; groups joined by
-    semicolons) and ``links``, an array of id pairs as A * 2^32 + B.  Words are laid end to
-    end in buckets of about ``bucket`` words, so that few long windows are summed up instead of
-    many short ones; both sides of a bucket are the same bytes, and each word's end is a cut.
-    Run it under ``co_located``, so that tokens aren't dealt again.
-    """
-    spark, key = units.sparkSession, ["bucket"]
-    buckets = max(1, -(-units.count() // (bucket or WORDS)))
-    units = units.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets)))
-    a, b = _ended(units, "a", _bytes(spark, byte_level(a_path)), "n"), _ended(units, "b", _bytes(spark, pieces(b_path)))
-    earlier = Window.partitionBy(*key).orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-
-    def grouped(own: DataFrame, other: DataFrame, name: str, *more) -> DataFrame:
-        """One side's groups: its ids between cuts; a token that ends with one of the other side closes its group."""
-        met = own.join(other, [*key, "end"], "left").withColumn("group", F.coalesce(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).over(earlier), F.lit(0)))
-        ids = F.expr(f"listagg(CAST({name} AS STRING), ',') WITHIN GROUP (ORDER BY end)")
-        return met.groupBy(*key, "group").agg(ids.alias(f"{name}s"), F.count(name).alias(f"n_{name}"), *more)
-
-    link = F.shiftleft(F.col("a").cast("long"), 32) + F.col("b")
-    mine = grouped(a, b.drop("word"), "a", F.max("word").alias("word"), F.max("n").alias("n"), F.max(link).alias("link"))
-    groups = mine.join(grouped(b, a.drop("n", "word"), "b"), [*key, "group"])
-    return groups.groupBy(*key, "word").agg(
-        F.max("n").alias("n"),
-        F.expr("listagg(concat(`as`, '|', bs), ';') WITHIN GROUP (ORDER BY `group`)").alias("groups"),
-        F.sum("n_a").alias("n_a"),
-        F.sum("n_b").alias("n_b"),
-        F.array_sort(F.collect_list("link")).alias("links"),
-    ).drop("bucket")
+def together(rows: DataFrame) -> DataFrame:
+    """Documents from their parts' aligned units; of each part, units come first, by number, then blocks of documents."""
+
+    def documents(units: list[pa.RecordBatch], block: dict) -> pa.RecordBatch:
+        table = units[0]
+        at = np.concatenate(([0], np.cumsum(np.array(block["sizes"], np.int64))))
+        place = unpack(block["units"], int(at[-1]))
+        sums = [np.concatenate(([0], np.cumsum(table.column(c).to_numpy()[place])))[at] for c in _SUMS]
+        groups = pc.binary_join(_lists(at, table.column("groups").take(pa.array(place))), ";")
+        return pa.RecordBatch.from_arrays([pa.array(block["doc_ids"], pa.int64()), *(pa.array(np.diff(x)) for x in sums), groups], ["doc_id", *_SUMS, "groups"])
+
+    def run(batches):
+        part, units = None, []
+        for batch in batches:
+            number = batch.column("part").to_numpy()
+            edge = np.concatenate(([0], np.flatnonzero(np.diff(number)) + 1, [len(number)]))
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                if a == b:
+                    continue
+                if number[a] != part:
+                    part, units = number[a], []
+                own = batch.slice(a, b - a)
+                many = len(own) - own.column("unit").null_count
+                if many:
+                    units.append(own.slice(0, many).select([*_SUMS, "groups"]))
+                for block in own.slice(many).select(["doc_ids", "sizes", "units"]).to_pylist():
+                    if len(units) != 1:
+                        none = own.slice(0, 0).select([*_SUMS, "groups"])
+                        units = pa.Table.from_batches([none, *units]).combine_chunks().to_batches() or [none]
+                    yield documents(units, block)
+
+    dealt = rows.repartition("part").sortWithinPartitions("part", F.col("unit").asc_nulls_last(), "row")
+    return dealt.mapInArrow(run, "doc_id long, n_a long, n_b long, n_links long, n_best long, count_sum long, groups string")
 
 
 def align_documents(docs: DataFrame, scratch: Scratch, a_path: str | None = None, b_path: str | None = None, part_bytes: int | None = None) -> DataFrame:
@@ -295,31 +323,21 @@ def align_documents(docs: DataFrame, scratch: Scratch, a_path: str | None = None
     Both tokenizers must have a token for each byte; B then renders all texts but those
     with its own sign for a blank.
     """
-    a_path, b_path, spark = a_path or default_tokenizer(), b_path or default_model(), docs.sparkSession
+    a_path, b_path = a_path or default_tokenizer(), b_path or default_model()
     if not complete(a_path, b_path):
         raise ValueError("a tokenizer has no token for some bytes")
     parts = scratch.cut(parted(docs, rules(a_path, b_path), part_bytes or PART), "parts")
-    held = parts.where("unit IS NOT NULL").select("part", "unit", "n", "word")
-    with co_located(spark):
-        units = scratch.cut(encoded(held.groupBy("word").agg(F.sum("n").alias("n")), a_path, b_path), "units")
-        known = scratch.cut(aligned(units, a_path, b_path), "aligned")
-        scratch.drop(units)
-        pairs = known.select("n", F.explode("links").alias("link")).groupBy("link").agg(F.sum("n").alias("count"))
-        pairs = scratch.cut(pairs.withColumn("b", F.col("link").bitwiseAND(0xFFFFFFFF)), "pairs")
-        best = pairs.groupBy("b").agg(F.max("count").alias("most"))
-        pairs = pairs.join(best, "b").select("link", "count", (F.col("count") == F.col("most")).cast("int").alias("best"))
-        if pairs.count() <= BROADCAST:
-            pairs = F.broadcast(pairs)
-        scored = known.repartition("word").select("word", "n_a", "n_b", "groups", F.explode("links").alias("link")).join(pairs, "link")
-        scored = scored.groupBy("word").agg(
-            F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.first("groups").alias("groups"), F.count("link").alias("n_links"), F.sum("best").alias("n_best"), F.sum("count").alias("count_sum")
-        )
-        scored = held.select("part", "unit", "word").join(scored, "word").drop("word").repartition("part")
-        rows = parts.where("unit IS NULL").select("part", "row", "doc_id", "units")
-        found = rows.where("units IS NOT NULL").repartition("part").select("part", "row", "doc_id", F.posexplode("units").alias("pos", "unit"))
-        found = found.join(scored.hint("shuffle_hash"), ["part", "unit"])
-        sums = ["n_a", "n_b", "n_links", "n_best", "count_sum"]
-        whole = found.groupBy("part", "row", "doc_id").agg(*(F.sum(c).alias(c) for c in sums), F.expr("listagg(groups, ';') WITHIN GROUP (ORDER BY pos)").alias("groups"))
-        none = rows.where("units IS NULL").select("doc_id", *(F.lit(0).cast("long").alias(c) for c in sums), F.lit("").alias("groups"))
-        out = scratch.cut(whole.select("doc_id", *sums, "groups").unionByName(none).withColumn("n_groups", F.col("n_links")), "documents")
-    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
+    held = parts.where("unit IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n"), F.collect_list(F.struct("part", "unit")).alias("places"))
+    known = scratch.cut(aligned(held, a_path, b_path).withColumn("number", F.monotonically_increasing_id()), "aligned")
+    pairs = known.select("n", F.explode("links").alias("link")).groupBy("link").agg(F.sum("n").alias("count"))
+    pairs = scratch.cut(pairs.withColumn("b", F.col("link").bitwiseAND(0xFFFFFFFF)), "pairs")
+    best = pairs.groupBy("b").agg(F.max("count").alias("most"))
+    pairs = pairs.join(best, "b").select("link", "count", (F.col("count") == F.col("most")).cast("int").alias("best"))
+    if pairs.count() <= BROADCAST:
+        pairs = F.broadcast(pairs)
+    scored = known.select("number", F.explode("links").alias("link")).join(pairs, "link")
+    scored = scored.groupBy("number").agg(F.count("link").alias("n_links"), F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
+    units = known.select("number", "places", "n_a", "n_b", "groups").join(scored, "number").select(F.explode("places").alias("place"), *_SUMS, "groups").select("place.*", *_SUMS, "groups")
+    blocks = parts.where("unit IS NULL").select("part", "row", "doc_ids", "sizes", "units")
+    out = together(units.unionByName(blocks, allowMissingColumns=True))
+    return out.select("doc_id", "n_a", "n_b", F.col("n_links").alias("n_groups"), "n_links", "n_best", "count_sum", "groups")

@@ -3,7 +3,9 @@
 import hashlib
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
+import numpy as np
 import pytest
 
 pytest.importorskip("kinloom.llm")
@@ -83,3 +85,19 @@ def test_whole_texts_and_counts_without_a_broadcast(spark, monkeypatch):
 
 def test_an_empty_table(spark):
     assert A.align_documents(spark.createDataFrame([], "doc_id long, text string"), Scratch(spark, "t")).collect() == []
+
+
+def test_nothing_is_written_by_document(spark):
+    """Tables between the steps grow with distinct units and unit numbers, not with the groups of all texts."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 9))) for _ in range(60)]
+    docs = spark.createDataFrame([(k, " ".join(rng.choice(words) for _ in range(800))) for k in range(150)], "doc_id long, text string").repartition(2)
+    scratch = Scratch(spark, "t")
+    groups = sum(len(r.groups) for r in A.align_documents(docs, scratch).collect())
+    root = Path(scratch.root.removeprefix("file://"))
+    assert sum(p.stat().st_size for p in root.rglob("*.parquet")) < groups / 10
+
+
+def test_numbers_are_packed_and_unpacked():
+    for numbers in ([], [0], [1, 255, 256, 70_000, 2**24 + 3, 2**31 - 1, 0]):
+        assert A.unpack(A.pack(np.array(numbers, np.int64)), len(numbers)).tolist() == numbers
