@@ -94,10 +94,23 @@ def sampled(labels: DataFrame, label: str, learn, limit: int, key: str = "doc_id
     return good.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 20)) <= part * (1 << 20))
 
 
+def taught(docs: DataFrame, labels: DataFrame, label: str, learn, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, label, text`` of about ``limit`` rows at most to learn from, however many rows share a key.
+
+    All texts of a chosen key count.  Where that makes more rows than the limit, a text
+    that a key has many times counts once, and rows beyond the limit are left out by a hash of key and text.
+    """
+    chosen = sampled(labels, label, learn, limit, key)
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")  # bounded by the sample
+    if rows.count() <= limit + 10 * limit**0.5:
+        return rows
+    part = min(1.0, limit / rows.select("doc_id", F.xxhash64("text")).distinct().count())
+    return rows.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(9)), F.lit(1 << 20)) <= part * (1 << 20)).dropDuplicates(["doc_id", "text"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn, label: str = "quality", key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> dict:
     """The model: idf, latent axes, the sample's latent vectors and their labels."""
-    chosen = sampled(labels, label, learn, sample, key)
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # bounded by the sample
+    rows = taught(docs, labels, label, learn, sample, key, text)
 
     def run(batches):
         for block, data, ends in K.blocks(batches):
@@ -108,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, label: str = "quality", key:
                 ["doc_id", "label", "terms", "times"],
             )
 
-    got = rows.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, terms binary, times binary").toArrow().sort_by([("doc_id", "ascending"), ("terms", "ascending"), ("times", "ascending")])
+    got = rows.mapInArrow(run, "doc_id long, label int, terms binary, times binary").toArrow().sort_by([("doc_id", "ascending"), ("terms", "ascending"), ("times", "ascending")])
     x = np.zeros((len(got), TERMS), np.float32)
     for i, (t, n) in enumerate(zip(got["terms"].to_pylist(), got["times"].to_pylist(), strict=True)):
         x[i, np.frombuffer(t, np.uint16)] = np.frombuffer(n, np.uint32)

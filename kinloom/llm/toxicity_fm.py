@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinloom.llm import textkernel as K
-from kinloom.llm.quality_knn import sampled, scored
+from kinloom.llm.quality_knn import scored, taught
 
 #: Labelled rows that the model is fitted on at most (give or take the hash's chance), factors.
 SAMPLE, FACTORS = 20_000, 8
@@ -157,8 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, label: str = "toxic", key: st
     Rows without a key, a text or a label of 0 or 1 teach nothing; of several
     labels of a key the largest holds, and all texts of a key count.
     """
-    chosen = sampled(labels, label, learn, sample, key)
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # bounded by the sample
+    rows = taught(docs, labels, label, learn, sample, key, text)
 
     def tally(batches):
         for block, data, ends in K.blocks(batches, limit=4 << 20):
@@ -175,8 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, label: str = "toxic", key: st
                 [pa.array(names.view(np.int64)), pa.array(np.diff(np.append(start, len(found))).astype(np.int64)), pa.array(ones.astype(np.int64))], ["term", "rows", "ones"]
             )
 
-    rows = rows.select("doc_id", "label", "text")
-    size, ones = chosen.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    size, ones = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     counted = rows.mapInArrow(tally, "term long, rows long, ones long").groupBy("term").agg(F.sum("rows").alias("n"), F.sum("ones").alias("p"))
     counted = counted.where(F.col("n") >= LEAST_ROWS)
     share = F.lit(ones / max(size, 1))

@@ -390,3 +390,18 @@ def test_the_pipeline_keeps_columns_and_takes_effect(spark):
     clean = corpus_pipeline.decontaminated(spark, docs, sf)
     assert clean.columns == docs.columns and 0 < clean.count() < docs.count()
     assert [f for _, f in corpus_pipeline.STAGES][0] is corpus_pipeline.quality and len(corpus_pipeline.STAGES) == 5
+
+
+def test_the_sample_bounds_rows_however_often_a_key_is_repeated(spark):
+    from pyspark.sql import functions as F
+
+    from kinloom.llm.quality_knn import taught
+
+    labels = spark.createDataFrame([(k, k % 2) for k in range(100)], "doc_id long, quality int")
+    once = spark.createDataFrame([(k, f"text {k}") for k in range(100)], "doc_id long, text string")
+    learn = lambda key: key >= 0
+    copies = taught(once.crossJoin(spark.range(40)), labels, "quality", learn, 100).collect()
+    assert sorted((r.doc_id, r.label, r.text) for r in copies) == [(k, k % 2, f"text {k}") for k in range(100)]
+    hot = once.where("doc_id = 7").crossJoin(spark.range(5000)).withColumn("text", F.concat("text", F.lit(" "), F.col("id")))
+    assert 50 < taught(hot, labels, "quality", learn, 100).count() < 200
+    assert taught(once.union(once), labels, "quality", learn, 500).count() == 200
