@@ -120,34 +120,38 @@ def _split(n: np.ndarray, p: np.ndarray, share: float) -> np.ndarray:
 
 
 def allied(rows: np.ndarray, term: np.ndarray, y: np.ndarray, weak: np.ndarray) -> np.ndarray:
-    """Which terms to keep: those that aren't weak, and weak ones that say more with another term than both say alone."""
+    """Which terms to keep: those that aren't weak, and weak ones that say more with another term than both say alone.
+
+    A weak term at a time is held against all others, so that memory grows with
+    the terms and not with the product of both.
+    """
     terms, few, share = len(weak), np.flatnonzero(weak), float(y.mean()) if len(y) else 0.0
     if not len(few) or not 0 < share < 1:
         return ~weak
-    both, ones = np.zeros((len(few), terms), np.float32), np.zeros((len(few), terms), np.float32)
     edge = np.searchsorted(rows, np.arange(len(y) + 1))
-    for a in range(0, len(y), 1024):
-        b = min(a + 1024, len(y))
-        x = np.zeros((b - a, terms), np.float32)
-        x[rows[edge[a] : edge[b]] - a, term[edge[a] : edge[b]]] = 1
-        both += x[:, few].T @ x
-        x = x[y[a:b] > 0]
-        ones += x[:, few].T @ x
+    at = rows[np.argsort(term, kind="stable")]  # the rows of each term
+    first = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=terms))))
     total, toxic = float(len(y)), float(y.sum())
     n, p = np.bincount(term, minlength=terms).astype(np.float64), np.bincount(term, y[rows], terms)
     held = -2 * total * (share * np.log(share) + (1 - share) * np.log(1 - share))
     alone = _split(n, p, share) + _split(total - n, toxic - p, share)
     good = ~weak
-    for i in range(0, len(few), 256):  # rows of the table, so that its doubles stay few
-        own = few[i : i + 256]
-        n11, p11 = both[i : i + 256].astype(np.float64), ones[i : i + 256].astype(np.float64)
-        n10, p10, n01, p01 = n[own][:, None] - n11, p[own][:, None] - p11, n[None] - n11, p[None] - p11
+
+    def beside(some):
+        """How often each term stands in some rows."""
+        size = edge[some + 1] - edge[some]
+        own = np.arange(int(size.sum())) + np.repeat(edge[some] - np.cumsum(size) + size, size)
+        return np.bincount(term[own], minlength=terms).astype(np.float64)
+
+    for i in few:
+        mine = at[first[i] : first[i + 1]]
+        n11, p11 = beside(mine), beside(mine[y[mine] > 0])
+        n10, p10, n01, p01 = n[i] - n11, p[i] - p11, n - n11, p - p11
         whole = _split(n11, p11, share) + _split(n10, p10, share) + _split(n01, p01, share) + _split(total - n11 - n10 - n01, toxic - p11 - p10 - p01, share)
-        parts = alone[own][:, None] + alone[None]
-        told = whole - parts >= max(LEAST_PAIR, PART * held)
-        told[np.arange(len(own)), own] = False
-        one, other = np.nonzero(told)
-        good[own[one]] = good[other] = True
+        told = whole - alone[i] - alone >= max(LEAST_PAIR, PART * held)
+        told[i] = False
+        good[told] = True
+        good[i] |= told.any()
     return good
 
 
@@ -155,9 +159,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn, label: str = "toxic", key: st
     """The model: kept terms, their weights and factor vectors, and the bias.
 
     Rows without a key, a text or a label of 0 or 1 teach nothing; of several
-    labels of a key the largest holds, and all texts of a key count.
+    labels of a key the largest holds, and all texts of a key count.  A text in
+    many chosen rows counts once, with the label of most of them (1 if as many
+    have 0): else all that only one text says would pass for what many rows say.
     """
     rows = taught(docs, labels, label, learn, sample, key, text)
+    rows = rows.groupBy("text").agg(F.min("doc_id").alias("doc_id"), (F.avg("label") >= 0.5).cast("int").alias("label")).select("doc_id", "label", "text")
 
     def tally(batches):
         for block, data, ends in K.blocks(batches, limit=4 << 20):

@@ -405,3 +405,31 @@ def test_the_sample_bounds_rows_however_often_a_key_is_repeated(spark):
     hot = once.where("doc_id = 7").crossJoin(spark.range(5000)).withColumn("text", F.concat("text", F.lit(" "), F.col("id")))
     assert 50 < taught(hot, labels, "quality", learn, 100).count() < 200
     assert taught(once.union(once), labels, "quality", learn, 500).count() == 200
+
+
+def test_copies_of_a_text_add_no_terms(spark):
+    """Ten copies under keys of their own: a word of one text stands in one row, not in ten, and isn't kept."""
+    rng = random.Random(8)
+    rows = [(i, " ".join([f"word{rng.randrange(300)}" for _ in range(10)] + [f"only{i}"] + ["idiot"] * (i % 10 == 0))) for i in range(400)]
+    docs = documents(spark, rows)
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    many, tens = (f.crossJoin(spark.range(10)).withColumn("doc_id", quality_knn.F.expr("doc_id + 400 * id")).drop("id") for f in (docs, labels))
+    one, ten = (toxicity_fm.fit(d, t, lambda key: key >= 0) for d, t in ((docs, labels), (many, tens)))
+    assert len(one["table"].keys) and one["table"].keys.tolist() == ten["table"].keys.tolist()
+
+
+def test_pairs_of_many_terms_are_weighed_in_little_memory():
+    """500 weak words beside 60 000 terms, of which two tell the labels together: their table was 240 MB."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    rows, term = np.repeat(np.arange(2000), 30), rng.integers(2, 60_000, 60_000)
+    ends = rng.random((2000, 2)) < 0.5
+    y = (ends[:, 0] ^ ends[:, 1]).astype(float)
+    both = np.unique(np.concatenate([rows * 60_000 + term, *(np.flatnonzero(ends[:, k]) * 60_000 + k for k in (0, 1))]))
+    weak = np.arange(60_000) < 500
+    tracemalloc.start()
+    kept = toxicity_fm.allied(both // 60_000, both % 60_000, y, weak)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert kept[:2].all() and kept[2:500].sum() < 50 and kept[500:].all() and peak < 40e6
