@@ -10,10 +10,13 @@ never made:
    beaten; else all of the block's given names are compared, in cells of bounded size.
 3. Within a block and its best given name, whole names are compared, in such cells.
 
-A cell holds some names of each side as two arrays, so a common surname is spread
-over many tasks.  Inside a cell, letters in common bound every pair's ratio: the pair
-of the best bound is compared first, then only those whose bound reaches its score.
-What leaves a cell is one row for each wanted name.
+A cell holds some names of each side, so a common surname is spread over many
+tasks.  Inside a cell, letters in common bound every pair's ratio: the pair of the
+best bound is compared first, then only those whose bound reaches its score.
+Cells of given names are rows in order, a few wanted ones and then many others that
+pass by some at a time, so that no task holds a cell and what is known of a wanted
+name bounds all that follows.  Cells of whole names are two arrays, taken a few
+names at a time.  What leaves a cell is a wanted name's best there.
 """
 
 from __future__ import annotations
@@ -27,8 +30,12 @@ from kinloom.functions import names as N
 from kinloom.functions.similarity import WORD, Strings, in_order, partial_ratio, partials, ratio, ratios
 from kinloom.session import cut
 
-#: Names on a cell's side, and pairs of names that a worker bounds at once.
-SIDE, PAIRS = 512, 300_000
+#: Whole names on a cell's side, pairs of names that a worker bounds at once, and names that it holds at once.
+SIDE, PAIRS, HELD = 512, 300_000, 16_384
+#: Wanted given names of a cell and others that pass by them, and how many of these at a time.
+FEW, MANY, SOME = 2_048, 131_072, 8_192
+#: Bounds so far below a wanted name's best one are looked at last.
+NEAR = 7
 
 
 def _sets(frame: DataFrame, names: str) -> DataFrame:
@@ -70,11 +77,11 @@ def best_blocks(wanted: DataFrame, people: DataFrame) -> DataFrame:
     return asked.join(top, ["key", "rank"])
 
 
-def cells(left: DataFrame, right: DataFrame, by: list[str], item: Column, other: Column, side: int = SIDE, alike=lambda v: v) -> DataFrame:
-    """``by, xs, ys``: items of both sides that agree in ``by``, dealt to cells of about ``side`` by ``side`` items; items of one ``alike`` share a cell."""
+def cells(left: DataFrame, right: DataFrame, by: list[str], item: Column, other: Column, side: int = SIDE) -> DataFrame:
+    """``by, xs, ys``: items of both sides that agree in ``by``, dealt to cells of about ``side`` by ``side`` items."""
     sides = []
     for frame, value in ((left, item), (right, other)):
-        sides.append(frame.select(*by, value.alias("v")).withColumn("salt", F.xxhash64(alike(F.col("v")))))
+        sides.append(frame.select(*by, value.alias("v")).withColumn("salt", F.xxhash64("v")))
     counts = [s.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / side).alias(f"n{k}")) for k, s in enumerate(sides)]
     parts = counts[0].join(counts[1], by)
     packed = []
@@ -87,6 +94,24 @@ def cells(left: DataFrame, right: DataFrame, by: list[str], item: Column, other:
     return packed[0].join(packed[1], [*by, "c0", "c1"]).repartition(tasks, *by, "c0", "c1").drop("c0", "c1")
 
 
+def streams(left: DataFrame, right: DataFrame, few: int, many: int) -> DataFrame:
+    """``block, c0, c1, side, salt, v``: names of both sides that agree in their block, dealt to cells of about ``few`` by ``many``.
+
+    A partition has whole cells, the left names (side 0) of each before the right
+    ones; names of the same letters share a cell and stand side by side.
+    """
+    sides = [frame.select("block", F.col(name).alias("v")).withColumn("salt", F.xxhash64(_letters(F.col("v")))) for frame, name in ((left, "g"), (right, "t"))]
+    counts = [s.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / n).alias(f"n{k}")) for k, (s, n) in enumerate(zip(sides, (few, many), strict=True))]
+    parts = counts[0].join(counts[1], "block")
+    rows = []
+    for k, s in enumerate(sides):
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"n{1 - k}") - 1))
+        rows.append(s.join(parts, "block").select("block", F.pmod("salt", F.col(f"n{k}")).alias(f"c{k}"), other.alias(f"c{1 - k}"), F.lit(k).alias("side"), "salt", "v").select("block", "c0", "c1", "side", "salt", "v"))
+    # Cells are few bytes but much work, so a number of tasks is named: by their bytes they would be joined into one.
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows[0].unionByName(rows[1]).repartition(tasks, "block", "c0", "c1").sortWithinPartitions("block", "c0", "c1", "side", "salt")
+
+
 def _letters(name: Column) -> Column:
     """A name's letters in order; anagrams have the same."""
     return F.array_join(F.array_sort(F.split(name, "")), "")
@@ -194,47 +219,100 @@ def _expanded(left: np.ndarray, right: np.ndarray, x_at: np.ndarray, y_at: np.nd
         a = b
 
 
-def _given(batches):
-    """Of each cell: given names asked for, their best ratio there, and the given names that have it.
+def _closest(wanted: list[str], others: list[str], known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of pairs whose ratio is a wanted name's best of what is known and of all these others, and that ratio; ``known`` is raised.
 
     Names of the same letters have the same bounds, so bounds are taken once for each two sets of letters.
     """
-    for batch in batches:
-        block = batch.column(0)
-        (xs, m), (ys, n) = _lists(batch.column(1)), _lists(batch.column(2))
-        table = Strings(xs.to_pylist(), ys.to_pylist())
-        bags, cell = _bags(table), np.repeat(np.arange(len(batch)), m)
-        x, x_at, x_cell = _by_letters(bags[0], cell)
-        y, y_at, y_cell = _by_letters(bags[1], np.repeat(np.arange(len(batch)), n))
-        some = [bags[0][x[x_at[:-1]]], bags[1][y[y_at[:-1]]]]
-        sizes = [g.sum(1, dtype=np.int64) for g in some]
-        count = [np.bincount(c, minlength=len(batch)) for c in (x_cell, y_cell)]
-        known, found = np.zeros(len(x), np.int64), []
-        for left, right in _pairs(*count):
-            if not len(left):
-                continue
-            bound = _whole(sizes[0][left] + sizes[1][right], _alike(some, left, right))
-            first = _leaders(left, bound)
-            own = np.arange(x_at[left[first[0]]], x_at[left[first[-1]] + 1])  # a slice's groups stand one after another
-            lead = np.repeat(y_at[right[first]], np.diff(x_at)[left[first]])
-            known[own] = np.maximum(known[own], _compare(ratios, ratio, table, x[own], y[lead]))
-            keep = np.flatnonzero(bound >= np.minimum.reduceat(known, x_at[:-1])[left])
+    table = Strings(wanted, others)
+    bags = _bags(table)
+    x, x_at, _ = _by_letters(bags[0], np.zeros(len(wanted), np.int8))
+    y, y_at, _ = _by_letters(bags[1], np.zeros(len(others), np.int8))
+    some = [bags[0][x[x_at[:-1]]], bags[1][y[y_at[:-1]]]]
+    sizes = [g.sum(1, dtype=np.int64) for g in some]
+    best, found = known[x], []
+    for left, right in _pairs(np.array([len(some[0])]), np.array([len(some[1])])):
+        bound = _whole(sizes[0][left] + sizes[1][right], _alike(some, left, right))
+        first = _leaders(left, bound)
+        own = np.arange(x_at[left[first[0]]], x_at[left[first[-1]] + 1])  # a slice's groups stand one after another
+        lead, most = (np.repeat(c, np.diff(x_at)[left[first]]) for c in (y_at[right[first]], bound[first]))
+        rise = most > best[own]
+        best[own[rise]] = np.maximum(best[own[rise]], _compare(ratios, ratio, table, x[own[rise]], y[lead[rise]]))
+        high = np.zeros(len(some[0]), np.int64)
+        high[left[first]] = bound[first]
+        near = bound + NEAR >= high[left]
+        for part in (near, ~near):  # pairs of the best bounds first: what they score spares most of the others
+            keep = np.flatnonzero(part & (bound >= np.minimum.reduceat(best, x_at[:-1])[left]))
             for i, j, of in _expanded(left[keep], right[keep], x_at, y_at):
-                fits = bound[keep][of] >= known[i]
+                fits = bound[keep][of] >= best[i]
                 i, j = i[fits], j[fits]
                 value = _compare(ratios, ratio, table, x[i], y[j]).astype(np.int64)
-                np.maximum.at(known, i, value)
-                best = value == known[i]
-                found.append((i[best], j[best], value[best]))
-        i, j, value = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-        best = value == known[i]
-        i, j = x[i[best]], y[j[best]]
-        yield pa.RecordBatch.from_arrays([block.take(pa.array(cell[i])), xs.take(pa.array(i)), ys.take(pa.array(j)), pa.array(value[best], pa.int32())], ["block", "g", "t", "s_given"])
+                np.maximum.at(best, i, value)
+                top = value == best[i]
+                found.append((i[top], j[top], value[top]))
+    known[x] = best
+    i, j, value = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+    top = value == best[i]
+    return x[i[top]], y[j[top]], value[top]
+
+
+def _given(batches):
+    """Of each cell of ``streams``: given names asked for, their best ratio there, and the given names that have it."""
+    cell, wanted, known, found, held = None, [], None, [], 0
+
+    def best():
+        i, t, value = (np.concatenate(c) for c in zip(*found, strict=True))
+        top = value == known[i]
+        return i[top], t[top], value[top]
+
+    def result():
+        i, t, value = best()
+        return pa.RecordBatch.from_arrays([pa.array([cell[0]] * len(i), pa.string()), pa.array([wanted[k] for k in i], pa.string()), pa.array(t, pa.string()), pa.array(value, pa.int32())], ["block", "g", "t", "s_given"])
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        block = batch.column(0).dictionary_encode()
+        at = [block.indices.to_numpy(), *(batch.column(k).to_numpy() for k in (1, 2, 3))]
+        new = np.concatenate(([True], np.any([c[1:] != c[:-1] for c in at], axis=0)))
+        edges = np.append(np.flatnonzero(new), len(batch))
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            own = (block.dictionary[at[0][a]].as_py(), at[1][a], at[2][a])
+            if own != cell:
+                if found:
+                    yield result()
+                cell, wanted, known, found, held = own, [], None, [], 0
+            names = batch.column(5).slice(a, b - a).to_pylist()
+            if at[3][a] == 0:
+                wanted += names
+                continue
+            known = np.zeros(len(wanted), np.int64) if known is None else known
+            for k in range(0, len(names), SOME):
+                others = names[k : k + SOME]
+                i, j, value = _closest(wanted, others, known)
+                found.append((i, np.array(others, object)[j], value))
+                held += len(i)
+                if held > HELD * 8:  # names that were the best for a while go
+                    found = [best()]
+                    held = len(found[0][0])
+    if found:
+        yield result()
+
+
+def _slices(batches):
+    """Cells of at most ``HELD`` names at once, or one larger."""
+    for batch in batches:
+        size = sum(batch.column(k).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+        done, a = np.concatenate(([0], np.cumsum(size))), 0
+        while a < len(batch):
+            b = max(a + 1, int(np.searchsorted(done, done[a] + HELD, "right")) - 1)
+            yield batch.slice(a, b - a)
+            a = b
 
 
 def _names(batches):
     """Of each cell: wanted names with the other name of the best score there, the first person's if several have it."""
-    for batch in batches:
+    for batch in _slices(batches):
         (xs, m), (ys, n) = _lists(batch.column(0)), _lists(batch.column(1))
         mine, other, order = xs.field(0), ys.field(0), ys.field(2).to_numpy()
         table, sorted_ = Strings(mine.to_pylist(), other.to_pylist()), Strings(xs.field(1).to_pylist(), ys.field(1).to_pylist())
@@ -279,7 +357,8 @@ def best_candidates(wanted: DataFrame, people: DataFrame, side: int = SIDE) -> D
     # A ratio below 100 may round to 100 only for names of a hundred letters, which are compared like others.
     equal = asked.where(F.length("g") < 90).join(given, (asked["block"] == given["block"]) & (asked["g"] == given["t"])).select(asked["*"], "t", F.lit(100).alias("s_given"))
     rest = asked.join(equal.select("key").distinct(), "key", "left_anti")
-    found = cells(rest.select("block", "g").distinct(), given, ["block"], F.col("g"), F.col("t"), side, _letters).mapInArrow(_given, "block string, g string, t string, s_given int")
+    found = streams(rest.select("block", "g").distinct(), given, min(FEW, 4 * side), min(MANY, 256 * side)).mapInArrow(_given, "block string, g string, t string, s_given int")
+    found = cut(found, "best-of-cells")  # it is read twice
     near = rest.join(found, ["block", "g"])
     top = near.groupBy("key").agg(F.max("s_given").alias("s_given"))
     chosen = equal.select("key", "block", "common", "rank", "t", "s_given").unionByName(near.join(top, ["key", "s_given"]).select("key", "block", "common", "rank", "t", "s_given"))

@@ -18,10 +18,14 @@ NO_POOL = "sem candidatos por sobrenome (abreviação/corrupção?)"
 NO_SURNAME = "sem sobrenome em comum (filtro anti-falso-positivo)"
 
 
-def features(keys: DataFrame) -> DataFrame:
-    """``key`` and its parts, once for each name."""
+def features(keys: DataFrame, *more: str) -> DataFrame:
+    """``key`` and its parts, and ``more`` columns, once for each row.
+
+    Rows are few bytes but much work, so they are dealt to as many tasks as there are shuffle partitions.
+    """
     key = F.col("key")
-    return keys.select("key", N.given(key).alias("given"), N.surnames(key).alias("surnames"), N.suffixes(key).alias("suffixes"), N.top_given(key).alias("firsts"), F.array_distinct(N.tokens(key)).alias("words"))
+    keys = keys.repartition(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
+    return keys.select("key", *more, N.given(key).alias("given"), N.surnames(key).alias("surnames"), N.suffixes(key).alias("suffixes"), N.top_given(key).alias("firsts"), F.array_distinct(N.tokens(key)).alias("words"))
 
 
 def pools(wanted: DataFrame, people: DataFrame) -> DataFrame:

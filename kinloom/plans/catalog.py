@@ -257,7 +257,7 @@ def best_candidate(spark, sf_dir):
     middle = F.when((n % 4 == 0) | (n % 11 == 3), "").otherwise(F.concat(segment, F.lit(" ")))
     asked = F.concat(_spelled(n * 31 + 14), F.lit(" "), middle, F.when(n % 11 == 3, "Silvestre").otherwise(_surnames(n, F.col("s_nationkey"))))
     named = c.select(F.col("c_custkey").alias("ord"), N.norm_name(name).alias("key"))
-    people = resolve.features(named.select("key")).join(named, "key")
+    people = resolve.features(named, "ord")
     wanted = resolve.features(s.select(N.norm_name(asked).alias("key")).distinct())
     return resolve.found_best(wanted, people).select("key", "other", "inter", "s_given", "score20")
 

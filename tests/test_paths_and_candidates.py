@@ -118,6 +118,34 @@ def test_hot_surnames_against_all_pairs(spark, side):
     assert nearest.best_candidates(w.limit(0), p).collect() == []
 
 
+def test_a_task_holds_few_names_at_once(monkeypatch):
+    """Cells' names pass by some at a time, with the same best ones as of all pairs; a batch of cells isn't taken whole."""
+    import pyarrow as pa
+
+    held, strings = [], nearest.Strings
+    monkeypatch.setattr(nearest, "Strings", lambda *c: held.append(sum(map(len, c))) or strings(*c))
+    monkeypatch.setattr(nearest, "SOME", 50)
+    monkeypatch.setattr(nearest, "HELD", 40)
+    rng = random.Random(9)
+    name = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randrange(3, 9)))
+    cells, rows, best = [("s:x", 0, 0), ("s:x", 0, 1), ("s:y", 0, 0)], [], set()
+    for cell in cells:
+        wanted, others = sorted({name() for _ in range(9)}), sorted({name() for _ in range(400)})
+        rows += [(*cell, 0, 0, v) for v in wanted] + [(*cell, 1, 0, v) for v in others]
+        for g in wanted:
+            scores = [S.ratio(g, t) for t in others]
+            best |= {(cell, g, t, v) for t, v in zip(others, scores, strict=True) if v == max(scores)}
+    batch = pa.RecordBatch.from_pylist([dict(zip(("block", "c0", "c1", "side", "salt", "v"), r, strict=True)) for r in rows])
+    got = [tuple(r.values()) for b in nearest._given(batch.slice(k, 170) for k in range(0, len(batch), 170)) for r in b.to_pylist()]
+    assert sorted(got) == sorted((c[0], g, t, v) for c, g, t, v in best) and max(held) <= 60
+    held.clear()
+    own = pa.list_(pa.struct([("key", pa.string()), ("sorted", pa.string()), ("common", pa.int32())]))
+    theirs = pa.list_(pa.struct([("other", pa.string()), ("sorted", pa.string()), ("ord", pa.int64())]))
+    x, y = ([(f"{name()} x{k}", f"x{k}", 0)] * 2 for k in (1, 2))
+    lists = pa.RecordBatch.from_arrays([pa.array([x] * 100, own), pa.array([y] * 100, theirs)], ["xs", "ys"])
+    assert sum(len(b) for b in nearest._names([lists])) == 200 and max(held) <= 40
+
+
 def test_bounds_spare_most_comparisons():
     """Of the pairs of a hot block, few are compared in full."""
     import numpy as np
